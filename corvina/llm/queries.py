@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corvina.llm import url_rules
+from corvina.llm import curve_search, pivot_dedup, simhash_dedup, url_rules
 from corvina.llm.common import table
 
 URL_RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
@@ -16,7 +17,27 @@ def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {"op6_url_rules": op6_url_rules}
+def op4_curve_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = curve_search.search(table(spark, sf_dir, "embeddings"))
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+    return parts.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op10_pivot_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = pivot_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return parts.select(F.col("id").alias("vec_id"), "n_links", "component_id", "kept")
+
+
+QUERIES = {
+    "op4_curve_search": op4_curve_search,
+    "op9_simhash_dedup": op9_simhash_dedup,
+    "op10_pivot_dedup": op10_pivot_dedup,
+    "op6_url_rules": op6_url_rules,
+}
 
 ORACLES = {
     "op6_url_rules": r"""
