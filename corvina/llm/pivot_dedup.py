@@ -100,7 +100,7 @@ def _compare(least: float, shared: int, n_pivots: int):
 
 
 def near_duplicates(
-    vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.9, nearest: int = 12, shared: int = 2, block: int = BLOCK
+    vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.9, nearest: int = 16, shared: int = 2, block: int = BLOCK
 ) -> DataFrame:
     """One row (id, n_links, component_id, kept) for each row of vectors.
 
