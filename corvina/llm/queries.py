@@ -5,9 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvina.llm import curve_search, pivot_dedup, simhash_dedup, url_rules
+from corvina.llm import curve_search, packing, pivot_dedup, prefix_bpe, simhash_dedup, token_files, url_rules
 from corvina.llm.common import table
 
+
+
+def tokenizer_path(name: str) -> str:
+    """A public tokenizer's file on every machine; the files are never part of this repository."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 URL_RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 
 
@@ -17,11 +26,25 @@ def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 def op4_curve_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = curve_search.search(table(spark, sf_dir, "embeddings"))
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
 
 
+def op7_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = prefix_bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+    return done.withColumnRenamed("id", "doc_id")
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = token_files.write_ids(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+    return token_files.read_digests(manifest)
+
+
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
     return parts.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -33,7 +56,10 @@ def op10_pivot_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_packing": op2_packing,
     "op4_curve_search": op4_curve_search,
+    "op7_prefix_bpe": op7_prefix_bpe,
+    "op8_token_files": op8_token_files,
     "op9_simhash_dedup": op9_simhash_dedup,
     "op10_pivot_dedup": op10_pivot_dedup,
     "op6_url_rules": op6_url_rules,
