@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvina.llm import curve_search, packing, pivot_dedup, prefix_bpe, simhash_dedup, token_files, url_rules
+from corvina.llm import curve_search, packing, pivot_dedup, prefix_bpe, quality, simhash_dedup, token_files, url_rules
 from corvina.llm.common import table
 
 
@@ -26,6 +26,11 @@ def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op1_rule_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return done.select(F.col("id").alias("doc_id"), "held_out", "score", "predicted")
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -56,6 +61,7 @@ def op10_pivot_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_rule_quality": op1_rule_quality,
     "op2_packing": op2_packing,
     "op4_curve_search": op4_curve_search,
     "op7_prefix_bpe": op7_prefix_bpe,
