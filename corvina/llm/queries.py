@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvina.llm import curve_search, packing, pivot_dedup, prefix_bpe, quality, simhash_dedup, token_files, url_rules
+from corvina.llm import curve_search, packing, pivot_dedup, prefix_bpe, quality, simhash_dedup, suffix_dedup, token_files, url_rules
 from corvina.llm.common import table
 
 
@@ -35,6 +35,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op4_curve_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = curve_search.search(table(spark, sf_dir, "embeddings"))
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
@@ -63,6 +67,7 @@ def op10_pivot_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_rule_quality": op1_rule_quality,
     "op2_packing": op2_packing,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_curve_search": op4_curve_search,
     "op7_prefix_bpe": op7_prefix_bpe,
     "op8_token_files": op8_token_files,
