@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvina.llm import curve_search, packing, pivot_dedup, prefix_bpe, quality, simhash_dedup, suffix_dedup, token_files, url_rules
+from corvina.llm import curve_search, lm_score, packing, pivot_dedup, prefix_bpe, quality, simhash_dedup, suffix_dedup, token_files, url_rules
 from corvina.llm.common import table
 
 
@@ -44,6 +44,12 @@ def op4_curve_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
 
 
+def op5_gru_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = quality.held_out(F.col("doc_id"), 7)
+    done = lm_score.score_documents(table(spark, sf_dir, "documents"), ~held_out)
+    return done.select(F.col("id").alias("doc_id"), quality.held_out(F.col("id"), 7).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = prefix_bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
     return done.withColumnRenamed("id", "doc_id")
@@ -69,6 +75,7 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_curve_search": op4_curve_search,
+    "op5_gru_score": op5_gru_score,
     "op7_prefix_bpe": op7_prefix_bpe,
     "op8_token_files": op8_token_files,
     "op9_simhash_dedup": op9_simhash_dedup,
