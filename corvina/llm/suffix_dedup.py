@@ -31,7 +31,7 @@ from corvina.llm.common import group_slices, whole_groups
 from corvina.llm.suffix_sort import permuted_common_prefixes, suffix_array
 from corvina.session import saved
 
-BLOCK_BYTES, BUCKET_BYTES, SHARD_BYTES, RANGE_BYTES = 1 << 20, 24 << 20, 4 << 20, 64 << 20
+BLOCK_BYTES, BUCKET_BYTES, SHARD_BYTES, RANGE_BYTES = 512 << 10, 8 << 20, 2 << 20, 16 << 20
 NO_DOC = np.iinfo(np.int64).max  # stands for a null id, and is larger than all
 _B1, _B2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)  # odd bases of the rolling hashes
 
