@@ -1,4 +1,4 @@
 """All registered queries of the library, with the SQL that checks them."""
 
-from corvina.plans import text_queries  # noqa: F401
+from corvina.plans import search_queries, text_queries  # noqa: F401
 from corvina.plans.registry import ORACLES, QUERIES  # noqa: F401
