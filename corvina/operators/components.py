@@ -2,12 +2,54 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvina.session import saved
 
 
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Star edges (node, smallest node of its component) over the pairs a-b, without the stars' centres."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    root = np.arange(len(nodes))
+    while len(x):
+        low, high = np.minimum(root[x], root[y]), np.maximum(root[x], root[y])
+        open_ = low != high
+        if not open_.any():
+            break
+        x, y, low, high = x[open_], y[open_], low[open_], high[open_]
+        np.minimum.at(root, high, low)
+        while (up := root[root]).tolist() != root.tolist():
+            root = up
+    own = root != np.arange(len(nodes))
+    return nodes[own], nodes[root[own]]
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges of one partition as stars; of each hundred thousand and what is left of those before."""
+    kind, u, v, n = None, [], [], 0
+
+    def stars() -> tuple[np.ndarray, np.ndarray]:
+        return forest(np.concatenate(u), np.concatenate(v))
+
+    for b in batches:
+        kind = b.schema.field("u").type
+        u.append(b.column("u").to_numpy(zero_copy_only=False))
+        v.append(b.column("v").to_numpy(zero_copy_only=False))
+        n += b.num_rows
+        if n > 100_000:
+            a, c = stars()
+            u, v, n = [a], [c], 0
+    if u:
+        a, c = stars()
+        yield pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(c, kind)], names=["u", "v"])
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -28,8 +70,9 @@ def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int =
     """Rows (node, component): the smallest node that each node of an edge reaches by edges.
 
     Edges with a null end and self loops count for nothing. Every round writes the remaining star edges to the shared
-    folder, so that the plan stays short; the number of rounds grows with the logarithm of the longest chain. No node's
-    neighbours are ever gathered in one place: rounds consist of minima with partial sums and equi-joins.
+    folder, so that the plan stays short, and begins by contracting the edges of each scan partition on their own; the number
+    of rounds grows with the logarithm of the longest chain. No node's neighbours are ever gathered in one place: rounds
+    consist of minima with partial sums and equi-joins.
     """
     now = (
         edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v"))
@@ -41,7 +84,8 @@ def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int =
     for _ in range(max_rounds):
         if not before[0]:
             break
-        now = saved(_small_star(_large_star(now)), "edges")
+        stars = now.mapInArrow(_contract, now.schema)  # a scan's partitions are of bounded size
+        now = saved(_small_star(_large_star(stars)), "edges")
         after = _state(now)
         if after == before:
             break
