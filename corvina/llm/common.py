@@ -14,24 +14,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Star edges (node, smallest node of its component) over the pairs a-b, without the stars' centres."""
-    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y = at[: len(a)], at[len(a) :]
-    root = np.arange(len(nodes))
-    while len(x):
-        low, high = np.minimum(root[x], root[y]), np.maximum(root[x], root[y])
-        open_ = low != high
-        if not open_.any():
-            break
-        x, y, low, high = x[open_], y[open_], low[open_], high[open_]
-        np.minimum.at(root, high, low)
-        while (up := root[root]).tolist() != root.tolist():
-            root = up
-    own = root != np.arange(len(nodes))
-    return nodes[own], nodes[root[own]]
-
-
 def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """Tables of complete groups from batches that are sorted by key; a group that goes on in the next batch waits for it."""
     held: list[pa.RecordBatch] = []

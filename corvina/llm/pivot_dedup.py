@@ -19,9 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvina.llm.common import bounded_sample, forest, group_slices, whole_groups
+from corvina.llm.common import bounded_sample, group_slices, whole_groups
 from corvina.llm.vectors import matrix, usable
-from corvina.operators.components import connected_components
+from corvina.operators.components import connected_components, forest
 from corvina.session import saved
 
 LIST, MOST_PIVOTS, BLOCK = 400, 2048, 1_000

@@ -26,9 +26,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvina.llm.common import bounded_sample, forest, group_slices, whole_groups
+from corvina.llm.common import bounded_sample, group_slices, whole_groups
 from corvina.llm.vectors import matrix
-from corvina.operators.components import connected_components
+from corvina.operators.components import connected_components, forest
 from corvina.session import saved
 
 #: Rows of the sample that costs are estimated on.
@@ -151,11 +151,33 @@ def _project(fp, bits: list[int]):
     return out
 
 
+def _spanning(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) pairs that connect what the true entries of a matrix connect; few even where most entries are true.
+
+    While there are many entries, the fullest row's columns are one component: every other row that has one of them needs
+    a single pair. ``near`` is used up.
+    """
+    rows, columns = [], []
+    while (total := int(near.sum())) > 4 * sum(near.shape):
+        r = int(near.sum(axis=1).argmax())
+        own = np.flatnonzero(near[r])
+        others = np.flatnonzero(near[:, own].any(axis=1))
+        rows += [np.full(len(own), r), others]
+        columns += [own, np.full(len(others), own[0])]
+        near[:, own] = False
+    if total:
+        i, j = np.nonzero(near)
+        rows.append(i)
+        columns.append(j)
+    return (np.concatenate(rows), np.concatenate(columns)) if rows else (np.zeros(0, int), np.zeros(0, int))
+
+
 def _verify(distance: int, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, "gid"):
             gid, probe, fp, node = (t.column(c).to_numpy() for c in ("gid", "probe", "fp", "node"))
-            more = matrix(t.column("more")) if limit else None
+            fp = fp.view(np.uint64)  # bits of signed numbers would be counted without their sign
+            more = matrix(t.column("more")).view(np.uint64) if limit else None
             a, b, pairs = [], [], 0
 
             def flush():
@@ -164,20 +186,28 @@ def _verify(distance: int, limit: int):
 
             for lo, hi in group_slices(gid):
                 cut = lo + int(np.searchsorted(probe[lo:hi], 1))
-                index = fp[lo:cut]
-                if not len(index) or hi - lo < 2:
+                index = slice(lo, cut)
+                if lo == cut or hi - lo < 2:
                     continue
-                step = max(1, 4_000_000 // len(index))
+                step = max(1, 4_000_000 // (cut - lo))
                 for at in range(lo, hi, step):  # rows that index also ask
-                    some = fp[at : min(hi, at + step)]
-                    i, j = np.nonzero(np.bitwise_count((some[:, None] ^ index[None, :]).view(np.uint64)) <= distance)
+                    asks = slice(at, min(hi, at + step))
+                    near = np.bitwise_count(fp[asks, None] ^ fp[None, index]) <= distance
+                    if limit and near.mean() > 0.02:
+                        far = np.bitwise_count(fp[asks, None] ^ fp[None, index]).astype(np.int16)
+                        for k in range(more.shape[1]):
+                            far += np.bitwise_count(more[asks, None, k] ^ more[None, index, k])
+                        near &= far <= limit
+                    elif limit:
+                        i, j = np.nonzero(near)
+                        far = np.bitwise_count(fp[i + at] ^ fp[j + lo]).astype(np.int16)
+                        for k in range(more.shape[1]):
+                            far += np.bitwise_count(more[i + at, k] ^ more[j + lo, k])
+                        drop = far > limit
+                        near[i[drop], j[drop]] = False
+                    i, j = _spanning(near)
                     i, j = i + at, j + lo
                     keep = node[i] != node[j]
-                    if limit:
-                        far = np.bitwise_count(fp[i] ^ fp[j]).astype(np.int64)
-                        for k in range(more.shape[1]):
-                            far += np.bitwise_count(more[i, k] ^ more[j, k])
-                        keep &= far <= limit
                     if not keep.any():
                         continue
                     a.append(node[i[keep]])
@@ -234,8 +264,9 @@ def links(nodes: DataFrame, distance: int = 4, limit: int = 0, sample: int = SAM
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, distance: int = 4, extra: int = 0, limit: int = 0, block: int = BLOCK
-) -> DataFrame:
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, distance: int = 4, extra: int = 0, limit: int = 0, block: int = BLOCK,
+    probed: int = 1,
+) -> DataFrame:
     """One row (id, fp, component_id) for each row of docs.
 
     Null, empty and blank texts have fingerprint zero, which links like any other. Texts of fewer words than a shingle
@@ -243,13 +274,18 @@ def near_duplicates(
     null. An empty table gives an empty result. Only the two named columns are read, whatever else the table holds.
 
     ``extra`` more fingerprints and ``limit`` demand that all of them together differ by at most so many bits: one
-    fingerprint finds the candidates, the others confirm them.
+    fingerprint finds the candidates (or each of ``probed``), all of them confirm.
     """
     marked = saved(fingerprints(docs, id_col, text_col, words, extra), "fingerprints")
     same = ["fp", "more"] if extra else ["fp"]
     nodes = marked.groupBy(*same).agg(F.min("id").alias("least"))
     nodes = saved(nodes.withColumn("node", F.monotonically_increasing_id() if extra else F.col("fp")), "nodes")
-    found = connected_components(links(nodes, distance, limit, block=block), "a", "b")
+    edges = links(nodes, distance, limit, block=block)
+    for k in range(1, probed):  # candidates by another fingerprint
+        others = F.array("fp", *[F.col("more")[i] for i in range(extra) if i != k - 1])
+        turned = nodes.select("node", F.col("more")[k - 1].alias("fp"), others.alias("more"))
+        edges = edges.unionByName(links(turned, distance, limit, block=block))
+    found = connected_components(edges, "a", "b")
     root = found.join(nodes.select("node", "least"), "node")
     best = root.groupBy("component").agg(F.min("least").alias("best"))
     named = root.join(best, "component").select("node", "best")
@@ -259,7 +295,7 @@ def near_duplicates(
 
 #: Five-word shingles with similarity of 0.8 differ by 39 of 256 bits on average (a share of two ninths of the shingles
 #: differs, an angle of 27 degrees), with a deviation of 6.
-SIMILAR = {"words": 5, "distance": 12, "extra": 3, "limit": 46, "block": 8_000}
+SIMILAR = {"words": 5, "distance": 12, "extra": 3, "limit": 52, "block": 8_000, "probed": 2}
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
