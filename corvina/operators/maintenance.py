@@ -47,3 +47,24 @@ def example_evict(examples: DataFrame, most: int = 200) -> DataFrame:
     """Of each (kb, backend) the most used examples stay, the newer of equally used ones."""
     place = Window.partitionBy("kb", "backend").orderBy(F.desc("use_count"), F.desc("created_at"), "id")
     return examples.withColumn("n", F.row_number().over(place)).where(F.col("n") <= most).drop("n")
+
+
+def example_search(examples: DataFrame, queries: DataFrame, k: int = 3, least: float = 0.7) -> DataFrame:
+    """(query_id, id, score, rank): examples of the same kb and backend with a cosine of at least ``least``."""
+    from corvina.functions.vector import cosine
+    from corvina.operators.search import ranked
+
+    pairs = queries.join(examples, ["kb", "backend"])
+    scored = pairs.select("query_id", "id", cosine(F.col("question_vector"), F.col("query_vec")).alias("score")).where(F.col("score") >= least)
+    return ranked(scored).where(F.col("rank") <= k)
+
+
+def example_store(examples: DataFrame, new: DataFrame, least: float = 0.95) -> tuple[DataFrame, DataFrame]:
+    """(id, hits) of examples that new rows repeat, and the new rows that are to be added; new: (query_id, kb, backend, query_vec)."""
+    best = example_search(examples, new, 1, least)
+    hits = best.groupBy("id").agg(F.count("*").alias("hits"))
+    return hits, new.join(best.select("query_id"), "query_id", "left_anti")
+
+
+def delete_kb(tables: dict[str, DataFrame], kb: str) -> dict[str, DataFrame]:
+    return {name: df.where(~F.col("kb_id").eqNullSafe(F.lit(kb))) for name, df in tables.items()}

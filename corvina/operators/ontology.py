@@ -129,3 +129,61 @@ def align_exact(candidates: DataFrame, existing: DataFrame) -> DataFrame:
     known = existing.groupBy("kind", F.lower("name").alias("key")).agg(F.min("name").alias("existing"))
     rows = candidates.withColumn("key", F.lower("name")).join(known, ["kind", "key"], "left")
     return rows.select("kind", "name", "existing", F.when(F.col("existing").isNotNull(), "matched").otherwise("new").alias("status"))
+
+
+def schema_snapshot(triples: DataFrame) -> DataFrame:
+    """(s, p, o) of declared classes and properties: types, labels, comments, domains, ranges, parents."""
+    declared = triples.where("p = 'type'").where(F.col("o").isin("Class", "ObjectProperty", "DatatypeProperty")).select("s").distinct()
+    return triples.where(F.col("p").isin(*STRUCTURAL)).join(declared, "s", "left_semi").distinct()
+
+
+def instance_types(triples: DataFrame) -> DataFrame:
+    """(s, type) rows whose type is a declared class."""
+    classes = triples.where("p = 'type' and o = 'Class'").select(F.col("s").alias("type")).distinct()
+    return triples.where("p = 'type'").select("s", F.col("o").alias("type")).join(classes, "type", "left_semi").distinct()
+
+
+def promotion_report(steps: dict[str, DataFrame]) -> DataFrame:
+    out = None
+    for step, df in steps.items():
+        one = df.agg(F.count("*").alias("value")).select(F.lit(step).alias("step"), "value")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def schema_view(tbox: DataFrame) -> DataFrame:
+    """(source, target, label): parents, and domain to range of each property; ends must be classes, self links go.
+
+    tbox: (s, p, o).
+    """
+    classes = tbox.where("p = 'type' and o = 'Class'").select(F.col("s").alias("c")).distinct()
+    up = tbox.where("p = 'subClassOf'").select(F.col("s").alias("source"), F.col("o").alias("target"), F.lit("subClassOf").alias("label"))
+    d, r = tbox.where("p = 'domain'").select("s", F.col("o").alias("source")), tbox.where("p = 'range'").select("s", F.col("o").alias("target"))
+    links = up.unionByName(d.join(r, "s").select("source", "target", F.col("s").alias("label"))).where("source <> target")
+    links = links.join(classes.select(F.col("c").alias("source")), "source", "left_semi")
+    return links.join(classes.select(F.col("c").alias("target")), "target", "left_semi").select("source", "target", "label").distinct()
+
+
+def schema_fallback(edges: DataFrame) -> DataFrame:
+    """(label, target): predicates between entities, or to literals where any of their objects is one."""
+    return edges.groupBy(F.col("predicate").alias("label")).agg(F.when(F.bool_or("is_literal"), "Literal").otherwise("Entity").alias("target"))
+
+
+def apply_rename(triples: DataFrame, renames: DataFrame) -> DataFrame:
+    """Predicates replaced by (name, to); ``to`` of null cancels a rename."""
+    return triples.join(renames.select(F.col("name").alias("predicate"), F.col("to").alias("__to")), "predicate", "left").withColumn("predicate", F.coalesce("__to", "predicate")).drop("__to")
+
+
+# Ranges of JSON Schema's simple types.
+XSD = {"string": "string", "integer": "integer", "number": "decimal", "boolean": "boolean", "date-time": "dateTime"}
+
+
+def json_schema_to_tbox(docs: DataFrame, body: str = "body") -> DataFrame:
+    """(class, property, kind, range): properties of each definition; references are object properties."""
+    shape = "struct<`$defs`:map<string,struct<properties:map<string,struct<type:string,format:string,`$ref`:string,items:struct<type:string,`$ref`:string>>>>>>"
+    defs = docs.select(F.from_json(body, shape).alias("j")).select(F.explode(F.col("j.`$defs`")).alias("class", "d"))
+    props = defs.select("class", F.explode("d.properties").alias("property", "v"))
+    ref = F.coalesce(F.col("v.`$ref`"), F.col("v.items.`$ref`"))
+    simple = F.coalesce(F.when(F.col("v.format") == "date-time", F.col("v.format")), F.col("v.items.type"), F.col("v.type"))
+    ranges = F.create_map(*[F.lit(x) for pair in XSD.items() for x in pair])
+    return props.select("class", "property", F.when(ref.isNotNull(), "object").otherwise("datatype").alias("kind"), F.coalesce(X.local_name(ref), F.try_element_at(ranges, simple), F.lit("string")).alias("range")).distinct()

@@ -121,3 +121,54 @@ def merge_edges(target: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame
     """Target and those new rows whose keys it lacks; empty ends go, repeats in the new rows too."""
     good = new.where("subject <> '' and predicate <> '' and object <> ''").dropDuplicates(keys)
     return target.unionByName(good.join(target.select(*keys).distinct(), keys, "left_anti"))
+
+
+def structured_to_triples(docs: DataFrame, body: str = "body", id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, subject, predicate, object) of flat JSON objects: identity from id, else name; type rows; fields as facts.
+
+    A field whose text is the identity of another record is a reference (``is_reference``).
+    """
+    fields = docs.select(id_col, F.from_json(body, "map<string,string>").alias("m")).where("m is not null")
+    identity = F.coalesce(*[F.nullif(F.try_element_at("m", F.lit(k)), F.lit("")) for k in ("id", "@id", "uuid", "_id", "key", "name", "title", "label")], F.concat(F.lit("anonymous_"), F.col(id_col).cast("string")))
+    kind = F.coalesce(*[F.nullif(F.try_element_at("m", F.lit(k)), F.lit("")) for k in ("type", "@type", "kind", "class")], F.lit("Entity"))
+    rows = fields.select(id_col, identity.alias("subject"), X.class_from_key(kind, False).alias("type"), F.explode("m").alias("k", "v"))
+    facts = rows.where(~F.col("k").isin("id", "@id", "uuid", "_id", "key", "type", "@type", "kind", "class") & F.col("v").isNotNull())
+    facts = facts.select(id_col, "subject", F.when(F.col("k").isin("name", "title", "label"), "label").otherwise(F.col("k")).alias("predicate"), F.col("v").alias("object"))
+    types = rows.select(id_col, "subject", F.lit("_type").alias("predicate"), F.col("type").alias("object")).distinct()
+    known = rows.select(F.col("subject").alias("object")).distinct().withColumn("is_reference", F.lit(True))
+    return facts.unionByName(types).join(known, "object", "left").select(id_col, "subject", "predicate", "object", F.coalesce("is_reference", F.lit(False)).alias("is_reference"))
+
+
+def attach_section_offsets(triples: DataFrame, sections: DataFrame) -> DataFrame:
+    return triples.join(sections.select("section_id", F.col("start").alias("source_start"), F.col("end").alias("source_end")), "section_id", "left")
+
+
+def evidence_match(triples: DataFrame, chunks: DataFrame, most: int = 3) -> DataFrame:
+    """(ord, chunk_id): chunks of the same document that name the subject or object, else its first ones, at most ``most``.
+
+    triples: (ord, doc_id, subject, object); chunks: (doc_id, chunk_id, content).
+    """
+    pairs = triples.join(chunks, "doc_id")
+    text = F.lower("content")
+    named = text.contains(F.lower("subject")) | text.contains(F.lower("object"))
+    rows = pairs.select("ord", "chunk_id", named.alias("named")).withColumn("some", F.max("named").over(Window.partitionBy("ord")))
+    place = F.row_number().over(Window.partitionBy("ord").orderBy("chunk_id"))
+    return rows.where("named or not some").withColumn("n", place).where(F.col("n") <= most).select("ord", "chunk_id")
+
+
+def base_ontology_rows(candidates: DataFrame) -> DataFrame:
+    """(s, p, o) declarations of candidates (kind, name, parent, domain, range, comment)."""
+    kinds = F.create_map(*[F.lit(x) for x in ("class", "Class", "relation", "ObjectProperty", "property", "DatatypeProperty", "instance", "NamedIndividual")])
+    facts = [("type", kinds[F.col("kind")]), ("label", F.col("name")), ("subClassOf", F.col("parent")), ("domain", F.col("domain")), ("range", F.col("range")), ("comment", F.col("comment"))]
+    listed = F.array(*[F.struct(F.col("name").alias("s"), F.lit(p).alias("p"), o.alias("o")) for p, o in facts])
+    return candidates.select(F.inline(listed)).where("o is not null").distinct()
+
+
+# Words that mark a type as a class.
+ABSTRACT_WORDS = ["class", "concept", "type", "category", "abstract", "개념", "분류"]
+
+
+def candidate_rows(replies: DataFrame, words: list[str] = ABSTRACT_WORDS) -> DataFrame:
+    """(kind, name): class rows for types with one of the words, else instance rows; replies: (name, type)."""
+    kind = F.when(F.lower("type").rlike("|".join(words)), "class").otherwise("instance")
+    return replies.select(kind.alias("kind"), "name").distinct()
