@@ -24,14 +24,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corvina.llm.common import group_slices, whole_groups
 from corvina.llm.suffix_sort import permuted_common_prefixes, suffix_array
 from corvina.session import saved
 
-BLOCK_BYTES, BUCKET_BYTES, SHARD_BYTES, RANGE_BYTES = 512 << 10, 8 << 20, 2 << 20, 16 << 20
+BLOCK_BYTES, BUCKET_BYTES, SHARD_BYTES, RANGE_BYTES = 1 << 20, 8 << 20, 1 << 20, 16 << 20
 NO_DOC = np.iinfo(np.int64).max  # stands for a null id, and is larger than all
 _B1, _B2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)  # odd bases of the rolling hashes
 
@@ -101,36 +103,60 @@ class BlockView:
         return _mix(one + (end - self.start).astype(np.uint64)), _mix(two)
 
 
+def _raw(packed: pa.BinaryScalar, lengths: np.ndarray) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(packed.as_py(), max_output_size=int(lengths.sum()))
+
+
 def _view(batch: pa.RecordBatch | pa.Table, row: int, width: int, anchor: int) -> BlockView:
     lengths = np.array(batch.column("lengths")[row].as_py(), dtype=np.int64)
-    view = BlockView(batch.column("text")[row].as_buffer().to_pybytes(), lengths, width, anchor)
+    view = BlockView(_raw(batch.column("text")[row], lengths), lengths, width, anchor)
     view.width = width
     return view
 
 
+def _block_schema(rest: T.StructType) -> T.StructType:
+    kinds = [("block", T.LongType()), ("rest", T.ArrayType(rest)), ("ids", T.ArrayType(T.LongType())), ("lengths", T.ArrayType(T.LongType())), ("text", T.BinaryType())]
+    return T.StructType([T.StructField(n, k) for n, k in kinds])
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of some texts each; their bytes are compressed, as they are moved once and read three times."""
     from pyspark import TaskContext
 
-    part, number, uids, ids, texts, size = TaskContext.get().partitionId(), 0, [], [], [], 0
+    part, number, held, ids, texts, size, pack = TaskContext.get().partitionId(), 0, [], [], [], 0, zstandard.ZstdCompressor(level=3)
 
-    def told() -> pa.RecordBatch:
-        nonlocal number, uids, ids, texts, size
-        row = {"block": [(part << 32) + number], "uids": [uids], "ids": [ids], "lengths": [[len(x) for x in texts]], "text": [b"".join(texts)]}
-        number, uids, ids, texts, size = number + 1, [], [], [], 0
-        kinds = [("block", pa.int64()), ("uids", pa.list_(pa.int64())), ("ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("text", pa.binary())]
+    def told(kind: pa.DataType) -> pa.RecordBatch:
+        nonlocal number, held, ids, texts, size
+        row = {"block": [(part << 32) + number], "rest": [held], "ids": [ids], "lengths": [[len(x) for x in texts]], "text": [pack.compress(b"".join(texts))]}
+        number, held, ids, texts, size = number + 1, [], [], [], 0
+        kinds = [("block", pa.int64()), ("rest", pa.list_(kind)), ("ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("text", pa.binary())]
         return pa.RecordBatch.from_pydict(row, schema=pa.schema(kinds))
 
+    kind = None
     for b in batches:
-        for uid, doc, text in zip(b.column("uid").to_pylist(), b.column("id").to_pylist(), b.column("text").to_pylist(), strict=True):
+        kind = b.schema.field("rest").type
+        for rest, doc, text in zip(b.column("rest").to_pylist(), b.column("id").to_pylist(), b.column("text").to_pylist(), strict=True):
             raw = (text or "").encode("utf-8", "surrogatepass")
             if texts and size + len(raw) > BLOCK_BYTES:
-                yield told()
-            uids.append(uid)
+                yield told(kind)
+            held.append(rest)
             ids.append(NO_DOC if doc is None else doc)
             texts.append(raw)
             size += len(raw)
     if texts:
-        yield told()
+        yield told(kind)
+
+
+def _short(h: np.ndarray, base: int, step: int) -> bytes:
+    """Five bytes of each hash, counted from its range's start: ranges are small, so other hashes hardly ever look alike."""
+    low = (h - np.uint64(base)) >> np.uint64(max(0, step.bit_length() - 40))
+    return np.ascontiguousarray(low.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+
+
+def _long(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 5, 8), dtype=np.uint8)
+    out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
+    return out.view("<u8").ravel()
 
 
 def _tell_anchors(width: int, anchor: int, ranges: int):
@@ -146,11 +172,10 @@ def _tell_anchors(width: int, anchor: int, ranges: int):
                 np.minimum.at(least, at, ids)
                 np.maximum.at(most, at, ids)
                 cuts = np.searchsorted(own, np.array([r * step for r in range(1, ranges)], dtype=np.uint64))
-                parts = [(r, h, x, y) for r, (h, x, y) in enumerate(zip(np.split(own, cuts), np.split(least, cuts), np.split(most, cuts), strict=True)) if len(h)]
-                cols = {"range": [p[0] for p in parts], "block": [b.column("block")[row].as_py()] * len(parts), "hashes": [p[1].tobytes() for p in parts]}
-                # only whether the least and the largest document differ, and one of them, are needed
-                cols |= {"docs": [p[2].tobytes() for p in parts], "several": [np.packbits(p[2] != p[3]).tobytes() for p in parts]}
-                kinds = [("range", pa.int32()), ("block", pa.int64()), ("hashes", pa.binary()), ("docs", pa.binary()), ("several", pa.binary())]
+                parts = [(r, h, x) for r, (h, x) in enumerate(zip(np.split(own, cuts), np.split(least != most, cuts), strict=True)) if len(h)]
+                cols = {"range": [p[0] for p in parts], "block": [b.column("block")[row].as_py()] * len(parts), "hashes": [_short(p[1], p[0] * step, step) for p in parts]}
+                cols["several"] = [np.packbits(p[2]).tobytes() for p in parts]  # whether several documents of the block have it
+                kinds = [("range", pa.int32()), ("block", pa.int64()), ("hashes", pa.binary()), ("several", pa.binary())]
                 yield pa.RecordBatch.from_pydict(cols, schema=pa.schema(kinds))
 
     return run
@@ -161,15 +186,14 @@ def _share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranges = t.column("range").to_numpy()
         for lo, hi in group_slices(ranges):
             part = t.slice(lo, hi - lo)
-            hashes = [np.frombuffer(x, np.uint64) for x in part.column("hashes").to_pylist()]
-            docs = [np.frombuffer(x, np.int64) for x in part.column("docs").to_pylist()]
+            hashes = [_long(x) for x in part.column("hashes").to_pylist()]
             several = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(h)) for x, h in zip(part.column("several").to_pylist(), hashes, strict=True)]
-            h, d, s = np.concatenate(hashes), np.concatenate(docs), np.concatenate(several)
+            h, s = np.concatenate(hashes), np.concatenate(several)
             order = np.argsort(h, kind="stable")
             cut = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
-            shared = (np.minimum.reduceat(d[order], cut) != np.maximum.reduceat(d[order], cut)) | (np.maximum.reduceat(s[order], cut) > 0)
+            times = np.diff(np.append(cut, len(h)))  # blocks that have it, each once
             of = np.empty(len(h), dtype=bool)
-            of[order] = np.repeat(shared, np.diff(np.append(cut, len(h))))
+            of[order] = np.repeat((times > 1) | (np.maximum.reduceat(s[order], cut) > 0), times)
             masks = [np.packbits(x).tobytes() for x in np.split(of, np.cumsum([len(x) for x in hashes])[:-1])]
             yield pa.RecordBatch.from_pydict({"block": part.column("block").to_pylist(), "range": [int(ranges[lo])] * (hi - lo), "mask": masks, "n": [len(x) for x in hashes]}, schema=_MASKS)
 
@@ -272,14 +296,12 @@ def _sort_shards(width: int):
     return run
 
 
-def _remove(width: int):
-    kinds = [("uid", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())]
-
+def _remove(width: int, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in range(b.num_rows):
-                text = np.frombuffer(b.column("text")[row].as_buffer().to_pybytes(), np.uint8)
                 lengths, ids = (np.array(b.column(c)[row].as_py(), dtype=np.int64) for c in ("lengths", "ids"))
+                text = np.frombuffer(_raw(b.column("text")[row], lengths), np.uint8)
                 gone = np.zeros(len(text) + 1, dtype=np.int64)
                 own = b.column("own")[row].as_py()
                 if own is not None:
@@ -297,20 +319,22 @@ def _remove(width: int):
                     np.add.at(gone, hit + width, -1)
                 mask = np.cumsum(gone)[:-1] > 0
                 rows, at = [], 0
-                for uid, n_bytes in zip(b.column("uids")[row].as_py(), lengths.tolist(), strict=True):
+                for n_bytes in lengths.tolist():
                     m = mask[at : at + n_bytes]
                     kept = text[at : at + n_bytes][~m].tobytes()
                     spans = int(m[:1].sum()) + int((m[1:] & ~m[:-1]).sum())
-                    rows.append((uid, n_bytes, n_bytes - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept))
+                    # a cut may part a character; its halves go too
+                    rows.append((n_bytes, n_bytes - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if with_text else None))
                     at += n_bytes
-                columns = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, kinds, strict=True)], schema=pa.schema(kinds))
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+                columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column("rest")[row].values, *columns], names=["rest", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     return run
 
 
-def repeats(docs: DataFrame, uid_col: str, id_col: str = "doc_id", text_col: str = "text", width: int = 50, anchor: int = 20) -> DataFrame:
-    """Rows (uid, n_bytes, n_removed, n_spans, kept_sha256, kept), one for each row of docs; uid_col tells rows apart.
+def repeats(docs: DataFrame, carry: list[str], id_col: str = "doc_id", text_col: str = "text", width: int = 50, anchor: int = 16, with_text: bool = False) -> DataFrame:
+    """Rows (rest, n_bytes, n_removed, n_spans, kept_sha256, kept), one for each row of docs; rest has the columns of ``carry``.
 
     A byte goes if it lies in a string of ``width`` bytes that also starts in a row with a smaller id. Rows with equal ids
     take nothing from each other; a null id is larger than all others. Null texts are empty; texts shorter than ``width``
@@ -322,12 +346,13 @@ def repeats(docs: DataFrame, uid_col: str, id_col: str = "doc_id", text_col: str
     buckets = max(base, -(-total // BUCKET_BYTES))
     ranges = max(4, -(-total // RANGE_BYTES))
     shards = max(base, -(-total // SHARD_BYTES))
-    named = docs.select(F.col(uid_col).cast("long").alias("uid"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    made = named.mapInArrow(_blocks, "block long, uids array<long>, ids array<long>, lengths array<long>, text binary")
+    named = docs.select(F.struct(*[F.col(c) for c in carry]).alias("rest"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rest = named.schema["rest"].dataType
     name = f"text_blocks_{uuid.uuid4().hex}"
-    made.repartition(buckets, "block").write.bucketBy(buckets, "block").sortBy("block").option("compression", "zstd").saveAsTable(name)
+    made = named.mapInArrow(_blocks, _block_schema(rest)).repartition(buckets, "block")
+    made.write.bucketBy(buckets, "block").sortBy("block").option("compression", "zstd").saveAsTable(name)
     blocks = spark.table(name)
-    told = blocks.select("block", "ids", "lengths", "text").mapInArrow(_tell_anchors(width, anchor, ranges), "range int, block long, hashes binary, docs binary, several binary")
+    told = blocks.select("block", "ids", "lengths", "text").mapInArrow(_tell_anchors(width, anchor, ranges), "range int, block long, hashes binary, several binary")
     masks = told.repartition(max(base, ranges), "range").sortWithinPartitions("range", "block").mapInArrow(_share, "block long, range int, mask binary, n int")
     masks = masks.groupBy("block").agg(F.collect_list(F.struct("range", "mask", "n")).alias("masks"))
     asks = blocks.join(masks.hint("merge"), "block").select("block", "ids", "lengths", "text", "masks")
@@ -337,21 +362,16 @@ def repeats(docs: DataFrame, uid_col: str, id_col: str = "doc_id", text_col: str
     replies = sent.repartition(shards, "shard").sortWithinPartitions("shard", "block").mapInArrow(_sort_shards(width), "block long, shard int, least binary")
     replies = replies.groupBy("block").agg(F.collect_list(F.struct("shard", "least")).alias("replies"))
     whole = blocks.join(own.hint("merge"), "block", "left").join(replies.hint("merge"), "block", "left")
-    return whole.select("block", "uids", "ids", "lengths", "text", "own", "sizes", "replies").mapInArrow(
-        _remove(width), "uid long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-    )
-
-
-def numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with a number for each row, settled on shared storage."""
-    return saved(docs.withColumn("__uid", F.monotonically_increasing_id()), "rows")
+    out = T.StructType([T.StructField("rest", rest)])
+    for field, kind in (("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept_sha256", "string"), ("kept", "string")):
+        out = out.add(field, kind)
+    return whole.select("block", "rest", "ids", "lengths", "text", "own", "sizes", "replies").mapInArrow(_remove(width, with_text), out)
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 50) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256) of every row; see ``repeats``."""
-    rows = numbered(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")))
-    found = repeats(rows, "__uid", "id", "text", width).select("uid", "n_bytes", "n_removed", "n_spans", "kept_sha256")
-    return rows.select("__uid", "id").join(found, F.col("__uid") == F.col("uid")).select("id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    found = repeats(docs, [id_col], id_col, text_col, width)
+    return found.select(F.col("rest")[id_col].cast("long").alias("id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 50) -> DataFrame:
@@ -359,9 +379,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Null texts stay null.
     """
-    rows = numbered(docs)
-    kept = repeats(rows, "__uid", id_col, text_col, width).select("uid", "n_removed", "kept")
-    whole = rows.join(kept, F.col("__uid") == F.col("uid"))
-    # a cut may leave bytes that aren't UTF-8 where a character was parted
-    cut = F.when(F.col("n_removed") == 0, F.col(text_col)).otherwise(F.replace(F.try_validate_utf8(F.make_valid_utf8(F.col("kept").cast("string"))), F.lit("�"), F.lit("")))
-    return whole.select(*[cut.alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    marked = docs.withColumn("__null", F.col(text_col).isNull())
+    found = repeats(marked, [c for c in marked.columns if c != text_col], id_col, text_col, width, with_text=True)
+    kept = F.when(~F.col("rest")["__null"], F.col("kept"))
+    return found.select(*[kept.alias(c) if c == text_col else F.col("rest")[c].alias(c) for c in docs.columns])
