@@ -193,7 +193,7 @@ def fit(
         if mark not in kept or len(rule) < len(kept[mark]):
             kept[mark] = rule
     rules = list(kept.values())
-    bias, weights = lasso_logistic(np.stack([_met(r, x) for r in rules], axis=1).astype(np.float64), y, penalty)
+    bias, weights = lasso_logistic(np.stack([_met(r, x) for r in rules], axis=1).astype(np.float32), y, penalty)
     named = [tuple((STATISTICS[f], op, cut) for f, op, cut in r) for r in rules]
     return RuleModel(bias, tuple((r, float(w)) for r, w in zip(named, weights, strict=True) if abs(w) > 1e-6))
 

@@ -232,17 +232,16 @@ def links(nodes: DataFrame, distance: int = 4, limit: int = 0, sample: int = SAM
     if total < 2:
         return spark.createDataFrame([], "a long, b long")
     seen = np.array([r[0] for r in bounded_sample(nodes.select("fp", "node"), sample, "fp", "node")], dtype=np.int64)
-    rows, payload = None, ["node", "fp", "more"] if limit else ["node", "fp"]
-    for number, (bits, most) in enumerate(plan(seen, total, distance)):
+    payload = ["node", "fp", "more"] if limit else ["node", "fp"]
+    entries = []
+    for part, (bits, most) in enumerate(plan(seen, total, distance)):
         if most < 0:
             continue
-        masks = [sum(1 << b for b in c) for t in range(1, most + 1) for c in combinations(range(len(bits)), t)]
-        value = _project(F.col("fp"), bits)
-        own = nodes.select(*payload, F.lit(number).alias("part"), value.alias("value"), F.lit(0).alias("probe"))
-        rows = own if rows is None else rows.unionByName(own)
-        if masks:
-            flipped = F.explode(F.transform(F.array(*[F.lit(x).cast("long") for x in masks]), lambda x: x.bitwiseXOR(F.col("value"))))
-            rows = rows.unionByName(own.select(*payload, "part", flipped.alias("value"), F.lit(1).alias("probe")))
+        masks = [sum(1 << b for b in c) for t in range(most + 1) for c in combinations(range(len(bits)), t)]
+        value, flips = _project(F.col("fp"), bits), F.array(*[F.lit(m).cast("long") for m in masks])
+        entry = F.transform(flips, lambda m: F.struct(F.lit(part).alias("part"), value.bitwiseXOR(m).alias("value"), F.when(m == 0, 0).otherwise(1).alias("probe")))
+        entries.append(entry)
+    rows = nodes.select(*payload, F.inline(F.concat(*entries)))
     # how many blocks a large value needs: the index rows and all that ask
     sizes = (
         rows.groupBy("part", "value")
@@ -250,17 +249,19 @@ def links(nodes: DataFrame, distance: int = 4, limit: int = 0, sample: int = SAM
         .where(f"n_index > 0 and (n_index > {block} or n_asks > {4 * block})")
         .select("part", "value", F.ceil(F.col("n_index") / block).cast("int").alias("gi"), F.ceil(F.col("n_asks") / (4 * block)).cast("int").alias("gq"))
     )
+    sizes = saved(sizes, "sizes")
     h = F.xxhash64(F.lit(7), F.col("node"))
     dealt = rows.join(sizes, ["part", "value"], "left").withColumns({"gi": F.coalesce("gi", F.lit(1)), "gq": F.coalesce("gq", F.lit(1))})
     dealt = dealt.withColumns({"bi": F.pmod(h, F.col("gi")).cast("int"), "bq": F.pmod(h, F.col("gq")).cast("int")})
-    plain = dealt.where("gi = 1 and gq = 1").select(*payload, "probe", F.xxhash64("part", "value").alias("gid"))
-    # of a cut value, an index row meets each block that asks and each row that asks meets each index block
-    large = dealt.where("gi > 1 or gq > 1")
-    held = large.where("probe = 0").select(*payload, F.lit(0).alias("probe"), "part", "value", "bi", F.explode(F.sequence(F.lit(0), F.col("gq") - 1)).alias("bq"))
-    asks = large.select(*payload, F.lit(1).alias("probe"), "part", "value", F.explode(F.sequence(F.lit(0), F.col("gi") - 1)).alias("bi"), "bq")
-    cut = held.unionByName(asks).select(*payload, "probe", F.xxhash64("part", "value", "bi", "bq").alias("gid"))
+    # of a cut value, an index row meets each block that asks, and each row that asks meets each index block
+    whole = (F.col("gi") == 1) & (F.col("gq") == 1)
+    held = F.transform(F.sequence(F.lit(0), F.col("gq") - 1), lambda q: F.struct(F.lit(0).alias("side"), F.xxhash64("part", "value", "bi", q).alias("gid")))
+    asks = F.transform(F.sequence(F.lit(0), F.col("gi") - 1), lambda i: F.struct(F.lit(1).alias("side"), F.xxhash64("part", "value", i, "bq").alias("gid")))
+    one = F.array(F.struct(F.col("probe").alias("side"), F.xxhash64("part", "value").alias("gid")))
+    spots = F.when(whole, one).when(F.col("probe") == 0, F.concat(held, asks)).otherwise(asks)
+    spread = dealt.select(*payload, F.inline(spots)).withColumnRenamed("side", "probe")
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    return plain.unionByName(cut).repartition(n, "gid").sortWithinPartitions("gid", "probe").mapInArrow(_verify(distance, limit), "a long, b long")
+    return spread.repartition(n, "gid").sortWithinPartitions("gid", "probe").mapInArrow(_verify(distance, limit), "a long, b long")
 
 
 def near_duplicates(
@@ -280,11 +281,11 @@ def near_duplicates(
     same = ["fp", "more"] if extra else ["fp"]
     nodes = marked.groupBy(*same).agg(F.min("id").alias("least"))
     nodes = saved(nodes.withColumn("node", F.monotonically_increasing_id() if extra else F.col("fp")), "nodes")
-    edges = links(nodes, distance, limit, block=block)
+    edges = saved(links(nodes, distance, limit, block=block), "links")
     for k in range(1, probed):  # candidates by another fingerprint
         others = F.array("fp", *[F.col("more")[i] for i in range(extra) if i != k - 1])
         turned = nodes.select("node", F.col("more")[k - 1].alias("fp"), others.alias("more"))
-        edges = edges.unionByName(links(turned, distance, limit, block=block))
+        edges = edges.unionByName(saved(links(turned, distance, limit, block=block), "links"))
     found = connected_components(edges, "a", "b")
     root = found.join(nodes.select("node", "least"), "node")
     best = root.groupBy("component").agg(F.min("least").alias("best"))
