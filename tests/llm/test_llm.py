@@ -368,7 +368,8 @@ def test_gru_is_a_distribution_and_learns():
         assert abs(np.exp(model.log_probs(np.repeat(h[None], 8, axis=0), np.arange(8))).sum() - 1) < 1e-5
     tokens = np.tile([0, 3, 1, 5, 2, 7], 3_000)
     before = model.score([tokens[:600]], 0)[0]
-    model.train(tokens, 0, streams=8)
+    for _ in range(3):
+        model.train(tokens, 0, streams=8)
     assert model.score([tokens[:600]], 0)[0] > 0.3 * before
     texts = [tokens[:n] for n in (1, 70, 64, 300)]
     apart = [model.score([t], 0)[0] for t in texts]
