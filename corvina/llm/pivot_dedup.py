@@ -1,13 +1,15 @@
 """Embedding near-duplicates by a pivot-permutation index.
 
 A vector is described by its nearest reference points (pivots) in order of nearness. Pivots are vectors of a bounded
-sample, so many that an inverted list holds about LIST vectors (between 64 and MOST_PIVOTS). Each vector enters the
+sample, so many that an inverted list holds about LIST vectors (between 64 and MOST_PIVOTS), and none links to another:
+a dense group has one pivot of its own, which all its members share, however much of the sample it fills. Each vector enters the
 inverted lists of its nearest pivots. Vectors that meet in a list are candidates; where two share at least ``shared``
 pivots (and only in the list of the first pivot that both have, so each pair counts once), their cosine is computed in
 double precision on the original vectors. Equal vectors are merged before, so copies cost one row.
 
 A long list is cut into blocks; every pair of its blocks is a group of bounded size. A group returns sums of links and a
-spanning forest, never all pairs.
+spanning forest, never all pairs. Pivots that stand for most of the sample come first, so that the pairs of a dense group
+are compared in its own list and passed over in the others that its members share.
 """
 
 from __future__ import annotations
@@ -25,6 +27,23 @@ from corvina.operators.components import connected_components, forest
 from corvina.session import saved
 
 LIST, MOST_PIVOTS, BLOCK = 400, 2048, 1_000
+#: Sampled vectors for each pivot wanted.
+SPARE = 4
+
+
+def spread(sample: np.ndarray, most: int, least: float) -> np.ndarray:
+    """At most so many of the sample's vectors, none with a cosine of ``least`` to one before; those that stand for most come first."""
+    unit = _unit(sample)
+    chosen, times = np.zeros(most, dtype=np.int64), np.zeros(most, dtype=np.int64)
+    taken, n = np.empty((most, unit.shape[1])), 0
+    for row, v in enumerate(unit):
+        near = taken[:n] @ v
+        at = int(near.argmax()) if n else 0
+        if n and near[at] >= least:
+            times[at] += 1
+        elif n < most:
+            chosen[n], taken[n], n = row, v, n + 1
+    return sample[chosen[np.argsort(-times[:n], kind="stable")]]
 
 
 def _describe(pivots: np.ndarray, nearest: int):
@@ -67,14 +86,21 @@ def _compare(least: float, shared: int, n_pivots: int):
                 p, q = (slice(lo, hi), slice(lo, hi)) if cut == hi else (slice(lo, cut), slice(cut, hi))
                 if p.stop == p.start:
                     continue
-                sims = x[p] @ x[q].T
-                i, j = np.nonzero(sims >= least - 1e-9)
+                # two rows that share an earlier pivot meet in its list: those of the commonest earlier pivot pass each other over
+                earlier = perms[lo:hi][perms[lo:hi] < pivot[lo]]
+                has = (perms[lo:hi] == np.bincount(earlier).argmax()).any(axis=1) if len(earlier) else np.zeros(hi - lo, dtype=bool)
+                rest = np.flatnonzero(~has[p.start - lo : p.stop - lo]) + p.start
+                i, j = np.nonzero(x[rest] @ x[q].T >= least - 1e-9)
+                i, j = rest[i], j + q.start
                 if cut == hi:
-                    keep = i < j
+                    keep = (i < j) | has[j - lo]
                     i, j = i[keep], j[keep]
+                else:
+                    own, other = np.flatnonzero(has[: cut - lo]) + lo, np.flatnonzero(~has[cut - lo :]) + cut
+                    more_i, more_j = np.nonzero(x[own] @ x[other].T >= least - 1e-9)
+                    i, j = np.concatenate([i, own[more_i]]), np.concatenate([j, other[more_j]])
                 if not len(i):
                     continue
-                i, j = i + p.start, j + q.start
                 for at in range(0, len(i), 100_000):
                     ii, jj = i[at : at + 100_000], j[at : at + 100_000]
                     same = perms[ii][:, :, None] == perms[jj][:, None, :]
@@ -117,7 +143,9 @@ def near_duplicates(
     if total == 0:
         return every.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     n_pivots = int(min(MOST_PIVOTS, max(64, total * nearest // LIST), total))
-    pivots = np.array([r[0] for r in bounded_sample(nodes.select("vector"), n_pivots, "vector")], dtype=np.float64)
+    sample = np.array([r[0] for r in bounded_sample(nodes.select("vector"), SPARE * n_pivots, "vector")], dtype=np.float64)
+    pivots = spread(sample, n_pivots, least)
+    n_pivots = len(pivots)
     shared = min(shared, n_pivots)
     described = nodes.mapInArrow(_describe(pivots, nearest), "rep long, copies long, vector array<double>, pivots array<int>")
     lists = described.select("*", F.explode("pivots").alias("pivot"))

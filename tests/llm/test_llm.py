@@ -324,6 +324,22 @@ def test_pivot_dedup(spark, vectors, block):
     assert pivot_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_pivot_dedup_finds_the_links_of_a_large_group(spark, monkeypatch):
+    """A third of the vectors are distinct near copies of one; the rest are unlike each other."""
+    monkeypatch.setattr(pivot_dedup, "LIST", 35)  # as many pivots as a large table has
+    r = np.random.default_rng(5)
+    x = r.normal(size=(4_500, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[:1_500] = x[0] + 0.23 * x[:1_500]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
+    true = (x @ x.T >= 0.9).sum(axis=1) - 1
+    got = {r.id: r for r in pivot_dedup.near_duplicates(df).collect()}
+    assert true[1:1_500].min() > 1_000 and sum(r.n_links for r in got.values()) >= 0.98 * true.sum()
+    assert all(r.n_links <= true[i] for i, r in got.items())
+    assert {r.component_id for i, r in got.items() if i < 1_500} == {0} and sum(r.kept for r in got.values()) == 3_001
+
+
 def test_quality(spark, none):
     good = [prose(rng.randint(20, 200)) for _ in range(150)]
     bad = [" ".join([rng.choice(WORDS)] * 60) for _ in range(40)] + [" ".join(w + "!!" for w in prose(50).upper().split()) for _ in range(40)]
