@@ -8,8 +8,10 @@ partitions, and which threshold each gets, is decided by dynamic programming ove
 candidate pairs, from the collisions of a bounded sample scaled to the number of fingerprints). Any outcome is exact; the
 sample only moves cost. A fingerprint is indexed under its value in each partition and probes all values within t_i.
 
-For longer distances one fingerprint of 64 bits confirms too little; further fingerprints, made from the same hashes, then
-ride along and confirm its candidates.
+For a stated similarity of shingle sets fingerprints only find candidates, and loosely, so that hardly a pair is lost:
+several fingerprints, made from the same hashes, are probed in turn, and all of them together part what is far apart. The
+texts of candidate pairs then meet, and the exact similarity of their sets decides. A first round takes a spanning forest
+of closer candidates, so that dense groups become one before all pairs of what is left are looked at.
 
 A value that gathers many fingerprints is cut into blocks, and every pair of blocks is a group of bounded size of its
 own. A group's task compares its fingerprints and returns a spanning forest of the links found, never all pairs.
@@ -17,7 +19,7 @@ own. A group's task compares its fingerprints and returns a spanning forest of t
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -40,20 +42,32 @@ PROBE_COST = 400.0
 _CHUNK = 1 << 15
 
 
-def fingerprint(text: str | None, words: int = 4, extra: int = 0) -> list[int]:
-    """The 64-bit fingerprint as a signed long, and ``extra`` more from other hashes; all 0 for null or no word."""
+def shingle_hashes(text: str | None, words: int) -> Iterator[np.ndarray]:
+    """XXH64 of every shingle, in arrays of bounded size; none for null or no word."""
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z only, and the six ASCII blanks
     if not tokens:
-        return [0] * (1 + extra)
+        return
     joined = b" ".join(tokens)
     n = max(1, len(tokens) - words + 1)
     lengths = np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens))
     ends = np.cumsum(lengths + 1) - 1
     first = (ends - lengths)[:n].tolist()
     last = (ends[words - 1 :] if len(tokens) >= words else ends[-1:]).tolist()
-    digest, counts = xxhash.xxh64_intdigest, np.zeros((1 + extra, 64), dtype=np.int64)
+    digest = xxhash.xxh64_intdigest
     for at in range(0, n, _CHUNK):
-        h = np.array([digest(joined[s:e], 42) for s, e in zip(first[at : at + _CHUNK], last[at : at + _CHUNK], strict=True)], dtype="<u8")
+        yield np.array([digest(joined[s:e], 42) for s, e in zip(first[at : at + _CHUNK], last[at : at + _CHUNK], strict=True)], dtype="<u8")
+
+
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    """The hashes of a text's shingles, each once, in ascending order."""
+    return np.unique(np.concatenate([np.zeros(0, dtype="<u8"), *shingle_hashes(text, words)]))
+
+
+def fingerprint(hashes: Iterable[np.ndarray], extra: int = 0) -> list[int]:
+    """The 64-bit fingerprint as a signed long, and ``extra`` more from other hashes; all 0 without any hash."""
+    counts, n = np.zeros((1 + extra, 64), dtype=np.int64), 0
+    for h in hashes:
+        n += len(h)
         for k in range(1 + extra):
             if k:
                 h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9FB21C651E98DF25)
@@ -62,16 +76,33 @@ def fingerprint(text: str | None, words: int = 4, extra: int = 0) -> list[int]:
     return np.packbits(counts * 2 > n, axis=1, bitorder="little").view("<i8").ravel().tolist()
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, extra: int = 0) -> DataFrame:
-    """(id, fp, more) of every row; more has the further fingerprints."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
+    """(id, fp) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            marks = [fingerprint(x.as_py(), words, extra) for x in b.column(1)]
-            more = pa.array([m[1:] for m in marks], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([m[0] for m in marks], pa.int64()), more], names=["id", "fp", "more"])
+            marks = [fingerprint(shingle_hashes(x.as_py(), words))[0] for x in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(marks, pa.int64())], names=["id", "fp"])
+
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInArrow(run, "id long, fp long")
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInArrow(run, "id long, fp long, more array<long>")
+
+def set_fingerprints(rows: DataFrame, words: int, extra: int) -> DataFrame:
+    """(id, key, mark, fp, more) of every row (id, key, t): mark is a hash of the set of shingles, which the fingerprints are of."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            marks, fps, more = [], [], []
+            for x in b.column("t"):
+                h = shingle_set(x.as_py(), words)
+                fp, *others = fingerprint(np.split(h, range(_CHUNK, len(h), _CHUNK)), extra)
+                marks.append(int(np.uint64(xxhash.xxh64_intdigest(h.tobytes())).view(np.int64)))
+                fps.append(fp)
+                more.append(others)
+            columns = [b.column("id"), b.column("key"), pa.array(marks, pa.int64()), pa.array(fps, pa.int64()), pa.array(more, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "key", "mark", "fp", "more"])
+
+    return rows.select("id", "key", "t").mapInArrow(run, "id long, key long, mark long, fp long, more array<long>")
 
 
 def _bits(fps: np.ndarray) -> np.ndarray:
@@ -172,16 +203,18 @@ def _spanning(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(rows), np.concatenate(columns)) if rows else (np.zeros(0, int), np.zeros(0, int))
 
 
-def _verify(distance: int, limit: int):
+def _verify(distance: int, limit: int, every: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, "gid"):
             gid, probe, fp, node = (t.column(c).to_numpy() for c in ("gid", "probe", "fp", "node"))
             fp = fp.view(np.uint64)  # bits of signed numbers would be counted without their sign
             more = matrix(t.column("more")).view(np.uint64) if limit else None
+            part = t.column("part").to_numpy() if every else None
             a, b, pairs = [], [], 0
 
             def flush():
-                x, y = forest(np.concatenate(a), np.concatenate(b))
+                x, y = np.concatenate(a), np.concatenate(b)
+                x, y = (x, y) if every else forest(x, y)
                 return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
 
             for lo, hi in group_slices(gid):
@@ -205,9 +238,10 @@ def _verify(distance: int, limit: int):
                             far += np.bitwise_count(more[i + at, k] ^ more[j + lo, k])
                         drop = far > limit
                         near[i[drop], j[drop]] = False
-                    i, j = _spanning(near)
+                    i, j = np.nonzero(near) if every else _spanning(near)
                     i, j = i + at, j + lo
-                    keep = node[i] != node[j]
+                    # each of two rows asks for the other
+                    keep = (node[i] < node[j]) & (part[i] != part[j]) if every else node[i] != node[j]
                     if not keep.any():
                         continue
                     a.append(node[i[keep]])
@@ -215,6 +249,10 @@ def _verify(distance: int, limit: int):
                     pairs += int(keep.sum())
                     if pairs > 1_000_000:
                         out = flush()
+                        if every:
+                            yield out
+                            a, b, pairs = [], [], 0
+                            continue
                         a, b, pairs = [out.column(0).to_numpy()], [out.column(1).to_numpy()], out.num_rows
             if pairs:
                 yield flush()
@@ -222,17 +260,20 @@ def _verify(distance: int, limit: int):
     return run
 
 
-def links(nodes: DataFrame, distance: int = 4, limit: int = 0, sample: int = SAMPLE, block: int = BLOCK) -> DataFrame:
+def links(nodes: DataFrame, distance: int = 4, limit: int = 0, sample: int = SAMPLE, block: int = BLOCK, every: bool = False) -> DataFrame:
     """Edges (a, b) whose components are those of all pairs of rows (node, fp, more) within ``distance`` bits of fp.
 
-    With ``limit``, fp and the fingerprints in more must also differ by no more bits than this in all.
+    With ``limit``, fp and the fingerprints in more must also differ by no more bits than this in all. With ``every``, all
+    pairs of rows whose column part differs are returned, some of them repeatedly, and not only what connects them.
     """
     spark = nodes.sparkSession
     total = nodes.count()
     if total < 2:
         return spark.createDataFrame([], "a long, b long")
     seen = np.array([r[0] for r in bounded_sample(nodes.select("fp", "node"), sample, "fp", "node")], dtype=np.int64)
-    payload = ["node", "fp", "more"] if limit else ["node", "fp"]
+    payload = ["node", "fp", *(["more"] if limit else [])]
+    if every:
+        nodes, payload = nodes.withColumnRenamed("part", "own"), [*payload, "own"]
     entries = []
     for part, (bits, most) in enumerate(plan(seen, total, distance)):
         if most < 0:
@@ -259,54 +300,101 @@ def links(nodes: DataFrame, distance: int = 4, limit: int = 0, sample: int = SAM
     asks = F.transform(F.sequence(F.lit(0), F.col("gi") - 1), lambda i: F.struct(F.lit(1).alias("side"), F.xxhash64("part", "value", i, "bq").alias("gid")))
     one = F.array(F.struct(F.col("probe").alias("side"), F.xxhash64("part", "value").alias("gid")))
     spots = F.when(whole, one).when(F.col("probe") == 0, F.concat(held, asks)).otherwise(asks)
-    spread = dealt.select(*payload, F.inline(spots)).withColumnRenamed("side", "probe")
+    spread = dealt.select(*payload, F.inline(spots)).withColumnRenamed("side", "probe").withColumnRenamed("own", "part")
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    return spread.repartition(n, "gid").sortWithinPartitions("gid", "probe").mapInArrow(_verify(distance, limit), "a long, b long")
+    return spread.repartition(n, "gid").sortWithinPartitions("gid", "probe").mapInArrow(_verify(distance, limit, every), "a long, b long")
 
 
-def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, distance: int = 4, extra: int = 0, limit: int = 0, block: int = BLOCK,
-    probed: int = 1,
-) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, distance: int = 4, block: int = BLOCK) -> DataFrame:
     """One row (id, fp, component_id) for each row of docs.
 
     Null, empty and blank texts have fingerprint zero, which links like any other. Texts of fewer words than a shingle
     are one shingle. Rows with equal ids each get a row; a null id is never the smallest of a component unless all are
     null. An empty table gives an empty result. Only the two named columns are read, whatever else the table holds.
-
-    ``extra`` more fingerprints and ``limit`` demand that all of them together differ by at most so many bits: one
-    fingerprint finds the candidates (or each of ``probed``), all of them confirm.
     """
-    marked = saved(fingerprints(docs, id_col, text_col, words, extra), "fingerprints")
-    same = ["fp", "more"] if extra else ["fp"]
-    nodes = marked.groupBy(*same).agg(F.min("id").alias("least"))
-    nodes = saved(nodes.withColumn("node", F.monotonically_increasing_id() if extra else F.col("fp")), "nodes")
-    edges = saved(links(nodes, distance, limit, block=block), "links")
-    for k in range(1, probed):  # candidates by another fingerprint
-        others = F.array("fp", *[F.col("more")[i] for i in range(extra) if i != k - 1])
-        turned = nodes.select("node", F.col("more")[k - 1].alias("fp"), others.alias("more"))
-        edges = edges.unionByName(saved(links(turned, distance, limit, block=block), "links"))
+    marked = saved(fingerprints(docs, id_col, text_col, words), "fingerprints")
+    nodes = saved(marked.groupBy("fp").agg(F.min("id").alias("least")).withColumn("node", F.col("fp")), "nodes")
+    edges = saved(links(nodes, distance, block=block), "links")
     found = connected_components(edges, "a", "b")
     root = found.join(nodes.select("node", "least"), "node")
     best = root.groupBy("component").agg(F.min("least").alias("best"))
     named = root.join(best, "component").select("node", "best")
-    whole = nodes.join(named, "node", "left").select(*same, F.coalesce("best", "least").alias("component_id"))
-    return marked.join(whole, same).select("id", "fp", "component_id")
+    whole = nodes.join(named, "node", "left").select("fp", F.coalesce("best", "least").alias("component_id"))
+    return marked.join(whole, "fp").select("id", "fp", "component_id")
 
 
-#: Five-word shingles with similarity of 0.8 differ by 39 of 256 bits on average (a share of two ninths of the shingles
-#: differs, an angle of 27 degrees), with a deviation of 6.
-SIMILAR = {"words": 5, "distance": 12, "extra": 3, "limit": 52, "block": 8_000, "probed": 2}
+#: Sets of five-word shingles with a similarity of 0.8 differ by 39 of 256 bits on average (a share of two ninths of the
+#: shingles differs, an angle of 27 degrees), with a deviation of 6: 64 bits lose none in practice. Each of the four
+#: fingerprints has at most 12 of its 64 bits differ for five of six such pairs, so about one in 1,400 isn't offered.
+WORDS, LEAST, DISTANCE, EXTRA, CLOSE, LIMIT, WIDE_BLOCK = 5, 0.8, 12, 3, 52, 64, 8_000
+#: Pairs of one text whose other texts meet it in one group.
+MEET = 500
+
+
+def _exact(words: int, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, mine = None, np.zeros(0, dtype="<u8")
+        for t in batches:
+            a, b = [], []
+            for x, y, text in zip(t.column("a").to_pylist(), t.column("b").to_pylist(), t.column("t"), strict=True):
+                h = shingle_set(text.as_py(), words)
+                if y is None:  # the text that the rows after it are compared with
+                    head, mine = x, h
+                    continue
+                assert x == head
+                both = len(np.intersect1d(mine, h, assume_unique=True))
+                if both >= least * (len(mine) + len(h) - both) - 1e-9:
+                    a.append(x)
+                    b.append(y)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def similar_pairs(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, words: int, least: float) -> DataFrame:
+    """Those of the pairs (a, b) of nodes whose texts' sets of shingles have a Jaccard similarity of at least ``least``.
+
+    A node (node, least, key) has the text of the row (id, key, t) with its id and key. Texts come only for nodes in pairs,
+    and a text with many pairs meets them in several groups.
+    """
+    spark = pairs.sparkSession
+    pairs = saved(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    asked = nodes.join(asked, "node").select("node", "least", F.col("key").alias("of"))
+    texts = rows.join(asked, (F.col("key") == F.col("of")) & F.col("id").eqNullSafe(F.col("least"))).select("node", "t")
+    texts = saved(texts.dropDuplicates(["node"]), "texts")
+    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / MEET).cast("int").alias("g"))
+    dealt = saved(pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("g")).cast("int").alias("s")), "pairs")
+    heads = dealt.select("a", "s").distinct().join(texts, F.col("a") == F.col("node")).select("a", "s", F.lit(None).cast("long").alias("b"), "t")
+    others = dealt.join(texts, F.col("b") == F.col("node")).select("a", "s", "b", "t")
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    met = heads.unionByName(others).repartition(n, "a", "s").sortWithinPartitions("a", "s", F.asc_nulls_first("b"))
+    return met.select("a", "b", "t").mapInArrow(_exact(words, least), "a long, b long")
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without near-duplicates: of each component the row with the smallest id stays (of repeated ids, one).
 
-    Near-duplicates have about 0.8 or more of their five-word shingles in common (Jaccard), as 256 bits estimate it.
+    Near-duplicates have at least 0.8 of their five-word shingles in common (Jaccard of the sets, computed for each
+    candidate pair); texts without words are copies of each other.
 
     Rows with a null id can't be named by a component; they all stay.
     """
-    parts = near_duplicates(docs, id_col, text_col, **SIMILAR)
-    keep = parts.where("id = component_id").select(F.col("id").alias(id_col)).distinct()
-    named = docs.join(keep, id_col, "left_semi").dropDuplicates([id_col])
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("t"))
+    marked = saved(set_fingerprints(rows, WORDS, EXTRA), "fingerprints")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first")
+    nodes = marked.groupBy("fp", "more", "mark").agg(first).select("fp", "more", F.col("first.id").alias("least"), F.col("first.key").alias("key"))
+    nodes = saved(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    close = saved(similar_pairs(links(nodes, DISTANCE, CLOSE, block=WIDE_BLOCK), nodes, rows, WORDS, LEAST), "links")
+    parts = connected_components(close, "a", "b")
+    parted = saved(nodes.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component"), "nodes")
+    offered = None
+    for k in range(1 + EXTRA):  # candidates by each fingerprint
+        all_fps = [F.col("fp"), *[F.col("more")[i] for i in range(EXTRA)]]
+        turned = parted.select("node", "part", all_fps[k].alias("fp"), F.array(*all_fps[:k], *all_fps[k + 1 :]).alias("more"))
+        found = saved(links(turned, DISTANCE, LIMIT, block=WIDE_BLOCK, every=True).distinct(), "links")
+        offered = found if offered is None else offered.unionByName(found)
+    edges = close.unionByName(similar_pairs(offered, nodes, rows, WORDS, LEAST))
+    whole = nodes.join(connected_components(edges, "a", "b"), "node", "left").groupBy(F.coalesce("component", "node")).agg(F.min("least").alias(id_col))
+    named = docs.join(whole.select(id_col), id_col, "left_semi").dropDuplicates([id_col])
     return named.unionByName(docs.where(F.col(id_col).isNull()))

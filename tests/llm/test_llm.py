@@ -138,6 +138,26 @@ def test_similar_texts_meet(spark):
     assert sorted(str(r.doc_id) for r in simhash_dedup.keep_one_of_each(df).collect()) == ["1", "3", "4", "None"]
 
 
+def test_similar_texts_equal_brute_force(spark):
+    """Pairs just above and well below a similarity of 0.8, and texts whose repeats outweigh what they share."""
+    texts = []
+    for k in range(60):
+        own = [f"w{k}x{i}" for i in range(204)]
+        run = (14, 18, 19, 22, 26, 31)[k % 6]  # a run of so many other words touches four more of 200 shingles
+        texts += [" ".join(own), " ".join([*own[:60], *[f"v{k}x{i}" for i in range(run)], *own[60 + run :]])]
+    texts += [("same old line here now " * 60) + " ".join(f"t{k}x{i}" for i in range(40)) for k in range(3)] + ["", None, " "]
+
+    def shingles(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets = [shingles(t) for t in texts]
+    parts = _components(len(texts), lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r.doc_id for r in simhash_dedup.keep_one_of_each(df).collect()}
+    assert kept == {i for i in range(len(texts)) if parts[i] == i}
+
+
 def test_packing(spark, docs, none):
     library = Encoder(BYTE).library
     ids = {i: np.array([*library.encode(t or "", add_special_tokens=False).ids, 0], dtype="<u4") for i, t in enumerate(TEXTS)}
