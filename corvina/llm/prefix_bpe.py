@@ -24,6 +24,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvina.llm.encoding import byte_characters
+
 #: Texts of other characters (on which Unicode versions differ), or with capital sigma, go through the library's
 #: normaliser and pattern; the merges stay here.
 _UNSURE = re.compile(r"[^\u0000-΢Τ-ԯ -⁯]")
@@ -37,11 +39,16 @@ class PrefixBPE:
         model = spec["model"]
         if model["type"] != "BPE" or model.get("dropout") or model.get("byte_fallback") or model.get("continuing_subword_prefix") or model.get("ignore_merges"):
             raise ValueError("only plain BPE files")
+        if any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in spec["added_tokens"]):
+            raise ValueError("only added tokens that are found as they are")
+        self.decoder = (spec.get("decoder") or {}).get("type")
+        if self.decoder not in (None, "ByteLevel"):
+            raise ValueError("only files with a byte-level decoder or none")
         self.suffix = model.get("end_of_word_suffix") or ""
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names = {i: t for t, i in model["vocab"].items()} | {i: t for t, i in self.added.items()}
         self._text_steps(spec, path)
-        byte = {c: b for b, c in enumerate(_byte_characters())}
+        byte = self.byte = _byte_values()
 
         def form(token: str) -> str:
             end = bool(self.suffix) and token.endswith(self.suffix)
@@ -147,7 +154,7 @@ class PrefixBPE:
 
     def digest(self, text: str) -> tuple[int, str, str]:
         """(number of ids, ids joined by blanks, decoded text) of a whole text."""
-        stretches = self.added_pattern.split(text) if self.added_pattern and "<" in text else [text]
+        stretches = self.added_pattern.split(text) if self.added_pattern else [text]
         found = []
         for n, stretch in enumerate(stretches):
             if n % 2:
@@ -156,25 +163,22 @@ class PrefixBPE:
                 get = self.words.get
                 words = self._split(stretch)
                 found.extend([get(w) or self._word(w) for w in words])
-        return sum(f[0] for f in found), " ".join([f[1] for f in found]), " ".join([f[2] for f in found])
+        between = "" if self.decoder else " "  # words are whole characters, so their decoded texts can be put together
+        return sum(f[0] for f in found), " ".join([f[1] for f in found]), between.join([f[2] for f in found])
 
     def encode(self, text: str) -> list[int]:
         return [int(x) for x in self.digest(text)[1].split()]
 
     def decode(self, ids: list[int]) -> str:
-        """Tokens joined by blanks, as for files that name no decoder; ids that the file lacks are left out."""
-        return " ".join(self.names[i] for i in ids if i in self.names)
-
-
-def _byte_characters() -> list[str]:
-    """The character that stands for each byte in byte-level files: itself if printable, else the next one from 256 on."""
-    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    hidden = [b for b in range(256) if b not in shown]
-    return [chr(b) if b in shown else chr(256 + hidden.index(b)) for b in range(256)]
+        """Tokens joined by blanks for files that name no decoder, else the text of their bytes; unknown ids are left out."""
+        if not self.decoder:
+            return " ".join(self.names[i] for i in ids if i in self.names)
+        raw = [self.names[i].encode() if i in self.added.values() else bytes(map(self.byte.__getitem__, self.names[i])) for i in ids if i in self.names]
+        return b"".join(raw).decode("utf-8", "replace")
 
 
 def _byte_values() -> dict[str, int]:
-    return {c: b for b, c in enumerate(_byte_characters())}
+    return {c: b for b, c in enumerate(byte_characters())}
 
 
 _TOOLS: dict[str, PrefixBPE] = {}
