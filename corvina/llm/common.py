@@ -42,3 +42,13 @@ def group_slices(keys: np.ndarray) -> list[tuple[int, int]]:
 def bounded_sample(df: DataFrame, at_most: int, *key: str) -> list:
     """At most so many rows, those with the smallest hashes of key: the same rows whatever the partitioning."""
     return df.withColumn("__h", F.xxhash64(*key)).orderBy("__h", *key).limit(at_most).drop("__h").collect()
+
+
+def text_bytes(df: DataFrame, text_col: str) -> int:
+    return df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+
+
+def task_count(spark: SparkSession, n_bytes: int, each: int = 64 << 20) -> int:
+    """Tasks for so many bytes: as many as are configured, and more where one would get more than ``each``."""
+    configured = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return max(configured, -(-n_bytes // each))

@@ -1,7 +1,8 @@
 """Packing of documents into sequences by first-fit decreasing, in randomised groups.
 
-Documents are dealt to groups by a seeded hash of their id, and every group is packed on its own, so that groups are
-independent tasks of bounded size. A document's full stretches of ``capacity`` ids become sequences at once; only the
+Documents are dealt to groups by a seeded hash of their id and text, and every group is packed on its own, so that groups
+are independent tasks. A group holds at most ``4 * GROUP_DOCS`` remainders in memory: where chance, or rows that repeat
+both id and text, give it more, it packs what it has and goes on. A document's full stretches of ``capacity`` ids become sequences at once; only the
 remainders wait for the group's end. They are placed in decreasing order, each in the first open sequence with room, which
 a tournament tree over the free room finds in logarithmic time.
 
@@ -20,10 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvina.llm.common import task_count
 from corvina.llm.encoding import encoder
 
 #: Documents of a group, on average.
 GROUP_DOCS = 2_048
+#: Bytes of text for each task, where the configured number of tasks would give more.
+TASK_BYTES = 64 << 20
 _TEXTS = 256
 
 
@@ -176,12 +180,11 @@ def pack_documents(
     like others. Texts of any length are cut at ``capacity``. An empty table gives an empty result. Only the two named
     columns are read.
     """
-    spark = docs.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    groups = max(n, -(-docs.count() // GROUP_DOCS))
-    dealt = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(groups)).alias("grp")
-    )
+    total, size = docs.agg(F.count("*"), F.sum(F.octet_length(text_col))).first()
+    n = task_count(docs.sparkSession, size or 0, TASK_BYTES)
+    groups = max(n, -(-total // GROUP_DOCS))
+    h = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
+    dealt = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.pmod(h, F.lit(groups)).alias("grp"))
     ordered = dealt.repartition(n, "grp").sortWithinPartitions("grp", F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     return ordered.mapInArrow(_pack_groups(tokenizer, end_id, capacity), schema)
