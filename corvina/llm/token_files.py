@@ -2,7 +2,7 @@
 
 A file holds the documents of one range of ids in ascending order. Its frames each hold the ids (little-endian unsigned
 32-bit) of some documents and can be decompressed on their own. The last data frame is a directory: for each document its
-id, its frame, the place of its first id in the frame, and its number of ids. A skippable frame ends the file with the
+id, its frame, the place of its first id in the frame, its number of ids, and whether its id is null. A skippable frame ends the file with the
 seek table of zstandard's seekable format: for each frame its compressed size, its size and the low 32 bits of its XXH64,
 then the number of frames, a descriptor and a magic number. A reader takes the table from the file's end, then the
 directory, then only the frames of the documents asked for, and checks each frame's sum.
@@ -26,6 +26,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvina.llm.common import task_count, text_bytes
 from corvina.llm.encoding import encoder
 from corvina.session import fresh_path, saved
 
@@ -33,7 +34,9 @@ from corvina.session import fresh_path, saved
 SKIPPABLE_MAGIC, FOOTER_MAGIC, CHECKSUM_FLAG = 0x184D2A5E, 0x8F92EAB1, 0x80
 #: Ids of a frame, at least, before the next is begun.
 FRAME_IDS = 1 << 16
-_DIRECTORY = np.dtype([("doc_id", "<i8"), ("frame", "<u4"), ("at", "<u4"), ("n", "<u4")])
+#: Bytes of text for each file, where the configured number of tasks would give more.
+FILE_BYTES = 64 << 20
+_DIRECTORY = np.dtype([("doc_id", "<i8"), ("frame", "<u4"), ("at", "<u4"), ("n", "<u4"), ("none", "u1")])
 _TEXTS = 256
 
 
@@ -84,16 +87,16 @@ class FrameReader:
     def directory(self) -> np.ndarray:
         return np.frombuffer(self.frame(len(self.table) - 1), dtype=_DIRECTORY)
 
-    def documents(self, wanted: Iterable[int] | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    def documents(self, wanted: Iterable[int] | None = None) -> Iterator[tuple[int | None, np.ndarray]]:
         """(doc_id, ids) in the file's order; with ``wanted``, only these documents and only their frames."""
         entries = self.directory()
         if wanted is not None:
-            entries = entries[np.isin(entries["doc_id"], np.fromiter(wanted, dtype=np.int64))]
+            entries = entries[np.isin(entries["doc_id"], np.fromiter(wanted, dtype=np.int64)) & (entries["none"] == 0)]
         held, ids = -1, np.zeros(0, "<u4")
         for e in entries:
             if e["frame"] != held:
                 held, ids = int(e["frame"]), np.frombuffer(self.frame(int(e["frame"])), dtype="<u4")
-            yield int(e["doc_id"]), ids[e["at"] : e["at"] + e["n"]]
+            yield None if e["none"] else int(e["doc_id"]), ids[e["at"] : e["at"] + e["n"]]
 
 
 def _write(tokenizer: str, folder: str, end_id: int):
@@ -119,7 +122,7 @@ def _write(tokenizer: str, folder: str, end_id: int):
                     docs, texts = (b.column(c).slice(lo, _TEXTS).to_pylist() for c in ("doc_id", "text"))
                     for doc, ids in zip(docs, tool.encode_all([t or "" for t in texts]), strict=True):
                         ids = np.append(ids, np.uint32(end_id)).astype("<u4")
-                        entries.append((doc, len(out.table), waiting, len(ids)))
+                        entries.append((doc or 0, len(out.table), waiting, len(ids), doc is None))
                         held.append(ids.tobytes())
                         waiting += len(ids)
                         total += len(ids)
@@ -129,7 +132,8 @@ def _write(tokenizer: str, folder: str, end_id: int):
             out.frame(np.array(entries, dtype=_DIRECTORY).tobytes())
             out.finish()
         columns = {"part": [part], "file": [f"{folder}/{name}"], "n_docs": [len(entries)], "n_ids": [total]}
-        columns |= {"first_doc": [entries[0][0] if entries else None], "last_doc": [entries[-1][0] if entries else None]}
+        known = [e[0] for e in entries if not e[4]]
+        columns |= {"first_doc": [known[0] if known else None], "last_doc": [known[-1] if known else None]}
         schema = pa.schema([("part", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("first_doc", pa.int64()), ("last_doc", pa.int64())])
         yield pa.RecordBatch.from_pydict(columns, schema=schema)
 
@@ -141,12 +145,12 @@ def write_ids(docs: DataFrame, tokenizer: str, folder: str | None = None, id_col
 
     Columns: part (ascending with the ids), file, n_docs, n_ids, first_doc, last_doc. Null and empty texts are ``end_id``
     alone. Rows with equal ids are written each, next to each other, in the order of their texts' hashes. Rows with a null
-    id have no place in the order and raise an error. An empty table gives files without documents, or none.
+    id come before all others, and count as repeated ids do. An empty table gives files without documents, or none.
     """
     spark = docs.sparkSession
     folder = folder or fresh_path(spark, "ids")
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    named = docs.select(F.coalesce(F.col(id_col).cast("long"), F.raise_error(F.lit("null id")).cast("long")).alias("doc_id"), F.col(text_col).alias("text"))
+    n = task_count(spark, text_bytes(docs, text_col), FILE_BYTES)
+    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     tie = F.xxhash64("text")
     ordered = named.repartitionByRange(n, "doc_id", tie).sortWithinPartitions("doc_id", tie)
     schema = "part int, file string, n_docs long, n_ids long, first_doc long, last_doc long"
@@ -168,8 +172,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_digests(manifest: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, from the files; start counts the ids of all before it."""
-    spark = manifest.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    n = max(manifest.count(), 1)  # a task for each file
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
     placed = manifest.where("n_docs > 0").select("file", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("start"))
     return placed.repartition(n).mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")

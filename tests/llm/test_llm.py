@@ -33,6 +33,7 @@ LONG = prose(6_000)
 TEXTS = [
     None, "", "   \n", "one", "one two", "One TWO three.", PASSAGE, "x " + PASSAGE, "intro words " + PASSAGE + " and " + prose(40), prose(200), prose(200), LONG, LONG, LONG + " tail",
     "é́ñ ΟΔΟΣ 日本 🎉 İ  double  blanks\ttab\r\n", "<|endoftext|> and <|startoftext|>", "a\x1cb \x0b c\x85d\u00a0e", "aaaa" * 60, "aaaa" * 60 + "b", prose(30), prose(30),
+    "x <|ENDOFTEXT|> y", "a<|startOFtext|>", "Don't \u2018quote\u2019 \u2014 Stra\u00dfe's na\u00efve, (caf\u00e9) 12,345.67 x\u00b2 \u00bd @home #1!",
 ]
 
 
@@ -258,11 +259,13 @@ def test_prefix_bpe_equals_the_library(spark, docs, none):
 @pytest.mark.parametrize("path", [WORD, BYTE])
 def test_encodings_of_odd_texts(path):
     tool = Encoder(path)
-    odd = TEXTS[1:] + ["".join(rng.choice(" \n\tab'sB.1é— İΣ日<|") for _ in range(rng.randint(1, 40))) for _ in range(400)]
+    odd = TEXTS[1:] + ["".join(rng.choice([*" \n\tab'sB.1é— İΣ日<|É²½«-_~", "<|ENDOFTEXT|>", "<|endoftext|>", "word", " The", " don't", "\u017f"]) for _ in range(rng.randint(1, 40))) for _ in range(400)]
     want = [tool.library.encode(t, add_special_tokens=False).ids for t in odd]
     assert [x.tolist() for x in tool.encode_all(odd)] == want
     bpe = prefix_bpe.PrefixBPE(path)
     assert [bpe.encode(t) for t in odd] == want
+    assert [bpe.digest(t)[2] for t in odd] == [tool.library.decode(ids, skip_special_tokens=False) for ids in want]
+    assert [bpe.decode(ids[1:-1]) for ids in want] == [tool.library.decode(ids[1:-1], skip_special_tokens=False) for ids in want]
 
 
 def test_token_files(spark, docs, none, tmp_path):
@@ -277,6 +280,34 @@ def test_token_files(spark, docs, none, tmp_path):
     assert token_files.read_digests(token_files.write_ids(none, WORD)).count() == 0
 
 
+@pytest.fixture(scope="module")
+def repeats_and_nulls(spark):
+    """Repeated ids with other and with equal texts, and null ids."""
+    rows = [(1, prose(50)), (1, prose(20)), (1, "same"), (1, "same"), (None, "lone words"), (None, None), (2, PASSAGE), (2, PASSAGE)]
+    return spark.createDataFrame(rows, "doc_id long, text string").repartition(3), rows
+
+
+def test_token_files_take_repeated_and_null_ids(spark, repeats_and_nulls):
+    df, rows = repeats_and_nulls
+    library = Encoder(WORD).library
+    want = collections.Counter((d, zlib.crc32(np.array([*library.encode(t or "", add_special_tokens=False).ids, 2], dtype="<u4").tobytes())) for d, t in rows)
+    manifest = token_files.write_ids(df, WORD)
+    got = token_files.read_digests(manifest).orderBy("start").collect()
+    assert collections.Counter((r.doc_id, r.ids_crc32) for r in got) == want
+    assert [r.doc_id for r in got] == [None, None, 1, 1, 1, 1, 2, 2]
+    assert [r.start for r in got] == np.cumsum([0, *[r.n_tokens for r in got]])[:-1].tolist()
+    assert sorted(r.doc_id for r in token_files.read_documents(manifest, [0, 1]).collect()) == [1] * 4
+
+
+def test_packing_takes_repeated_and_null_ids(repeats_and_nulls):
+    df, rows = repeats_and_nulls
+    library = Encoder(BYTE).library
+    lengths = collections.Counter((d, len(library.encode(t or "", add_special_tokens=False).ids) + 1) for d, t in rows)
+    got = packing.pack_documents(df, BYTE).collect()
+    assert collections.Counter((r.doc_id, r.doc_tokens) for r in got if r.start == 0) == lengths
+    assert sum(r.length for r in got) == sum(n * c for (_, n), c in lengths.items())
+
+
 def test_damaged_frames_are_noticed(tmp_path):
     from pyarrow import fs
 
