@@ -1,19 +1,23 @@
 """Exact removal of repeated byte strings with suffix arrays in shards.
 
-Texts are packed into blocks of bounded size (a bucketed table on shared storage). In every window of ``width`` bytes one
-short string, the one with the smallest hash, is its anchor; equal windows have equal anchors at equal places, whichever
-document they are in. So only windows whose anchor also occurs in another document can repeat:
-
-1. each block tells, by ranges of anchor hashes, which anchors it has; a range tells every block which of its anchors
-   other documents have too;
-2. each block cuts out the stretches of windows around its shared anchors, equal stretches once, and sends them to the
-   shard of their anchor, so that equal windows meet in one shard;
-3. a shard builds the suffix array of its stretches by induced sorting and the permuted common prefixes; neighbours that
-   share ``width`` bytes are one repeated window, whose smallest document is the one that keeps it;
-4. each block learns the smallest document of its windows and removes what lies in windows of smaller documents.
+Texts are packed into blocks of bounded size (a bucketed table on shared storage); a text that is longer than a block is
+looked at in slices that overlap by a window less one byte. In every window of ``width`` bytes one short string, the one
+with the smallest hash, is its anchor; equal windows have equal anchors at equal places, whichever document they are in.
+So only windows whose anchor also occurs in another document can repeat:
+
+1. each slice tells, by ranges of anchor hashes, which anchors it has; a range tells every slice which of its anchors
+   other documents have too, and which of them are hot, that is, occur very often;
+2. each slice cuts out the stretches of windows around its shared anchors, equal stretches once, and sends them to the
+   shard of their anchor, so that equal windows meet in one shard. Stretches of a hot anchor are sent as single windows,
+   each to the shard of its own hash, so that no anchor fills a shard;
+3. where a shard has several different stretches of an anchor, it builds their suffix array by induced sorting and the
+   permuted common prefixes; neighbours that share ``width`` bytes are one repeated window, whose smallest document is
+   the one that keeps it. The windows of an anchor's only stretch belong to the smallest document that sent it;
+4. each slice cuts the same stretches again, learns the smallest document of its windows and removes what lies in windows
+   of smaller documents.
 
 The anchors only narrow down what is sorted: no repeat is missed, and hash collisions merely send more. Copies of a
-stretch are merged in each block before anything is shuffled; ranges and shards are as many as the input's size asks for.
+stretch are merged in each slice before anything is shuffled; ranges and shards are as many as the input's size asks for.
 """
 
 from __future__ import annotations
@@ -29,11 +33,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvina.llm.common import group_slices, whole_groups
+from corvina.llm.common import group_slices, task_count, text_bytes, whole_groups
 from corvina.llm.suffix_sort import permuted_common_prefixes, suffix_array
 from corvina.session import saved
 
-BLOCK_BYTES, BUCKET_BYTES, SHARD_BYTES, RANGE_BYTES = 1 << 20, 8 << 20, 1 << 20, 16 << 20
+BLOCK_BYTES, BUCKET_BYTES, SHARD_BYTES, RANGE_BYTES = 1 << 20, 8 << 20, 2 << 20, 32 << 20
+#: Occurrences that make an anchor hot.
+HOT = 30_000
+#: A slice's number is its block's, shifted, and its place in the block.
+SLICE_BITS = 16
 NO_DOC = np.iinfo(np.int64).max  # stands for a null id, and is larger than all
 _B1, _B2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)  # odd bases of the rolling hashes
 
@@ -60,12 +68,11 @@ def _prefix(t: np.ndarray, base: np.uint64) -> tuple[np.ndarray, np.ndarray]:
     return sums, _powers(_inverse(base), len(t) + 1)
 
 
-class BlockView:
-    """A block's stretches: for each, the document, the first window, the number of windows and the anchor's hash."""
+class SliceView:
+    """A slice's stretches: for each, the document, the first window, the number of windows and the anchor's hash."""
 
-    def __init__(self, text: bytes, lengths: np.ndarray, width: int, anchor: int):
-        t = np.frombuffer(text, dtype=np.uint8)
-        self.t, n = t, len(t)
+    def __init__(self, t: np.ndarray, lengths: np.ndarray, width: int, anchor: int):
+        self.t, self.width, n = t, width, len(t)
         self.ends = np.cumsum(lengths)
         self.doc = np.zeros(0, np.int64)
         self.start = self.count = self.doc
@@ -93,25 +100,34 @@ class BlockView:
         self.start, self.count = first[keep], count[keep]
         self.doc, self.hash = owner[self.start], grams[place[self.start]]
 
-    def marks(self) -> tuple[np.ndarray, np.ndarray]:
-        """Two hashes of each stretch's bytes."""
-        end = self.start + self.count + self.width - 1
+    def marks(self, start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two hashes of the bytes of stretches."""
+        end = start + count + self.width - 1
         sums2, back2 = _prefix(self.t, _B2)
         sums, back = self.sums
-        one = (sums[end] - sums[self.start]) * back[self.start]
-        two = (sums2[end] - sums2[self.start]) * back2[self.start]
-        return _mix(one + (end - self.start).astype(np.uint64)), _mix(two)
+        one = (sums[end] - sums[start]) * back[start]
+        two = (sums2[end] - sums2[start]) * back2[start]
+        return _mix(one + (end - start).astype(np.uint64)), _mix(two)
 
 
 def _raw(packed: pa.BinaryScalar, lengths: np.ndarray) -> bytes:
     return zstandard.ZstdDecompressor().decompress(packed.as_py(), max_output_size=int(lengths.sum()))
 
 
-def _view(batch: pa.RecordBatch | pa.Table, row: int, width: int, anchor: int) -> BlockView:
-    lengths = np.array(batch.column("lengths")[row].as_py(), dtype=np.int64)
-    view = BlockView(_raw(batch.column("text")[row], lengths), lengths, width, anchor)
-    view.width = width
-    return view
+def _slices(text: np.ndarray, lengths: np.ndarray, width: int, anchor: int, most: int) -> Iterator[tuple[int, int, SliceView]]:
+    """(number, first byte, view) of a block's slices: the block itself, or parts of its one long text."""
+    if len(lengths) > 1 or len(text) <= most:
+        yield 0, 0, SliceView(text, lengths, width, anchor)
+        return
+    for k, lo in enumerate(range(0, len(text) - width + 1, most)):
+        part = text[lo : lo + most + width - 1]
+        yield k, lo, SliceView(part, np.array([len(part)]), width, anchor)
+
+
+def _block(batch: pa.RecordBatch | pa.Table, row: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """(block, ids, lengths, text)."""
+    ids, lengths = (np.array(batch.column(c)[row].as_py(), dtype=np.int64) for c in ("ids", "lengths"))
+    return batch.column("block")[row].as_py(), ids, lengths, np.frombuffer(_raw(batch.column("text")[row], lengths), np.uint8)
 
 
 def _block_schema(rest: T.StructType) -> T.StructType:
@@ -119,32 +135,36 @@ def _block_schema(rest: T.StructType) -> T.StructType:
     return T.StructType([T.StructField(n, k) for n, k in kinds])
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _blocks(block_bytes: int):
     """Rows of some texts each; their bytes are compressed, as they are moved once and read three times."""
-    from pyspark import TaskContext
-
-    part, number, held, ids, texts, size, pack = TaskContext.get().partitionId(), 0, [], [], [], 0, zstandard.ZstdCompressor(level=3)
-
-    def told(kind: pa.DataType) -> pa.RecordBatch:
-        nonlocal number, held, ids, texts, size
-        row = {"block": [(part << 32) + number], "rest": [held], "ids": [ids], "lengths": [[len(x) for x in texts]], "text": [pack.compress(b"".join(texts))]}
-        number, held, ids, texts, size = number + 1, [], [], [], 0
-        kinds = [("block", pa.int64()), ("rest", pa.list_(kind)), ("ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("text", pa.binary())]
-        return pa.RecordBatch.from_pydict(row, schema=pa.schema(kinds))
-
-    kind = None
-    for b in batches:
-        kind = b.schema.field("rest").type
-        for rest, doc, text in zip(b.column("rest").to_pylist(), b.column("id").to_pylist(), b.column("text").to_pylist(), strict=True):
-            raw = (text or "").encode("utf-8", "surrogatepass")
-            if texts and size + len(raw) > BLOCK_BYTES:
-                yield told(kind)
-            held.append(rest)
-            ids.append(NO_DOC if doc is None else doc)
-            texts.append(raw)
-            size += len(raw)
-    if texts:
-        yield told(kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, number, held, ids, texts, size, pack = TaskContext.get().partitionId(), 0, [], [], [], 0, zstandard.ZstdCompressor(level=3)
+
+        def told(kind: pa.DataType) -> pa.RecordBatch:
+            nonlocal number, held, ids, texts, size
+            row = {"block": [(part << 24) + number], "rest": [held], "ids": [ids], "lengths": [[len(x) for x in texts]], "text": [pack.compress(b"".join(texts))]}
+            number, held, ids, texts, size = number + 1, [], [], [], 0
+            kinds = [("block", pa.int64()), ("rest", pa.list_(kind)), ("ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("text", pa.binary())]
+            return pa.RecordBatch.from_pydict(row, schema=pa.schema(kinds))
+
+        kind = None
+        for b in batches:
+            kind = b.schema.field("rest").type
+            for rest, doc, text in zip(b.column("rest").to_pylist(), b.column("id").to_pylist(), b.column("text").to_pylist(), strict=True):
+                raw = (text or "").encode("utf-8", "surrogatepass")
+                if texts and size + len(raw) > block_bytes:
+                    yield told(kind)
+                held.append(rest)
+                ids.append(NO_DOC if doc is None else doc)
+                texts.append(raw)
+                size += len(raw)
+        if texts:
+            yield told(kind)
+
+    return run
 
 
 def _short(h: np.ndarray, base: int, step: int) -> bytes:
@@ -159,85 +179,119 @@ def _long(data: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def _tell_anchors(width: int, anchor: int, ranges: int):
+def _tell_anchors(width: int, anchor: int, most: int, ranges: int):
     step = (1 << 64) // ranges + 1
+    bounds = np.array([r * step for r in range(1, ranges)], dtype=np.uint64)
+    kinds = pa.schema([("range", pa.int32()), ("slice", pa.int64()), ("hashes", pa.binary()), ("told", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in range(b.num_rows):
-                v = _view(b, row, width, anchor)
-                ids = np.array(b.column("ids")[row].as_py(), dtype=np.int64)[v.doc]
-                own, at = np.unique(v.hash, return_inverse=True)
-                least, most = np.full(len(own), NO_DOC), np.full(len(own), -NO_DOC)
-                np.minimum.at(least, at, ids)
-                np.maximum.at(most, at, ids)
-                cuts = np.searchsorted(own, np.array([r * step for r in range(1, ranges)], dtype=np.uint64))
-                parts = [(r, h, x) for r, (h, x) in enumerate(zip(np.split(own, cuts), np.split(least != most, cuts), strict=True)) if len(h)]
-                cols = {"range": [p[0] for p in parts], "block": [b.column("block")[row].as_py()] * len(parts), "hashes": [_short(p[1], p[0] * step, step) for p in parts]}
-                cols["several"] = [np.packbits(p[2]).tobytes() for p in parts]  # whether several documents of the block have it
-                kinds = [("range", pa.int32()), ("block", pa.int64()), ("hashes", pa.binary()), ("several", pa.binary())]
-                yield pa.RecordBatch.from_pydict(cols, schema=pa.schema(kinds))
+                block, ids, lengths, text = _block(b, row)
+                for k, _, v in _slices(text, lengths, width, anchor, most):
+                    mine = ids[v.doc]
+                    own, at, times = np.unique(v.hash, return_inverse=True, return_counts=True)
+                    least, last = np.full(len(own), NO_DOC), np.full(len(own), -NO_DOC)
+                    np.minimum.at(least, at, mine)
+                    np.maximum.at(last, at, mine)
+                    # how often the anchor occurs, and in the last bit whether in several documents
+                    told = (2 * np.minimum(times, 127) + (least != last)).astype(np.uint8)
+                    cuts = np.searchsorted(own, bounds)
+                    parts = [(r, h, x) for r, (h, x) in enumerate(zip(np.split(own, cuts), np.split(told, cuts), strict=True)) if len(h)]
+                    cols = {"range": [p[0] for p in parts], "slice": [(block << SLICE_BITS) + k] * len(parts)}
+                    cols |= {"hashes": [_short(p[1], p[0] * step, step) for p in parts], "told": [p[2].tobytes() for p in parts]}
+                    yield pa.RecordBatch.from_pydict(cols, schema=kinds)
 
     return run
 
 
-def _share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for t in whole_groups(batches, "range"):
-        ranges = t.column("range").to_numpy()
-        for lo, hi in group_slices(ranges):
-            part = t.slice(lo, hi - lo)
-            hashes = [_long(x) for x in part.column("hashes").to_pylist()]
-            several = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(h)) for x, h in zip(part.column("several").to_pylist(), hashes, strict=True)]
-            h, s = np.concatenate(hashes), np.concatenate(several)
-            order = np.argsort(h, kind="stable")
-            cut = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
-            times = np.diff(np.append(cut, len(h)))  # blocks that have it, each once
-            of = np.empty(len(h), dtype=bool)
-            of[order] = np.repeat((times > 1) | (np.maximum.reduceat(s[order], cut) > 0), times)
-            masks = [np.packbits(x).tobytes() for x in np.split(of, np.cumsum([len(x) for x in hashes])[:-1])]
-            yield pa.RecordBatch.from_pydict({"block": part.column("block").to_pylist(), "range": [int(ranges[lo])] * (hi - lo), "mask": masks, "n": [len(x) for x in hashes]}, schema=_MASKS)
+_MASKS = pa.schema([("slice", pa.int64()), ("range", pa.int32()), ("shared", pa.binary()), ("hot", pa.binary()), ("n", pa.int32())])
+_ASKS = pa.schema([("slice", pa.int64()), ("shard", pa.int32()), ("bytes", pa.binary()), ("sizes", pa.binary()), ("docs", pa.binary()), ("tags", pa.binary())])
 
 
-_MASKS = pa.schema([("block", pa.int64()), ("range", pa.int32()), ("mask", pa.binary()), ("n", pa.int32())])
-_ASKS = pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("own", pa.binary()), ("bytes", pa.binary()), ("sizes", pa.binary()), ("docs", pa.binary())])
+def _share(hot: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, "range"):
+            ranges = t.column("range").to_numpy()
+            for lo, hi in group_slices(ranges):
+                part = t.slice(lo, hi - lo)
+                hashes = [_long(x) for x in part.column("hashes").to_pylist()]
+                h, told = np.concatenate(hashes), np.frombuffer(b"".join(part.column("told").to_pylist()), np.uint8)
+                order = np.argsort(h, kind="stable")
+                cut = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
+                slices = np.diff(np.append(cut, len(h)))  # that have it, each once
+                shared = (slices > 1) | (np.maximum.reduceat(told[order] & 1, cut) > 0)
+                often = shared & (np.add.reduceat((told[order] >> 1).astype(np.int64), cut) >= hot)
+                masks = []
+                for which in (shared, often):
+                    of = np.empty(len(h), dtype=bool)
+                    of[order] = np.repeat(which, slices)
+                    masks.append([np.packbits(x).tobytes() for x in np.split(of, np.cumsum([len(x) for x in hashes])[:-1])])
+                cols = {"slice": part.column("slice").to_pylist(), "range": [int(ranges[lo])] * (hi - lo), "shared": masks[0], "hot": masks[1], "n": [len(x) for x in hashes]}
+                yield pa.RecordBatch.from_pydict(cols, schema=_MASKS)
 
+    return run
 
-def _cut_out(width: int, anchor: int, shards: int):
+
+class Stretches:
+    """The stretches around a slice's shared anchors; ``which`` numbers the different ones, in the order of their shards."""
+
+    def __init__(self, v: SliceView, masks: list[dict], shards: int):
+        masks = sorted(masks, key=lambda m: m["range"])
+        shared, hot = (np.concatenate([np.unpackbits(np.frombuffer(m[c], np.uint8), count=m["n"]) for m in masks]).astype(bool) for c in ("shared", "hot"))
+        _, at = np.unique(v.hash, return_inverse=True)
+        live = shared[at]
+        start, count, doc, key, hot = v.start[live], v.count[live], v.doc[live], v.hash[live], hot[at[live]]
+        if hot.any():  # single windows
+            n = np.where(hot, count, 1)
+            of = np.repeat(np.arange(len(n)), n)
+            start = start[of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+            count, doc, key, hot = np.where(hot, 1, count)[of], doc[of], key[of], hot[of]
+        self.start, self.count, self.doc = start, count, doc
+        if not len(start):
+            return
+        one, two = v.marks(start, count)
+        key = _mix(np.where(hot, one, key) ^ _B2)
+        shard = (key % np.uint64(shards)).astype(np.int64)
+        order = np.lexsort((two, one, shard))
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1]) | (shard[order][1:] != shard[order][:-1])
+        self.which = np.empty(len(order), dtype=np.int64)
+        self.which[order] = np.cumsum(new) - 1
+        self.heads = order[new]
+        self.sizes = count[self.heads] + v.width - 1
+        self.shard, self.tag = shard[self.heads], (key >> np.uint64(32)).astype("<u4")[self.heads]
+
+
+def _by_slice(rows: list[dict] | None) -> dict[int, list[dict]]:
+    out: dict[int, list[dict]] = {}
+    for r in rows or []:
+        out.setdefault(r["slice"], []).append(r)
+    return out
+
+
+def _cut_out(width: int, anchor: int, most: int, shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in range(b.num_rows):
-                block = b.column("block")[row].as_py()
-                masks = sorted(b.column("masks")[row].as_py() or [], key=lambda m: m["range"])
-                if not masks:
-                    continue
-                v = _view(b, row, width, anchor)
-                shared = np.concatenate([np.unpackbits(np.frombuffer(m["mask"], np.uint8), count=m["n"]) for m in masks]).astype(bool)
-                _, at = np.unique(v.hash, return_inverse=True)
-                live = shared[at]
-                v.start, v.count, v.doc, v.hash = v.start[live], v.count[live], v.doc[live], v.hash[live]
-                if not len(v.start):
-                    continue
-                one, two = v.marks()
-                shard = (_mix(v.hash ^ _B2) % np.uint64(shards)).astype(np.int64)
-                order = np.lexsort((two, one, shard))
-                new = np.ones(len(order), dtype=bool)
-                new[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1]) | (shard[order][1:] != shard[order][:-1])
-                which = np.empty(len(order), dtype=np.int32)
-                which[order] = np.cumsum(new) - 1
-                ids = np.array(b.column("ids")[row].as_py(), dtype=np.int64)[v.doc]
-                heads = order[new]
-                docs = np.full(len(heads), NO_DOC)
-                np.minimum.at(docs, which, ids)
-                sizes = (v.count[heads] + width - 1).astype(np.int32)
-                begins = v.start[heads]
-                own = np.stack([v.start, v.count, v.doc, which], axis=1).astype("<i4").tobytes()
-                rows = [{"block": block, "shard": -1, "own": own, "bytes": None, "sizes": sizes.tobytes(), "docs": None}]
-                at_byte = np.repeat(begins - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
-                raw, ends = v.t[at_byte], np.cumsum(sizes)
-                for lo, hi in group_slices(shard[heads]):
-                    data = raw[ends[lo] - sizes[lo] : ends[hi - 1]].tobytes()
-                    rows.append({"block": block, "shard": int(shard[heads[lo]]), "own": None, "bytes": data, "sizes": sizes[lo:hi].tobytes(), "docs": docs[lo:hi].tobytes()})
-                yield pa.RecordBatch.from_pylist(rows, schema=_ASKS)
+                masks = _by_slice(b.column("masks")[row].as_py())
+                block, ids, lengths, text = _block(b, row)
+                for k, _, v in _slices(text, lengths, width, anchor, most):
+                    number = (block << SLICE_BITS) + k
+                    if number not in masks:
+                        continue
+                    s = Stretches(v, masks[number], shards)
+                    if not len(s.start):
+                        continue
+                    docs = np.full(len(s.heads), NO_DOC)
+                    np.minimum.at(docs, s.which, ids[s.doc])
+                    ends = np.cumsum(s.sizes)
+                    raw = v.t[np.repeat(s.start[s.heads] - (ends - s.sizes), s.sizes) + np.arange(ends[-1])]
+                    sizes, cuts = s.sizes.astype("<u2"), group_slices(s.shard)
+                    cols = {"slice": [number] * len(cuts), "shard": [int(s.shard[lo]) for lo, _ in cuts]}
+                    cols["bytes"] = [raw[ends[lo] - s.sizes[lo] : ends[hi - 1]].tobytes() for lo, hi in cuts]
+                    cols |= {c: [x[lo:hi].tobytes() for lo, hi in cuts] for c, x in (("sizes", sizes), ("docs", docs), ("tags", s.tag))}
+                    yield pa.RecordBatch.from_pydict(cols, schema=_ASKS)
 
     return run
 
@@ -259,65 +313,83 @@ def shard_minima(stretches: np.ndarray, sizes: np.ndarray, docs: np.ndarray, wid
     return out[valid]
 
 
+def _shard_replies(part: pa.Table, width: int) -> list[bytes]:
+    """For each row of a shard the smallest documents of its stretches' windows."""
+    known: dict[bytes, int] = {}
+    first: list[int] = []
+    tags: list[int] = []
+    asked: list[list[int]] = []
+    rows = zip(*(part.column(c).to_pylist() for c in ("bytes", "sizes", "docs", "tags")), strict=True)
+    for data, sizes, docs, marks in rows:
+        at, numbers = 0, []
+        for size, doc, tag in zip(np.frombuffer(sizes, "<u2").tolist(), np.frombuffer(docs, "<i8").tolist(), np.frombuffer(marks, "<u4").tolist(), strict=True):
+            k = known.setdefault(data[at : at + size], len(known))
+            at += size
+            if k == len(first):
+                first.append(doc)
+                tags.append(tag)
+            elif doc < first[k]:
+                first[k] = doc
+            numbers.append(k)
+        asked.append(numbers)
+    pieces, least_doc = list(known), np.array(first, dtype=np.int64)
+    n = np.array([len(x) for x in pieces], dtype=np.int64) - width + 1
+    ends = np.cumsum(n)
+    least = np.repeat(least_doc, n)
+    # an anchor's only stretch has no window in common with any other
+    _, of, times = np.unique(np.array(tags, dtype=np.uint32), return_inverse=True, return_counts=True)
+    several = times[of] > 1
+    if several.any():
+        which = np.flatnonzero(several)
+        found = shard_minima(np.frombuffer(b"".join([pieces[k] for k in which.tolist()]), np.uint8), n[which] + width - 1, least_doc[which], width)
+        least[np.repeat(several, n)] = found
+    replies = []
+    for numbers in asked:
+        k = np.array(numbers)
+        c = n[k]
+        e = np.cumsum(c)
+        replies.append(least[np.repeat(ends[k] - c - (e - c), c) + np.arange(e[-1])].tobytes())
+    return replies
+
+
 def _sort_shards(width: int):
-    kinds = pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("least", pa.binary())])
+    kinds = pa.schema([("slice", pa.int64()), ("shard", pa.int32()), ("least", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, "shard"):
             for lo, hi in group_slices(t.column("shard").to_numpy()):
                 part = t.slice(lo, hi - lo)
-                known: dict[bytes, int] = {}
-                first: list[int] = []
-                asked: list[list[int]] = []
-                for data, sizes, docs in zip(part.column("bytes").to_pylist(), part.column("sizes").to_pylist(), part.column("docs").to_pylist(), strict=True):
-                    at, numbers = 0, []
-                    for size, doc in zip(np.frombuffer(sizes, np.int32).tolist(), np.frombuffer(docs, np.int64).tolist(), strict=True):
-                        piece = data[at : at + size]
-                        at += size
-                        k = known.setdefault(piece, len(known))
-                        if k == len(first):
-                            first.append(doc)
-                        elif doc < first[k]:
-                            first[k] = doc
-                        numbers.append(k)
-                    asked.append(numbers)
-                sizes = np.array([len(x) for x in known], dtype=np.int64)
-                least = shard_minima(np.frombuffer(b"".join(known), np.uint8), sizes, np.array(first, dtype=np.int64), width)
-                n = sizes - width + 1
-                ends = np.cumsum(n)
-                replies = []
-                for numbers in asked:
-                    k = np.array(numbers)
-                    c = n[k]
-                    e = np.cumsum(c)
-                    replies.append(least[np.repeat(ends[k] - n[k] - (e - c), c) + np.arange(e[-1])].tobytes())
-                yield pa.RecordBatch.from_pydict({"block": part.column("block").to_pylist(), "shard": part.column("shard").to_pylist(), "least": replies}, schema=kinds)
+                cols = {"slice": part.column("slice").to_pylist(), "shard": part.column("shard").to_pylist(), "least": _shard_replies(part, width)}
+                yield pa.RecordBatch.from_pydict(cols, schema=kinds)
 
     return run
 
 
-def _remove(width: int, with_text: bool):
+def _removed(v: SliceView, s: Stretches, ids: np.ndarray, replies: list[dict]) -> np.ndarray:
+    """True for the slice's bytes that go."""
+    least = np.frombuffer(b"".join([r["least"] for r in sorted(replies, key=lambda r: r["shard"])]), "<i8")
+    n = s.sizes - v.width + 1
+    first, e = np.cumsum(n) - n, np.cumsum(s.count)
+    inner = np.arange(e[-1]) - np.repeat(e - s.count, s.count)
+    hit = (np.repeat(s.start, s.count) + inner)[least[np.repeat(first[s.which], s.count) + inner] < np.repeat(ids[s.doc], s.count)]
+    gone = np.zeros(len(v.t) + 1, dtype=np.int32)
+    gone[hit] += 1  # a window begins at each place once
+    gone[hit + v.width] -= 1
+    return np.cumsum(gone)[:-1] > 0
+
+
+def _remove(width: int, anchor: int, most: int, shards: int, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in range(b.num_rows):
-                lengths, ids = (np.array(b.column(c)[row].as_py(), dtype=np.int64) for c in ("lengths", "ids"))
-                text = np.frombuffer(_raw(b.column("text")[row], lengths), np.uint8)
-                gone = np.zeros(len(text) + 1, dtype=np.int64)
-                own = b.column("own")[row].as_py()
-                if own is not None:
-                    start, count, doc, which = np.frombuffer(own, "<i4").reshape(-1, 4).T.astype(np.int64)
-                    sizes = np.frombuffer(b.column("sizes")[row].as_py(), np.int32)
-                    replies = sorted(b.column("replies")[row].as_py(), key=lambda r: r["shard"])
-                    least = np.frombuffer(b"".join(r["least"] for r in replies), np.int64)
-                    n = sizes - width + 1
-                    first = np.cumsum(n) - n
-                    e = np.cumsum(count)
-                    inner = np.arange(e[-1]) - np.repeat(e - count, count)
-                    window = np.repeat(start, count) + inner
-                    hit = window[least[np.repeat(first[which], count) + inner] < np.repeat(ids[doc], count)]
-                    np.add.at(gone, hit, 1)
-                    np.add.at(gone, hit + width, -1)
-                mask = np.cumsum(gone)[:-1] > 0
+                block, ids, lengths, text = _block(b, row)
+                mask = np.zeros(len(text), dtype=bool)
+                replies = _by_slice(b.column("replies")[row].as_py())
+                masks = _by_slice(b.column("masks")[row].as_py()) if replies else {}
+                for k, lo, v in _slices(text, lengths, width, anchor, most) if replies else ():
+                    number = (block << SLICE_BITS) + k
+                    if number in replies:
+                        mask[lo : lo + len(v.t)] |= _removed(v, Stretches(v, masks[number], shards), ids, replies[number])
                 rows, at = [], 0
                 for n_bytes in lengths.tolist():
                     m = mask[at : at + n_bytes]
@@ -333,44 +405,51 @@ def _remove(width: int, with_text: bool):
     return run
 
 
-def repeats(docs: DataFrame, carry: list[str], id_col: str = "doc_id", text_col: str = "text", width: int = 50, anchor: int = 16, with_text: bool = False) -> DataFrame:
+def repeats(
+    docs: DataFrame, carry: list[str], id_col: str = "doc_id", text_col: str = "text", width: int = 50, anchor: int = 20, with_text: bool = False,
+    block_bytes: int = BLOCK_BYTES, hot: int = HOT,
+) -> DataFrame:
     """Rows (rest, n_bytes, n_removed, n_spans, kept_sha256, kept), one for each row of docs; rest has the columns of ``carry``.
 
     A byte goes if it lies in a string of ``width`` bytes that also starts in a row with a smaller id. Rows with equal ids
     take nothing from each other; a null id is larger than all others. Null texts are empty; texts shorter than ``width``
-    lose nothing. An empty table gives an empty result.
+    lose nothing. A very long text is held whole, but worked on in slices. An empty table gives an empty result.
     """
+    if not anchor <= width < 1 << 15:
+        raise ValueError("width")
     spark = docs.sparkSession
-    base = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    buckets = max(base, -(-total // BUCKET_BYTES))
+    total = text_bytes(docs, text_col)
+    buckets = min(task_count(spark, total, BUCKET_BYTES), int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")))
     ranges = max(4, -(-total // RANGE_BYTES))
-    shards = max(base, -(-total // SHARD_BYTES))
+    shards = task_count(spark, total, SHARD_BYTES)
     named = docs.select(F.struct(*[F.col(c) for c in carry]).alias("rest"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rest = named.schema["rest"].dataType
     name = f"text_blocks_{uuid.uuid4().hex}"
-    made = named.mapInArrow(_blocks, _block_schema(rest)).repartition(buckets, "block")
+    made = named.mapInArrow(_blocks(block_bytes), _block_schema(rest)).repartition(buckets, "block")
     made.write.bucketBy(buckets, "block").sortBy("block").option("compression", "zstd").saveAsTable(name)
     blocks = spark.table(name)
-    told = blocks.select("block", "ids", "lengths", "text").mapInArrow(_tell_anchors(width, anchor, ranges), "range int, block long, hashes binary, several binary")
-    masks = told.repartition(max(base, ranges), "range").sortWithinPartitions("range", "block").mapInArrow(_share, "block long, range int, mask binary, n int")
-    masks = masks.groupBy("block").agg(F.collect_list(F.struct("range", "mask", "n")).alias("masks"))
+    of = F.shiftright("slice", SLICE_BITS).alias("block")
+    told = blocks.select("block", "ids", "lengths", "text").mapInArrow(_tell_anchors(width, anchor, block_bytes, ranges), "range int, slice long, hashes binary, told binary")
+    masks = told.repartition(task_count(spark, total, RANGE_BYTES), "range").sortWithinPartitions("range", "slice")
+    masks = masks.mapInArrow(_share(hot), "slice long, range int, shared binary, hot binary, n int")
+    masks = saved(masks.groupBy(of).agg(F.collect_list(F.struct("slice", "range", "shared", "hot", "n")).alias("masks")), "masks")
     asks = blocks.join(masks.hint("merge"), "block").select("block", "ids", "lengths", "text", "masks")
-    asks = saved(asks.mapInArrow(_cut_out(width, anchor, shards), "block long, shard int, own binary, bytes binary, sizes binary, docs binary"), "stretches")
-    own = asks.where("shard = -1").select("block", "own", "sizes")
-    sent = asks.where("shard >= 0").select("block", "shard", "bytes", "sizes", "docs")
-    replies = sent.repartition(shards, "shard").sortWithinPartitions("shard", "block").mapInArrow(_sort_shards(width), "block long, shard int, least binary")
-    replies = replies.groupBy("block").agg(F.collect_list(F.struct("shard", "least")).alias("replies"))
-    whole = blocks.join(own.hint("merge"), "block", "left").join(replies.hint("merge"), "block", "left")
+    sent = asks.mapInArrow(_cut_out(width, anchor, block_bytes, shards), "slice long, shard int, bytes binary, sizes binary, docs binary, tags binary")
+    replies = sent.repartition(shards, "shard").sortWithinPartitions("shard", "slice").mapInArrow(_sort_shards(width), "slice long, shard int, least binary")
+    replies = replies.groupBy(of).agg(F.collect_list(F.struct("slice", "shard", "least")).alias("replies"))
+    whole = blocks.join(masks.hint("merge"), "block", "left").join(replies.hint("merge"), "block", "left")
     out = T.StructType([T.StructField("rest", rest)])
     for field, kind in (("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept_sha256", "string"), ("kept", "string")):
         out = out.add(field, kind)
-    return whole.select("block", "rest", "ids", "lengths", "text", "own", "sizes", "replies").mapInArrow(_remove(width, with_text), out)
+    parted = whole.select("block", "rest", "ids", "lengths", "text", "masks", "replies").mapInArrow(_remove(width, anchor, block_bytes, shards, with_text), out)
+    done = saved(parted, "parted")
+    spark.sql(f"drop table {name}")
+    return done
 
 
-def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 50) -> DataFrame:
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 50, block_bytes: int = BLOCK_BYTES, hot: int = HOT) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256) of every row; see ``repeats``."""
-    found = repeats(docs, [id_col], id_col, text_col, width)
+    found = repeats(docs, [id_col], id_col, text_col, width, block_bytes=block_bytes, hot=hot)
     return found.select(F.col("rest")[id_col].cast("long").alias("id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 

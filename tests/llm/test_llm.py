@@ -230,10 +230,16 @@ def _brute_repeats(rows, width=50):
     return out
 
 
-def test_repeated_strings(spark, docs, none, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 3_000)
-    got = {r.id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.digests(docs).collect()}
+@pytest.mark.parametrize("limits", [{}, {"block_bytes": 3_000}, {"block_bytes": 1_000, "hot": 3}])
+def test_repeated_strings(spark, docs, limits):
+    """Also with texts longer than a block, and with frequent anchors sent as single windows."""
+    before = {t.name for t in spark.catalog.listTables()}
+    got = {r.id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.digests(docs, **limits).collect()}
     assert got == _brute_repeats(list(enumerate(TEXTS)))
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
+def test_texts_without_repeats(spark, docs, none):
     assert suffix_dedup.digests(none).count() == 0
     cut = suffix_dedup.without_repeats(docs)
     assert cut.columns == docs.columns
