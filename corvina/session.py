@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where it is unset (tests, local runs), a new temporary one."""
+    """The folder in ``spark.checkpoint.dir``; where it is unset, a local session has a new temporary one."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         place = getattr(spark, "_corvina_dir", None)
         if place is None:
             place = "file://" + tempfile.mkdtemp(prefix="spark-corvina-")
