@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 
 
@@ -20,7 +22,7 @@ class Gru:
 
     NAMES = ("embed", "wx", "wh", "bias", "class_w", "class_b", "word_w", "word_b")
 
-    def __init__(self, counts: np.ndarray, classes: int = 64, width: int = 32, seed: int = 3):
+    def __init__(self, counts: np.ndarray, classes: int = 32, width: int = 24, seed: int = 3):
         rng = np.random.default_rng(seed)
         v, self.width = len(counts), width
         self.firsts = make_classes(counts, classes)
@@ -36,142 +38,219 @@ class Gru:
         self.word_w = rng.normal(0, 0.01, (v, width)).astype(f)
         # without any training it predicts the counts' shares
         self.class_b, self.word_b = np.log(by_class).astype(f), np.log(share / by_class[self.class_of]).astype(f)
+        self.step, self.moments = 0, None
 
     def weights(self) -> list[np.ndarray]:
         return [getattr(self, n) for n in self.NAMES]
 
     def set_weights(self, values: list[np.ndarray]) -> None:
         for n, x in zip(self.NAMES, values, strict=True):
-            setattr(self, n, np.asarray(x, dtype=np.float32))
+            setattr(self, n, np.array(x, dtype=np.float32))
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([x.ravel() for x in self.weights()])
+
+    def set_flat(self, flat: np.ndarray) -> None:
+        cuts = np.cumsum([x.size for x in self.weights()])[:-1]
+        self.set_weights([x.reshape(w.shape) for x, w in zip(np.split(flat, cuts), self.weights(), strict=True)])
 
     def _step(self, gx: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Gates z and r, candidate n, the state's part of n, and the next state."""
         w = self.width
         gh = h @ self.wh
-        zr = 1 / (1 + np.exp(-(gx[:, : 2 * w] + gh[:, : 2 * w])))
-        z, r = zr[:, :w], zr[:, w:]
-        n = np.tanh(gx[:, 2 * w :] + r * gh[:, 2 * w :])
-        return z, r, n, gh[:, 2 * w :], n + z * (h - n)
+        zr = gx[:, : 2 * w] + gh[:, : 2 * w]
+        zr *= 0.5  # the logistic function by the hyperbolic tangent
+        np.tanh(zr, out=zr)
+        zr += 1
+        zr *= 0.5
+        z, r, own = zr[:, :w], zr[:, w:], gh[:, 2 * w :]
+        n = r * own
+        n += gx[:, 2 * w :]
+        np.tanh(n, out=n)
+        new = h - n
+        new *= z
+        new += n
+        return z, r, n, own, new
 
-    def _segments(self, targets: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    def _segments(self, c: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
         """Positions ordered by class, and (class, from, to) of each run."""
-        c = self.class_of[targets]
         order = np.argsort(c, kind="stable")
-        c = c[order]
-        cut = np.flatnonzero(c[1:] != c[:-1]) + 1
-        ends = np.append(cut, len(c))
-        return order, [(int(c[a]), int(a), int(b)) for a, b in zip(np.append(0, cut), ends, strict=True)]
+        ends = np.cumsum(np.bincount(c, minlength=len(self.firsts) - 1))
+        return order, [(k, int(a), int(b)) for k, (a, b) in enumerate(zip(np.append(0, ends[:-1]), ends, strict=True)) if b > a]
 
     def log_probs(self, h: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """Natural logarithms for rows of states and their next tokens."""
         c = self.class_of[targets]
-        logits = h @ self.class_w + self.class_b
-        top = logits.max(axis=1)
-        out = logits[np.arange(len(c)), c] - top - np.log(np.exp(logits - top[:, None]).sum(axis=1))
-        order, runs = self._segments(targets)
+        order, runs = self._segments(c)
+        hs, goals = h[order], targets[order]  # a class's rows lie together
+        out = np.empty(len(c))
+        logits = hs @ self.class_w
+        logits += self.class_b
+        mine = logits[np.arange(len(c)), c[order]].astype(np.float64)
+        mine -= _log_sum(logits)
         for k, a, b in runs:
             lo, hi = self.firsts[k], self.firsts[k + 1]
             if hi - lo == 1:
                 continue
-            rows = order[a:b]
-            logits = h[rows] @ self.word_w[lo:hi].T + self.word_b[lo:hi]
-            top = logits.max(axis=1)
-            out[rows] += logits[np.arange(b - a), targets[rows] - lo] - top - np.log(np.exp(logits - top[:, None]).sum(axis=1))
+            logits = hs[a:b] @ self.word_w[lo:hi].T
+            logits += self.word_b[lo:hi]
+            mine[a:b] += logits[np.arange(b - a), goals[a:b] - lo]
+            mine[a:b] -= _log_sum(logits)
+        out[order] = mine
         return out
 
-    def score(self, texts: list[np.ndarray], start: int, together: int = 256, window: int = 64) -> np.ndarray:
-        """The log probability of each whole text; texts run side by side and keep their state from window to window."""
+    def score(self, texts: list[np.ndarray], start: int, together: int = 256, window: int = 48) -> np.ndarray:
+        """The log probability of each whole text.
+
+        Texts are dealt to streams that run side by side, the longest first and each to the shortest stream, one after
+        another; the state goes on from window to window and begins anew with each text. ``start`` is the token that comes
+        before every text; where a text ends with it, as all but the last of a stream must, the next finds it there.
+        """
+        lengths = np.array([len(t) for t in texts], dtype=np.int64)
         out = np.zeros(len(texts))
+        streams = [(0, k, []) for k in range(min(together, len(texts)))]
+        for i in sorted(range(len(texts)), key=lambda i: (-lengths[i], i)):
+            if lengths[i]:
+                n, k, held = heapq.heappop(streams)
+                held.append(i)
+                heapq.heappush(streams, (n + int(lengths[i]), k, held))
+        streams = sorted([(-n, k, held) for n, k, held in streams if n])
+        if not streams:
+            return out
+        most = -streams[0][0]
+        size = np.array([-n for n, _, _ in streams])
+        goal = np.zeros((len(streams), most), dtype=np.int32)
+        owner, fresh = np.zeros((len(streams), most), dtype=np.int32), np.zeros((len(streams), most), dtype=bool)
+        for k, (_, _, held) in enumerate(streams):
+            ends = np.cumsum(lengths[held])
+            goal[k, : ends[-1]] = np.concatenate([texts[i] for i in held])
+            owner[k, : ends[-1]] = np.repeat(held, lengths[held])
+            fresh[k, np.append(0, ends[:-1])] = True
         table = self.embed @ self.wx + self.bias
-        order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
-        for at in range(0, len(order), together):
-            group = order[at : at + together]
-            lengths = np.array([len(texts[i]) for i in group])
-            h = np.zeros((len(group), self.width), dtype=np.float32)
-            last = np.full(len(group), start)
-            for lo in range(0, int(lengths[0]), window):
-                live = int((lengths > lo).sum())
-                part = [texts[i][lo : lo + window] for i in group[:live]]
-                n = np.array([len(p) for p in part])
-                block = np.zeros((live, window), dtype=np.int64)
-                block[np.arange(window)[None, :] < n[:, None]] = np.concatenate(part)
-                states, goals, owners = [], [], []
-                for t in range(int(n[0])):
-                    k = int((n > t).sum())
-                    h[:k] = new = self._step(table[last[:k]], h[:k])[4]
-                    states.append(new)
-                    goals.append(block[:k, t])
-                    owners.append(np.arange(k))
-                    last[:k] = block[:k, t]
-                got = self.log_probs(np.concatenate(states), np.concatenate(goals))
-                sums = np.bincount(np.concatenate(owners), weights=got, minlength=live)
-                out[np.array(group[:live])] += sums[:live]
+        h, last = np.zeros((len(streams), self.width), dtype=np.float32), np.full(len(streams), start)
+        live = np.searchsorted(-size, -np.arange(most), side="left")  # streams that go on at each place
+        for lo in range(0, most, window):
+            states, goals, owners = [], [], []
+            for t in range(lo, min(most, lo + window)):
+                k = int(live[t])
+                begins = np.flatnonzero(fresh[:k, t])
+                if len(begins):
+                    h[begins], last[begins] = 0, start
+                h[:k] = new = self._step(table[last[:k]], h[:k])[4]
+                last[:k] = goal[:k, t]
+                states.append(new)
+                goals.append(goal[:k, t])
+                owners.append(owner[:k, t])
+            got = self.log_probs(np.concatenate(states), np.concatenate(goals))
+            out += np.bincount(np.concatenate(owners), weights=got, minlength=len(texts))
         return out
 
     def _loss_grads(self, h: np.ndarray, targets: np.ndarray, grads: dict[str, np.ndarray]) -> np.ndarray:
         """Adds the output's gradients and returns that of the states."""
         n, c = len(targets), self.class_of[targets]
-        logits = h @ self.class_w + self.class_b
-        p = np.exp(logits - logits.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        p[np.arange(n), c] -= 1
-        grads["class_w"] += h.T @ p
+        order, runs = self._segments(c)
+        hs, goals = h[order], targets[order]
+        p = _shares(hs @ self.class_w + self.class_b)
+        p[np.arange(n), c[order]] -= 1
+        grads["class_w"] += hs.T @ p
         grads["class_b"] += p.sum(axis=0)
-        dh = p @ self.class_w.T
-        order, runs = self._segments(targets)
+        dhs = p @ self.class_w.T
         for k, a, b in runs:
             lo, hi = self.firsts[k], self.firsts[k + 1]
             if hi - lo == 1:
                 continue
-            rows = order[a:b]
-            hr = h[rows]
-            logits = hr @ self.word_w[lo:hi].T + self.word_b[lo:hi]
-            p = np.exp(logits - logits.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            p[np.arange(b - a), targets[rows] - lo] -= 1
-            grads["word_w"][lo:hi] += p.T @ hr
+            p = _shares(hs[a:b] @ self.word_w[lo:hi].T + self.word_b[lo:hi])
+            p[np.arange(b - a), goals[a:b] - lo] -= 1
+            grads["word_w"][lo:hi] += p.T @ hs[a:b]
             grads["word_b"][lo:hi] += p.sum(axis=0)
-            dh[rows] += p @ self.word_w[lo:hi]
+            dhs[a:b] += p @ self.word_w[lo:hi]
+        dh = np.empty_like(dhs)
+        dh[order] = dhs
         return dh
 
-    def train(self, tokens: np.ndarray, start: int, streams: int = 32, window: int = 20, rate: float = 3e-3) -> None:
-        """One pass of truncated backpropagation over a run of tokens, cut into streams that keep their state."""
+    def train(self, tokens: np.ndarray, start: int, streams: int = 256, window: int = 24, rate: float = 1.2e-2) -> None:
+        """Truncated backpropagation over a run of tokens, every one of them once; Adam's moments go on from run to run.
+
+        The run is cut into streams that keep their state from window to window, as many as leave each some windows; what
+        the division leaves over is a short stream of its own.
+        """
+        streams = int(min(streams, max(1, len(tokens) // (8 * window))))
         length = len(tokens) // streams
-        if length < 2:
-            return
-        goal = tokens[: length * streams].reshape(streams, length)
+        if length:
+            self._train(tokens[: length * streams].reshape(streams, length), start, window, rate)
+        if length * streams < len(tokens):
+            self._train(tokens[length * streams :].reshape(1, -1), start, window, rate)
+
+    def _train(self, goal: np.ndarray, start: int, window: int, rate: float) -> None:
+        streams, length = goal.shape
         prev = np.concatenate([np.full((streams, 1), start), goal[:, :-1]], axis=1)
-        h = np.zeros((streams, self.width), dtype=np.float32)
-        first = {n: np.zeros_like(x) for n, x in zip(self.NAMES, self.weights(), strict=True)}
-        second = {n: np.zeros_like(x) for n, x in first.items()}
-        w, step = self.width, 0
-        for lo in range(0, length - 1, window):
+        h, w = np.zeros((streams, self.width), dtype=np.float32), self.width
+        for lo in range(0, length, window):
             xs, ys = prev[:, lo : lo + window].T, goal[:, lo : lo + window].T
+            seen = self.embed[xs]
+            gx = seen @ self.wx + self.bias
             memory = []
-            for x in xs:
-                z, r, n, gn, new = self._step(self.embed[x] @ self.wx + self.bias, h)
-                memory.append((x, h, z, r, n, gn))
+            for g in gx:
+                z, r, n, own, new = self._step(g, h)
+                memory.append((h, z, r, n, own))
                 h = new
-            states = np.stack([m[1] for m in memory[1:]] + [h])
+            states = np.stack([m[0] for m in memory[1:]] + [h])
             grads = {name: np.zeros_like(x) for name, x in zip(self.NAMES, self.weights(), strict=True)}
             dhs = self._loss_grads(states.reshape(-1, w), ys.reshape(-1), grads).reshape(states.shape)
             carry = np.zeros_like(h)
+            dgx = np.empty((len(memory), streams, 3 * w), dtype=np.float32)
+            dgh = np.empty((streams, 3 * w), dtype=np.float32)
             for t in range(len(memory) - 1, -1, -1):
-                x, before, z, r, n, gn = memory[t]
+                before, z, r, n, own = memory[t]
                 d = dhs[t] + carry
                 dn = d * (1 - z) * (1 - n * n)
-                dz = d * (before - n) * z * (1 - z)
-                dr = dn * gn * r * (1 - r)
-                gx = np.concatenate([dz, dr, dn], axis=1)
-                gh = np.concatenate([dz, dr, dn * r], axis=1)
-                grads["wh"] += before.T @ gh
-                grads["wx"] += self.embed[x].T @ gx
-                grads["bias"] += gx.sum(axis=0)
-                np.add.at(grads["embed"], x, gx @ self.wx.T)
-                carry = d * z + gh @ self.wh.T
-            step += 1
-            scale = np.float32(1 / states[..., 0].size)
-            for name, x in zip(self.NAMES, self.weights(), strict=True):
-                g = np.clip(grads[name] * scale, -1, 1)
-                first[name] = 0.9 * first[name] + 0.1 * g
-                second[name] = 0.99 * second[name] + 0.01 * g * g
-                x -= rate * (first[name] / (1 - 0.9**step)) / (np.sqrt(second[name] / (1 - 0.99**step)) + 1e-6)
+                dgx[t, :, :w] = dgh[:, :w] = d * (before - n) * z * (1 - z)
+                dgx[t, :, w : 2 * w] = dgh[:, w : 2 * w] = dn * own * r * (1 - r)
+                dgx[t, :, 2 * w :] = dn
+                dgh[:, 2 * w :] = dn * r
+                grads["wh"] += before.T @ dgh
+                carry = d * z + dgh @ self.wh.T
+            flat, x = dgx.reshape(-1, 3 * w), xs.reshape(-1)
+            grads["wx"] += seen.reshape(-1, w).T @ flat
+            grads["bias"] += flat.sum(axis=0)
+            order = np.argsort(x, kind="stable")
+            cut = np.flatnonzero(np.concatenate([[True], x[order][1:] != x[order][:-1]]))
+            grads["embed"][x[order][cut]] = np.add.reduceat((flat @ self.wx.T)[order], cut)
+            self._adam(grads, rate, x.size)
+
+    def _adam(self, grads: dict[str, np.ndarray], rate: float, size: int) -> None:
+        if self.moments is None:
+            self.moments = {n: (np.zeros_like(x), np.zeros_like(x)) for n, x in zip(self.NAMES, self.weights(), strict=True)}
+        self.step += 1
+        for name, x in zip(self.NAMES, self.weights(), strict=True):
+            g, (first, second) = grads[name], self.moments[name]
+            g *= np.float32(1 / size)
+            np.clip(g, -1, 1, out=g)
+            first *= 0.9
+            first += np.float32(0.1) * g
+            g *= g
+            second *= 0.99
+            second += np.float32(0.01) * g
+            np.multiply(second, np.float32(1 / (1 - 0.99**self.step)), out=g)
+            np.sqrt(g, out=g)
+            g += np.float32(1e-6)
+            np.divide(first, g, out=g)
+            g *= np.float32(rate / (1 - 0.9**self.step))
+            x -= g
+
+
+def _log_sum(logits: np.ndarray) -> np.ndarray:
+    """The logarithm of the sum of the rows' exponentials; ``logits`` is used up."""
+    top = logits.max()
+    if top > 60:  # otherwise no exponential is too large
+        high = logits.max(axis=1)
+        logits -= high[:, None]
+        return high + np.log(np.exp(logits, out=logits).sum(axis=1, dtype=np.float64))
+    return np.log(np.exp(logits, out=logits) @ np.ones(logits.shape[1], dtype=np.float32)).astype(np.float64)
+
+
+def _shares(logits: np.ndarray) -> np.ndarray:
+    logits -= logits.max(axis=1, keepdims=True)
+    np.exp(logits, out=logits)
+    logits /= (logits @ np.ones(logits.shape[1], dtype=np.float32))[:, None]
+    return logits

@@ -4,9 +4,11 @@ Word counts come from all training documents. The commonest words (a bounded num
 model's vocabulary; every other word is its unknown token, and within that token has the share of its count plus one. So
 the model gives each sequence of words a probability, and the counts of all words enter its score.
 
-The recurrent model is trained by rounds of truncated backpropagation: a fixed number of workers each train on their part
-of a bounded sample of the training documents, and their weights are averaged. Scoring is one pass over all documents
-that carries the state through each whole text; words outside the vocabulary are kept for a join with the counts.
+The recurrent model learns from every training document once, by truncated backpropagation in three rounds of growing
+size. In a round each scan partition is a worker, so that workers grow in number with the input; it runs through its
+documents with the weights that the round began with, and the workers' weights are averaged, each by its tokens. The
+averages are made in Spark, piece by piece. Scoring is one pass over all documents that carries the state through each
+whole text; words outside a bounded list of counts are kept for a join with all counts.
 """
 
 from __future__ import annotations
@@ -20,11 +22,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvina.llm.common import task_count
 from corvina.llm.gru import Gru
 from corvina.session import saved
 
-#: The vocabulary's size and longest word; workers, rounds and tokens for each worker and round.
-VOCABULARY, LONGEST, WORKERS, ROUNDS, TOKENS = 8_192, 64, 6, 2, 250_000
+#: The model's words, the words whose counts every task knows, and the longest of these in bytes.
+VOCABULARY, KNOWN, LONGEST = 4_096, 65_536, 4_096
+#: Up to which share of the training documents each round goes, and its rate.
+ROUNDS = ((1 / 16, 1.2e-2), (1 / 4, 8e-3), (1.0, 4e-3))
+#: Tokens of a run of training, tokens scored together, and weights of a piece that is averaged.
+RUN, TOGETHER, PIECE = 196_608, 1_000_000, 1_024
 _LN10 = math.log(10)
 
 
@@ -65,112 +72,157 @@ class Vocabulary:
 
     def encode(self, words: list[bytes]) -> np.ndarray:
         get, unknown = self.number.get, self.unknown
-        return np.array([*[get(w, unknown) for w in words], self.end], dtype=np.int64)
+        return np.array([*[get(w, unknown) for w in words], self.end], dtype=np.int32)
 
 
-def _train(vocab: Vocabulary, weights: list[np.ndarray], rate: float, most: int):
+def _train(vocab: Vocabulary, weights: np.ndarray, rate: float):
+    kinds = pa.schema([("piece", pa.int32()), ("n", pa.int64()), ("weights", pa.binary())])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Gru(vocab.counts)
-        model.set_weights(weights)
-        held, n = [], 0
+        model, held, waiting, n = Gru(vocab.counts), [], 0, 0
+        model.set_flat(weights)
         for b in batches:
             for text in b.column("text"):
-                if n < most:
-                    held.append(vocab.encode(words_of(text.as_py())))
-                    n += len(held[-1])
+                held.append(vocab.encode(words_of(text.as_py())))
+                waiting += len(held[-1])
+                if waiting >= RUN:
+                    model.train(np.concatenate(held), vocab.end, rate=rate)
+                    held, waiting, n = [], 0, n + waiting
+        if waiting:
+            model.train(np.concatenate(held), vocab.end, rate=rate)
+            n += waiting
         if n:
-            model.train(np.concatenate(held)[:most], vocab.end, rate=rate)
-            flat = np.concatenate([x.ravel() for x in model.weights()]).astype("<f4").tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([flat], pa.binary())], names=["n", "weights"])
+            parts = np.split(model.flat().astype("<f4"), range(PIECE, len(weights), PIECE))
+            yield pa.RecordBatch.from_pydict({"piece": range(len(parts)), "n": [n] * len(parts), "weights": [x.tobytes() for x in parts]}, schema=kinds)
 
     return run
 
 
-def train(docs: DataFrame, vocab: Vocabulary, total_tokens: int, id_col: str, text_col: str) -> Gru:
-    """A model averaged over the workers; ``docs`` are the training documents.
+def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The averages of the pieces, which come sorted."""
+    at, total, sums = None, 0, None
 
-    The sample is those with the smallest hashes, as large a share as gives each worker its tokens for all rounds.
-    """
+    def told() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([(sums / total).astype("<f4").tobytes()], pa.binary())], names=["piece", "weights"])
+
+    for b in batches:
+        for piece, n, weights in zip(*(b.column(c).to_pylist() for c in ("piece", "n", "weights")), strict=True):
+            if piece != at:
+                if at is not None:
+                    yield told()
+                at, total, sums = piece, 0, 0.0
+            sums = sums + n * np.frombuffer(weights, "<f4").astype(np.float64)
+            total += n
+    if at is not None:
+        yield told()
+
+
+def train(docs: DataFrame, vocab: Vocabulary, id_col: str, text_col: str) -> Gru:
+    """A model that has learnt from all of ``docs``, the training documents; only its own weights come to the driver."""
     model = Gru(vocab.counts)
-    share = min(1.0, 1.2 * WORKERS * ROUNDS * TOKENS / max(1, total_tokens))
-    h = F.pmod(F.xxhash64(F.lit(23), F.col(id_col)), F.lit(1 << 20))
-    picked = docs.select(F.col(text_col).cast("binary").alias("text"), h.alias("h")).where(F.col("h") < math.ceil(share * (1 << 20)))
-    picked = saved(picked.withColumn("worker", F.pmod(F.xxhash64(F.lit(29), "h"), F.lit(WORKERS * ROUNDS)).cast("int")), "sample")
-    for k in range(ROUNDS):
-        # a worker for each number; the weights of a fixed number of workers come back
-        part = picked.where((F.col("worker") % ROUNDS) == k).repartition(WORKERS, "worker").sortWithinPartitions("h", F.xxhash64("text"))
-        got = part.select("text").mapInArrow(_train(vocab, model.weights(), 4e-3 / (1 + k), 2 * TOKENS), "n long, weights binary").collect()
-        if not got:
-            break
-        got.sort(key=lambda r: (r[0], bytes(r[1])))
-        n = np.array([r[0] for r in got], dtype=np.float64)
-        mean = (np.stack([np.frombuffer(r[1], "<f4") for r in got]) * (n / n.sum())[:, None]).sum(axis=0)
-        cuts = np.cumsum([x.size for x in model.weights()])[:-1]
-        model.set_weights([x.reshape(w.shape) for x, w in zip(np.split(mean, cuts), model.weights(), strict=True)])
+    spark = docs.sparkSession
+    n = min(task_count(spark, 0), -(-len(model.flat()) // PIECE))
+    text = F.col(text_col).cast("binary").alias("text")
+    share = F.pmod(F.xxhash64(F.lit(23), F.col(id_col), F.col(text_col)), F.lit(1 << 20)) / float(1 << 20)
+    before = 0.0
+    for upto, rate in ROUNDS:
+        part = docs.where((share >= before) & (share < upto)).select(text)
+        told = part.mapInArrow(_train(vocab, model.flat(), rate), "piece int, n long, weights binary")
+        ordered = told.repartition(n, "piece").sortWithinPartitions("piece", "n", F.xxhash64("weights"))
+        got = ordered.mapInArrow(_average, "piece int, weights binary").collect()  # as many rows as the model has pieces
+        if got:
+            model.set_flat(np.concatenate([np.frombuffer(r.weights, "<f4") for r in sorted(got, key=lambda r: r.piece)]))
+        before = upto
     return model
 
 
+class LanguageModel:
+    """What is learnt: the counts of all words (a table), their sums, the vocabulary, the further known counts, the weights."""
+
+    def __init__(self, taught: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
+        self.counts = saved(word_counts(taught, text_col), "counts")
+        ends = taught.count()
+        words, distinct = self.counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+        self.total, self.types = words + ends, distinct + (ends > 0)
+        common = self.counts.where(F.length("word") <= LONGEST).orderBy(F.desc("c"), "word").limit(KNOWN).collect()  # of a bounded size
+        head = [(bytes(r[0]), r[1]) for r in common[:VOCABULARY]]
+        self.known = {bytes(r[0]): r[1] for r in common[VOCABULARY:]}
+        in_head = sum(c for _, c in head)
+        self.vocab = Vocabulary(head, ends, words - in_head)
+        #: Within the unknown token: the other words' counts plus one each, and one for a word never seen.
+        self.tail_mass = words - in_head + distinct - len(head) + 1
+        self.model = train(taught, self.vocab, id_col, text_col)
+
+
 _SCORED = pa.schema([
-    ("uid", pa.int64()), ("id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("head_log", pa.float64()), ("model_log", pa.float64()),
-    ("tail", pa.list_(pa.binary())), ("times", pa.list_(pa.int64())),
+    ("uid", pa.int64()), ("id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("known_log", pa.float64()), ("tail_log", pa.float64()),
+    ("tail_n", pa.int64()), ("model_log", pa.float64()), ("tail", pa.list_(pa.binary())), ("times", pa.list_(pa.int64())),
 ])
 
 
-def _score(vocab: Vocabulary, model: Gru):
+def _score(vocab: Vocabulary, known: dict[bytes, int], model: Gru):
     logs = np.log10(vocab.counts + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        uid = TaskContext.get().partitionId() << 40
+        uid, rows, ids, waiting = TaskContext.get().partitionId() << 40, [], [], 0
+
+        def told() -> pa.RecordBatch:
+            nonlocal rows, ids, waiting
+            likely = model.score(ids, vocab.end).tolist()
+            rows = [(*r[:7], p, *r[7:]) for r, p in zip(rows, likely, strict=True)]
+            out = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SCORED, strict=True)], schema=_SCORED)
+            rows, ids, waiting = [], [], 0
+            return out
+
         for b in batches:
-            for lo in range(0, b.num_rows, 1_024):
-                part = b.slice(lo, 1_024)
-                texts = [words_of(t.as_py()) for t in part.column("text")]
-                ids = [vocab.encode(t) for t in texts]
-                likely = model.score(ids, vocab.end)
-                rows = []
-                for doc, words, k, p in zip(part.column("id").to_pylist(), texts, ids, likely.tolist(), strict=True):
-                    known = k != vocab.unknown
-                    tail = Counter([words[i] for i in np.flatnonzero(~known).tolist()])
-                    n_known = int((vocab.counts[k[known]] > 0).sum())
-                    rows.append((uid, doc, len(k), n_known, float(logs[k[known]].sum()), p, list(tail), list(tail.values())))
-                    uid += 1
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SCORED, strict=True)], schema=_SCORED)
+            for doc, text in zip(b.column("id").to_pylist(), b.column("text"), strict=True):
+                words = words_of(text.as_py())
+                k = vocab.encode(words)
+                in_head = k != vocab.unknown
+                head, others = k[in_head], np.flatnonzero(~in_head).tolist()
+                counts = [known.get(words[i], 0) for i in others]
+                tail = Counter([words[i] for i, c in zip(others, counts, strict=True) if not c])
+                found = [c for c in counts if c]
+                n_known = int((vocab.counts[head] > 0).sum()) + len(found)
+                tail_log = float(np.log10(np.array(found) + 1.0).sum()) if found else 0.0
+                rows.append((uid, doc, len(k), n_known, float(logs[head].sum()), tail_log, len(others), list(tail), list(tail.values())))
+                ids.append(k)
+                uid, waiting = uid + 1, waiting + len(k)
+                if waiting >= TOGETHER:
+                    yield told()
+        if rows:
+            yield told()
 
     return run
 
 
-def score_documents(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id, n_tokens, n_known, train_tokens, base_score, score), one for each row of docs; log10 probabilities.
-
-    ``training`` is a condition on docs; the rows for which it holds are learnt from. Null and empty texts are the end
-    token alone. Repeated rows are scored each, and count as often in training. With no training row every token is
-    unknown. An empty table gives an empty result. Only the named columns and those of the condition are read.
-    """
-    taught = docs.where(training)
-    counts = saved(word_counts(taught, text_col), "counts")
-    ends = taught.count()
-    n_words, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    total, types = n_words + ends, distinct + (ends > 0)
-    short = counts.where(F.length("word") <= LONGEST)
-    head = [(bytes(r[0]), r[1]) for r in short.orderBy(F.desc("c"), "word").limit(VOCABULARY).collect()]  # of a bounded size
-    vocab = Vocabulary(head, ends, n_words - sum(c for _, c in head))
-    # within the unknown token: the other words' counts plus one, and one for a word never seen
-    tail_mass = n_words - sum(c for _, c in head) + distinct - len(head) + 1
-    model = train(taught, vocab, total, id_col, text_col)
-    schema = "uid long, id long, n_tokens long, n_known long, head_log double, model_log double, tail array<binary>, times array<long>"
+def score_with(lm: LanguageModel, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows (id, n_tokens, n_known, train_tokens, base_score, score), one for each row of docs; see ``score_documents``."""
+    kinds = "uid long, id long, n_tokens long, n_known long, known_log double, tail_log double, tail_n long, model_log double, tail array<binary>, times array<long>"
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    scored = saved(rows.mapInArrow(_score(vocab, model), schema), "scored")
+    scored = saved(rows.mapInArrow(_score(lm.vocab, lm.known, lm.model), kinds), "scored")
     tail = scored.select("uid", F.explode(F.arrays_zip("tail", "times")).alias("t")).select("uid", F.col("t.tail").alias("word"), F.col("t.times").alias("times"))
     c = F.coalesce("c", F.lit(0))
-    tails = tail.join(counts, "word", "left").groupBy("uid").agg(
-        F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("known"), F.sum(F.col("times") * F.log10(c + 1)).alias("tail_log"), F.sum("times").alias("tail_n")
+    tails = tail.join(lm.counts, "word", "left").groupBy("uid").agg(
+        F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("rare"), F.sum(F.col("times") * F.log10(c + 1)).alias("rare_log")
     )
     whole = scored.drop("tail", "times").join(tails, "uid", "left")
-    tail_log, tail_n = F.coalesce("tail_log", F.lit(0.0)), F.coalesce("tail_n", F.lit(0))
+    tail_log = F.col("tail_log") + F.coalesce("rare_log", F.lit(0.0))
     return whole.select(
-        "id", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("head_log") + tail_log - F.col("n_tokens") * math.log10(total + types + 1)).alias("base_score"),
-        (F.col("model_log") / _LN10 + tail_log - tail_n * math.log10(tail_mass)).alias("score"),
+        "id", "n_tokens", (F.col("n_known") + F.coalesce("rare", F.lit(0))).alias("n_known"), F.lit(lm.total).cast("long").alias("train_tokens"),
+        (F.col("known_log") + tail_log - F.col("n_tokens") * math.log10(lm.total + lm.types + 1)).alias("base_score"),
+        (F.col("model_log") / _LN10 + tail_log - F.col("tail_n") * math.log10(lm.tail_mass)).alias("score"),
     )
+
+
+def score_documents(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows (id, n_tokens, n_known, train_tokens, base_score, score), one for each row of docs; log10 probabilities.
+
+    ``training`` is a condition on docs; the rows for which it holds are learnt from. Null and empty texts are the end
+    token alone. Repeated rows are scored each, and count as often in training; a null id is an id like others. With no
+    training row every token is unknown. An empty table gives an empty result. Only the named columns and those of the
+    condition are read.
+    """
+    return score_with(LanguageModel(docs.where(training), id_col, text_col), docs, id_col, text_col)

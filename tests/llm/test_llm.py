@@ -433,6 +433,58 @@ def test_language_model(spark, docs, none):
     assert {(r.n_known, r.train_tokens, r.base_score) for r in blind} == {(0, 0, 0.0)}
 
 
+def _step_by_step(model, tokens, start):
+    """The natural log probability of a token sequence by the model's equations, one token at a time in double precision."""
+    w = {n: x.astype(np.float64) for n, x in zip(model.NAMES, model.weights(), strict=True)}
+    width, h, before, out = model.width, np.zeros(model.width), start, 0.0
+    for token in tokens:
+        x, g = w["embed"][before] @ w["wx"] + w["bias"], h @ w["wh"]
+        z, r = (1 / (1 + np.exp(-(x[k * width : (k + 1) * width] + g[k * width : (k + 1) * width]))) for k in (0, 1))
+        n = np.tanh(x[2 * width :] + r * g[2 * width :])
+        h = (1 - z) * n + z * h
+        k = model.class_of[token]
+        members = np.flatnonzero(model.class_of == k)
+        classes, words = np.exp(h @ w["class_w"] + w["class_b"]), np.exp(w["word_w"][members] @ h + w["word_b"][members])
+        out += math.log(classes[k] / classes.sum() * words[list(members).index(token)] / words.sum())
+        before = token
+    return out
+
+
+@pytest.mark.parametrize("bounds", [(4_096, 65_536), (20, 10)])
+def test_model_scores_equal_a_step_by_step_evaluation(spark, docs, monkeypatch, bounds):
+    """Also with a small vocabulary and few known counts, so that words meet their counts by the join."""
+    monkeypatch.setattr(lm_score, "VOCABULARY", bounds[0])
+    monkeypatch.setattr(lm_score, "KNOWN", sum(bounds))
+    held = quality.held_out(F.col("doc_id"), 7)
+    lm = lm_score.LanguageModel(docs.where(~held))
+    got = {r.id: r.score for r in lm_score.score_with(lm, docs).collect()}
+    counts = {bytes(r.word): r.c for r in lm.counts.collect()}
+    head = lm.vocab.number
+    mass = sum(c + 1 for w, c in counts.items() if w not in head) + 1
+    for i, t in enumerate(TEXTS):
+        words = lm_score.words_of((t or "").encode())
+        want = _step_by_step(lm.model, lm.vocab.encode(words).tolist(), lm.vocab.end) / math.log(10)
+        want += sum(math.log10((counts.get(w, 0) + 1) / mass) for w in words if w not in head)
+        assert abs(got[i] - want) < 1e-4 * max(1, abs(want)), i
+
+
+def test_every_training_token_is_learnt_from_once(spark, docs, monkeypatch):
+    from corvina.llm.gru import Gru
+
+    seen = []
+    monkeypatch.setattr(Gru, "_train", lambda self, goal, *_: seen.append(goal.size))
+    Gru(np.ones(9)).train(np.zeros(100_003, dtype=np.int32), 0)
+    Gru(np.ones(9)).train(np.zeros(5, dtype=np.int32), 0)
+    assert sum(seen) == 100_008
+
+
+def test_language_model_takes_repeated_and_null_ids(spark, repeats_and_nulls):
+    df, rows = repeats_and_nulls
+    got = lm_score.score_documents(df, F.lit(True)).collect()
+    assert sorted((str(r.id), r.n_tokens) for r in got) == sorted((str(d), len(_words(t)) + 1) for d, t in rows)
+    assert {r.n_tokens - r.n_known for r in got} == {0}
+
+
 def test_gru_is_a_distribution_and_learns():
     counts = np.array([50, 40, 30, 5, 4, 3, 2, 1], dtype=float)
     model = gru.Gru(counts, classes=3, width=8)
@@ -441,8 +493,7 @@ def test_gru_is_a_distribution_and_learns():
         assert abs(np.exp(model.log_probs(np.repeat(h[None], 8, axis=0), np.arange(8))).sum() - 1) < 1e-5
     tokens = np.tile([0, 3, 1, 5, 2, 7], 3_000)
     before = model.score([tokens[:600]], 0)[0]
-    for _ in range(3):
-        model.train(tokens, 0, streams=8)
+    model.train(tokens, 0, streams=8)  # once
     assert model.score([tokens[:600]], 0)[0] > 0.3 * before
     texts = [tokens[:n] for n in (1, 70, 64, 300)]
     apart = [model.score([t], 0)[0] for t in texts]
