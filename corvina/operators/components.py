@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvina.operators.joins import frequent_limit, join_counted
 from corvina.session import saved
 
 
@@ -50,15 +51,15 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(c, kind)], names=["u", "v"])
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, limit: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    return join_counted(both.where("v > u"), least, "u", "n", limit, "v").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+def _small_star(edges: DataFrame, limit: int) -> DataFrame:
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    moved = join_counted(edges, least, "u", "n", limit, "v").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -71,8 +72,8 @@ def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int =
 
     Edges with a null end and self loops count for nothing. Every round writes the remaining star edges to the shared
     folder, so that the plan stays short, and begins by contracting the edges of each scan partition on their own; the number
-    of rounds grows with the logarithm of the longest chain. No node's neighbours are ever gathered in one place: rounds
-    consist of minima with partial sums and equi-joins.
+    of rounds grows with the logarithm of the longest chain. No node's neighbours are ever gathered in one place: minima
+    have partial results, and a node with many edges, of which there are few, meets them by a broadcast.
     """
     now = (
         edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v"))
@@ -85,7 +86,8 @@ def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int =
         if not before[0]:
             break
         stars = now.mapInArrow(_contract, now.schema)  # a scan's partitions are of bounded size
-        now = saved(_small_star(_large_star(stars)), "edges")
+        limit = frequent_limit(2 * before[0])
+        now = saved(_small_star(_large_star(stars, limit), limit), "edges")
         after = _state(now)
         if after == before:
             break
