@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from corvina.llm.common import bounded_sample, group_slices, whole_groups
 from corvina.llm.vectors import matrix
 from corvina.operators.components import connected_components, forest
+from corvina.operators.joins import frequent_limit, join_counted
 from corvina.session import saved
 
 #: Rows of the sample that costs are estimated on.
@@ -313,14 +314,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     null. An empty table gives an empty result. Only the two named columns are read, whatever else the table holds.
     """
     marked = saved(fingerprints(docs, id_col, text_col, words), "fingerprints")
-    nodes = saved(marked.groupBy("fp").agg(F.min("id").alias("least")).withColumn("node", F.col("fp")), "nodes")
-    edges = saved(links(nodes, distance, block=block), "links")
+    nodes = marked.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")).withColumn("node", F.col("fp"))
+    nodes = saved(nodes, "nodes")
+    edges = saved(links(nodes.select("node", "fp"), distance, block=block), "links")
     found = connected_components(edges, "a", "b")
     root = found.join(nodes.select("node", "least"), "node")
-    best = root.groupBy("component").agg(F.min("least").alias("best"))
-    named = root.join(best, "component").select("node", "best")
-    whole = nodes.join(named, "node", "left").select("fp", F.coalesce("best", "least").alias("component_id"))
-    return marked.join(whole, "fp").select("id", "fp", "component_id")
+    best = root.groupBy("component").agg(F.min("least").alias("best"), F.count("*").alias("n"))
+    limit = frequent_limit(marked.count())
+    named = join_counted(root.select("node", "component"), best, "component", "n", limit, "node")
+    whole = nodes.join(named, "node", "left").select("fp", "n", F.coalesce("best", "least").alias("component_id"))
+    return join_counted(marked, whole, "fp", "n", limit, "id").select("id", "fp", "component_id")
 
 
 #: Sets of five-word shingles with a similarity of 0.8 differ by 39 of 256 bits on average (a share of two ninths of the
@@ -373,12 +376,13 @@ def similar_pairs(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, words: in
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without near-duplicates: of each component the row with the smallest id stays (of repeated ids, one).
+    """``docs`` without near-duplicates: of each component the row with the smallest id stays.
 
     Near-duplicates have at least 0.8 of their five-word shingles in common (Jaccard of the sets, computed for each
     candidate pair); texts without words are copies of each other.
 
-    Rows with a null id can't be named by a component; they all stay.
+    Different texts that share an id are rows of their own; of rows that repeat both id and text one stays. Rows with a
+    null id can't be named by a component; they all stay.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("t"))
     marked = saved(set_fingerprints(rows, WORDS, EXTRA), "fingerprints")
@@ -395,6 +399,9 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         found = saved(links(turned, DISTANCE, LIMIT, block=WIDE_BLOCK, every=True).distinct(), "links")
         offered = found if offered is None else offered.unionByName(found)
     edges = close.unionByName(similar_pairs(offered, nodes, rows, WORDS, LEAST))
-    whole = nodes.join(connected_components(edges, "a", "b"), "node", "left").groupBy(F.coalesce("component", "node")).agg(F.min("least").alias(id_col))
-    named = docs.join(whole.select(id_col), id_col, "left_semi").dropDuplicates([id_col])
-    return named.unionByName(docs.where(F.col(id_col).isNull()))
+    best = F.min(F.struct(F.col("least").isNull().alias("none"), F.col("least").alias("id"), "key")).alias("best")
+    whole = nodes.join(connected_components(edges, "a", "b"), "node", "left").groupBy(F.coalesce("component", "node")).agg(best)
+    whole = whole.select(F.col("best.id").alias("__id"), F.col("best.key").alias("__key"))
+    stays = (F.col(id_col) == F.col("__id")) & (F.xxhash64(text_col) == F.col("__key"))
+    kept = docs.join(whole, stays, "left_semi").withColumn("__key", F.xxhash64(text_col)).dropDuplicates([id_col, "__key"]).drop("__key")
+    return kept.unionByName(docs.where(F.col(id_col).isNull()))
