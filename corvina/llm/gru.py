@@ -22,11 +22,11 @@ class Gru:
 
     NAMES = ("embed", "wx", "wh", "bias", "class_w", "class_b", "word_w", "word_b")
 
-    def __init__(self, counts: np.ndarray, classes: int = 32, width: int = 24, seed: int = 3):
+    def __init__(self, counts: np.ndarray, classes: int = 24, width: int = 16, seed: int = 3):
         rng = np.random.default_rng(seed)
         v, self.width = len(counts), width
         self.firsts = make_classes(counts, classes)
-        self.class_of = np.repeat(np.arange(len(self.firsts) - 1), np.diff(self.firsts))
+        self.class_of = np.repeat(np.arange(len(self.firsts) - 1, dtype=np.int16), np.diff(self.firsts))
         share = (counts + 1.0) / (counts + 1.0).sum()
         by_class = np.add.reduceat(share, self.firsts[:-1])
         f = np.float32
@@ -55,17 +55,17 @@ class Gru:
         self.set_weights([x.reshape(w.shape) for x, w in zip(np.split(flat, cuts), self.weights(), strict=True)])
 
     def _step(self, gx: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Gates z and r, candidate n, the state's part of n, and the next state."""
+        """Gates z and r, candidate n, the state's part of n, and the next state; a column for each stream."""
         w = self.width
-        gh = h @ self.wh
-        zr = gx[:, : 2 * w] + gh[:, : 2 * w]
+        gh = self.wh.T @ h
+        zr = gx[: 2 * w] + gh[: 2 * w]
         zr *= 0.5  # the logistic function by the hyperbolic tangent
         np.tanh(zr, out=zr)
         zr += 1
         zr *= 0.5
-        z, r, own = zr[:, :w], zr[:, w:], gh[:, 2 * w :]
+        z, r, own = zr[:w], zr[w:], gh[2 * w :]
         n = r * own
-        n += gx[:, 2 * w :]
+        n += gx[2 * w :]
         np.tanh(n, out=n)
         new = h - n
         new *= z
@@ -103,8 +103,7 @@ class Gru:
         """The log probability of each whole text.
 
         Texts are dealt to streams that run side by side, the longest first and each to the shortest stream, one after
-        another; the state goes on from window to window and begins anew with each text. ``start`` is the token that comes
-        before every text; where a text ends with it, as all but the last of a stream must, the next finds it there.
+        another; the state goes on from window to window and begins anew with each text, before which comes ``start``.
         """
         lengths = np.array([len(t) for t in texts], dtype=np.int64)
         out = np.zeros(len(texts))
@@ -119,30 +118,31 @@ class Gru:
             return out
         most = -streams[0][0]
         size = np.array([-n for n, _, _ in streams])
-        goal = np.zeros((len(streams), most), dtype=np.int32)
-        owner, fresh = np.zeros((len(streams), most), dtype=np.int32), np.zeros((len(streams), most), dtype=bool)
-        for k, (_, _, held) in enumerate(streams):
+        goal, owner = np.zeros((len(streams), most), dtype=np.int32), np.full((len(streams), most), -1, dtype=np.int32)
+        before, fresh = np.full((len(streams), most), start, dtype=np.int32), np.zeros((len(streams), most), dtype=bool)
+        for k, (n, _, held) in enumerate(streams):
             ends = np.cumsum(lengths[held])
-            goal[k, : ends[-1]] = np.concatenate([texts[i] for i in held])
-            owner[k, : ends[-1]] = np.repeat(held, lengths[held])
-            fresh[k, np.append(0, ends[:-1])] = True
+            goal[k, :-n] = np.concatenate([texts[i] for i in held])
+            owner[k, :-n] = np.repeat(held, lengths[held])
+            before[k, 1:] = goal[k, :-1]
+            begins = np.append(0, ends[:-1])
+            fresh[k, begins], before[k, begins] = True, start
         table = self.embed @ self.wx + self.bias
-        h, last = np.zeros((len(streams), self.width), dtype=np.float32), np.full(len(streams), start)
-        live = np.searchsorted(-size, -np.arange(most), side="left")  # streams that go on at each place
+        h = np.zeros((self.width, len(streams)), dtype=np.float32)
         for lo in range(0, most, window):
-            states, goals, owners = [], [], []
-            for t in range(lo, min(most, lo + window)):
-                k = int(live[t])
-                begins = np.flatnonzero(fresh[:k, t])
-                if len(begins):
-                    h[begins], last[begins] = 0, start
-                h[:k] = new = self._step(table[last[:k]], h[:k])[4]
-                last[:k] = goal[:k, t]
-                states.append(new)
-                goals.append(goal[:k, t])
-                owners.append(owner[:k, t])
-            got = self.log_probs(np.concatenate(states), np.concatenate(goals))
-            out += np.bincount(np.concatenate(owners), weights=got, minlength=len(texts))
+            k = int((size > lo).sum())  # streams that go on
+            part = slice(lo, min(most, lo + window))
+            gx = np.ascontiguousarray(table[before[:k, part]].transpose(1, 2, 0))
+            begun, h = fresh[:k, part].T, np.ascontiguousarray(h[:, :k])
+            states = np.empty((len(gx), *h.shape), dtype=np.float32)
+            for t, any_begins in enumerate(begun.any(axis=1).tolist()):
+                if any_begins:
+                    h[:, begun[t]] = 0
+                states[t] = h = self._step(gx[t], h)[4]
+            of = owner[:k, part].T.ravel()
+            rows = states.transpose(0, 2, 1).reshape(-1, self.width)[of >= 0]
+            got = self.log_probs(rows, goal[:k, part].T.ravel()[of >= 0])
+            out += np.bincount(of[of >= 0], weights=got, minlength=len(texts))
         return out
 
     def _loss_grads(self, h: np.ndarray, targets: np.ndarray, grads: dict[str, np.ndarray]) -> np.ndarray:
@@ -153,7 +153,7 @@ class Gru:
         p = _shares(hs @ self.class_w + self.class_b)
         p[np.arange(n), c[order]] -= 1
         grads["class_w"] += hs.T @ p
-        grads["class_b"] += p.sum(axis=0)
+        grads["class_b"] += np.ones(n, dtype=np.float32) @ p
         dhs = p @ self.class_w.T
         for k, a, b in runs:
             lo, hi = self.firsts[k], self.firsts[k + 1]
@@ -162,13 +162,13 @@ class Gru:
             p = _shares(hs[a:b] @ self.word_w[lo:hi].T + self.word_b[lo:hi])
             p[np.arange(b - a), goals[a:b] - lo] -= 1
             grads["word_w"][lo:hi] += p.T @ hs[a:b]
-            grads["word_b"][lo:hi] += p.sum(axis=0)
+            grads["word_b"][lo:hi] += np.ones(b - a, dtype=np.float32) @ p
             dhs[a:b] += p @ self.word_w[lo:hi]
         dh = np.empty_like(dhs)
         dh[order] = dhs
         return dh
 
-    def train(self, tokens: np.ndarray, start: int, streams: int = 256, window: int = 24, rate: float = 1.2e-2) -> None:
+    def train(self, tokens: np.ndarray, start: int, streams: int = 384, window: int = 24, rate: float = 1.2e-2) -> None:
         """Truncated backpropagation over a run of tokens, every one of them once; Adam's moments go on from run to run.
 
         The run is cut into streams that keep their state from window to window, as many as leave each some windows; what
@@ -184,35 +184,38 @@ class Gru:
     def _train(self, goal: np.ndarray, start: int, window: int, rate: float) -> None:
         streams, length = goal.shape
         prev = np.concatenate([np.full((streams, 1), start), goal[:, :-1]], axis=1)
-        h, w = np.zeros((streams, self.width), dtype=np.float32), self.width
+        h, w = np.zeros((self.width, streams), dtype=np.float32), self.width
         for lo in range(0, length, window):
-            xs, ys = prev[:, lo : lo + window].T, goal[:, lo : lo + window].T
+            xs, ys = (np.ascontiguousarray(a[:, lo : lo + window].T) for a in (prev, goal))
             seen = self.embed[xs]
-            gx = seen @ self.wx + self.bias
-            memory = []
-            for g in gx:
-                z, r, n, own, new = self._step(g, h)
-                memory.append((h, z, r, n, own))
-                h = new
-            states = np.stack([m[0] for m in memory[1:]] + [h])
+            gx = np.ascontiguousarray((seen @ self.wx + self.bias).transpose(0, 2, 1))
+            before, z, r, n, own = (np.empty((len(gx), w, streams), dtype=np.float32) for _ in range(5))
+            for t in range(len(gx)):
+                before[t] = h
+                z[t], r[t], n[t], own[t], h = self._step(gx[t], h)
+            states = np.concatenate([before[1:], h[None]]).transpose(0, 2, 1).reshape(-1, w)
             grads = {name: np.zeros_like(x) for name, x in zip(self.NAMES, self.weights(), strict=True)}
-            dhs = self._loss_grads(states.reshape(-1, w), ys.reshape(-1), grads).reshape(states.shape)
+            dhs = self._loss_grads(states, ys.reshape(-1), grads).reshape(len(gx), streams, w)
+            dhs = np.ascontiguousarray(dhs.transpose(0, 2, 1))
+            # what a state's gradient is multiplied with on its way to the gates and to the candidate
+            to_n, to_z, to_r = (1 - z) * (1 - n * n), (before - n) * z * (1 - z), own * r * (1 - r)
             carry = np.zeros_like(h)
-            dgx = np.empty((len(memory), streams, 3 * w), dtype=np.float32)
-            dgh = np.empty((streams, 3 * w), dtype=np.float32)
-            for t in range(len(memory) - 1, -1, -1):
-                before, z, r, n, own = memory[t]
-                d = dhs[t] + carry
-                dn = d * (1 - z) * (1 - n * n)
-                dgx[t, :, :w] = dgh[:, :w] = d * (before - n) * z * (1 - z)
-                dgx[t, :, w : 2 * w] = dgh[:, w : 2 * w] = dn * own * r * (1 - r)
-                dgx[t, :, 2 * w :] = dn
-                dgh[:, 2 * w :] = dn * r
-                grads["wh"] += before.T @ dgh
-                carry = d * z + dgh @ self.wh.T
-            flat, x = dgx.reshape(-1, 3 * w), xs.reshape(-1)
+            dgx, dgh = (np.empty((len(gx), 3 * w, streams), dtype=np.float32) for _ in range(2))
+            for t in range(len(gx) - 1, -1, -1):
+                d = dhs[t]
+                d += carry
+                dn = np.multiply(d, to_n[t], out=dgx[t, 2 * w :])
+                np.multiply(d, to_z[t], out=dgx[t, :w])
+                np.multiply(dn, to_r[t], out=dgx[t, w : 2 * w])
+                dgh[t, : 2 * w] = dgx[t, : 2 * w]
+                np.multiply(dn, r[t], out=dgh[t, 2 * w :])
+                carry = self.wh @ dgh[t]
+                d *= z[t]
+                carry += d
+            grads["wh"] += np.matmul(before, dgh.transpose(0, 2, 1)).sum(axis=0)
+            flat, x = dgx.transpose(0, 2, 1).reshape(-1, 3 * w), xs.reshape(-1)
             grads["wx"] += seen.reshape(-1, w).T @ flat
-            grads["bias"] += flat.sum(axis=0)
+            grads["bias"] += np.ones(len(flat), dtype=np.float32) @ flat
             order = np.argsort(x, kind="stable")
             cut = np.flatnonzero(np.concatenate([[True], x[order][1:] != x[order][:-1]]))
             grads["embed"][x[order][cut]] = np.add.reduceat((flat @ self.wx.T)[order], cut)
@@ -250,7 +253,8 @@ def _log_sum(logits: np.ndarray) -> np.ndarray:
 
 
 def _shares(logits: np.ndarray) -> np.ndarray:
-    logits -= logits.max(axis=1, keepdims=True)
+    if logits.max() > 60:
+        logits -= logits.max(axis=1, keepdims=True)
     np.exp(logits, out=logits)
     logits /= (logits @ np.ones(logits.shape[1], dtype=np.float32))[:, None]
     return logits

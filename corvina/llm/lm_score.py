@@ -27,7 +27,7 @@ from corvina.llm.gru import Gru
 from corvina.session import saved
 
 #: The model's words, the words whose counts every task knows, and the longest of these in bytes.
-VOCABULARY, KNOWN, LONGEST = 4_096, 65_536, 4_096
+VOCABULARY, KNOWN, LONGEST = 2_048, 65_536, 2_048
 #: Up to which share of the training documents each round goes, and its rate.
 ROUNDS = ((1 / 16, 1.2e-2), (1 / 4, 8e-3), (1.0, 4e-3))
 #: Tokens of a run of training, tokens scored together, and weights of a piece that is averaged.
@@ -136,6 +136,19 @@ def train(docs: DataFrame, vocab: Vocabulary, id_col: str, text_col: str) -> Gru
     return model
 
 
+def _commonest(counts: DataFrame, most: int) -> list:
+    """The commonest words, at most ``most``; where those of about equal counts don't all fit, none of them is taken."""
+    level = F.floor(F.log(F.col("c")) * 64).alias("level")  # a few thousand levels at most
+    levels = sorted(((r[0], r[1]) for r in counts.groupBy(level).count().collect()), reverse=True)
+    least, n = None, 0
+    for at, size in levels:
+        if n + size > most:
+            break
+        least, n = at, n + size
+    rows = counts.where(level >= least).collect() if least is not None else []
+    return sorted(rows, key=lambda r: (-r[1], bytes(r[0])))
+
+
 class LanguageModel:
     """What is learnt: the counts of all words (a table), their sums, the vocabulary, the further known counts, the weights."""
 
@@ -144,7 +157,7 @@ class LanguageModel:
         ends = taught.count()
         words, distinct = self.counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
         self.total, self.types = words + ends, distinct + (ends > 0)
-        common = self.counts.where(F.length("word") <= LONGEST).orderBy(F.desc("c"), "word").limit(KNOWN).collect()  # of a bounded size
+        common = _commonest(self.counts.where(F.length("word") <= LONGEST), KNOWN)
         head = [(bytes(r[0]), r[1]) for r in common[:VOCABULARY]]
         self.known = {bytes(r[0]): r[1] for r in common[VOCABULARY:]}
         in_head = sum(c for _, c in head)
@@ -161,11 +174,14 @@ _SCORED = pa.schema([
 
 
 def _score(vocab: Vocabulary, known: dict[bytes, int], model: Gru):
-    logs = np.log10(vocab.counts + 1)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        # one number for each word whose count is known here: the model's tokens, then the further words
+        size = len(vocab.counts)
+        number = vocab.number | {w: size + i for i, w in enumerate(known)}
+        get, logs = number.get, np.log10(np.concatenate([vocab.counts, np.fromiter(known.values(), float, len(known)), [0.0]]) + 1)
+        rare, end_known = len(logs) - 1, int(vocab.counts[vocab.end] > 0)
         uid, rows, ids, waiting = TaskContext.get().partitionId() << 40, [], [], 0
 
         def told() -> pa.RecordBatch:
@@ -179,16 +195,15 @@ def _score(vocab: Vocabulary, known: dict[bytes, int], model: Gru):
         for b in batches:
             for doc, text in zip(b.column("id").to_pylist(), b.column("text"), strict=True):
                 words = words_of(text.as_py())
-                k = vocab.encode(words)
-                in_head = k != vocab.unknown
-                head, others = k[in_head], np.flatnonzero(~in_head).tolist()
-                counts = [known.get(words[i], 0) for i in others]
-                tail = Counter([words[i] for i, c in zip(others, counts, strict=True) if not c])
-                found = [c for c in counts if c]
-                n_known = int((vocab.counts[head] > 0).sum()) + len(found)
-                tail_log = float(np.log10(np.array(found) + 1.0).sum()) if found else 0.0
-                rows.append((uid, doc, len(k), n_known, float(logs[head].sum()), tail_log, len(others), list(tail), list(tail.values())))
-                ids.append(k)
+                k = np.array([*[get(w, rare) for w in words], vocab.end], dtype=np.int32)
+                in_head = k < size
+                unknown = np.flatnonzero(k == rare).tolist()
+                tail = Counter([words[i] for i in unknown])
+                others = len(k) - int(in_head.sum())
+                n_known = len(k) - len(unknown) - 1 + end_known
+                log = logs[k]
+                rows.append((uid, doc, len(k), n_known, float(log[in_head].sum()), float(log[~in_head].sum()), others, list(tail), list(tail.values())))
+                ids.append(np.where(in_head, k, np.int32(vocab.unknown)))
                 uid, waiting = uid + 1, waiting + len(k)
                 if waiting >= TOGETHER:
                     yield told()
