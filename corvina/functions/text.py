@@ -203,3 +203,42 @@ def sentences(c: Column) -> Column:
 def first_number(c: Column) -> Column:
     """The first number in a text, held between 0 and 1; 0 where there is none."""
     return F.least(F.greatest(F.coalesce(F.regexp_extract(c, r"(\d+\.?\d*)", 1).try_cast("double"), F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
+
+
+# Tags of nouns, and of nouns, verbs and adjectives.
+STRICT_TAGS = ["NNG", "NNP", "NR", "NP", "SL"]
+EXTENDED_TAGS = [*STRICT_TAGS, "VV", "VA"]
+
+
+def tagged_tokens(analysed: Column, extended: bool = False, min_length: int = 1) -> Column:
+    """Forms of the tokens (form, tag) of an analyser that have one of the tags and are long enough."""
+    tags = EXTENDED_TAGS if extended else STRICT_TAGS
+    return F.transform(F.filter(analysed, lambda t: t["tag"].isin(tags) & (F.length(t["form"]) >= min_length)), lambda t: t["form"])
+
+
+def merge_proper_nouns(analysed: Column) -> Column:
+    """Runs of tokens (form, tag) with proper-noun tags as one name each, distinct; names of one character go."""
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
+
+    def flush(s: Column) -> Column:
+        return F.when(F.length(s["open"]) >= 2, F.array_append(s["done"], s["open"])).otherwise(s["done"])
+
+    def step(s: Column, t: Column) -> Column:
+        inside = t["tag"].startswith("NNP")
+        return F.struct(F.when(inside, s["done"]).otherwise(flush(s)).alias("done"), F.when(inside, F.concat(s["open"], t["form"])).otherwise("").alias("open"))
+
+    return F.array_distinct(F.aggregate(analysed, start, step, flush))
+
+
+def result_flags(logs: Column) -> Column:
+    """(has_error, used_fallback) by what the lines of a log say; lines that deny a fallback don't count."""
+    low = F.transform(logs, F.lower)
+    error = F.exists(low, lambda x: x.contains("error") | x.contains("failed"))
+    fell = F.exists(low, lambda x: (x.contains("fallback") | x.contains("entity-guided")) & ~x.contains("no fallback") & ~x.contains("fallback search disabled"))
+    return F.struct(F.coalesce(error, F.lit(False)).alias("has_error"), F.coalesce(fell, F.lit(False)).alias("used_fallback"))
+
+
+def ratio_without_library(a: Column, b: Column) -> Column:
+    """1 for equal strings whatever the case, 0.8 where one contains the other, else 0."""
+    a, b = F.lower(a), F.lower(b)
+    return F.when(a == b, 1.0).when(a.contains(b) | b.contains(a), 0.8).otherwise(0.0)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvina.functions.text import tokens
+from corvina.session import saved
 
 
 @dataclass(frozen=True)
@@ -20,10 +21,12 @@ class Index:
 
 
 def build_inverted_index(chunks: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Index:
+    """Texts are tokenised once; postings and document frequencies are saved tables, which any number of searches read."""
     t = chunks.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("t")).select("id", "t", F.size("t").alias("dl"))
-    postings = t.select("id", "dl", F.explode("t").alias("term")).groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
-    terms = postings.groupBy("term").agg(F.count("*").alias("df"))
-    return Index(postings, terms, t.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")))
+    every = saved(t, "tokens")
+    postings = saved(every.select("id", "dl", F.explode("t").alias("term")).groupBy("id", "dl", "term").agg(F.count("*").alias("tf")), "postings")
+    terms = saved(postings.groupBy("term").agg(F.count("*").alias("df")), "terms")
+    return Index(postings, terms, every.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")))
 
 
 def term_weights(index: Index) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvina.functions import text as X
+from corvina.functions import vector as V
 from corvina.functions.text import sentences, tokens
 
 
@@ -209,3 +212,87 @@ def chunk_oe_rag(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = inner.select(k[id_col].alias(id_col), k["chunk_index"].alias("source_oe_chunk_idx"), (k["start_offset"] + F.col("start_offset")).alias("start_offset"), "content", F.col("chunk_index").alias("__i"))
     place = Window.partitionBy(id_col).orderBy("source_oe_chunk_idx", "__i")
     return rows.select(id_col, (F.row_number().over(place) - 1).alias("chunk_index"), "source_oe_chunk_idx", "start_offset", "content")
+
+
+def semantic_chunks(sentences: DataFrame, percent: float = 0.95, id_col: str = "doc_id") -> DataFrame:
+    """(id, chunk, first, last, content): sentences (id, pos, sentence, vec) up to where the meaning turns.
+
+    A chunk ends after a sentence whose cosine distance to the next is larger than the document's percentile.
+    """
+    order = Window.partitionBy("id").orderBy("pos")
+    rows = sentences.select(F.col(id_col).alias("id"), "pos", "sentence", "vec").withColumn("gap", 1 - V.cosine(F.col("vec"), F.lead("vec").over(order)))
+    bounds = rows.groupBy("id").agg(F.percentile("gap", F.lit(percent)).alias("bound"))
+    broken = rows.join(bounds, "id").withColumn("turn", F.coalesce((F.lag("gap").over(order) > F.col("bound")).cast("int"), F.lit(0)))
+    numbered = broken.withColumn("chunk", F.sum("turn").over(order))
+    content = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "sentence"))), lambda s: s["sentence"]), " ")
+    return numbered.groupBy("id", "chunk").agg(F.min("pos").alias("first"), F.max("pos").alias("last"), content.alias("content"))
+
+
+def pack_tokens(sizes: list[int], most: int, overlap: int) -> list[tuple[int, int]]:
+    """(first, last + 1) of runs of sentences with at most ``most`` tokens; the next run begins with sentences of up to ``overlap``."""
+    out, first, total = [], 0, 0
+    for i, n in enumerate(sizes):
+        if i > first and total + n > most:
+            out.append((first, i))
+            back, kept = i, 0
+            while back - 1 > first and kept + sizes[back - 1] <= overlap and kept + sizes[back - 1] + n <= most:
+                back -= 1
+                kept += sizes[back]
+            first, total = back, kept
+        total += n
+    return [*out, (first, len(sizes))] if sizes else out
+
+
+def chunk_fixed_tokens(docs: DataFrame, most: int = 1024, overlap: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, chunk_index, start_offset, end_offset, content): whole sentences of at most so many words; a longer one is a chunk of its own."""
+
+    def spans(text: str) -> list[tuple[int, int]]:
+        found = [(m.start(), m.end()) for m in re.finditer(r"\S[^.!?。]*[.!?。]*", text)]
+        return [(found[a][0], found[b - 1][1]) for a, b in pack_tokens([len(text[s:e].split()) for s, e in found], most, overlap)]
+
+    return _chunks(docs, spans, id_col, text_col)
+
+
+def sentence_end_near(text: str, target: int) -> int:
+    """Where a context of about ``target`` characters ends: the sentence end nearest to it within 1.3 times, else the first one."""
+    ends = [m.end() for m in re.finditer(r"[.!?。](?=\s|$)", text)]
+    near = [e for e in ends if e <= 1.3 * target]
+    return min(near, key=lambda e: (abs(e - target), e)) if near else ends[0] if ends else len(text)
+
+
+def context_chunks(docs: DataFrame, target: int = 1_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, chunk_index, start_offset, end_offset, content): one after another, each ending at the sentence end that suits best."""
+
+    def spans(text: str) -> list[tuple[int, int]]:
+        out, at = [], 0
+        while at < len(text):
+            window = text[at : at + max(2 * target, 4_000)]
+            end = at + sentence_end_near(window, target)
+            out.append((at, end))
+            more = re.compile(r"\S").search(text, end)
+            at = more.start() if more else len(text)
+        return out
+
+    return _chunks(docs, spans, id_col, text_col)
+
+
+def locate_chunks(chunks: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
+    """(id, chunk_index, start_offset, content), numbered by place: where each chunk (id, n, content) begins in its text.
+
+    It is where the trimmed chunk occurs first, else its first words, else where the chunk before it ends.
+    """
+    bare = X.strip_blanks(F.col("content"))
+    head = F.array_join(F.slice(F.split(bare, r"\s+"), 1, words), " ")
+    whole, part = F.instr(F.col(text_col), bare), F.instr(F.col(text_col), head)
+    rows = chunks.join(docs.select(F.col(id_col).alias("id"), text_col), "id")
+    spot = F.when((whole > 0) & (bare != ""), whole - 1).when((part > 0) & (head != ""), part - 1)
+    found = rows.select("id", "n", "content", spot.alias("at"))
+    order = Window.partitionBy("id").orderBy("n")
+    # lengths since the last chunk that was found
+    group = F.count("at").over(order)
+    found = found.withColumn("g", group).withColumn("own", F.length("content"))
+    since = Window.partitionBy("id", "g").orderBy("n")
+    before = F.coalesce(F.sum("own").over(since.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    start = F.coalesce(F.first("at").over(since), F.lit(0)) + before
+    placed = found.withColumn("start_offset", F.coalesce("at", start))
+    return placed.select("id", (F.row_number().over(Window.partitionBy("id").orderBy("start_offset", "n")) - 1).alias("chunk_index"), "start_offset", "content")

@@ -163,3 +163,35 @@ def link_candidates(tokens: DataFrame, candidates: DataFrame, gram: int = 3) ->
 
 def complete_mapping(candidates: DataFrame, mapping: DataFrame) -> DataFrame:
     return candidates.select("name").distinct().join(mapping.select(F.col("variant").alias("name"), "canonical"), "name", "left").select("name", F.coalesce("canonical", "name").alias("canonical"))
+
+
+def add_aliases(labels: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(uri, label) with the aliases (label, alias) of known labels; a label of several entries gives its alias to the first."""
+    known = labels.groupBy("label").agg(F.min("uri").alias("uri"))
+    more = aliases.join(known, "label").select("uri", F.col("alias").alias("label"))
+    return labels.select("uri", "label").unionByName(more).distinct()
+
+
+def merge_entries(labels: DataFrame, merges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Labels (uri, label) with those of merged entries added to the canonical ones, and (uri, same_as), closed over chains.
+
+    merges: (label, old), both known labels. Of entries that merges connect, the smallest uri that is merged into none stands for all.
+    """
+    known = labels.groupBy("label").agg(F.min("uri").alias("uri"))
+    pairs = merges.join(known, "label").select("old", F.col("uri").alias("canonical"))
+    pairs = pairs.join(known.withColumnRenamed("label", "old"), "old").select("canonical", F.col("uri").alias("merged")).where("canonical <> merged").distinct()
+    parts = connected_components(pairs, "canonical", "merged")
+    gone = pairs.select(F.col("merged").alias("node"), F.lit(True).alias("gone")).distinct()
+    heads = parts.join(gone, "node", "left").groupBy("component").agg(F.min(F.struct(F.coalesce("gone", F.lit(False)).alias("gone"), "node"))["node"].alias("uri"))
+    parts = parts.join(heads, "component").where("node <> uri").select("uri", F.col("node").alias("same_as"))
+    moved = labels.join(parts, labels.uri == parts.same_as).select(parts.uri, "label")
+    return labels.select("uri", "label").unionByName(moved).distinct(), parts
+
+
+def load_synonyms(labels: DataFrame, synonyms: DataFrame) -> DataFrame:
+    """(uri, label) with entries (label, type, aliases) of a synonym list; unknown labels get a uri of their type."""
+    known = labels.groupBy("label").agg(F.min("uri").alias("uri"))
+    rows = synonyms.where(F.col("label") != "").join(known, "label", "left")
+    made = F.coalesce("uri", F.when(F.col("type") == "class", X.to_uri(F.col("label"), "class")).otherwise(X.to_uri(F.col("label"), "instance")))
+    every = F.concat(F.array("label"), F.coalesce("aliases", F.array().cast("array<string>")))
+    return labels.select("uri", "label").unionByName(rows.select(made.alias("uri"), F.explode(every).alias("label"))).distinct()

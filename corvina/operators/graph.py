@@ -181,3 +181,44 @@ def viewer(edges: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes and links around exact names."""
     links = triples_for_entities(edges.withColumn("source_node_id", F.lit(None).cast("string")), names, 50).select("subject", "predicate", "object").distinct()
     return nodes_of(links), links
+
+
+# Particles after an object, and after a subject.
+OBJECT_PARTICLES, SUBJECT_PARTICLES = ["을", "를"], ["의", "이", "가"]
+
+
+def classify_pattern(queries: DataFrame, resolved: DataFrame) -> DataFrame:
+    """(query_id, pattern): what is asked for beside the entities that were resolved.
+
+    resolved: (query_id, name, role). One entity is the object where its role says so, or without a role the particle
+    after it, else the subject; with two the relation is asked for; other queries have no pattern.
+    """
+    few = resolved.groupBy("query_id").agg(F.count("*").alias("n"), F.min(F.struct("name", "role")).alias("e")).select("query_id", "n", "e.name", "e.role")
+    after = F.substr("query_text", F.instr("query_text", F.col("name")) + F.length("name"), F.lit(1))
+    by_particle = (F.instr("query_text", F.col("name")) > 0) & after.isin(OBJECT_PARTICLES)
+    is_object = F.when(F.col("role").isin("object", "subject"), F.col("role") == "object").otherwise(by_particle)
+    pattern = F.when(F.col("n") == 2, "relation_unknown").when((F.col("n") == 1) & is_object, "subject_unknown").when(F.col("n") == 1, "object_unknown")
+    return queries.join(few, "query_id", "left").select("query_id", pattern.alias("pattern"))
+
+
+def entity_guided_query(queries: DataFrame, entities: DataFrame) -> DataFrame:
+    """(query_id, query_text) with the names of the entities found, by alphabet, after the text."""
+    names = entities.groupBy("query_id").agg(F.array_join(F.sort_array(F.collect_set("name")), " ").alias("names"))
+    return queries.join(names, "query_id", "left").select("query_id", F.concat_ws(" ", "query_text", "names").alias("query_text"))
+
+
+def graph_search(edges: DataFrame, queries: DataFrame, entities: DataFrame, hops: bool = False, most: int = 30, score: float = 1.0) -> DataFrame:
+    """(query_id, source_node_id, n_triples, score): the chunks that tell about each query's entities.
+
+    queries: (query_id, keywords); entities: (query_id, name). With ``hops`` the entities' first neighbours count too. Of
+    every entity the first ``most`` triples are taken; a query's triples go where none matches its keywords. A query
+    without a hit keeps one row without a chunk.
+    """
+    wanted = entities.select("query_id", "name").distinct()
+    if hops:
+        near = expand_entities(edges, wanted.select("name").distinct())
+        wanted = wanted.unionByName(wanted.join(near, "name").select("query_id", F.col("other").alias("name"))).distinct()
+    told = triples_for_entities(edges, wanted.select("name").distinct(), most).join(wanted, "name").drop("name").distinct()
+    passed = relevance_gate(queries.select("query_id", "keywords"), told)
+    chunks = passed.groupBy("query_id", "source_node_id").agg(F.count("*").alias("n_triples")).withColumn("score", F.lit(score))
+    return queries.select("query_id").join(chunks, "query_id", "left").withColumns({"n_triples": F.coalesce("n_triples", F.lit(0)), "score": F.coalesce("score", F.lit(0.0))})

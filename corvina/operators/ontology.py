@@ -187,3 +187,9 @@ def json_schema_to_tbox(docs: DataFrame, body: str = "body") -> DataFrame:
     simple = F.coalesce(F.when(F.col("v.format") == "date-time", F.col("v.format")), F.col("v.items.type"), F.col("v.type"))
     ranges = F.create_map(*[F.lit(x) for pair in XSD.items() for x in pair])
     return props.select("class", "property", F.when(ref.isNotNull(), "object").otherwise("datatype").alias("kind"), F.coalesce(X.local_name(ref), F.try_element_at(ranges, simple), F.lit("string")).alias("range")).distinct()
+
+
+def class_instances(types: DataFrame, labels: DataFrame, name: str, limit: int = 100) -> DataFrame:
+    """(instance, label): the first instances of a class, with their first labels or local names; types: (s, type)."""
+    own = types.where(F.col("type") == name).select(F.col("s").alias("uri")).distinct().orderBy("uri").limit(limit)
+    return label_of(own, labels).withColumnRenamed("uri", "instance")

@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
+import pandas as pd
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.feature import BucketedRandomProjectionLSH
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvina.functions import vector as V
+from corvina.session import saved
 
 Scorer = Callable[[Column, Column], Column]
 
@@ -126,3 +132,68 @@ def entity_filter(results: DataFrame, query_entities: str, chunk_entities: str,
     miss = (F.size(query_entities) > 0) & ~F.coalesce(F.arrays_overlap(query_entities, chunk_entities), F.lit(False))
     rows = results.withColumn("original_score", F.col("score")).withColumn("score", F.when(miss, F.col("score") * penalty).otherwise(F.col("score")))
     return ranked(rows.drop("rank"))
+
+
+def score_history(stages: dict[str, DataFrame]) -> DataFrame:
+    """(query_id, id, history): every stage's score of each row, by the stages' names; the lists are (query_id, id, score)."""
+    named = [df.select("query_id", "id", F.struct(F.lit(stage).alias("key"), F.col("score").cast("double").alias("value")).alias("e")) for stage, df in stages.items()]
+    return reduce(DataFrame.unionByName, named).groupBy("query_id", "id").agg(F.map_from_entries(F.collect_list("e")).alias("history"))
+
+
+def hashed_embedding(df: DataFrame, tokens: Column, id_col: str, size: int = 256) -> DataFrame:
+    """(id, embedding): counts of tokens by hashed places, scaled to length 1; the offline embedder. Rows without tokens go."""
+    place = F.pmod(F.conv(F.substring(F.md5("token"), 1, 8), 16, 10).cast("long"), F.lit(size)).cast("int")
+    counts = df.select(F.col(id_col).alias("id"), F.explode(tokens).alias("token")).groupBy("id", place.alias("place")).agg(F.count("*").alias("n"))
+    rows = counts.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("place", "n"))).alias("m"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
+    value = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0)) / F.col("norm"))
+    return rows.select("id", value.alias("embedding"))
+
+
+def embed(df: DataFrame, scorer: Callable[[pd.Series], pd.Series], id_col: str, text_col: str) -> DataFrame:
+    """(id, embedding) by an injected function from a batch of texts to lists of numbers."""
+    return df.select(F.col(id_col).alias("id"), F.pandas_udf(scorer, "array<double>")(F.col(text_col)).alias("embedding"))
+
+
+def knn_ivf(chunks: DataFrame, queries: DataFrame, k: int, nlist: int = 1024, nprobe: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", seed: int = 1) -> DataFrame:
+    """(query_id, id, score, rank) by cosine among the rows of the ``nprobe`` cells nearest to each query.
+
+    Cells are those of k-means; every row is in its nearest centre's cell. Cells are no more than ``nlist``, so centres are
+    small. A cell that is much larger than the mean is cut into blocks, which its queries all visit.
+    """
+    rows = chunks.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("v is not null")
+    n = rows.count()
+    if not n:
+        return queries.sparkSession.createDataFrame([], f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {rows.schema['id'].dataType.simpleString()}, score double, rank int")
+    model = KMeans(k=min(nlist, n), seed=seed, maxIter=10, featuresCol="f", predictionCol="cell").fit(rows.select(array_to_vector("v").alias("f")))
+    centres = [[float(x) for x in c] for c in model.clusterCenters()]
+    held = saved(model.transform(rows.withColumn("f", array_to_vector("v"))).select("id", "v", "cell"), "cells")
+    listed = F.array(*[F.array(*[F.lit(x) for x in c]) for c in centres])
+    gaps = F.transform(listed, lambda c, i: F.struct(V.l2(c, F.col("query_vec")).alias("gap"), i.alias("cell")))
+    probes = queries.select("query_id", "query_vec", F.explode(F.transform(F.slice(F.sort_array(gaps), 1, nprobe), lambda g: g["cell"])).alias("cell"))
+    most = max(1_000, 4 * n // len(centres))
+    sizes = held.groupBy("cell").agg(F.ceil(F.count("*") / most).cast("int").alias("blocks"))  # a row for each cell
+    blocked = held.join(F.broadcast(sizes), "cell").select("id", "v", "cell", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
+    asked = probes.join(F.broadcast(sizes), "cell").select("query_id", "query_vec", "cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    scored = blocked.join(asked, ["cell", "block"]).select("query_id", "id", V.cosine(F.col("v"), F.col("query_vec")).alias("score"))
+    return ranked(scored).where(F.col("rank") <= k)
+
+
+def knn_lsh(chunks: DataFrame, queries: DataFrame, k: int, bucket: float = 1.0, tables: int = 6, most_distance: float = 1.6, id_col: str = "vec_id", vector_col: str = "embedding", seed: int = 1) -> DataFrame:
+    """(query_id, id, score, rank) by cosine among the rows that share a bucket of random projections with the query.
+
+    ``most_distance`` is the largest distance of a pair that counts.
+    """
+    lsh = BucketedRandomProjectionLSH(inputCol="f", outputCol="h", bucketLength=bucket, numHashTables=tables, seed=seed)
+    rows = chunks.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("v is not null").withColumn("f", array_to_vector("v"))
+    asked = queries.select("query_id", F.col("query_vec").cast("array<double>").alias("q")).withColumn("f", array_to_vector("q"))
+    met = lsh.fit(rows).approxSimilarityJoin(rows, asked, most_distance, "distance")
+    scored = met.select("datasetB.query_id", "datasetA.id", V.cosine(F.col("datasetA.v"), F.col("datasetB.q")).alias("score"))
+    return ranked(scored).where(F.col("rank") <= k)
+
+
+def legacy_search(strategy: str, registry: dict[str, Callable[[], DataFrame]], steps: list[Callable[[DataFrame], DataFrame]] = (), default: str = "vector") -> DataFrame:
+    """The results of the strategy's function, or the default's where the name isn't known, after further steps in order.
+
+    Steps are re-ranking, the entity filter and the exact distance, as far as the options ask for them.
+    """
+    return reduce(lambda df, step: step(df), steps, registry.get(strategy, registry[default])())

@@ -172,3 +172,53 @@ def candidate_rows(replies: DataFrame, words: list[str] = ABSTRACT_WORDS) -> Dat
     """(kind, name): class rows for types with one of the words, else instance rows; replies: (name, type)."""
     kind = F.when(F.lower("type").rlike("|".join(words)), "class").otherwise("instance")
     return replies.select(kind.alias("kind"), "name").distinct()
+
+
+# Sentence patterns of classes, relations and properties, and their confidences.
+CLASS_PATTERNS = [
+    r"(.{2,10})은(?:는)?\s+(.{2,15})(?:이다|이라고 한다|를 말한다)",
+    r"(.{2,10})란\s+(.{5,30})(?:을|를)?\s*(?:말한다|의미한다)",
+]
+RELATION_PATTERNS = [
+    r"(.{2,15})(?:은|는|이|가)\s+(.{2,15})(?:을|를|에게|와|과)\s+(.{2,10})(?:한다|했다|하였다)",
+    r"(.{2,15})의\s+(.{2,10})(?:은|는)\s+(.{2,15})",
+]
+PROPERTY_PATTERNS = [r"(.{2,15})의\s+(.{2,10})(?:은|는|이)\s+(.{2,20})(?:이다|이었다)"]
+CLASS_CONFIDENCE, OTHER_CONFIDENCE = 0.7, 0.6
+
+
+def candidate_patterns(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
+    """(chunk_id, kind, subject, predicate, object, is_literal, confidence, source_text) of every match of a pattern.
+
+    A class has its name as subject and its description as object; relations and properties are triples.
+    """
+    rules = [("class", p, (1, None, 2)) for p in CLASS_PATTERNS] + [("relation", p, (1, 3, 2)) for p in RELATION_PATTERNS] + [("property", p, (1, 2, 3)) for p in PROPERTY_PATTERNS]
+
+    def matches(kind: str, pattern: str, places: tuple) -> Column:
+        groups = [F.regexp_extract_all(text_col, F.lit(pattern), F.lit(k)) for k in range(4 if places[1] else 3)]
+
+        def row(i: Column) -> Column:
+            s, p, o = (X.strip_blanks(F.get(groups[k], i)) if k else F.lit(None).cast("string") for k in places)
+            confidence = F.lit(CLASS_CONFIDENCE if kind == "class" else OTHER_CONFIDENCE)
+            literal = F.lit(kind == "property")
+            names = ("kind", "subject", "predicate", "object", "is_literal", "confidence", "source_text")
+            return F.struct(*[c.alias(n) for c, n in zip((F.lit(kind), s, p, o, literal, confidence, F.get(groups[0], i)), names, strict=True)])
+
+        spots = F.filter(F.sequence(F.lit(0), F.size(groups[0])), lambda i: i < F.size(groups[0]))
+        return F.transform(spots, row)
+
+    found = [matches(*rule) for rule in rules]
+    return chunks.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("chunk_id"), F.inline(F.concat(*found)))
+
+
+def evidence_rows(triples: DataFrame, chunks: DataFrame, run: str) -> DataFrame:
+    """(g, s, p, o, confidence, evidence_text, source, chunk_hash, run_id): each triple with where it was found.
+
+    triples: (chunk_id, subject, predicate, object, is_literal, confidence, source_text); chunks: (chunk_id, graph, uri,
+    chunk_hash). Literals keep their text, and their predicates are properties.
+    """
+    p = F.when(F.col("is_literal"), X.to_uri(F.col("predicate"), "property")).otherwise(X.to_uri(F.col("predicate"), "relation"))
+    o = F.when(F.col("is_literal"), F.col("object")).otherwise(X.to_uri(F.col("object"), "instance"))
+    return triples.join(chunks.select("chunk_id", F.col("graph").alias("g"), F.col("uri").alias("source"), "chunk_hash"), "chunk_id").select(
+        "g", X.to_uri(F.col("subject"), "instance").alias("s"), p.alias("p"), o.alias("o"), "confidence", F.col("source_text").alias("evidence_text"), "source", "chunk_hash", F.lit(run).alias("run_id")
+    )

@@ -156,9 +156,9 @@ def json_schema_to_tbox(spark, d):
     return ontology.json_schema_to_tbox(table(spark, d, "part").select(body.alias("body")))
 
 
-@query("o16_schema_candidates", f"with {EDGES}, t as (select predicate, case when predicate = 'located_in' then 'Agent' else 'Entity' end as st, case when predicate = 'part_of' then null else object end as ot from edges where predicate <> 'placed_by' union all select 'label', null, null) select distinct 'class' as kind, x as name from (select unnest([st, ot]) as x from t) where x is not null and x <> 'Entity' union select distinct 'property', predicate from t where predicate <> 'label'")
+@query("o16_schema_candidates", f"with {EDGES}, t as (select predicate, case when predicate = 'located_in' then 'Agent' else 'Entity' end as st, case when predicate = 'part_of' then null else object end as ot from edges union all select 'label', null, null) select distinct 'class' as kind, x as name from (select unnest([st, ot]) as x from t) where x is not null and x <> 'Entity' union select distinct 'property', predicate from t where predicate <> 'label'")
 def schema_candidates(spark, d):
-    e = edges(spark, d).where("predicate <> 'placed_by'").withColumns({"subject_type": F.when(F.col("predicate") == "located_in", "Agent").otherwise("Entity"), "object_type": F.when(F.col("predicate") != "part_of", F.col("object"))})
+    e = edges(spark, d).withColumns({"subject_type": F.when(F.col("predicate") == "located_in", "Agent").otherwise("Entity"), "object_type": F.when(F.col("predicate") != "part_of", F.col("object"))})
     return ontology.schema_candidates(e)
 
 

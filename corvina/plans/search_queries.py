@@ -83,20 +83,20 @@ def knn_exact(spark, d):
     return search.knn_exact(table(spark, d, "embeddings"), _vector_queries(spark, d), 10, "COSINE", 0.1).select("query_id", "id", _score(), "rank")
 
 
-@query("v06_rescore_candidates", f"""with {_KNN}, c as (select vq.query_id, vec_id as id from embeddings, vq where vec_id % 7 = vq.query_id % 7), r as (select query_id, id, score from c join knn using (query_id, id) where score >= 0.05)
+@query("v06_rescore_candidates", f"""with {_KNN}, r as (select query_id, id, score from ann where rank <= 50 and score >= 0.05)
 select query_id, id, round(score, 6) as score, rank from (select *, row_number() over (partition by query_id order by round(score, 9) desc, id) as rank from r) where rank <= 10""")
 def rescore_candidates(spark, d):
     q = _vector_queries(spark, d)
-    seen = _vectors(spark, d).select("id", (F.col("id") % 7).alias("k")).join(q.select("query_id", (F.col("query_id") % 7).alias("k")), "k").select("query_id", "id", F.lit(1.0).alias("score"))
+    seen = search.knn_exact(table(spark, d, "embeddings"), q, 50).select("query_id", "id", F.lit(1.0).alias("score"))
     return search.rescore_candidates(seen, _vectors(spark, d), q, 10, threshold=0.05).select("query_id", "id", _score(), "rank")
 
 
-@query("v07_brute_force_l2", f"""with {_VQ}, c as (select vq.query_id, vec_id as id, list_distance(embedding::double[], query_vec::double[]) as l2_score from embeddings, vq where vec_id % 7 = vq.query_id % 7),
+@query("v07_brute_force_l2", f"""with {_KNN}, c as (select query_id, id, list_distance(embedding::double[], query_vec::double[]) as l2_score from ann join vq using (query_id) join embeddings on vec_id = id where rank <= 50),
 r as (select *, 1 / (1 + l2_score) as score from c where l2_score <= 1.4) select query_id, id, round(l2_score, 6) as l2_score, round(score, 6) as score, rank
 from (select *, row_number() over (partition by query_id order by round(score, 9) desc, id) as rank from r) where rank <= 10""")
 def brute_force_l2(spark, d):
     q = _vector_queries(spark, d)
-    seen = _vectors(spark, d).select("id", (F.col("id") % 7).alias("k")).join(q.select("query_id", (F.col("query_id") % 7).alias("k")), "k").select("query_id", "id")
+    seen = search.knn_exact(table(spark, d, "embeddings"), q, 50).select("query_id", "id")
     return search.brute_force_l2(seen, _vectors(spark, d), q, 10, 1.4).select("query_id", "id", F.round("l2_score", 6).alias("l2_score"), _score(), "rank")
 
 

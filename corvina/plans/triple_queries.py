@@ -147,10 +147,12 @@ def similar_strings(spark, d):
     return entities.similar_strings(_near(spark, d), 0.93).select("a", "b", F.round("ratio", 6).alias("ratio"))
 
 
-@query("e04_entity_groups", f"""with recursive {EDGES}, pairs as (select distinct subject as a, object as b from edges where predicate in ('located_in', 'part_of')), sym as (select a, b from pairs union all select b, a from pairs),
-reach(x, y) as (select a, a from sym union select x, b from reach join sym on a = y) select x as entity, arg_min(y, (-length(y), y)) as canonical from reach group by x""")
+# every edge lies in one region
+@query("e04_entity_groups", f"""with {EDGES}, place as (select n_name as node, r_name as place from nation join region on n_regionkey = r_regionkey), lives as (select subject as node, place from edges join place on object = node where predicate = 'located_in'),
+m as (select * from place union select place, place from place union select * from lives union select subject, place from edges join lives on object = node where predicate = 'placed_by'), best as (select place, arg_min(node, (-length(node), node)) as canonical from m group by place)
+select node as entity, canonical from m join best using (place)""")
 def entity_groups(spark, d):
-    pairs = edges(spark, d).where(F.col("predicate").isin("located_in", "part_of")).select(F.col("subject").alias("a"), F.col("object").alias("b"))
+    pairs = edges(spark, d).select(F.col("subject").alias("a"), F.col("object").alias("b"))
     return entities.entity_groups(pairs)
 
 

@@ -2,14 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-OUTPUT = "doc_id long, status string, ts timestamp"
 
 
 def latest_status(events: DataFrame) -> DataFrame:
@@ -25,22 +20,10 @@ def stale_documents(events: DataFrame, now, processing_minutes: int = 10, deleti
     return latest_status(events).where(late)
 
 
-def _keep_latest(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    best = state.get if state.exists else None
-    for b in batches:
-        for ts, event, status in zip(b["ts"], b["event_id"], b["status"], strict=True):
-            row = (int(ts.value // 1000), int(event), status)
-            if best is None or row[:2] > tuple(best[:2]):
-                best = row
-    if best is not None:
-        state.update(tuple(best))
-        yield pd.DataFrame({"doc_id": [key[0]], "status": [best[2]], "ts": [pd.Timestamp(best[0], unit="us")]})
-
-
 def latest_status_stream(events: DataFrame) -> DataFrame:
-    """The stream form: one row of state for each document; every batch tells the documents that it touched."""
-    grouped = events.groupBy("doc_id")
-    return grouped.applyInPandasWithState(_keep_latest, OUTPUT, "ts long, event_id long, status string", "update", GroupStateTimeout.NoTimeout)
+    """The stream form, for update mode: one row of state for each document; every batch tells the documents that it touched."""
+    latest = events.groupBy("doc_id").agg(F.max(F.struct("ts", "event_id", "status")).alias("e"))
+    return latest.select("doc_id", "e.status", "e.ts")
 
 
 def ingest_stream(source: DataFrame, target: str, checkpoint: str, id_col: str = "doc_id"):
@@ -50,7 +33,9 @@ def ingest_stream(source: DataFrame, target: str, checkpoint: str, id_col: str =
         spark = batch.sparkSession
         try:
             known = spark.read.parquet(target).select(id_col)
-        except Exception:  # nothing was written yet
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":  # nothing was written yet
+                raise
             known = batch.select(id_col).limit(0)
         batch.dropDuplicates([id_col]).join(known, id_col, "left_anti").write.mode("append").parquet(target)
 
