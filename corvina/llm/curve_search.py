@@ -7,7 +7,7 @@ its own window and ``reach`` windows to either side in every ordering; candidate
 product in double precision and merged.
 
 ``reach`` is fitted on the bounded sample: the smallest for which sampled queries keep ``recall`` of their true
-neighbours in the sample. Vectors without structure need wide windows, clustered ones narrow ones.
+neighbours by inner product in the sample. Vectors without structure need wide windows, clustered ones narrow ones.
 """
 
 from __future__ import annotations
@@ -22,7 +22,9 @@ from pyspark.sql import functions as F
 from corvina.llm.common import bounded_sample, group_slices, whole_groups
 from corvina.llm.vectors import matrix, usable
 
-SAMPLE, ORDERINGS, DIMS, BITS, WINDOWS, BLOCK = 4_096, 6, 6, 8, 32, 2_000
+SAMPLE, ORDERINGS, DIMS, BITS, BLOCK = 4_096, 6, 6, 8, 2_000
+#: Rows of a window, and the most windows that the sample's quantiles can tell apart; beyond, windows grow and have more blocks.
+WINDOW_ROWS, MOST_WINDOWS = 1_000, 1_024
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -76,7 +78,8 @@ class Curves:
     def windows(self, x: np.ndarray) -> np.ndarray:
         return np.stack([np.searchsorted(b, k, side="right") for b, k in zip(self.bounds, self.keys(x), strict=True)], axis=1)
 
-    def fit_reach(self, sample: np.ndarray, k: int, recall: float) -> int:
+    def fit_reach(self, sample: np.ndarray, keyed: np.ndarray, k: int, recall: float) -> int:
+        """For neighbours by the inner products of ``sample``; ``keyed`` are the same vectors as the keys see them."""
         asks = np.arange(0, len(sample), max(1, len(sample) // 400))
         s = sample[asks] @ sample.T
         s[np.arange(len(asks)), asks] = -np.inf
@@ -84,7 +87,7 @@ class Curves:
         if k < 1:
             return 0
         true = np.argpartition(-s, k - 1, axis=1)[:, :k]
-        w = self.windows(sample)
+        w = self.windows(keyed)
         gap = np.abs(w[asks][:, None, :] - w[true]).min(axis=2)
         for reach in range(max(len(b) for b in self.bounds) + 1):
             if (gap <= reach).mean() >= recall:
@@ -125,10 +128,12 @@ def _rerank(k: int):
                     s = x[at : at + len(q)] @ held.T
                     s[q[:, None] == held_ids[None, :]] = -np.inf
                     n = min(k, s.shape[1])
-                    # keep all that tie with the n-th, then the smaller ids among them
+                    # keep all that may tie with the n-th, then the smaller ids among them
                     floor = np.partition(s, s.shape[1] - n, axis=1)[:, s.shape[1] - n]
-                    i, j = np.nonzero((s >= floor[:, None]) & (s > -np.inf))
-                    score = s[i, j]
+                    slack = 1e-9 * np.maximum(np.abs(floor), 1e-300)
+                    i, j = np.nonzero((s >= (floor - slack)[:, None]) & (s > -np.inf))
+                    # summed in one order, so that a pair has the same score in whatever group
+                    score = np.einsum("ij,ij->i", x[at : at + len(q)][i], held[j])
                     order = np.lexsort((j, -score, i))
                     i, j, score = i[order], j[order], score[order]
                     rank = np.arange(len(i)) - np.searchsorted(i, i, side="left")
@@ -140,7 +145,7 @@ def _rerank(k: int):
 
 def search(
     vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 20, k: int = 20, recall: float = 0.95,
-    orderings: int = ORDERINGS, windows: int = WINDOWS, seed: int = 17,
+    orderings: int = ORDERINGS, windows: int | None = None, seed: int = 17,
 ) -> DataFrame:
     """Rows (query_id, rank, id, score): the ``k`` largest inner products for each row whose id is divisible by ``every``.
 
@@ -153,9 +158,11 @@ def search(
     sample = np.array([r[0] for r in bounded_sample(good.select("vector", "id"), SAMPLE, "id")], dtype=np.float64)
     if len(sample) < 2:
         return spark.createDataFrame([], "query_id long, rank int, id long, score double")
-    sample = _scale(sample)
-    curves = Curves(sample, orderings, DIMS, BITS, windows, seed)
-    reach = curves.fit_reach(sample, k, recall)
+    if windows is None:
+        windows = min(MOST_WINDOWS, max(32, -(-good.count() // WINDOW_ROWS)))
+    keyed = _scale(sample)
+    curves = Curves(keyed, orderings, DIMS, BITS, windows, seed)
+    reach = curves.fit_reach(sample, keyed, k, recall)
     placed = good.mapInArrow(_assign(curves), "id long, vector array<double>, windows array<int>")
     spots = placed.select("id", "vector", F.posexplode("windows").alias("curve", "window"))
     # no more numbers than orderings times windows

@@ -363,6 +363,34 @@ def test_curve_search(spark, vectors):
     assert [(r.query_id, r.rank) for r in few] == [(0, 1), (0, 2)]
 
 
+def test_curve_search_recall_with_clusters_and_unequal_norms(spark):
+    """Clustered vectors of very different lengths: recall by inner product, and windows that leave most rows out."""
+    r = np.random.default_rng(3)
+    centres = r.normal(size=(60, 16))
+    x = (centres[r.integers(0, 60, 3_000)] + r.normal(0, 0.15, (3_000, 16))) * r.lognormal(0, 0.5, 3_000)[:, None]
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
+    got = collections.defaultdict(set)
+    for row in curve_search.search(df, every=20, k=10).collect():
+        got[row.query_id].add(row.id)
+        assert row.score == float(np.einsum("ij,ij->i", x[[row.query_id]], x[[row.id]])[0])
+    hits = 0
+    for q in range(0, 3_000, 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits += len(got[q] & set(np.argsort(-s, kind="stable")[:10].tolist()))
+    assert hits >= 0.9 * 10 * 150
+
+
+def test_curve_search_ties_go_to_smaller_ids(spark):
+    rows = [(i, [1.0, 0.1 * (i % 3), 0.7]) for i in range(300)]
+    got = curve_search.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=5).collect()
+    for q in range(0, 300, 20):
+        mine = sorted((r.rank, r.id) for r in got if r.query_id == q)
+        best = sorted((i for i in range(300) if i != q), key=lambda i: (-(1 + 0.01 * (q % 3) * (i % 3) + 0.49), i))[:5]
+        if q % 3:
+            assert [i for _, i in mine] == best
+
+
 def test_hilbert_keys_visit_neighbours():
     cells = np.array([[i, j, k] for i in range(8) for j in range(8) for k in range(8)])
     order = np.argsort(curve_search.hilbert_keys(cells, 3))
