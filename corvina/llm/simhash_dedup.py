@@ -334,14 +334,23 @@ WORDS, LEAST, DISTANCE, EXTRA, CLOSE, LIMIT, WIDE_BLOCK = 5, 0.8, 12, 3, 52, 64,
 MEET = 500
 
 
-def _exact(words: int, least: float):
+def _sets(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_set(x.as_py(), words).tobytes() for x in b.column("t")]
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(sets, pa.binary())], names=["node", "t"])
+
+    return run
+
+
+def _exact(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, mine = None, np.zeros(0, dtype="<u8")
         for t in batches:
             a, b = [], []
-            for x, y, text in zip(t.column("a").to_pylist(), t.column("b").to_pylist(), t.column("t"), strict=True):
-                h = shingle_set(text.as_py(), words)
-                if y is None:  # the text that the rows after it are compared with
+            for x, y, raw in zip(t.column("a").to_pylist(), t.column("b").to_pylist(), t.column("t"), strict=True):
+                h = np.frombuffer(raw.as_py(), dtype="<u8")
+                if y is None:  # the set that the rows after it are compared with
                     head, mine = x, h
                     continue
                 assert x == head
@@ -357,22 +366,22 @@ def _exact(words: int, least: float):
 def similar_pairs(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, words: int, least: float) -> DataFrame:
     """Those of the pairs (a, b) of nodes whose texts' sets of shingles have a Jaccard similarity of at least ``least``.
 
-    A node (node, least, key) has the text of the row (id, key, t) with its id and key. Texts come only for nodes in pairs,
-    and a text with many pairs meets them in several groups.
+    A node (node, least, key) has the text of the row (id, key, t) with its id and key. Sets of shingles are made once for
+    each node in a pair, and a node with many pairs meets them in several groups.
     """
     spark = pairs.sparkSession
     pairs = saved(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     asked = nodes.join(asked, "node").select("node", "least", F.col("key").alias("of"))
     texts = rows.join(asked, (F.col("key") == F.col("of")) & F.col("id").eqNullSafe(F.col("least"))).select("node", "t")
-    texts = saved(texts.dropDuplicates(["node"]), "texts")
+    texts = saved(texts.dropDuplicates(["node"]).mapInArrow(_sets(words), "node long, t binary"), "shingles")
     many = pairs.groupBy("a").agg(F.ceil(F.count("*") / MEET).cast("int").alias("g"))
     dealt = saved(pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("g")).cast("int").alias("s")), "pairs")
     heads = dealt.select("a", "s").distinct().join(texts, F.col("a") == F.col("node")).select("a", "s", F.lit(None).cast("long").alias("b"), "t")
     others = dealt.join(texts, F.col("b") == F.col("node")).select("a", "s", "b", "t")
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     met = heads.unionByName(others).repartition(n, "a", "s").sortWithinPartitions("a", "s", F.asc_nulls_first("b"))
-    return met.select("a", "b", "t").mapInArrow(_exact(words, least), "a long, b long")
+    return met.select("a", "b", "t").mapInArrow(_exact(least), "a long, b long")
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
