@@ -150,8 +150,10 @@ def plan(sample: np.ndarray, total: int, distance: int) -> list[tuple[list[int],
     best: tuple[float, list] = (np.inf, [])
     for m in range(2, min(distance + 2, 10)):
         budget = distance - m + 1
-        parts = _group_bits(bits, m)
         most = min(budget, 2)
+        if m * most < budget:  # no thresholds of at most two sum to it
+            continue
+        parts = _group_bits(bits, m)
         costs = []
         for part in parts:
             pairs = _pair_counts(bits, part, most, scale)
@@ -183,6 +185,13 @@ def _project(fp, bits: list[int]):
     return out
 
 
+def _entries(bits: list[int], most: int, part: int):
+    """What a fingerprint is indexed under and probes in one partition."""
+    masks = [sum(1 << b for b in c) for t in range(most + 1) for c in combinations(range(len(bits)), t)]
+    value, flips = _project(F.col("fp"), bits), F.array(*[F.lit(m).cast("long") for m in masks])
+    return F.transform(flips, lambda m: F.struct(F.lit(part).alias("part"), value.bitwiseXOR(m).alias("value"), F.when(m == 0, 0).otherwise(1).alias("probe")))
+
+
 def _spanning(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, column) pairs that connect what the true entries of a matrix connect; few even where most entries are true.
 
@@ -261,29 +270,31 @@ def _verify(distance: int, limit: int, every: bool):
     return run
 
 
-def links(nodes: DataFrame, distance: int = 4, limit: int = 0, sample: int = SAMPLE, block: int = BLOCK, every: bool = False) -> DataFrame:
+def links(nodes: DataFrame, distance: int = 4, limit: int = 0, sample: int = SAMPLE, block: int = BLOCK, every: bool = False, turns: int = 1) -> DataFrame:
     """Edges (a, b) whose components are those of all pairs of rows (node, fp, more) within ``distance`` bits of fp.
 
     With ``limit``, fp and the fingerprints in more must also differ by no more bits than this in all. With ``every``, all
-    pairs of rows whose column part differs are returned, some of them repeatedly, and not only what connects them.
+    pairs of rows whose column part differs are returned, some of them repeatedly, and not only what connects them. With
+    ``turns``, each of fp and the fingerprints in more, as many in all, finds pairs within ``distance``, all in one job.
     """
     spark = nodes.sparkSession
     total = nodes.count()
     if total < 2:
         return spark.createDataFrame([], "a long, b long")
-    seen = np.array([r[0] for r in bounded_sample(nodes.select("fp", "node"), sample, "fp", "node")], dtype=np.int64)
-    payload = ["node", "fp", *(["more"] if limit else [])]
+    with_more = ["more"] if limit else []
+    seen = bounded_sample(nodes.select("fp", "node", *with_more), sample, "fp", "node")
+    payload = ["node", "fp", *with_more, *(["own"] if every else [])]
     if every:
-        nodes, payload = nodes.withColumnRenamed("part", "own"), [*payload, "own"]
-    entries = []
-    for part, (bits, most) in enumerate(plan(seen, total, distance)):
-        if most < 0:
-            continue
-        masks = [sum(1 << b for b in c) for t in range(most + 1) for c in combinations(range(len(bits)), t)]
-        value, flips = _project(F.col("fp"), bits), F.array(*[F.lit(m).cast("long") for m in masks])
-        entry = F.transform(flips, lambda m: F.struct(F.lit(part).alias("part"), value.bitwiseXOR(m).alias("value"), F.when(m == 0, 0).otherwise(1).alias("probe")))
-        entries.append(entry)
-    rows = nodes.select(*payload, F.inline(F.concat(*entries)))
+        nodes = nodes.withColumnRenamed("part", "own")
+    all_fps, rows = [F.col("fp"), *[F.col("more")[i] for i in range(turns - 1)]], None
+    for turn in range(turns):
+        marks = np.array([r.more[turn - 1] if turn else r.fp for r in seen], dtype=np.int64)
+        more = F.array(*all_fps[:turn], *all_fps[turn + 1 :])
+        turned = nodes.withColumns({"fp": all_fps[turn], "more": more}) if turns > 1 else nodes
+        parts = plan(marks, total, distance)
+        entries = [_entries(bits, most, 64 * turn + part) for part, (bits, most) in enumerate(parts) if most >= 0]
+        found = turned.select(*payload, F.inline(F.concat(*entries)))
+        rows = found if rows is None else rows.unionByName(found)
     # how many blocks a large value needs: the index rows and all that ask
     sizes = (
         rows.groupBy("part", "value")
@@ -330,58 +341,89 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 #: shingles differs, an angle of 27 degrees), with a deviation of 6: 64 bits lose none in practice. Each of the four
 #: fingerprints has at most 12 of its 64 bits differ for five of six such pairs, so about one in 1,400 isn't offered.
 WORDS, LEAST, DISTANCE, EXTRA, CLOSE, LIMIT, WIDE_BLOCK = 5, 0.8, 12, 3, 52, 64, 8_000
-#: Pairs of one text whose other texts meet it in one group.
-MEET = 500
+#: Nodes, and bytes of their sets, whose pairs with those of another block meet in one group.
+MEET_NODES, MEET_BYTES = 500, 32 << 20
 
 
 def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingle_set(x.as_py(), words).tobytes() for x in b.column("t")]
-            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(sets, pa.binary())], names=["node", "t"])
+            sizes = pa.array(map(len, sets), pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("node"), sizes, pa.array(sets, pa.binary())], names=["node", "size", "t"])
 
     return run
 
 
 def _exact(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, mine = None, np.zeros(0, dtype="<u8")
+        group, sets = None, {}
         for t in batches:
-            a, b = [], []
-            for x, y, raw in zip(t.column("a").to_pylist(), t.column("b").to_pylist(), t.column("t"), strict=True):
-                h = np.frombuffer(raw.as_py(), dtype="<u8")
-                if y is None:  # the set that the rows after it are compared with
-                    head, mine = x, h
+            a, b = (t.column(c).to_pylist() for c in ("a", "b"))
+            places = list(zip(t.column("left").to_pylist(), t.column("right").to_pylist(), strict=True))
+            keep_a, keep_b, at = [], [], 0
+            while at < len(a):
+                if places[at] != group:
+                    group, sets = places[at], {}
+                if b[at] is None:  # sets of a group come before its pairs
+                    sets[a[at]] = np.frombuffer(t.column("t")[at].as_py(), dtype="<u8")
+                    at += 1
                     continue
-                assert x == head
-                both = len(np.intersect1d(mine, h, assume_unique=True))
-                if both >= least * (len(mine) + len(h) - both) - 1e-9:
-                    a.append(x)
-                    b.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                end = at + 1
+                while end < len(a) and b[end] == b[at] and places[end] == group:
+                    end += 1
+                mine, others = sets[b[at]], [sets[x] for x in a[at:end]]
+                lengths = np.array([len(x) for x in others])
+                both = np.array([len(np.intersect1d(others[0], mine, assume_unique=True))]) if len(others) == 1 else _shared(mine, others, lengths)
+                near = np.flatnonzero(both >= least * (len(mine) + lengths - both) - 1e-9)
+                keep_a += [a[at + i] for i in near]
+                keep_b += [b[at]] * len(near)
+                at = end
+            yield pa.RecordBatch.from_arrays([pa.array(keep_a, pa.int64()), pa.array(keep_b, pa.int64())], names=["a", "b"])
 
     return run
 
 
+def _shared(mine: np.ndarray, others: list[np.ndarray], lengths: np.ndarray) -> np.ndarray:
+    """How many elements each of the others has in common with mine; all in ascending order."""
+    joined = np.concatenate(others)
+    if not len(mine):
+        return np.zeros(len(others), dtype=np.int64)
+    hit = mine[np.minimum(np.searchsorted(mine, joined), len(mine) - 1)] == joined
+    ends = np.cumsum(lengths)
+    sums = np.concatenate([[0], np.cumsum(hit)])
+    return sums[ends] - sums[ends - lengths]
+
+
 def similar_pairs(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, words: int, least: float) -> DataFrame:
     """Those of the pairs (a, b) of nodes whose texts' sets of shingles have a Jaccard similarity of at least ``least``.
 
     A node (node, least, key) has the text of the row (id, key, t) with its id and key. Sets of shingles are made once for
-    each node in a pair, and a node with many pairs meets them in several groups.
+    each node in a pair. Nodes of a dense group mostly have the same smallest neighbour; they are dealt to blocks of
+    bounded size by it, and a pair goes to the group of its two blocks, which gets each set that it needs once.
     """
     spark = pairs.sparkSession
     pairs = saved(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    asked = nodes.join(asked, "node").select("node", "least", F.col("key").alias("of"))
+    both = pairs.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("node"), F.col("a").alias("other")))
+    hubs = saved(both.groupBy("node").agg(F.min("other").alias("m"), F.count("*").alias("n")).select("node", F.least("node", "m").alias("hub"), "n"), "hubs")
+    asked = nodes.join(hubs, "node").select("node", "least", F.col("key").alias("of"))
     texts = rows.join(asked, (F.col("key") == F.col("of")) & F.col("id").eqNullSafe(F.col("least"))).select("node", "t")
-    texts = saved(texts.dropDuplicates(["node"]).mapInArrow(_sets(words), "node long, t binary"), "shingles")
-    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / MEET).cast("int").alias("g"))
-    dealt = saved(pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("g")).cast("int").alias("s")), "pairs")
-    heads = dealt.select("a", "s").distinct().join(texts, F.col("a") == F.col("node")).select("a", "s", F.lit(None).cast("long").alias("b"), "t")
-    others = dealt.join(texts, F.col("b") == F.col("node")).select("a", "s", "b", "t")
+    texts = saved(texts.dropDuplicates(["node"]).mapInArrow(_sets(words), "node long, size long, t binary"), "shingles")
+    sized = hubs.join(texts.select("node", "size"), "node")
+    blocks = sized.groupBy("hub").agg(F.ceil(F.greatest(F.count("*") / MEET_NODES, F.sum("size") / MEET_BYTES)).cast("int").alias("g"), F.count("*").alias("nodes"))
+    place = F.xxhash64("hub", F.pmod(F.xxhash64("node"), F.greatest("g", F.lit(1))))
+    limit = frequent_limit(2 * pairs.count())
+    places = saved(join_counted(hubs, blocks, "hub", "nodes", limit, "node").select("node", "n", place.alias("place")), "places")
+    left, right = (places.select(F.col("node").alias(c), "n", F.col("place").alias(p)) for c, p in (("a", "left"), ("b", "right")))
+    dealt = join_counted(join_counted(pairs, left, "a", "n", limit, "b"), right, "b", "n", limit, "a")
+    swap = F.col("left") > F.col("right")  # of two blocks' pairs, all go to one group
+    dealt = saved(dealt.select(F.least("left", "right").alias("left"), F.greatest("left", "right").alias("right"), F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b")), "pairs")
+    needed = dealt.select("left", "right", F.col("a").alias("node")).unionByName(dealt.select("left", "right", F.col("b").alias("node"))).distinct()
+    sets = needed.join(texts, "node").select("left", "right", F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "t")
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    met = heads.unionByName(others).repartition(n, "a", "s").sortWithinPartitions("a", "s", F.asc_nulls_first("b"))
-    return met.select("a", "b", "t").mapInArrow(_exact(least), "a long, b long")
+    met = sets.unionByName(dealt.select("left", "right", "a", "b", F.lit(None).cast("binary").alias("t")))
+    met = met.repartition(n, "left", "right").sortWithinPartitions("left", "right", F.asc_nulls_first("b"), "a")
+    return met.mapInArrow(_exact(least), "a long, b long")
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -401,12 +443,7 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     close = saved(similar_pairs(links(nodes, DISTANCE, CLOSE, block=WIDE_BLOCK), nodes, rows, WORDS, LEAST), "links")
     parts = connected_components(close, "a", "b")
     parted = saved(nodes.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component"), "nodes")
-    offered = None
-    for k in range(1 + EXTRA):  # candidates by each fingerprint
-        all_fps = [F.col("fp"), *[F.col("more")[i] for i in range(EXTRA)]]
-        turned = parted.select("node", "part", all_fps[k].alias("fp"), F.array(*all_fps[:k], *all_fps[k + 1 :]).alias("more"))
-        found = saved(links(turned, DISTANCE, LIMIT, block=WIDE_BLOCK, every=True).distinct(), "links")
-        offered = found if offered is None else offered.unionByName(found)
+    offered = links(parted.select("node", "part", "fp", "more"), DISTANCE, LIMIT, block=WIDE_BLOCK, every=True, turns=1 + EXTRA)
     edges = close.unionByName(similar_pairs(offered, nodes, rows, WORDS, LEAST))
     best = F.min(F.struct(F.col("least").isNull().alias("none"), F.col("least").alias("id"), "key")).alias("best")
     whole = nodes.join(connected_components(edges, "a", "b"), "node", "left").groupBy(F.coalesce("component", "node")).agg(best)
