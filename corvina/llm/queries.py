@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvina.llm import curve_search, lm_score, packing, pivot_dedup, prefix_bpe, quality, simhash_dedup, suffix_dedup, token_files, url_rules
+from corvina.llm import conversation_repair, curve_search, lm_score, mixing, negatives, packing, pivot_dedup, prefix_bpe, quality, simhash_dedup, suffix_dedup, token_files, url_rules
 from corvina.llm.common import table
 
 
@@ -70,6 +70,22 @@ def op10_pivot_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.select(F.col("id").alias("vec_id"), "n_links", "component_id", "kept")
 
 
+def op11_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = mixing.mix(table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, epochs=2)
+    return done.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", moved), "id % 100 = 0")
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    summary, repaired = conversation_repair.repair(conversation_repair.damaged(rows), originals=rows)
+    return conversation_repair.with_digests(summary, repaired).withColumnRenamed("conv", "conv_id")
+
+
 QUERIES = {
     "op1_rule_quality": op1_rule_quality,
     "op2_packing": op2_packing,
@@ -81,6 +97,9 @@ QUERIES = {
     "op9_simhash_dedup": op9_simhash_dedup,
     "op10_pivot_dedup": op10_pivot_dedup,
     "op6_url_rules": op6_url_rules,
+    "op11_source_mix": op11_source_mix,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 ORACLES = {
@@ -100,5 +119,38 @@ hit as (
   from keyed join r on (host = rhost or ends_with(host, '.' || rhost)) and starts_with(path, rpath) group by n
 )
 select page_id, host, path, rule, coalesce(action, 'allow') as verdict from keyed left join hit using (n)
+""",
+    "op11_source_mix": r"""
+with d as (
+  select doc_id, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size, coalesce('0' || source, '1') as source, md5(concat_ws(':', '1', doc_id::varchar, source, text)) as h
+  from documents
+), s as (
+  select source, sum(size)::bigint as source_size, 2.0::double * sum(size)::double as cap, [3.0::double, 1.0, 2.0][1 + (row_number() over (order by source) - 1) % 3] as weight from d group by source
+), f as (
+  select *, coalesce(sum(cap) over w, 0) as capped, sum(weight) over () - coalesce(sum(weight) over w, 0) as open, sum(source_size) over () as total
+  from s window w as (order by cap / weight, source rows between unbounded preceding and 1 preceding)
+), t as (
+  select source, source_size, least(cap, weight * (select max((1.5::double * total - capped) / open) from f)) as target from s
+), b as (
+  select *, floor(target + 0.5)::bigint // greatest(source_size, 1) as repeats, floor(target + 0.5)::bigint - (floor(target + 0.5)::bigint // greatest(source_size, 1)) * source_size as rest from t
+), g as (
+  select source, h, sum(size)::bigint as w, coalesce(sum(sum(size)) over (partition by source order by h rows between unbounded preceding and 1 preceding), 0)::bigint as used from d group by source, h
+)
+select doc_id, size::bigint as size, source_size, target,
+       repeats * size + case when w > 0 then (least(w, greatest(rest - used, 0))::hugeint * size // w)::bigint else 0 end as taken
+from d join b using (source) join g using (source, h)
+""",
+    "op12_hard_negatives": r"""
+with v as (
+  select vec_id as id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as q from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), s as (
+  select a.id as anchor_id, b.id, a.label = b.label as alike, list_dot_product(a.q, b.q)::bigint as score from v a join v b on a.id <> b.id where a.id % 100 = 0
+), p as (
+  select anchor_id, id as positive_id, score as positive_score from s where alike qualify row_number() over (partition by anchor_id order by score desc, id) <= 5
+)
+select anchor_id, positive_id, row_number() over (partition by anchor_id, positive_id order by score desc, id)::int as rank, id as negative_id, positive_score, score as negative_score
+from p join s using (anchor_id) where not alike and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score
+qualify row_number() over (partition by anchor_id, positive_id order by score desc, id) <= 10
 """,
 }
