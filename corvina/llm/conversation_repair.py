@@ -29,9 +29,9 @@ from corvina.session import saved
 CHUNK_BITS = 12
 NEXT = (2, 2, 3, 2)
 INSERT, REROLE, DELETE, UNFINISHED = 3, 3, 4, 3
-NOTHING = r"^[\x20\x09-\x0D]*$"
+NOTHING = r"\A[\x20\x09-\x0D]*\z"
 #: The last character that isn't blank ends a sentence.
-FINISHED = r"[.!?][\x20\x09-\x0D]*$"
+FINISHED = r"[.!?][\x20\x09-\x0D]*\z"
 SOUND, TRUNCATED, GONE = 0, 1, 2
 CLASSES = "sua"
 

@@ -152,5 +152,56 @@ with v as (
 select anchor_id, positive_id, row_number() over (partition by anchor_id, positive_id order by score desc, id)::int as rank, id as negative_id, positive_score, score as negative_score
 from p join s using (anchor_id) where not alike and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score
 qualify row_number() over (partition by anchor_id, positive_id order by score desc, id) <= 10
+""",
+    "op13_conversation_repair": r"""
+with recursive o as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, string_split(coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '), '') as key from conversations
+), h as (
+  select *, xor(list_reduce(list_transform(key, lambda x: ord(x)::bigint), lambda crc, x: list_reduce(range(8), lambda v, i: case when v & 1 = 1 then xor(v >> 1, 3988292384) else v >> 1 end, xor(crc, x)), 4294967295::bigint), 4294967295) % 20 as hit from o
+), d as (
+  select conv_id, turn, case hit when 4 then 'user' else role end as role, case hit when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text
+  from h, unnest(range(case hit when 3 then 2 else 1 end)) where hit <> 0
+), r as (
+  select *, row_number() over (partition by conv_id order by turn nulls first, role, md5(text)) as n from d
+), f as (
+  select *, case when not regexp_matches(text, '[^\x20\x09-\x0D]') then 'blank' when row_number() over (partition by conv_id, role, text order by n) > 1 then 'duplicate'
+                 when not regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') then 'truncated' else 'sound' end as fault,
+         left(role, 1) as c, lag(left(role, 1)) over (partition by conv_id order by n) || left(role, 1) as pair
+  from r
+), g as (
+  select conv_id, n, fault in ('blank', 'duplicate') as gone, case fault when 'truncated' then 3 else 0 end as more,
+         case c when 's' then [2, 0, 0, 0] when 'u' then [3, 3, 0, 3] when 'a' then [0, 0, 4, 0] else [0, 0, 0, 0] end as k from f
+), v as (
+  select conv_id, max(n) + 1 as n, [{'c': 0, 's': ''}, {'c': 6, 's': 'II'}, {'c': 3, 's': 'I'}, {'c': 0, 's': ''}] as b from f group by conv_id
+  union all
+  select conv_id, n, list_transform([1, 2, 3, 4], lambda q: list_sort([w[q], case when q = 3 then {'c': 3 + w[4].c, 's': 'I' || w[4].s} else {'c': 3 + u.c, 's': 'I' || u.s} end])[1])
+  from (
+    select conv_id, n, w, list_sort([w[3], {'c': 3 + w[4].c, 's': 'I' || w[4].s}])[1] as u
+    from (
+      select g.conv_id, g.n, list_transform([1, 2, 3, 4], lambda q: list_sort([
+               {'c': 4 + b[q].c, 's': 'D' || b[q].s},
+               {'c': case when gone or k[q] = 0 then 999999999 else more + b[k[q]].c end, 's': 'K' || b[k[q]].s},
+               {'c': case when gone then 999999999 else 3 + more + b[case q when 3 then 4 else 3 end].c end, 's': 'R' || b[case q when 3 then 4 else 3 end].s}])[1]) as w
+      from v join g on g.conv_id is not distinct from v.conv_id and g.n = v.n - 1
+    )
+  )
+), a as (
+  select conv_id, b[1].c as cost, b[1].s as audit from v where n = 1
+), e as (
+  select conv_id, i, letter, count(*) filter (where letter <> 'I') over w as n, count(*) filter (where letter <> 'D') over w as m
+  from (select conv_id, unnest(string_split(audit, '')) as letter, unnest(range(length(audit))) as i from a where audit <> '') window w as (partition by conv_id order by i)
+), l as (
+  select e.conv_id, i, letter, m, case letter when 'I' then '' else text end as text, role, bool_or(letter = 'K' and c = 's' and m = 1) over (partition by e.conv_id) as system
+  from e left join f on f.conv_id is not distinct from e.conv_id and f.n = e.n where letter <> 'D'
+), t as (
+  select conv_id, string_agg(case when letter = 'K' then role when (m - system::int) % 2 = 1 then 'user' else 'assistant' end || ':' || text, chr(10) order by i) as lines from l group by conv_id
+), z as (
+  select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (where fault = 'blank') as blank, count(*) filter (where fault = 'duplicate') as duplicate,
+         count(*) filter (where fault = 'truncated') as truncated, count(*) filter (where pair not in ('su', 'ua', 'au')) as illegal from f group by conv_id
+)
+select x.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate, coalesce(truncated, 0)::bigint as truncated,
+       coalesce(illegal, 0)::bigint as illegal, coalesce(cost, 0)::bigint as cost, coalesce(audit, '') as audit, sha256(coalesce(lines, '')) as repaired_sha256
+from (select distinct conv_id from conversations) x left join z on z.conv_id is not distinct from x.conv_id left join a on a.conv_id is not distinct from x.conv_id
+left join t on t.conv_id is not distinct from x.conv_id
 """,
 }
