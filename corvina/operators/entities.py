@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from corvina.functions import text as X
+from corvina.functions.similarity import string_ratio  # noqa: F401
 from corvina.operators.components import connected_components
+from corvina.operators.similar import similar_links, similar_strings  # noqa: F401
 
 
 def distinct_entities(triples: DataFrame) -> DataFrame:
@@ -16,43 +16,6 @@ def distinct_entities(triples: DataFrame) -> DataFrame:
     return ends.select(X.strip_blanks(F.col("entity")).alias("entity")).where("entity <> ''").distinct()
 
 
-def indel_ratio(a: str, b: str) -> float:
-    """Twice the longest common subsequence over the summed lengths, of lower-cased strings."""
-    a, b = a.lower(), b.lower()
-    if not a and not b:
-        return 1.0
-    row = [0] * (len(b) + 1)
-    for x in a:
-        last = 0
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
-    return 2 * row[-1] / (len(a) + len(b))
-
-
-@F.pandas_udf(T.DoubleType())
-def string_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([indel_ratio(x or "", y or "") for x, y in zip(a, b, strict=True)])
-
-
-def similar_strings(entities: DataFrame, least: float = 0.85, name: str = "entity", gram: int = 2) -> DataFrame:
-    """(a, b, ratio) with a < b and ratio of at least ``least``: no pair is lost.
-
-    A string of n characters that loses and gains as few as the ratio allows keeps all but 4 n (1 - r) / (2 - r) of its
-    two-character grams: a lost character breaks two, an added one breaks one. So of one more than that of its rarest
-    grams, one occurs in the similar string too. Pairs meet there, in rare grams, and lengths must be near each other.
-    """
-    e = entities.select(F.col(name).alias("x")).where("x is not null").distinct().withColumn("l", F.lower("x")).withColumn("n", F.length("l"))
-    spots = F.sequence(F.lit(0), F.greatest(F.col("n") - gram, F.lit(0)))
-    grams = e.select("x", "n", F.explode(F.array_distinct(F.transform(spots, lambda i: F.substr(F.col("l"), i + 1, F.lit(gram))))).alias("g"))
-    seen = grams.groupBy("g").agg(F.count("*").alias("df"))
-    offer = F.floor(4 * F.col("n") * (1 - least) / (2 - least)).cast("int") + 1
-    place = F.row_number().over(Window.partitionBy("x").orderBy("df", "g"))
-    offered = grams.join(seen, "g").withColumn("r", place).where(F.col("r") <= offer).select("g", F.col("x").alias("y"), F.col("n").alias("m"))
-    near = (F.col("x") != F.col("y")) & (F.least("n", "m") >= least / (2 - least) * F.greatest("n", "m"))
-    pairs = grams.join(offered, "g").where(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    return pairs.withColumn("ratio", string_ratio("a", "b")).where(F.col("ratio") >= least)
-
-
 def entity_groups(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(entity, canonical): components of the pairs; the longest name stands for its group, the first of equal ones."""
     parts = connected_components(pairs, a, b)

@@ -45,8 +45,8 @@ def ingest_text(docs: DataFrame, replies: DataFrame, known: DataFrame, rules: Da
 
 def name_mapping(found: DataFrame, alike: float = 0.85) -> DataFrame:
     """(variant, canonical) of names that are alike."""
-    pairs = entities.similar_strings(entities.distinct_entities(found), alike)
-    return entities.entity_groups(pairs).where("entity <> canonical").select(F.col("entity").alias("variant"), "canonical")
+    links = entities.similar_links(entities.distinct_entities(found), alike)
+    return entities.entity_groups(links).where("entity <> canonical").select(F.col("entity").alias("variant"), "canonical")
 
 
 def ingest_structured(docs: DataFrame, known: DataFrame, labels: DataFrame) -> DataFrame:

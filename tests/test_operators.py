@@ -1,12 +1,15 @@
 """What SQL cannot say: offsets, chains, similarity without loss, streams."""
 
+import math
 import random
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
+from corvina.functions import similarity
 from corvina.functions import text as X
-from corvina.operators import chunking, entities, triples
+from corvina.operators import chunking, entities, similar, triples
 from corvina.operators.components import connected_components
 from corvina.streaming import status
 
@@ -53,13 +56,62 @@ def test_components_of_chains_stars_and_loops(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
 
 
-def test_similar_strings_lose_no_pair(spark):
-    rng = random.Random(2)
-    base = ["".join(rng.choice("abcde ") for _ in range(rng.randint(1, 24))) for _ in range(60)]
-    names = sorted({*base, *("".join(c for c in b if rng.random() > 0.06) + rng.choice(["", "x"]) for b in base for _ in range(3))} - {""})
-    got = {(r.a, r.b) for r in entities.similar_strings(spark.createDataFrame([(n,) for n in names], "entity string")).collect()}
-    want = {(a, b) for a in names for b in names if a < b and entities.indel_ratio(a, b) >= 0.85}
+def plain_ratio(a, b):
+    a, b = a.lower(), b.lower()
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+    return 2 * row[-1] / (len(a) + len(b)) if a or b else 1.0
+
+
+def odd_names(rng):
+    base = ["".join(rng.choice("abcdE ") for _ in range(rng.randint(1, 24))) for _ in range(60)] + ["aaaa", "aaaaaa", "ab", "axb", "Ab", "a", "\u6210\u5947\u52cb", "\u6210\u5947", "x" * 70, "x" * 64, "xy" * 33]
+    return sorted({*base, *("".join(c for c in b if rng.random() > 0.06) + rng.choice(["", "x"]) for b in base for _ in range(3))} - {""})
+
+
+@pytest.mark.parametrize("least", [0.6, 0.8, 0.85, 0.95, 1.0])
+def test_similar_strings_lose_no_pair(spark, least):
+    names = odd_names(random.Random(2))
+    df = spark.createDataFrame([(n, 1) for n in [*names, *names[:9], "", None]], "entity string, side int")
+    got = {(r.a, r.b): r.ratio for r in similar.similar_strings(df, least).collect()}
+    want = {(a, b): plain_ratio(a, b) for a in names for b in names if a < b and plain_ratio(a, b) >= least}
     assert got == want and want
+    links = [(r.a, r.b) for r in similar.similar_links(df, least).collect()]
+    assert forest_of(links) == forest_of(want)
+
+
+def forest_of(pairs):
+    root = {}
+    for a, b in pairs:
+        group = root.get(a, {a}) | root.get(b, {b})
+        for x in group:
+            root[x] = group
+    return {frozenset(g) for g in root.values()}
+
+
+def test_similar_strings_in_many_cells(spark, monkeypatch):
+    monkeypatch.setattr(similar, "BLOCK", 3)
+    names = [f"Customer#{i:06d}" for i in range(0, 400, 7)] + [f"Order#{i}" for i in range(40)]
+    df = spark.createDataFrame([(n,) for n in names], "entity string")
+    got = [(r.a, r.b) for r in similar.similar_strings(df).collect()]
+    assert sorted(got) == sorted((a, b) for a in names for b in names if a < b and plain_ratio(a, b) >= 0.85)
+    assert similar.similar_strings(df.where("false")).count() == 0
+
+
+def test_similar_between_two_tables(spark):
+    names = odd_names(random.Random(5))
+    left, right = names[::2] + names[:5], names[1::2] + names[:10]
+    found = similar.similar_between(spark.createDataFrame([(n,) for n in left], "name string"), spark.createDataFrame([(n,) for n in right], "name string"), 0.8)
+    assert sorted((r.a, r.b) for r in found.collect()) == sorted({(a, b) for a in left for b in right if plain_ratio(a, b) >= 0.8})
+
+
+def test_string_ratio_of_columns(spark):
+    names = odd_names(random.Random(3))
+    rows = [(a, b) for a in names[::5] for b in names[::7]] + [(None, "a"), ("", ""), ("x" * 200, "x" * 150 + "y"), (None, None)]
+    got = spark.createDataFrame(rows, "a string, b string").select("a", "b", similarity.string_ratio("a", "b").alias("r")).collect()
+    assert all(math.isclose(r.r, plain_ratio(r.a or "", r.b or "")) for r in got)
 
 
 def test_particles_pronouns_and_noise(spark):
