@@ -55,13 +55,9 @@ def _longest_first(words: list[str]) -> str:
 
 def normalize_entity(c: Column) -> Column:
     """Without the longest particle at the end if two characters or more are left; blanks collapsed."""
-    c = strip_blanks(c)
-    stem = None
-    for n in sorted({len(p) for p in PARTICLES}, reverse=True):
-        hit = F.right(c, F.lit(n)).isin([p for p in PARTICLES if len(p) == n]) & (F.length(c) >= n + 2)
-        cut = F.left(c, F.length(c) - n)
-        stem = F.when(hit, cut) if stem is None else stem.when(hit, cut)
-    return strip_blanks(F.regexp_replace(stem.otherwise(c), r"\s+", " "))
+    # the shortest stem of two characters or more before a particle leaves the longest particle
+    stem = F.regexp_replace(strip_blanks(c), rf"(?s)\A(.{{2,}}?)(?:{_longest_first(PARTICLES)})\z", "$1")
+    return strip_blanks(F.regexp_replace(stem, r"\s+", " "))
 
 
 def canonical_entity(c: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -136,9 +138,37 @@ def infer_two_hop(edges: DataFrame, rules: DataFrame, scope: str | None = None)
     return found.join(edges.select("subject", "predicate", "object").distinct(), ["subject", "predicate", "object"], "left_anti")
 
 
-def live_schema(edges: DataFrame, most: int = 200) -> DataFrame:
-    """The commonest predicates with their counts."""
-    return edges.groupBy("predicate").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "predicate").limit(most)
+# Parts of the names of bookkeeping predicates, and names of the predicate that gives a type.
+SYSTEM_PREDICATES, TYPE_PREDICATES = "rdf-syntax-ns#|rag.local/meta|rag.local/stmt", ["type", "a", "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"]
+#: How many names of each kind a live schema lists.
+SCHEMA_SIZES = {"predicate": 200, "class": 20, "relation": 100, "label": 50}
+
+
+def live_schema(edges: DataFrame, sizes: dict[str, int] = SCHEMA_SIZES) -> DataFrame:
+    """(kind, name, n, rank): the commonest predicates, classes, relation types and node labels of the edges, from one scan.
+
+    edges: (subject, predicate, object), and ``is_literal``, ``subject_type``, ``object_type`` where they are known. Classes are
+    the objects of type statements; relation types are predicates between entities in the property graph's form; labels are
+    the types of ends, Entity where none is given. Every list is cut at its size (ties by name).
+    """
+    p = F.col("predicate")
+    is_type = p.isin(TYPE_PREDICATES)
+    literal = F.coalesce("is_literal", F.lit(False)) if "is_literal" in edges.columns else F.lit(False)
+    short = F.when(p.contains("/rel/"), F.concat(F.lit("rel:"), F.substring_index(p, "/rel/", -1))).otherwise(F.substring_index(p, "#", -1))
+    o = F.col("object")
+    named = F.when(o.contains("/class/"), F.concat(F.lit("class:"), F.substring_index(o, "/class/", -1))).otherwise(F.substring_index(o, "/", -1))
+    kind = F.upper(F.regexp_replace(p, "[^a-zA-Z0-9_가-힣]", "_"))
+    labels = [F.coalesce(c, F.lit("Entity")) if c in edges.columns else F.lit("Entity") for c in ("subject_type", "object_type")]
+    system = F.lower(p).rlike(SYSTEM_PREDICATES)
+    found = F.array(
+        F.struct(F.lit("predicate").alias("kind"), F.when(~system, short).alias("name")), F.struct(F.lit("class").alias("kind"), F.when(is_type & ~F.lower(o).contains("rdf-syntax-ns#"), named).alias("name")),
+        F.struct(F.lit("relation").alias("kind"), F.when(~is_type & ~system & ~literal, F.when(kind == "", "RELATED_TO").otherwise(kind)).alias("name")),
+        F.struct(F.lit("label").alias("kind"), F.when(~is_type, labels[0]).alias("name")), F.struct(F.lit("label").alias("kind"), F.when(~is_type & ~literal, labels[1]).alias("name")),
+    )
+    counts = edges.select(F.inline(found)).where("name is not null").groupBy("kind", "name").agg(F.count("*").alias("n"))
+    most = F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair])
+    place = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("n"), "name"))
+    return counts.withColumn("rank", place).where(F.col("rank") <= most[F.col("kind")])
 
 
 def unknown_relations(referenced: DataFrame, schema: DataFrame) -> DataFrame:
@@ -149,14 +179,43 @@ def unknown_relations(referenced: DataFrame, schema: DataFrame) -> DataFrame:
     return asked.join(known, "key", "left_anti").select("name").distinct()
 
 
-def list_triples(edges: DataFrame, subject: str = "", predicate: str = "", object: str = "", skip: int = 0, limit: int = 50) -> tuple[DataFrame, DataFrame]:
-    """A page of the triples that contain the texts asked for, and their number."""
+def list_triples(
+    edges: DataFrame, subject: str = "", predicate: str = "", object: str = "", skip: int = 0, limit: int = 50, sort: Sequence[tuple[str, str]] = (), docs: DataFrame | None = None,
+    chunks: DataFrame | None = None, text: int = 500,
+) -> tuple[DataFrame, DataFrame]:
+    """A page of the triples that contain the texts asked for, in order, with ``place`` (from 0); and one row, their number.
+
+    ``sort`` names columns with asc or desc; what is equal in them comes by subject, predicate, object and ord. With docs
+    (doc_id, filename) and chunks (chunk_id, content) the page's rows get the file's name and the first characters of the
+    chunk's text, null where there is none.
+
+    A page far from the start sorts no more than the ranges that it lies in: rows are dealt to ranges of the sort keys,
+    ranges are counted (a number for each), and only those that hold the page are sorted.
+    """
     hits = edges
     for column, asked in (("subject", subject), ("predicate", predicate), ("object", object)):
         if asked:
             hits = hits.where(F.lower(column).contains(asked.lower()))
-    order = ["subject", "predicate", "object", "ord"]
-    return hits.orderBy(*order).offset(skip).limit(limit), hits.agg(F.count("*").alias("total"))
+    named = {c: d.lower() for c, d in sort if c in ("subject", "predicate", "object", "confidence", "doc_id") and c in edges.columns}
+    keys = [F.col(c).desc_nulls_last() if d == "desc" else F.col(c).asc_nulls_first() for c, d in named.items()]
+    keys += [F.col(c).asc_nulls_first() for c in ("subject", "predicate", "object", "ord") if c not in named]
+    ranged = saved(hits.repartitionByRange(*keys).withColumn("__range", F.spark_partition_id()), "ranges")
+    counts = dict(ranged.groupBy("__range").count().collect())  # no more than ranges
+    wanted, before, start = [], 0, None
+    for r in sorted(counts):
+        if before < skip + limit and before + counts[r] > skip:
+            wanted.append(r)
+            start = before if start is None else start
+        before += counts[r]
+    start = start or 0
+    page = ranged.where(F.col("__range").isin(wanted)).orderBy(*keys).offset(max(0, skip - start)).limit(limit).drop("__range")
+    page = page.withColumn("place", F.row_number().over(Window.orderBy(*keys)) + F.lit(skip - 1))  # a page's rows
+    if docs is not None:
+        page = page.join(docs.select("doc_id", "filename").dropDuplicates(["doc_id"]), "doc_id", "left")
+    if chunks is not None:
+        texts = chunks.select(F.col("chunk_id").alias("source_node_id"), F.substring("content", 1, text).alias("chunk_text")).dropDuplicates(["source_node_id"])
+        page = page.join(texts, "source_node_id", "left")
+    return page, ranged.agg(F.count("*").alias("total"))
 
 
 def clickable_entities(names: DataFrame, edges: DataFrame) -> DataFrame:

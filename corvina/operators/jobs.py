@@ -10,43 +10,82 @@ from pyspark.sql import functions as F
 from corvina.functions import text as X
 from corvina.operators import chunking, entities, graph, maintenance, ontology, triples
 from corvina.operators.search import hashed_embedding
+from corvina.session import saved
+from corvina.sources import tables
 
 KEYS = ["subject", "predicate", "object"]
 
 
 @dataclass(frozen=True)
 class Ingested:
-    """Chunks, their vectors, the triples found, and the edge table with those merged in."""
+    """Chunks, their vectors, the dictionary of names, suggestions to merge names, the triples found, and the edge table with those merged in."""
 
     chunks: DataFrame
     vectors: DataFrame
+    dictionary: DataFrame | None
+    suggestions: DataFrame
     triples: DataFrame
     edges: DataFrame
 
 
-def ingest_text(docs: DataFrame, replies: DataFrame, known: DataFrame, rules: DataFrame | None = None, size: int = 1_000, overlap: int = 200, least: float = 0.5, alike: float = 0.85) -> Ingested:
+def name_dictionary(mentions: DataFrame, lines: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(canonical, type, variants) of mentions (name, type, source), and the mapping (variant, canonical) behind it.
+
+    lines: (batch, line) of a grouper's replies, ``name, variant, variant``. Of a name's types the first by alphabet counts.
+    """
+    names = entities.consolidate_mentions(mentions).select("name", F.col("types")[0].alias("type"))
+    groups = entities.parse_groups(lines) if lines is not None else names.select(F.col("name").alias("variant"), F.col("name").alias("canonical")).where("false")
+    mapping = entities.complete_mapping(names, groups).select(F.col("name").alias("variant"), "canonical")
+    told = names.join(mapping.withColumnRenamed("variant", "name"), "name").groupBy("canonical").agg(F.min("type").alias("type"), F.sort_array(F.collect_set("name")).alias("variants"))
+    return told, mapping.where("variant <> canonical")
+
+
+def normalized(found: DataFrame, alike: float = 0.85) -> tuple[DataFrame, DataFrame]:
+    """Triples (ord, subject, predicate, object, …) under the names that suggestions choose, each once, and the suggestions."""
+    groups = similar_groups(found, alike)
+    suggestions = entities.normalization_suggestions(groups, found)
+    told = entities.apply_mapping(found, groups.where("entity <> canonical").select(F.col("entity").alias("variant"), "canonical"))
+    named = {"subject": X.canonical_entity(F.col("subject")), "object": X.canonical_entity(F.col("object")), "predicate": X.normalize_predicate(F.col("predicate"))}
+    return triples.resolve_duplicates(told.withColumns(named)), suggestions
+
+
+def similar_groups(found: DataFrame, alike: float = 0.85) -> DataFrame:
+    """(entity, canonical) of names that chains of similar names connect; saved, as the search and the components are work."""
+    return saved(entities.entity_groups(entities.similar_links(entities.distinct_entities(found), alike)), "groups")
+
+
+def ingest_text(
+    docs: DataFrame, replies: DataFrame, known: DataFrame, rules: DataFrame | None = None, size: int = 1_000, overlap: int = 200, least: float = 0.5, alike: float = 0.85,
+    mentions: DataFrame | None = None, lines: DataFrame | None = None,
+) -> Ingested:
     """Texts (doc_id, text) to chunks and vectors; an extractor's replies (ord, doc_id, reply) to triples among ``known`` edges.
 
-    Replies are parsed, filtered and normalised; similar names take the name that stands for their group. Rules (rule, p1,
-    p2, inferred) then add edges within each document.
+    Mentions (name, type, source) and groups of names (batch, line) make a dictionary, whose canonical names and types the
+    triples take. Replies are parsed, filtered and normalised; similar names take the name that stands for their group.
+    Rules (rule, p1, p2, inferred) then add edges within each document.
     """
     clean = docs.select("doc_id", X.clean_text(F.col("text")).alias("text"))
     chunks = chunking.chunk_by_size(clean, size, overlap)
     chunks = chunks.withColumn("chunk_id", F.concat_ws("_", F.col("doc_id").cast("string"), F.col("chunk_index").cast("string")))
     vectors = hashed_embedding(chunks, X.tokens(F.col("content")), "chunk_id")
-    found = triples.postprocess_triples(triples.parse_triples(replies), least)
-    found = entities.apply_mapping(found, name_mapping(found, alike)).dropDuplicates(KEYS)
+    found, dictionary = triples.postprocess_triples(triples.parse_triples(replies), least), None
+    if mentions is not None:
+        dictionary, mapping = name_dictionary(mentions, lines)
+        found = triples.lookup_types(entities.apply_mapping(found, mapping), dictionary)
+    found, suggestions = normalized(found, alike)
     edges = triples.merge_edges(known.select(*KEYS, "doc_id"), found.select(*KEYS, F.col("doc_id").cast(known.schema["doc_id"].dataType)), KEYS)
     if rules is not None:
         inferred = graph.infer_two_hop(edges, rules, "doc_id").select(*KEYS, F.lit(None).cast(known.schema["doc_id"].dataType).alias("doc_id"))
         edges = edges.unionByName(inferred.dropDuplicates(KEYS))
-    return Ingested(chunks, vectors, found, edges)
+    return Ingested(chunks, vectors, dictionary, suggestions, found, edges)
 
 
-def name_mapping(found: DataFrame, alike: float = 0.85) -> DataFrame:
-    """(variant, canonical) of names that are alike."""
-    links = entities.similar_links(entities.distinct_entities(found), alike)
-    return entities.entity_groups(links).where("entity <> canonical").select(F.col("entity").alias("variant"), "canonical")
+def store(done: Ingested, root: str, kb: str) -> None:
+    """Writes chunks and vectors of a knowledge base next to those of others, and its edges in place of the old ones."""
+    rows = done.chunks.withColumnRenamed("chunk_id", "node_id").withColumnRenamed("chunk_index", "idx")
+    tables.write_chunks(rows, f"{root}/chunks", kb)
+    done.vectors.withColumn("kb_id", F.lit(kb)).write.mode("append").partitionBy("kb_id").parquet(f"{root}/vectors")
+    done.edges.write.mode("overwrite").parquet(f"{root}/edges/kb_id={kb}")
 
 
 def ingest_structured(docs: DataFrame, known: DataFrame, labels: DataFrame) -> DataFrame:
@@ -122,13 +161,26 @@ def revert(triples_: DataFrame) -> DataFrame:
     return triples_.join(ontology.schema_snapshot(triples_), ["s", "p", "o"], "left_anti")
 
 
-def preview(found: DataFrame, alike: float = 0.85) -> tuple[DataFrame, DataFrame]:
-    """Triples (ord, subject, …) as they would be written, and suggestions (canonical, variants, n_triples); nothing is written."""
-    groups = entities.entity_groups(entities.similar_strings(entities.distinct_entities(found), alike))
-    return found, entities.normalization_suggestions(groups, found)
+@dataclass(frozen=True)
+class Preview:
+    """Triples as they would be written, groups of similar names, suggestions (canonical, variants, n_triples), and how names align with a schema."""
+
+    triples: DataFrame
+    groups: DataFrame
+    suggestions: DataFrame
+    alignment: DataFrame | None
+
+
+def preview(found: DataFrame, alike: float = 0.85, schema: DataFrame | None = None) -> Preview:
+    """What ``confirm`` would write from triples (ord, subject, …), without writing; schema: (kind, name) of what is declared."""
+    groups = similar_groups(found, alike)
+    suggestions = entities.normalization_suggestions(groups, found)
+    alignment = None if schema is None else ontology.align(ontology.schema_candidates(found), schema)
+    return Preview(found, groups, suggestions, alignment)
 
 
-def confirm(found: DataFrame, known: DataFrame, mapping: DataFrame, renames: DataFrame) -> DataFrame:
-    """``known`` edges with the previewed triples, after the chosen names (variant, canonical) and predicates (name, to)."""
-    told = ontology.apply_rename(entities.apply_mapping(found, mapping), renames)
+def confirm(seen: Preview, known: DataFrame, chosen: DataFrame, renames: DataFrame) -> DataFrame:
+    """``known`` edges with the previewed triples, after the chosen suggestions (canonical) and predicates (name, to)."""
+    mapping = seen.groups.join(chosen.select("canonical").distinct(), "canonical", "left_semi").where("entity <> canonical").select(F.col("entity").alias("variant"), "canonical")
+    told = ontology.apply_rename(entities.apply_mapping(seen.triples, mapping), renames)
     return triples.merge_edges(known.select(*KEYS), told.select(*KEYS), KEYS)

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import difflib
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from corvina.functions import text as X
+from corvina.operators.similar import similar_between
 from corvina.session import saved
 
 # Predicates that always pass the selection.
@@ -131,6 +136,56 @@ def align_exact(candidates: DataFrame, existing: DataFrame) -> DataFrame:
     return rows.select("kind", "name", "existing", F.when(F.col("existing").isNotNull(), "matched").otherwise("new").alias("status"))
 
 
+@F.pandas_udf(DoubleType())
+def matching_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Twice the characters in matching blocks over all characters, of lower-cased strings: longest block first, then left and right of it."""
+    one = difflib.SequenceMatcher(None)
+    out, second = [], None
+    for x, y in zip(a, b, strict=True):
+        if y != second:  # what is prepared for the second string serves all first ones
+            one.set_seq2(y.lower())
+            second = y
+        one.set_seq1(x.lower())
+        out.append(one.ratio())
+    return pd.Series(out, dtype="float64")
+
+
+def align(candidates: DataFrame, existing: DataFrame, least: float = 0.8) -> DataFrame:
+    """(kind, name, existing, status, score) for candidates (kind, name) against declared names (kind, name) of their kind.
+
+    Equal names whatever the case are matched; else the declared name with the best ratio of matching blocks is similar,
+    if that is at least ``least`` (ties: the first by alphabet); else a candidate is new. Blocks are common subsequences, so
+    pairs come from the similarity join, which loses none. Null and empty names are new.
+    """
+    told = candidates.select("kind", "name").distinct()
+    exact = align_exact(told, existing)
+    rest = exact.where("status = 'new'").select("kind", "name")
+    pairs = similar_between(rest.select("name"), existing.select("name"), least)
+    pairs = rest.join(pairs.select(F.col("a").alias("name"), F.col("b").alias("existing")), "name").join(existing.select("kind", F.col("name").alias("existing")).distinct(), ["kind", "existing"])
+    scored = pairs.withColumn("score", matching_ratio("name", "existing")).where(F.col("score") >= least)
+    best = scored.groupBy("kind", "name").agg(F.min(F.struct((-F.col("score")).alias("s"), "existing")).alias("b")).select("kind", "name", F.col("b.existing").alias("near"), (-F.col("b.s")).alias("score"))
+    joined = exact.join(best, ["kind", "name"], "left")
+    status = F.when(F.col("status") == "matched", "matched").when(F.col("near").isNotNull(), "similar").otherwise("new")
+    return joined.select("kind", "name", F.coalesce("existing", "near").alias("existing"), status.alias("status"), F.round("score", 3).alias("score"))
+
+
+def alignment_flags(aligned: DataFrame, existing: DataFrame) -> DataFrame:
+    """One row: existing_empty, disjoint (something is declared, and no candidate matches or resembles it), has_mismatch."""
+    some = existing.agg((F.count("*") == 0).alias("existing_empty"))
+    c = aligned.agg(F.count("*").alias("n"), F.count_if(F.col("status") != "new").alias("known"), F.count_if(F.col("status") != "matched").alias("open"))
+    both = some.join(F.broadcast(c))  # one row each
+    disjoint = ~F.col("existing_empty") & (F.col("n") > 0) & (F.col("known") == 0)
+    return both.select("existing_empty", disjoint.alias("disjoint"), ((F.col("open") > 0) | disjoint).alias("has_mismatch"))
+
+
+def rename_map(aligned: DataFrame, decisions: DataFrame) -> DataFrame:
+    """(kind, name, to): matched names take the declared form; decisions (kind, name, action, target) override: merge and map to the target, create keeps."""
+    own = aligned.join(decisions.select("kind", "name", "action", "target"), ["kind", "name"], "left")
+    to = F.when(F.col("action").isin("merge", "map") & F.col("target").isNotNull(), F.col("target")).when(F.col("action") == "create", F.lit(None).cast("string"))
+    to = F.coalesce(to, F.when((F.col("status") == "matched") & ~F.col("action").eqNullSafe("create"), F.col("existing")))
+    return own.select("kind", "name", to.alias("to")).where("to is not null and to <> name")
+
+
 def schema_snapshot(triples: DataFrame) -> DataFrame:
     """(s, p, o) of declared classes and properties: types, labels, comments, domains, ranges, parents."""
     declared = triples.where("p = 'type'").where(F.col("o").isin("Class", "ObjectProperty", "DatatypeProperty")).select("s").distinct()

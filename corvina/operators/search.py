@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvina.functions import vector as V
+from corvina.operators.injected import apply_injected
 from corvina.session import saved
 
 Scorer = Callable[[Column, Column], Column]
@@ -149,32 +151,86 @@ def hashed_embedding(df: DataFrame, tokens: Column, id_col: str, size: int = 256
     return rows.select("id", value.alias("embedding"))
 
 
-def embed(df: DataFrame, scorer: Callable[[pd.Series], pd.Series], id_col: str, text_col: str) -> DataFrame:
-    """(id, embedding) by an injected function from a batch of texts to lists of numbers."""
-    return df.select(F.col(id_col).alias("id"), F.pandas_udf(scorer, "array<double>")(F.col(text_col)).alias("embedding"))
+def embed(df: DataFrame, scorer: Callable[[list[str]], list], id_col: str, text_col: str) -> DataFrame:
+    """(id, embedding, error) by an injected function from a batch of texts to lists of numbers; rows on which it fails keep the error."""
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return apply_injected(rows, lambda b: scorer(b["text"]), ["text"], "embedding array<double>").drop("text")
 
 
-def knn_ivf(chunks: DataFrame, queries: DataFrame, k: int, nlist: int = 1024, nprobe: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", seed: int = 1) -> DataFrame:
-    """(query_id, id, score, rank) by cosine among the rows of the ``nprobe`` cells nearest to each query.
+def rerank_injected(results: DataFrame, texts: DataFrame, queries: DataFrame, scorer: Callable[[list[str], list[str]], list[float]], k: int, threshold: float = 0.0) -> DataFrame:
+    """``rerank`` by an injected function from a batch of (query text, content) to scores; rows on which it fails go last, with score null as 0.
 
-    Cells are those of k-means; every row is in its nearest centre's cell. Cells are no more than ``nlist``, so centres are
-    small. A cell that is much larger than the mean is cut into blocks, which its queries all visit.
+    results: (query_id, id, …); texts: (id, content); queries: (query_id, query_text).
     """
-    rows = chunks.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("v is not null")
+    rows = results.join(texts.select("id", "content"), "id").join(queries.select("query_id", "query_text"), "query_id")
+    scored = apply_injected(rows, lambda b: scorer(b["query_text"], b["content"]), ["query_text", "content"], "raw double")
+    return rerank(scored.withColumn("raw", F.coalesce("raw", F.lit(0.0))).drop("query_text", "content", "error"), "raw", k, threshold)
+
+
+def _nearest_cells(centres: np.ndarray, most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            v = np.array(b.column("v").to_pylist(), dtype=np.float64).reshape(b.num_rows, -1)
+            gaps = (centres**2).sum(axis=1)[None, :] - 2 * v @ centres.T
+            cells = np.argsort(gaps, axis=1, kind="stable")[:, :most].astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, cells.size + 1, cells.shape[1], dtype=np.int32)), pa.array(cells.ravel()))
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("v"), lists], names=["id", "v", "cells"])
+
+    return run
+
+
+#: Vectors that centres are fitted on for each of them, and stated queries whose exact neighbours tell how many cells to visit.
+FIT_ROWS, FIT_QUERIES = 64, 128
+
+
+def ivf_cells(rows: DataFrame, nlist: int, seed: int) -> tuple[np.ndarray, DataFrame]:
+    """Centres by k-means on a bounded sample of rows (id, v), and (id, v, cell) of every row by its nearest centre, saved."""
+    sample = rows.withColumn("h", F.xxhash64(F.lit(seed), "id")).orderBy("h", "id").limit(FIT_ROWS * nlist).select(array_to_vector("v").alias("f"))
+    model = KMeans(k=nlist, seed=seed, maxIter=10, featuresCol="f", predictionCol="cell").fit(sample)
+    centres = np.array(model.clusterCenters(), dtype=np.float64)
+    kind = rows.schema["id"].dataType.simpleString()
+    held = rows.mapInArrow(_nearest_cells(centres, 1), f"id {kind}, v array<double>, cells array<int>").select("id", "v", F.col("cells")[0].alias("cell"))
+    return centres, saved(held, "cells")
+
+
+def fitted_probes(held: DataFrame, centres: np.ndarray, k: int, recall: float, seed: int) -> int:
+    """The least number of nearest cells in which sampled rows find the wanted share of their exact ``k`` nearest rows."""
+    asked = held.withColumn("h", F.xxhash64(F.lit(seed + 1), "id")).orderBy("h", "id").limit(FIT_QUERIES).select(F.col("id").alias("query_id"), F.col("v").alias("query_vec"))
+    asked = saved(asked, "asked")
+    exact = knn_exact(held, asked, k, id_col="id", vector_col="v").join(held.select("id", "cell"), "id")
+    ranks = asked.select(F.col("query_id").alias("id"), F.col("query_vec").alias("v")).mapInArrow(_nearest_cells(centres, len(centres)), f"id {asked.schema['query_id'].dataType.simpleString()}, v array<double>, cells array<int>")
+    place = exact.join(ranks.select(F.col("id").alias("query_id"), "cells"), "query_id").select(F.array_position("cells", F.col("cell")).alias("n"))
+    return int(place.agg(F.percentile("n", F.lit(recall))).first()[0] or 1) + 1  # one more than at the edge
+
+
+def knn_ivf(
+    chunks: DataFrame, queries: DataFrame, k: int, nlist: int = 1024, nprobe: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding", seed: int = 1, recall: float = 0.95
+) -> DataFrame:
+    """(query_id, id, score, rank) by cosine among the rows of the cells nearest to each query.
+
+    Cells belong to the centres of k-means over unit vectors; every row is in its nearest centre's cell. Without ``nprobe``
+    the number of cells to visit is fitted to ``recall`` on sampled rows, whose exact neighbours are found. Centres are no
+    more than ``nlist`` and reach tasks as one matrix. A cell that is much larger than the mean is cut into blocks, which its
+    queries all visit. Null and zero vectors and vectors with null components take no part.
+    """
+    def unit(c):
+        norm = F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x))
+        return F.when(norm > 0, F.transform(c, lambda x: x / norm))
+
+    rows = chunks.select(F.col(id_col).alias("id"), unit(F.col(vector_col).cast("array<double>")).alias("v")).where("v is not null and not exists(v, x -> x is null)")
     n = rows.count()
     if not n:
         return queries.sparkSession.createDataFrame([], f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {rows.schema['id'].dataType.simpleString()}, score double, rank int")
-    model = KMeans(k=min(nlist, n), seed=seed, maxIter=10, featuresCol="f", predictionCol="cell").fit(rows.select(array_to_vector("v").alias("f")))
-    centres = [[float(x) for x in c] for c in model.clusterCenters()]
-    held = saved(model.transform(rows.withColumn("f", array_to_vector("v"))).select("id", "v", "cell"), "cells")
-    listed = F.array(*[F.array(*[F.lit(x) for x in c]) for c in centres])
-    gaps = F.transform(listed, lambda c, i: F.struct(V.l2(c, F.col("query_vec")).alias("gap"), i.alias("cell")))
-    probes = queries.select("query_id", "query_vec", F.explode(F.transform(F.slice(F.sort_array(gaps), 1, nprobe), lambda g: g["cell"])).alias("cell"))
+    centres, held = ivf_cells(rows, min(nlist, n), seed)
+    probes = min(len(centres), nprobe or fitted_probes(held, centres, k, recall, seed))
+    asked = queries.select(F.col("query_id").alias("id"), unit(F.col("query_vec").cast("array<double>")).alias("v")).where("v is not null")
+    asked = asked.mapInArrow(_nearest_cells(centres, probes), f"id {queries.schema['query_id'].dataType.simpleString()}, v array<double>, cells array<int>")
+    visits = asked.select(F.col("id").alias("query_id"), F.col("v").alias("query_vec"), F.explode("cells").alias("cell"))
     most = max(1_000, 4 * n // len(centres))
     sizes = held.groupBy("cell").agg(F.ceil(F.count("*") / most).cast("int").alias("blocks"))  # a row for each cell
     blocked = held.join(F.broadcast(sizes), "cell").select("id", "v", "cell", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
-    asked = probes.join(F.broadcast(sizes), "cell").select("query_id", "query_vec", "cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    scored = blocked.join(asked, ["cell", "block"]).select("query_id", "id", V.cosine(F.col("v"), F.col("query_vec")).alias("score"))
+    met = visits.join(F.broadcast(sizes), "cell").select("query_id", "query_vec", "cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    scored = blocked.join(met, ["cell", "block"]).select("query_id", "id", V.cosine(F.col("v"), F.col("query_vec")).alias("score"))
     return ranked(scored).where(F.col("rank") <= k)
 
 

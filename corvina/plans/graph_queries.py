@@ -98,7 +98,7 @@ def list_triples(spark, d):
 
 @query("g17_live_schema", f"with {EDGES} select predicate, count(*) as n from edges group by predicate")
 def live_schema(spark, d):
-    return graph.live_schema(edges(spark, d))
+    return graph.live_schema(edges(spark, d)).where("kind = 'predicate'").select(F.col("name").alias("predicate"), "n")
 
 
 @query("g18_unknown_relations", f"with {EDGES} select distinct p_type as name from part where lower(p_type) not in (select lower(predicate) from edges)")

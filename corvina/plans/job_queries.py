@@ -250,7 +250,7 @@ def _replies(spark, d):
 def ingest_text(spark, d):
     rules = spark.createDataFrame([("in", "located_in", "part_of", "inside")], "rule string, p1 string, p2 string, inferred string")
     known = edges(spark, d).where("predicate <> 'located_in'").select(*jobs.KEYS, "doc_id")
-    done = jobs.ingest_text(table(spark, d, "documents").select("doc_id", "text"), _replies(spark, d), known, rules, alike=0.97)
+    done = jobs.ingest_text(table(spark, d, "documents").select("doc_id", "text"), _replies(spark, d), known, rules)
     return ontology.promotion_report({"chunks": done.chunks, "vectors": done.vectors, "triples": done.triples, "edges": done.edges})
 
 
@@ -287,6 +287,7 @@ def promote(spark, d):
 from edges left join m a on a.variant = subject left join m b on b.variant = object where predicate <> 'part_of'), k as (select subject, predicate, object from edges where predicate = 'part_of') select * from k union select * from f""")
 def preview_then_confirm(spark, d):
     e = edges(spark, d)
-    found, _ = jobs.preview(e.where("predicate <> 'part_of'"))
-    mapping = table(spark, d, "customer").where("c_custkey % 2 = 0").select(F.col("c_name").alias("variant"), F.col("c_mktsegment").alias("canonical"))
-    return jobs.confirm(found, e.where("predicate = 'part_of'"), mapping, spark.createDataFrame([("located_in", "lives_in")], "name string, to string"))
+    # groups that a user has made instead of suggested ones
+    own = table(spark, d, "customer").where("c_custkey % 2 = 0").select(F.col("c_name").alias("entity"), F.col("c_mktsegment").alias("canonical"))
+    seen = jobs.Preview(e.where("predicate <> 'part_of'"), own, own, None)
+    return jobs.confirm(seen, e.where("predicate = 'part_of'"), own, spark.createDataFrame([("located_in", "lives_in")], "name string, to string"))

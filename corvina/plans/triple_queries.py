@@ -142,7 +142,7 @@ def _near(spark, d):
     return table(spark, d, "part").select(F.concat_ws(" ", "p_brand", "p_type", F.floor(F.col("p_size") / 10).cast("string")).alias("entity")).distinct()
 
 
-def _alike(least):
+def alike_sql(least):
     """Pairs of table near(x): a longest common subsequence by bits, one step for each character of the second string."""
     return f"""s as (select x, length(x) as n, lower(x) as l, map_from_entries(list_transform(list_distinct(string_split(lower(x), '')), lambda c: struct_pack(k := c, v := list_sum(list_transform(range(length(x)), lambda i: case when substr(lower(x), i + 1, 1) = c then 1::bigint << i else 0 end))::bigint))) as pm from near),
 p as (select a.x as a, b.x as b, a.n as n, b.n as m, list_reduce(string_split(b.l, ''), lambda v, c: (v + (v & coalesce(a.pm[c], 0))) | (v - (v & coalesce(a.pm[c], 0))), (1::bigint << a.n) - 1) & ((1::bigint << a.n) - 1) as v
@@ -150,12 +150,12 @@ from s a join s b on a.x < b.x and least(a.n, b.n) >= {least} / (2 - {least}) *
 select a, b, round(2.0::double * (n - bit_count(v)) / (n + m), 6) as ratio from p where 2.0::double * (n - bit_count(v)) / (n + m) >= {least}"""
 
 
-@query("e03_similar_strings", f"with {_NEAR}, {_alike(0.93)}")
+@query("e03_similar_strings", f"with {_NEAR}, {alike_sql(0.93)}")
 def similar_strings(spark, d):
     return entities.similar_strings(_near(spark, d), 0.93).select("a", "b", F.round("ratio", 6).alias("ratio"))
 
 
-@query("e03_similar_customers", f"with near as (select c_name as x from customer), {_alike(0.85)}")
+@query("e03_similar_customers", f"with near as (select c_name as x from customer), {alike_sql(0.85)}")
 def similar_customers(spark, d):
     return entities.similar_strings(table(spark, d, "customer"), 0.85, "c_name").select("a", "b", F.round("ratio", 6).alias("ratio"))
 

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable, Sequence
+
+import pandas as pd
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StringType, StructField, StructType
 
 from corvina.functions import text as X
+from corvina.functions.yaml_text import yaml_to_json
+from corvina.session import saved
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -15,10 +22,22 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(stem.alias("doc_id"), F.col("value").alias("text"), F.lower(F.regexp_extract("__f", r"\.([^.]*)$", 1)).alias("file_type"))
 
 
+@F.pandas_udf(StringType())
+def json_of_yaml(text: pd.Series) -> pd.Series:
+    return text.map(yaml_to_json).astype(object)
+
+
+def structured_body(text: Column, file_type: Column) -> Column:
+    """A record's text as a variant: JSON, or YAML where the file's ending says so or it isn't JSON; null if it is neither."""
+    return F.when(file_type == "json", F.try_parse_json(text)).when(file_type.isin("yaml", "yml"), F.try_parse_json(json_of_yaml(text))).otherwise(
+        F.coalesce(F.try_parse_json(text), F.try_parse_json(json_of_yaml(text)))
+    )
+
+
 def read_structured(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, body) of JSON files, a row for each; body is null where the text isn't JSON."""
+    """(doc_id, body) of JSON and YAML files, a row for each; body is null where the text can't be read."""
     docs = read_documents(spark, path)
-    return docs.where("file_type = 'json'").select("doc_id", F.try_parse_json("text").alias("body"))
+    return docs.where(F.col("file_type").isin("json", "yaml", "yml")).select("doc_id", structured_body(F.col("text"), F.col("file_type")).alias("body"))
 
 
 def chunk_records(chunks: DataFrame) -> DataFrame:
@@ -61,6 +80,46 @@ def load_stage(spark: SparkSession, root: str, stage: str, kb: str, doc: str) ->
     return spark.read.parquet(f"{root}/stage={stage}/kb={kb}/doc={doc}")
 
 
+#: Folders that the documents of a knowledge base and stage are dealt to, by a hash of their ids.
+STAGE_PARTS = 64
+
+
+def _finished(spark: SparkSession, root: str, stage: str, kb: str, kind: DataType) -> DataFrame:
+    """(doc_id) of the documents whose rows of a stage are complete."""
+    try:
+        return spark.read.parquet(f"{root}/done/stage={stage}/kb={kb}").select("doc_id").distinct()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":  # nothing is finished yet
+            raise
+        return spark.createDataFrame([], StructType([StructField("doc_id", kind)]))
+
+
+def resume_stages(docs: DataFrame, root: str, kb: str, stages: Sequence[tuple[str, Callable[[DataFrame], DataFrame]]], run: str) -> tuple[DataFrame, dict[str, int]]:
+    """The last stage's rows of all docs (doc_id, …), and how many documents each stage worked on in this run.
+
+    A stage is a name and a function from the rows before it to its own, which must keep doc_id. Its rows are saved below
+    ``root`` before their documents are marked as done, so a document whose run broke off is worked on again and its rows
+    come once: a run writes folders of its own name in place of what it left there before, and rows count only from the run
+    that finished their document. Documents that are done already aren't read again.
+    """
+    spark, now, worked = docs.sparkSession, docs, {}
+    kind = docs.schema["doc_id"].dataType
+    for stage, work in stages:
+        done = _finished(spark, root, stage, kb, kind)
+        open_ = now.join(done, "doc_id", "left_anti")
+        ids = saved(docs.select("doc_id").distinct().join(done, "doc_id", "left_anti"), "open")
+        worked[stage] = ids.count()
+        place = f"{root}/rows/stage={stage}/kb={kb}"
+        if worked[stage]:
+            part = F.pmod(F.xxhash64("doc_id"), F.lit(STAGE_PARTS)).cast("int")
+            work(open_).withColumns({"part": part, "run": F.lit(run)}).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run", "part").parquet(place)
+            ids.withColumn("run", F.lit(run)).write.mode("append").parquet(f"{root}/done/stage={stage}/kb={kb}")
+        marks = spark.read.parquet(f"{root}/done/stage={stage}/kb={kb}").groupBy("doc_id").agg(F.min("run").alias("run"))
+        rows = spark.read.option("basePath", place).parquet(place).withColumn("run", F.col("run").cast("string"))
+        now = rows.join(marks, ["doc_id", "run"], "left_semi").join(docs.select("doc_id").distinct(), "doc_id", "left_semi").drop("part", "run")
+    return now, worked
+
+
 def append_attempts(attempts: DataFrame, path: str) -> None:
     attempts.select("query", "error", "result_count", "elapsed_ms", "succeeded").write.mode("append").parquet(path)
 
