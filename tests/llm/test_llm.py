@@ -53,11 +53,13 @@ def none(spark, docs):
 def test_url_rules(spark, sf_dir):
     name = "op6_url_rules"
     assert rows_of(queries.QUERIES[name](spark, sf_dir)) == sql_rows(connect(sf_dir), queries.ORACLES[name])
-    urls = [None, "", "x", "http://", "HTTP://A.Example.COM/en/7?x#y", "http://example.com/en/70", "http://notexample.com/en/", "http://com/en/a", "http://.net/de/", "ftp://example.net#/de/8", "http://a.example.net/de/8/"] * 2
+    urls = [None, "", "x", "http://", "HTTP://A.Example.COM/en/7?x#y", "http://example.com/en/70", "http://notexample.com/en/", "http://com/en/a", "http://.net/de/", "ftp://example.net#/de/8", "http://a.example.net/de/8/",
+            "http://a.com/en/\U0010ffffx", "http://a.com/en/\U0010ffff", "http://b.org/es/\U0010ffff\U0010ffff", "http://a.com/en\U0010ffff/", "http://x.net/de/" + "p" * 200_000] * 2
     pages = spark.createDataFrame([(i, u, "h", "r") for i, u in enumerate(urls)], "page_id int, url string, host string, rule string")
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_rules.judge_urls(pages, url_rules.parse_rules(spark, queries.URL_RULES)).collect()}
     want = [("", "", None, "allow")] * 4 + [("a.example.com", "/en/7", "example.com/en/7", "allow"), ("example.com", "/en/70", "example.com/en/7", "allow"), ("notexample.com", "/en/", "com/en/", "block"), ("com", "/en/a", "com/en/", "block"),
-            (".net", "/de/", "net/de/", "block"), ("example.net", "", None, "allow"), ("a.example.net", "/de/8/", "example.net/de/8", "block")]
+            (".net", "/de/", "net/de/", "block"), ("example.net", "", None, "allow"), ("a.example.net", "/de/8/", "example.net/de/8", "block"), ("a.com", "/en/\U0010ffffx", "com/en/", "block"), ("a.com", "/en/\U0010ffff", "com/en/", "block"),
+            ("b.org", "/es/\U0010ffff\U0010ffff", "org/es/", "block"), ("a.com", "/en\U0010ffff/", None, "allow"), ("x.net", "/de/" + "p" * 200_000, "net/de/", "block")]
     assert [got[i] for i in range(len(urls))] == want * 2
     assert url_rules.judge_urls(pages.limit(0), url_rules.parse_rules(spark, queries.URL_RULES)).count() == 0
     assert {r.verdict for r in url_rules.judge_urls(pages, url_rules.parse_rules(spark, [])).collect()} == {"allow"}
@@ -489,14 +491,34 @@ def test_model_scores_equal_a_step_by_step_evaluation(spark, docs, monkeypatch,
     counts = {bytes(r.word): r.c for r in lm.counts.collect()}
     head = lm.vocab.number
     assert head and (bounds[0] > 100 or (len(head) <= 20 and len(lm.known) <= 30))
-    mass = sum(c + 1 for w, c in counts.items() if w not in head) + 1
+    mass = collections.Counter({k: 1 for k in [*lm.vocab.ending.values(), lm.vocab.other]})
+    for w, c in counts.items():
+        if w not in head:
+            mass[lm.vocab.tail(w)] += c + 1
     for i, t in enumerate(TEXTS):
         words = lm_score.words_of((t or "").encode())
         want = _step_by_step(lm.model, lm.vocab.encode(words).tolist(), lm.vocab.end) / math.log(10)
-        want += sum(math.log10((counts.get(w, 0) + 1) / mass) for w in words if w not in head)
+        want += sum(math.log10((counts.get(w, 0) + 1) / mass[lm.vocab.tail(w)]) for w in words if w not in head)
         assert abs(got[i] - want) < 1e-4 * max(1, abs(want)), i
 
 
+def test_held_out_texts_are_likelier_than_by_counts(spark):
+    """By a tenth of log10 for each token at least, whatever the partitioning; equally common words don't switch the model off."""
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held = quality.held_out(F.col("doc_id"), 7)
+    sums = lm_score.score_documents(df, ~held).where(quality.held_out(F.col("id"), 7)).agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+    assert sums[0] / sums[2] > sums[1] / sums[2] + 0.1
+    again = lm_score.score_documents(df.repartition(7), ~held).where(quality.held_out(F.col("id"), 7)).agg(F.sum("score")).first()
+    assert abs(again[0] - sums[0]) < 1e-4 * abs(sums[0])
+
+
+def test_commonest_words_of_a_flat_distribution(spark):
+    counts = spark.createDataFrame([(b"w%d" % i, 3 if i % 5 else 4) for i in range(2_000)] + [(b"top", 9)], "word binary, c long")
+    found = lm_score._commonest(counts, 1_000)
+    assert 900 < len(found) <= 1_000 and bytes(found[0].word) == b"top" and sum(r.c == 4 for r in found) == 400
+    assert len(lm_score._commonest(counts, 5_000)) == 2_001
+
+
 def test_every_training_token_is_learnt_from_once(spark, docs, monkeypatch):
     from corvina.llm.gru import Gru
 
