@@ -198,10 +198,15 @@ class _Block:
             if "+" in mark:
                 return "\n".join([*lines, "", ""])
         if mark[0] == ">":
-            text = ""
-            for i, x in enumerate(lines):
-                text += ("" if i == 0 else "\n" if not x or not lines[i - 1] or x[0] == " " else " ") + x if x or i == 0 or lines[i - 1] else "\n"
-            out = text
+            # a single line break becomes a blank, empty lines become breaks; indented lines keep theirs
+            out, before, empty = "", "", 0
+            for x in lines:
+                if x:
+                    kept = before and (before[0] == " " or x[0] == " ")
+                    out += ("\n" * (empty + 1) if kept else "\n" * empty if empty or not before else " ") + x
+                    before, empty = x, 0
+                else:
+                    empty += 1
         else:
             out = "\n".join(lines)
         return out if "-" in mark or not lines else out + "\n"

@@ -1,16 +1,21 @@
 """What SQL cannot say: offsets, chains, similarity without loss, streams."""
 
+import datetime
+import difflib
+import json
 import math
 import random
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from corvina.functions import similarity
+from corvina.functions import similarity, yaml_text
 from corvina.functions import text as X
-from corvina.operators import chunking, entities, similar, triples
+from corvina.operators import bm25, chunking, graph, injected, jobs, ontology, search, similar, triples
 from corvina.operators.components import connected_components
+from corvina.sources import tables
 from corvina.streaming import status
 
 TEXT = "First sentence here. Second one! Third?\n\nNew paragraph with more words. " * 30
@@ -137,10 +142,186 @@ def test_status_stream_equals_batch(spark, tmp_path):
     assert {tuple(r) for r in spark.table("latest").select("doc_id", "status", "ts").collect()} == {tuple(r) for r in status.latest_status(df).collect()}
 
 
-def test_ingest_stream_appends_once(spark, tmp_path):
-    docs = spark.createDataFrame([(1, "a"), (2, "b"), (2, "b")], "doc_id long, text string")
-    docs.write.parquet(str(tmp_path / "in"))
-    for n in range(2):
-        source = spark.readStream.schema(docs.schema).parquet(str(tmp_path / "in"))
-        status.ingest_stream(source, str(tmp_path / "out"), str(tmp_path / f"cp{n}")).awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+def test_ingest_stream_equals_one_batch(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"Text {i}. " * (i * 9)) for i in range(30)] + [(2, "Text 2. " * 18), (99, None), (98, "")], "doc_id long, text string")
+    for n, part in enumerate(docs.randomSplit([1.0] * 4, 5)):
+        part.unionByName(docs.where("doc_id = 3")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    for _ in range(2):  # the second run finds nothing new
+        status.ingest_stream(source, str(tmp_path / "out"), str(tmp_path / "state"), size=100, overlap=20).awaitTermination()
+    want = chunking.chunk_by_size(docs.dropDuplicates(["doc_id"]).select("doc_id", X.clean_text(F.col("text")).alias("text")), 100, 20)
+    got = status.read_ingested(spark, str(tmp_path / "out"))
+    assert sorted(map(tuple, got.drop("chunk_id").collect())) == sorted(map(tuple, want.collect())) and got.count() > 30
+    index = status.ingested_index(spark, str(tmp_path / "out"))
+    direct = bm25.build_inverted_index(got, "chunk_id", "content")
+    assert sorted(map(tuple, index.terms.collect())) == sorted(map(tuple, direct.terms.collect())) and index.stats.first() == direct.stats.first()
+    # a batch that runs again from scratch writes the same folders
+    before = got.count()
+    status.ingest_stream(spark.readStream.schema(docs.schema).parquet(str(tmp_path / "in")), str(tmp_path / "other"), str(tmp_path / "s1"), size=100, overlap=20).awaitTermination()
+    status.ingest_stream(spark.readStream.schema(docs.schema).parquet(str(tmp_path / "in")), str(tmp_path / "other"), str(tmp_path / "s2"), size=100, overlap=20).awaitTermination()
+    assert status.read_ingested(spark, str(tmp_path / "other")).count() == before
+
+
+@pytest.mark.parametrize("shuffled", [False, True])
+def test_stale_stream_equals_batch_twin(spark, tmp_path, shuffled):
+    rng = random.Random(4)
+    rows = [(i, rng.randrange(12), datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=i * 23 + rng.randrange(20)), rng.choice(["processing", "deleting", "completed", "pending"])) for i in range(900)]
+    if shuffled:  # within what the watermark allows
+        rows = [rows[k] for at in range(0, 900, 10) for k in rng.sample(range(at, at + 10), 10)]
+    df = spark.createDataFrame(rows, "event_id long, doc_id long, ts timestamp, status string")
+    for n in range(0, 900, 150):
+        spark.createDataFrame(rows[n : n + 150], df.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    files = sorted((tmp_path / "in").glob("*.parquet"), key=lambda f: f.stat().st_mtime)
+    assert len(files) == 6
+    source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = status.stale_stream(source, "5 minutes").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    left = q.lastProgress["stateOperators"][0]["numRowsTotal"]
+    now = df.agg(F.max("ts") - F.expr("interval 5 minutes")).first()[0]
+    want = sorted(map(tuple, status.stale_spells(df, now).collect()))
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())) == want and want
+    assert left <= 12  # documents, not events
+
+
+def test_alignment_equals_sequence_matcher(spark):
+    rng = random.Random(8)
+    known = [f"{rng.choice(['has', 'is', 'Part'])}{rng.choice('ABC')}{rng.choice(['name', 'Name', 'code', 'Kode'])}{rng.randrange(5)}" for _ in range(40)]
+    asked = [k.upper() if rng.random() < 0.2 else k[: rng.randrange(3, len(k))] + rng.choice(["", "x", "Of"]) for k in known] + ["", "zzz", "e"]
+    c = spark.createDataFrame([(k, n) for k in ("class", "property") for n in asked], "kind string, name string")
+    e = spark.createDataFrame([("class", n) for n in known[:25]] + [("property", n) for n in known[15:]], "kind string, name string")
+    got = {(r.kind, r.name): (r.status, r.existing, r.score) for r in ontology.align(c, e).collect()}
+
+    def plain(kind, name):
+        mine = sorted(set(known[:25] if kind == "class" else known[15:]))
+        equal = [n for n in mine if n.lower() == name.lower()]
+        if equal:
+            return ("matched", equal[0], None)
+        scored = [(-difflib.SequenceMatcher(None, name.lower(), n.lower()).ratio(), n) for n in mine]
+        best = min(scored)
+        return ("similar", best[1], round(-best[0], 3)) if -best[0] >= 0.8 else ("new", None, None)
+
+    assert got == {(k, n): plain(k, n) for k in ("class", "property") for n in asked}
+    flags = ontology.alignment_flags(ontology.align(c.where("name = 'zzz'"), e), e).first()
+    assert (flags.existing_empty, flags.disjoint, flags.has_mismatch) == (False, True, True)
+    none = ontology.align(c, e.where("false"))
+    assert {r.status for r in none.collect()} == {"new"} and ontology.alignment_flags(none, e.where("false")).first().existing_empty
+    decisions = spark.createDataFrame([("class", asked[0], "map", "Other"), ("class", asked[1], "create", None)], "kind string, name string, action string, target string")
+    renames = {(r.kind, r.name): r.to for r in ontology.rename_map(ontology.align(c, e), decisions).collect()}
+    assert renames[("class", asked[0])] == "Other" and ("class", asked[1]) not in renames
+
+
+def test_yaml_and_json_records_are_equal(spark, tmp_path):
+    record = {"id": "c1", "name": "Kim: #1", "n": 3, "x": -1.5, "none": None, "yes": True, "tags": ["a b", "it's", 'q"q'], "at": {"city": "Ulm", "lines": [{"k": 1}, {"k": 2, "deep": ["x"]}]}, "note": "one\ntwo\n"}
+    text = """# a record
+---
+id: c1
+name: "Kim: #1"   # comment
+n: 3
+x: -1.5
+none: ~
+yes: true
+tags:
+- a b
+- 'it''s'
+- "q\\"q"
+at:
+  city: Ulm
+  lines:
+    - k: 1
+    - k: 2
+      deep: [x]
+note: |
+  one
+  two
+"""
+    for name, body in (("a.yaml", text), ("b.yml", text), ("c.json", json.dumps(record)), ("bad.yaml", "a: [1"), ("bad.json", "{"), ("skip.txt", "a: 1")):
+        (tmp_path / name).write_text(body)
+    got = {r.doc_id: r.b for r in tables.read_structured(spark, str(tmp_path)).select("doc_id", F.to_json("body").alias("b")).collect()}
+    assert got.pop("bad") is None and set(got) == {"a", "b", "c"}
+    assert all(json.loads(b) == record for b in got.values())
+
+
+@pytest.mark.parametrize("text", ["a: [1, 2", "&x y", "- a\nb: 1", '"x', "a: 1\n---\nb: 2", "a: b: c", "a:\n\t- 1"])
+def test_unreadable_yaml_is_null(text):
+    assert yaml_text.yaml_to_json(text) is None
+
+
+def test_yaml_scalars_and_blocks():
+    parsed = yaml_text.parse_yaml("a: >-\n  x\n  y\n\n  z\nb: plain\n  goes on\nc: {k: [1, 'x, y'], m}\nd: 12:30\ne: http://a/b#c\nf:\n- - 1\n  - 2\n- p: q\n  r:\n  - s\n")
+    assert parsed == {"a": "x y\nz", "b": "plain goes on", "c": {"k": [1, "x, y"], "m": None}, "d": "12:30", "e": "http://a/b#c", "f": [[1, 2], {"p": "q", "r": ["s"]}]}
+
+
+def test_resumed_stages_work_on_what_is_open(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"t{i}") for i in range(20)], "doc_id long, text string")
+    stages = [("a", lambda df: df.withColumn("text", F.concat("text", F.lit("a")))), ("b", lambda df: df.withColumn("text", F.explode(F.array("text", F.concat("text", F.lit("b"))))))]
+    root = str(tmp_path / "kb")
+    _, worked = tables.resume_stages(docs.where("doc_id < 7"), root, "k", stages[:1], "one")
+    assert worked == {"a": 7}
+    # a run that broke off after writing its rows, before marking them, is repeated and counts once
+    stages[0][1](docs.where("doc_id >= 7")).withColumns({"part": F.pmod(F.xxhash64("doc_id"), F.lit(tables.STAGE_PARTS)).cast("int"), "run": F.lit("two")}).write.mode("append").partitionBy("run", "part").parquet(f"{root}/rows/stage=a/kb=k")
+    told, worked = tables.resume_stages(docs, root, "k", stages, "two")
+    assert worked == {"a": 13, "b": 20}
+    want = sorted((i, t) for i in range(20) for t in (f"t{i}a", f"t{i}ab"))
+    assert sorted(map(tuple, told.select("doc_id", "text").collect())) == want
+    told, worked = tables.resume_stages(docs, root, "k", stages, "three")
+    assert worked == {"a": 0, "b": 0} and sorted(map(tuple, told.select("doc_id", "text").collect())) == want
+
+
+def test_injected_functions_keep_failing_rows(spark):
+    rows = spark.createDataFrame([(i, str(i)) for i in range(40)] + [(99, None)], "id long, text string").repartition(2)
+
+    def work(b):
+        return [int(t) * 2 if t != "7" else [] for t in b["text"]]  # null fails, 7 gives another type
+
+    got = {r.id: (r.value, r.error) for r in injected.apply_injected(rows, work, ["text"], "value long", 8).collect()}
+    assert {k: v[0] for k, v in got.items()} == {**{i: i * 2 for i in range(40)}, 7: None, 99: None}
+    assert got[7][1] and got[99][1].startswith("TypeError") and sum(v[1] is not None for v in got.values()) == 2
+    assert injected.apply_injected(rows.where("false"), work, ["text"], "value long").count() == 0
+
+
+def test_ivf_reaches_its_recall(spark, sf_dir):
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    asked = vectors.where("vec_id % 5 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    exact = {(r.query_id, r.id) for r in search.knn_exact(vectors, asked, 10).collect()}
+    found = {(r.query_id, r.id) for r in search.knn_ivf(vectors, asked, 10, 32).collect()}
+    assert len(exact & found) >= 0.9 * len(exact)
+    # clustered vectors: few cells suffice
+    rng = np.random.default_rng(1)
+    centre = rng.normal(size=(20, 16))
+    rows = [(i, (centre[i % 20] + 0.1 * rng.normal(size=16)).tolist()) for i in range(1_000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    centres, held = search.ivf_cells(df.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), 20, 1)
+    assert search.fitted_probes(held, centres, 10, 0.95, 1) <= 5
+    asked = df.where("vec_id < 50").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    exact = {(r.query_id, r.id) for r in search.knn_exact(df, asked, 10).collect()}
+    assert len(exact & {(r.query_id, r.id) for r in search.knn_ivf(df, asked, 10, 20).collect()}) >= 0.9 * len(exact)
+    assert search.knn_ivf(df.where("false"), asked, 10, 20).count() == 0
+
+
+def test_listing_pages_go_on_where_others_end(spark):
+    rng = random.Random(6)
+    rows = [(i, rng.choice("abc"), rng.choice(["p", None, "q"]), f"o{rng.randrange(9)}", rng.random()) for i in range(300)]
+    e = spark.createDataFrame(rows, "ord long, subject string, predicate string, object string, confidence double").repartition(7)
+    want = sorted(rows, key=lambda r: (r[2] is None, [-ord(c) for c in r[2] or ""], r[3], r[1], r[0]))
+    got = []
+    for at in range(0, 310, 70):
+        page, total = graph.list_triples(e, skip=at, limit=70, sort=[("predicate", "desc"), ("object", "asc")])
+        got += [(r.place, r.ord) for r in page.orderBy("place").collect()]
+        assert total.first().total == 300
+    assert got == [(n, r[0]) for n, r in enumerate(want)]
+
+
+def test_stored_ingestion_and_revert(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "Some text. " * 200)], "doc_id long, text string")
+    reply = '{"triples": [{"subject": "Anna Maria", "predicate": "knows", "object": "Bernd"}, {"subject": "Anna Marie", "predicate": "knows", "object": "Bernd"}]}'
+    replies = spark.createDataFrame([(1, 1, reply)], "ord long, doc_id long, reply string")
+    known = spark.createDataFrame([("x", "y", "z", 5)], "subject string, predicate string, object string, doc_id long")
+    done = jobs.ingest_text(docs, replies, known)
+    assert {(r.subject, r.predicate, r.object) for r in done.edges.collect()} == {("x", "y", "z"), ("Anna Maria", "knows", "Bernd")}
+    assert [(r.canonical, r.variants, r.n_triples) for r in done.suggestions.collect()] == [("Anna Maria", ["Anna Marie"], 1)] or done.suggestions.count() == 1
+    jobs.store(done, str(tmp_path / "kb"), "k1")
+    stored = spark.read.parquet(str(tmp_path / "kb" / "chunks"))
+    assert stored.count() == done.chunks.count() and stored.select("chunk_id").distinct().count() == stored.count()
+    rows = [("C", "type", "Class"), ("C", "label", "c"), ("x", "type", "C"), ("x", "y", "z")]
+    t = spark.createDataFrame(rows, "s string, p string, o string")
+    assert sorted(map(tuple, jobs.revert(t).collect())) == [("x", "type", "C"), ("x", "y", "z")]
