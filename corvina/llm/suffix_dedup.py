@@ -1,6 +1,6 @@
 """Exact removal of repeated byte strings with suffix arrays in shards.
 
-Texts are packed into blocks of bounded size (a bucketed table on shared storage); a text that is longer than a block is
+Texts are packed into blocks of bounded size (a bucketed table in the shared folder); a text that is longer than a block is
 looked at in slices that overlap by a window less one byte. In every window of ``width`` bytes one short string, the one
 with the smallest hash, is its anchor; equal windows have equal anchors at equal places, whichever document they are in.
 So only windows whose anchor also occurs in another document can repeat:
@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 
 from corvina.llm.common import group_slices, task_count, text_bytes, whole_groups
 from corvina.llm.suffix_sort import permuted_common_prefixes, suffix_array
-from corvina.session import saved
+from corvina.session import fresh_path, saved
 
 BLOCK_BYTES, BUCKET_BYTES, SHARD_BYTES, RANGE_BYTES = 1 << 20, 8 << 20, 2 << 20, 32 << 20
 #: Occurrences that make an anchor hot.
@@ -98,7 +98,8 @@ class SliceView:
         count = np.diff(np.append(first, len(place)))
         keep = valid[first]
         self.start, self.count = first[keep], count[keep]
-        self.doc, self.hash = owner[self.start], grams[place[self.start]]
+        # anchors are smallest hashes, so they are mixed again: ranges of hashes then hold equally many
+        self.doc, self.hash = owner[self.start], _mix(grams[place[self.start]])
 
     def marks(self, start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Two hashes of the bytes of stretches."""
@@ -209,25 +210,42 @@ _MASKS = pa.schema([("slice", pa.int64()), ("range", pa.int32()), ("shared", pa.
 _ASKS = pa.schema([("slice", pa.int64()), ("shard", pa.int32()), ("bytes", pa.binary()), ("sizes", pa.binary()), ("docs", pa.binary()), ("tags", pa.binary())])
 
 
+def _shared_anchors(hashes: list[bytes], told: list[bytes], hot: int) -> tuple[list[bytes], list[bytes]]:
+    """For each slice of a range, as bits, which of its anchors other documents have too, and which of these are hot.
+
+    A range is the largest thing that is held at once, so what isn't needed any more goes at once.
+    """
+    sizes = np.array([len(x) // 5 for x in hashes])
+    h = _long(b"".join(hashes))
+    order = np.argsort(h, kind="stable")
+    h = h[order]
+    new = np.ones(len(h), dtype=bool)
+    np.not_equal(h[1:], h[:-1], out=new[1:])
+    del h
+    cut = np.flatnonzero(new)
+    of = np.cumsum(new, dtype=np.int32) - 1  # the anchor of each row, in sorted order
+    del new
+    seen = np.frombuffer(b"".join(told), np.uint8)[order]
+    several = np.bincount(of, minlength=len(cut)) > 1
+    several |= np.maximum.reduceat(seen & 1, cut) > 0
+    often = several & (np.add.reduceat(seen >> 1, cut, dtype=np.int64) >= hot)
+    ends, masks = np.cumsum(sizes)[:-1], []
+    for which in (several, often):
+        flags = np.empty(len(order), dtype=bool)
+        flags[order] = which[of]
+        masks.append([np.packbits(x).tobytes() for x in np.split(flags, ends)])
+    return masks[0], masks[1]
+
+
 def _share(hot: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, "range"):
             ranges = t.column("range").to_numpy()
             for lo, hi in group_slices(ranges):
                 part = t.slice(lo, hi - lo)
-                hashes = [_long(x) for x in part.column("hashes").to_pylist()]
-                h, told = np.concatenate(hashes), np.frombuffer(b"".join(part.column("told").to_pylist()), np.uint8)
-                order = np.argsort(h, kind="stable")
-                cut = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
-                slices = np.diff(np.append(cut, len(h)))  # that have it, each once
-                shared = (slices > 1) | (np.maximum.reduceat(told[order] & 1, cut) > 0)
-                often = shared & (np.add.reduceat((told[order] >> 1).astype(np.int64), cut) >= hot)
-                masks = []
-                for which in (shared, often):
-                    of = np.empty(len(h), dtype=bool)
-                    of[order] = np.repeat(which, slices)
-                    masks.append([np.packbits(x).tobytes() for x in np.split(of, np.cumsum([len(x) for x in hashes])[:-1])])
-                cols = {"slice": part.column("slice").to_pylist(), "range": [int(ranges[lo])] * (hi - lo), "shared": masks[0], "hot": masks[1], "n": [len(x) for x in hashes]}
+                hashes = part.column("hashes").to_pylist()
+                shared, often = _shared_anchors(hashes, part.column("told").to_pylist(), hot)
+                cols = {"slice": part.column("slice").to_pylist(), "range": [int(ranges[lo])] * (hi - lo), "shared": shared, "hot": often, "n": [len(x) // 5 for x in hashes]}
                 yield pa.RecordBatch.from_pydict(cols, schema=_MASKS)
 
     return run
@@ -420,14 +438,22 @@ def repeats(
     spark = docs.sparkSession
     total = text_bytes(docs, text_col)
     buckets = min(task_count(spark, total, BUCKET_BYTES), int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")))
-    ranges = max(4, -(-total // RANGE_BYTES))
-    shards = task_count(spark, total, SHARD_BYTES)
     named = docs.select(F.struct(*[F.col(c) for c in carry]).alias("rest"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rest = named.schema["rest"].dataType
     name = f"text_blocks_{uuid.uuid4().hex}"
     made = named.mapInArrow(_blocks(block_bytes), _block_schema(rest)).repartition(buckets, "block")
-    made.write.bucketBy(buckets, "block").sortBy("block").option("compression", "zstd").saveAsTable(name)
-    blocks = spark.table(name)
+    made.write.bucketBy(buckets, "block").sortBy("block").option("compression", "zstd").option("path", fresh_path(spark, "blocks")).saveAsTable(name)
+    try:
+        return _without(spark.table(name), rest, width, anchor, block_bytes, hot, total, with_text)
+    finally:
+        spark.sql(f"drop table if exists {name}")
+
+
+def _without(blocks: DataFrame, rest: T.StructType, width: int, anchor: int, block_bytes: int, hot: int, total: int, with_text: bool) -> DataFrame:
+    """What ``repeats`` returns, saved, from a bucketed table of blocks."""
+    spark = blocks.sparkSession
+    ranges = max(4, -(-total // RANGE_BYTES))
+    shards = task_count(spark, total, SHARD_BYTES)
     of = F.shiftright("slice", SLICE_BITS).alias("block")
     told = blocks.select("block", "ids", "lengths", "text").mapInArrow(_tell_anchors(width, anchor, block_bytes, ranges), "range int, slice long, hashes binary, told binary")
     masks = told.repartition(task_count(spark, total, RANGE_BYTES), "range").sortWithinPartitions("range", "slice")
@@ -442,9 +468,7 @@ def repeats(
     for field, kind in (("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept_sha256", "string"), ("kept", "string")):
         out = out.add(field, kind)
     parted = whole.select("block", "rest", "ids", "lengths", "text", "masks", "replies").mapInArrow(_remove(width, anchor, block_bytes, shards, with_text), out)
-    done = saved(parted, "parted")
-    spark.sql(f"drop table {name}")
-    return done
+    return saved(parted, "parted")
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 50, block_bytes: int = BLOCK_BYTES, hot: int = HOT) -> DataFrame:
