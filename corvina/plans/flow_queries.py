@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corvina.functions import text as X
-from corvina.operators import graph, injected, jobs, ontology, search
+from corvina.operators import bm25, graph, injected, jobs, ontology, retrieval, search
 from corvina.plans.inputs import EDGES, STATUS_EVENTS, edges, status_events
 from corvina.plans.registry import query, table
 from corvina.plans.triple_queries import alike_sql
@@ -261,3 +261,83 @@ def injected_scorer(spark, d):
 
     best = search.rerank_injected(hits, texts, queries, score, 5)
     return best.select("query_id", "id", F.round("rerank_score", 6).alias("score"), F.col("rank").cast("long"))
+
+
+# retrieval: documents are chunks, their vectors those of embeddings (by id, repeated), and queries benchmark texts
+
+
+def _kb(spark, d):
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    chunks = docs.join(e, "id")
+    queries = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text")).join(e.select(F.col("id").alias("query_id"), F.col("vector").alias("query_vec")), "query_id")
+    return chunks, queries
+
+
+_KB = r"""chunks as (select doc_id as id, text as content, embedding::double[] as v from documents join embeddings on vec_id = doc_id), qs as (select item_id as query_id, text as query_text, embedding::double[] as qv from benchmark join embeddings on vec_id = item_id),
+sims as (select query_id, id, list_cosine_similarity(qv, v) as score from qs join chunks on true), ct as (select id, list_filter(string_split_regex(lower(content), '[\s]+'), lambda w: w <> '') as t from chunks)"""
+
+
+@query("f10_vector_then_l2", f"""with {_KB}, near as (select * from sims qualify row_number() over (partition by query_id order by round(score, 9) desc, id) <= 10), z as (select query_id, id, list_distance(v, qv) as dist from near join chunks using (id) join qs using (query_id))
+select query_id, id, round(1 / (1 + dist), 6) as score, row_number() over (partition by query_id order by round(1 / (1 + dist), 9) desc, id) as rank from z where dist <= 1.2""")
+def vector_then_l2(spark, d):
+    chunks, queries = _kb(spark, d)
+    out = retrieval.retrieve("vector", retrieval.Tables(chunks), queries, retrieval.Options(k=10, l2_distance=1.2))
+    return out.select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long"))
+
+
+_G20 = f"""with {EDGES}, c as (select 'd' || (vec_id % 50) || '_' || (vec_id % 7) as id, arg_min(embedding, vec_id)::double[] as v from embeddings group by 1),
+q as (select n_nationkey::bigint as query_id, n_name, r_name, n_nationkey % 2 = 0 as two, embedding::double[] as qv, case n_nationkey % 3 when 0 then '' when 1 then 'part' else 'nothing' end as word from nation join region on n_regionkey = r_regionkey join embeddings on vec_id = n_nationkey),
+nodes as (select distinct unnest([subject, object]) as node from edges), near as (select distinct name, node from (select n_name as name from q union select r_name from q) join nodes on length(node) > 1 and (contains(lower(node), lower(name)) or contains(lower(name), lower(node)))),
+onelim as (select query_id, subject, predicate, object from (select distinct query_id, subject, predicate, object from edges join near on node = subject or node = object join q on n_name = name and not two) qualify row_number() over (partition by query_id order by subject, predicate, object) <= 100),
+both_ as (select distinct query_id, subject, predicate, object from q join near a on a.name = n_name join near b on b.name = r_name join edges on (subject = a.node and object = b.node) or (subject = b.node and object = a.node) where two),
+t as (select * from onelim union select * from both_), ok as (select query_id from t join q using (query_id) group by query_id having bool_or(word = '' or contains(lower(predicate || ' ' || object), word))), g as (select * from t semi join ok using (query_id)),
+w as (select distinct query_id, source_node_id as id from g join edges using (subject, predicate, object)), few as (select * from w qualify row_number() over (partition by query_id order by id) <= 100),
+s as (select query_id, id, list_cosine_similarity(v, qv) as original from few join c using (id) join q using (query_id)), b as (select query_id, id, original, least(original * 1.5, 1.0) as score from s),
+r as (select *, row_number() over (partition by query_id order by round(score, 9) desc, id) as rank from b), n as (select query_id, count(*) as n_triples from g group by 1), names as (select query_id, n_name as name from q union all select query_id, r_name from q where two),
+k as (select query_id, string_agg(name, '|' order by name) as clickable from names semi join (select query_id, unnest([subject, object]) as name from g) using (query_id, name) group by 1)
+select query_id, id, round(coalesce(score, 0), 6) as score, coalesce(rank, 1) as rank, round(original, 6) as original_score, coalesce(n_triples, 0) as n_triples, coalesce(clickable, '') as clickable from q left join n using (query_id) left join k using (query_id) left join (select * from r where rank <= 5) using (query_id)"""
+
+
+@query("f10_graph_strategy", f"select query_id, id, score, rank from ({_G20}) where id is not null and rank <= 3")
+def graph_strategy(spark, d):
+    tables_, queries = _graph_kb(spark, d)
+    return retrieval.retrieve("graph", tables_, queries, retrieval.Options(k=3)).select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long"))
+
+
+def _graph_kb(spark, d):
+    """Chunks d0_0 to d49_6 with vectors; queries ask for a nation, or for a nation and a region."""
+    e = table(spark, d, "embeddings")
+    node = F.concat_ws("_", F.concat(F.lit("d"), (F.col("vec_id") % 50).cast("string")), (F.col("vec_id") % 7).cast("string"))
+    chunks = e.groupBy(node.alias("id")).agg(F.min_by("embedding", "vec_id").alias("vector"))
+    n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    key = F.col("n_nationkey").cast("long")
+    words = F.when(key % 3 == 0, F.array().cast("array<string>")).when(key % 3 == 1, F.array(F.lit("PART"))).otherwise(F.array(F.lit("nothing")))
+    asked = n.select(key.alias("query_id"), words.alias("keywords")).join(e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec")), "query_id")
+    names = F.when(key % 2 == 0, F.array("n_name", "r_name")).otherwise(F.array("n_name"))
+    sections = edges(spark, d).withColumn("source_node_id", F.replace("source_node_id", F.lit("_"), F.lit("_section_")))
+    return retrieval.Tables(chunks, edges=sections, entities=n.select(key.alias("query_id"), F.explode(names).alias("name"))), asked
+
+
+@query("g20_graph_retrieve", _G20)
+def graph_retrieve(spark, d):
+    tables_, queries = _graph_kb(spark, d)
+    out = retrieval.graph_retrieve(tables_, queries, {"k": 5})
+    return out.select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long"), F.round("original_score", 6).alias("original_score"), "n_triples", F.array_join("clickable", "|").alias("clickable"))
+
+
+@query("e17_resolve_labels", """with m as (select c_nationkey::bigint as query_id, c_custkey as pos, case c_custkey % 4 when 0 then p_name when 1 then upper(left(p_name, 5)) when 2 then 'urn' || c_custkey else p_brand end as token from customer join part on p_partkey = c_custkey),
+l as (select 'http://kg/' || case p_size % 3 when 0 then 'class/' else 'inst/' end || replace(p_name, ' ', '_') as uri, p_name as label from part union select 'http://kg/inst/urn' || c_custkey, 'label of ' || c_mktsegment from customer union select 'http://kg/inst/' || p_brand, p_type from part),
+a as (select token, uri, label as name from (select distinct token from m) join l on contains(lower(label), lower(token))), n as (select distinct token from m where token not in (select token from a)), b as (select token, uri, split_part(uri, '/', -1) as name from n join (select distinct uri from l) on contains(uri, '/inst/') and contains(lower(split_part(uri, '/', -1)), lower(token))),
+c as (select *, case when lower(name) = lower(token) then 100 when starts_with(lower(name), lower(token)) then 60 else 30 end + greatest(0, 20 - (length(name) - length(token))) as s from (select * from a union all select * from b)), best as (select token, uri from c qualify row_number() over (partition by token order by s desc, name, uri) = 1)
+select query_id, uri, token from m join best using (token) where contains(uri, '/inst/') qualify row_number() over (partition by query_id order by pos, token) <= 2""")
+def resolve_labels(spark, d):
+    c, p = table(spark, d, "customer"), table(spark, d, "part")
+    k = F.col("c_custkey") % 4
+    token = F.when(k == 0, F.col("p_name")).when(k == 1, F.upper(F.substring("p_name", 1, 5))).when(k == 2, F.concat(F.lit("urn"), F.col("c_custkey").cast("string"))).otherwise(F.col("p_brand"))
+    m = c.join(p, F.col("p_partkey") == F.col("c_custkey")).select(F.col("c_nationkey").cast("long").alias("query_id"), F.col("c_custkey").alias("pos"), token.alias("token"))
+    part_uri = F.concat(F.lit("http://kg/"), F.when(F.col("p_size") % 3 == 0, "class/").otherwise("inst/"), F.replace("p_name", F.lit(" "), F.lit("_")))
+    labels = p.select(part_uri.alias("uri"), F.col("p_name").alias("label"))
+    labels = labels.union(c.select(F.concat(F.lit("http://kg/inst/urn"), F.col("c_custkey").cast("string")), F.concat(F.lit("label of "), "c_mktsegment")))
+    labels = labels.union(p.select(F.concat(F.lit("http://kg/inst/"), "p_brand"), "p_type")).distinct()
+    return retrieval.resolve_labels(m, labels, labels.select("uri").distinct())
