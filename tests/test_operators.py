@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from corvina.functions import similarity, yaml_text
 from corvina.functions import text as X
-from corvina.operators import bm25, chunking, graph, injected, jobs, ontology, search, similar, triples
+from corvina.operators import bm25, chunking, graph, injected, jobs, ontology, retrieval, search, similar, triples
 from corvina.operators.components import connected_components
 from corvina.sources import tables
 from corvina.streaming import status
@@ -325,3 +325,30 @@ def test_stored_ingestion_and_revert(spark, tmp_path):
     rows = [("C", "type", "Class"), ("C", "label", "c"), ("x", "type", "C"), ("x", "y", "z")]
     t = spark.createDataFrame(rows, "s string, p string, o string")
     assert sorted(map(tuple, jobs.revert(t).collect())) == [("x", "type", "C"), ("x", "y", "z")]
+
+
+def test_strategies_are_their_compositions(spark):
+    rng = np.random.default_rng(2)
+    words = ["성기훈 씨가", "red", "blue", "오일남", "green", "game", "score"]
+    rows = [(i, " ".join(words[int(k)] for k in rng.integers(0, 7, 12)), rng.normal(size=6).tolist()) for i in range(60)]
+    chunks = spark.createDataFrame(rows, "id long, content string, vector array<double>")
+    asked = spark.createDataFrame([(q, f"{words[q]} game", rng.normal(size=6).tolist()) for q in range(4)], "query_id long, query_text string, query_vec array<double>")
+    t = retrieval.Tables(chunks, bm25.build_inverted_index(chunks, "id", "content"))
+    near = lambda k: search.knn_exact(chunks, asked, k, id_col="id", vector_col="vector")
+
+    def rows_of(df):
+        return sorted((r.query_id, r.id, round(r.score, 9), r["rank"]) for r in df.collect())
+
+    assert rows_of(retrieval.retrieve("keyword", t, asked)) == rows_of(bm25.bm25_search(t.index, asked, 10))
+    assert rows_of(retrieval.retrieve("no such", t, asked)) == rows_of(near(10)) == rows_of(retrieval.retrieve("vector", t, asked))
+    assert rows_of(retrieval.retrieve("hybrid", t, asked)) == rows_of(search.rrf_fuse([bm25.bm25_search(t.index, asked, 30), near(30)], top=10))
+    two = retrieval.retrieve("2-stage", t, asked, retrieval.Options(k=3))
+    assert {r["rank"] for r in two.collect()} == {1, 2, 3} and {(r.query_id, r.id) for r in two.collect()} <= {(r.query_id, r.id) for r in near(15).collect()}
+    plain = {(r.query_id, r.id): r.score for r in retrieval.retrieve("vector", t, asked).collect()}
+    for r in retrieval.retrieve("vector", t, asked, retrieval.Options(entity_penalty=0.3)).collect():
+        text, query = rows[r.id][1], words[r.query_id]
+        miss = (r.query_id == 0 and "성기훈" not in text) or (r.query_id == 3 and "오일남" not in text)
+        assert math.isclose(r.score, plain[(r.query_id, r.id)] * (0.3 if miss and query else 1.0), rel_tol=1e-9, abs_tol=1e-12)
+    best = retrieval.retrieve("vector", t, asked, retrieval.Options(rerank=True, l2_distance=2.5)).collect()
+    assert all(1 / 3.5 <= r.score <= 1 for r in best)
+    assert retrieval.retrieve("mine", t, asked, strategies={"vector": retrieval.STRATEGIES["vector"], "mine": lambda t, q, o: near(1)}).count() == 4
