@@ -67,13 +67,18 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first())
 
 
+#: Edges that one task joins up by itself; rounds are for more.
+ONE_TASK = 500_000
+
+
 def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int = 60) -> DataFrame:
     """Rows (node, component): the smallest node that each node of an edge reaches by edges.
 
     Edges with a null end and self loops count for nothing. Every round writes the remaining star edges to the shared
     folder, so that the plan stays short, and begins by contracting the edges of each scan partition on their own; the number
-    of rounds grows with the logarithm of the longest chain. No node's neighbours are ever gathered in one place: minima
-    have partial results, and a node with many edges, of which there are few, meets them by a broadcast.
+    of rounds grows with the logarithm of the longest chain. Once no more than ONE_TASK edges are left, one task ends the
+    work. No node's neighbours are ever gathered in one place: minima have partial results, and a node with many edges, of
+    which there are few, meets them by a broadcast.
     """
     now = (
         edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v"))
@@ -83,7 +88,8 @@ def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int =
     now = saved(now, "edges")
     before = _state(now)
     for _ in range(max_rounds):
-        if not before[0]:
+        if before[0] <= ONE_TASK:
+            now = saved(now.coalesce(1).mapInArrow(_contract, now.schema), "edges") if before[0] else now
             break
         stars = now.mapInArrow(_contract, now.schema)  # a scan's partitions are of bounded size
         limit = frequent_limit(2 * before[0])

@@ -205,19 +205,41 @@ def locate_chunks(spark, d):
     return chunking.locate_chunks(parts, docs).withColumnRenamed("id", "doc_id")
 
 
-def _chunker(name, run):
-    @query(name)
+def _chunker(name, run, oracle=None):
+    @query(name, oracle)
     def chunk(spark, d):
         return run(table(spark, d, "documents").select("doc_id", "text"))
 
 
+def _windows_sql(size: int, overlap: int, end: str) -> str:
+    """Windows of texts (t) from lo to hi; ``end`` tells from seg, the longest window, where it ends if the text goes on."""
+    step = f"""select *, case when lo + length(seg) >= length(t) then length(t) else lo + ({end}) end as hi"""
+    seg = f"substr(t, lo + 1, {size}) as seg"
+    return f"""with recursive w as (
+  {step} from (select doc_id, 0 as n, text as t, 0::bigint as lo, substr(text, 1, {size}) as seg from documents where text <> '')
+  union all
+  {step} from (select doc_id, n + 1 as n, t, greatest(hi - {overlap}, lo + 1) as lo, substr(t, greatest(hi - {overlap}, lo + 1)::bigint + 1, {size}) as seg from w where hi < length(t))
+) select doc_id, n::int as chunk_index, lo::int as start_offset, hi::int as end_offset, substr(t, lo + 1, hi - lo) as content from w"""
+
+
+def _last(mark: str, text: str = "seg") -> str:
+    """Where a mark begins last, from 0; -1 where it doesn't occur."""
+    return f"case when contains({text}, {mark}) then length({text}) - length({mark}) - instr(reverse({text}), reverse({mark})) + 1 else -1 end"
+
+
+_OE_END = "greatest({})".format(", ".join(_last(m) for m in ("'. '", "'! '", "'? '", "'.' || chr(10)")))
+_OE = _windows_sql(2_000, 500, f"case when {_OE_END} > 1000 then {_OE_END} + 1 else length(seg) end")
+#: A mark counts among the last 500 characters of a window.
+_SEGMENT_END = "case " + " ".join(f"when contains(right(seg, 500), {m}) then length(seg) - 500 + {_last(m, 'right(seg, 500)')} + length({m})" for m in ("chr(10) || chr(10)", "chr(10)", "'. '")) + " else length(seg) end"
+
+
 _chunker("c01_chunk_by_size", chunking.chunk_by_size)
 _chunker("c03_chunk_sections", chunking.chunk_sections)
 _chunker("c04_chunk_children", lambda docs: chunking.chunk_parent_child(docs)[1])
 _chunker("c05_chunk_fixed_tokens", chunking.chunk_fixed_tokens)
-_chunker("c09_chunk_oe", chunking.chunk_oe)
+_chunker("c09_chunk_oe", chunking.chunk_oe, _OE)
 _chunker("c10_chunk_rag", chunking.chunk_rag)
-_chunker("c12_pre_segment", chunking.pre_segment)
+_chunker("c12_pre_segment", chunking.pre_segment, _windows_sql(8_000, 1_000, _SEGMENT_END))
 _chunker("c14_context_chunks", chunking.context_chunks)
 _chunker("c18_chunk_oe_rag", chunking.chunk_oe_rag)
 

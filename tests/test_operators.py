@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from corvina.functions import similarity, yaml_text
 from corvina.functions import text as X
-from corvina.operators import bm25, chunking, graph, injected, jobs, ontology, retrieval, search, similar, triples
+from corvina.operators import bm25, chunking, components, graph, injected, jobs, ontology, retrieval, search, similar, triples
 from corvina.operators.components import connected_components
 from corvina.sources import tables
 from corvina.streaming import status
@@ -61,6 +61,16 @@ def test_components_of_chains_stars_and_loops(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
 
 
+@pytest.mark.parametrize("one_task", [0, 150, 10**6])
+def test_components_in_rounds_and_in_one_task(spark, monkeypatch, one_task):
+    monkeypatch.setattr(components, "ONE_TASK", one_task)
+    rng = random.Random(one_task)
+    edges = [(f"n{rng.randrange(300)}", f"n{rng.randrange(300)}") for _ in range(170)] + [(f"c{i}", f"c{i + 1}") for i in range(100)] + [("h", f"h{i}") for i in range(90)]
+    df = spark.createDataFrame([*edges, ("x", None), (None, None)], "a string, b string").repartition(5)
+    got = {r.node: r.component for r in connected_components(df, "a", "b").collect()}
+    assert got == {x: min(g) for g in forest_of(edges) if len(g) > 1 for x in g}
+
+
 def plain_ratio(a, b):
     a, b = a.lower(), b.lower()
     row = [0] * (len(b) + 1)
