@@ -22,7 +22,7 @@ class Gru:
 
     NAMES = ("embed", "wx", "wh", "bias", "class_w", "class_b", "word_w", "word_b")
 
-    def __init__(self, counts: np.ndarray, classes: int = 64, width: int = 32, seed: int = 3):
+    def __init__(self, counts: np.ndarray, classes: int = 48, width: int = 24, seed: int = 3):
         rng = np.random.default_rng(seed)
         v, self.width = len(counts), width
         self.firsts = make_classes(counts, classes)
@@ -168,7 +168,7 @@ class Gru:
         dh[order] = dhs
         return dh
 
-    def train(self, tokens: np.ndarray, start: int, streams: int = 192, window: int = 32, rate: float = 1.2e-2) -> None:
+    def train(self, tokens: np.ndarray, start: int, streams: int = 192, window: int = 48, rate: float = 1.2e-2) -> None:
         """Truncated backpropagation over a run of tokens, every one of them once; Adam's moments go on from run to run.
 
         The run is cut into streams that keep their state from window to window, as many as leave each some windows; what

@@ -30,9 +30,9 @@ from corvina.llm.gru import Gru
 from corvina.session import saved
 
 #: The model's words, the words whose counts every task knows, and the longest of these in bytes.
-VOCABULARY, KNOWN, LONGEST = 8_192, 65_536, 2_048
+VOCABULARY, KNOWN, LONGEST = 4_096, 65_536, 2_048
 #: Endings with a token of their own, and their bytes.
-TAILS, ENDING = 64, 2
+TAILS, ENDING = 128, 2
 #: Up to which share of the training documents each round goes, and its rate.
 ROUNDS = ((1 / 16, 1.2e-2), (1 / 4, 8e-3), (1.0, 4e-3))
 #: Tokens of a worker, of a run of training, and scored together, and weights of a piece that is averaged.
@@ -260,7 +260,7 @@ def _encode(vocab: Vocabulary, known: dict[bytes, int]):
         get, logs = number.get, np.log10(np.concatenate([vocab.counts, np.fromiter(known.values(), float, len(known)), [0.0]]) + 1)
         rare, end_known = len(logs) - 1, int(vocab.counts[vocab.end] > 0)
         token = np.array([*range(size), *[vocab.tail(w) for w in known], 0], dtype=np.int32)
-        norms = np.log10(vocab.mass)  # zero for tokens that are words
+        norms, ending, other = np.log10(vocab.mass), vocab.ending.get, vocab.other  # norms are zero for tokens that are words
         uid, rows, waiting = TaskContext.get().partitionId() << 40, [], 0
 
         def told() -> pa.RecordBatch:
@@ -273,7 +273,7 @@ def _encode(vocab: Vocabulary, known: dict[bytes, int]):
                 ids, in_head = token[k], k < size
                 unknown = np.flatnonzero(k == rare).tolist()
                 others = [words[i] for i in unknown]
-                ids[unknown] = [vocab.tail(w) for w in others]
+                ids[unknown] = [ending(w[-ENDING:], other) for w in others]
                 tail = Counter(others)
                 log = logs[k]
                 n_known = len(k) - len(unknown) - 1 + end_known
