@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvina.functions import text as X
@@ -88,15 +88,48 @@ def store(done: Ingested, root: str, kb: str) -> None:
     done.edges.write.mode("overwrite").parquet(f"{root}/edges/kb_id={kb}")
 
 
-def ingest_structured(docs: DataFrame, known: DataFrame, labels: DataFrame) -> DataFrame:
-    """The edge table ``known`` with the facts of JSON records (doc_id, body); ids whose label is known become the known id.
+@dataclass(frozen=True)
+class Structured:
+    """One chunk for each entity of the records, its vector, the facts with their chunks, and the edge table with those merged in."""
 
-    labels: (id, label) of known entities. No inverse edges are added.
-    """
+    chunks: DataFrame
+    vectors: DataFrame
+    facts: DataFrame
+    edges: DataFrame
+
+
+def structured_facts(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Facts of JSON records (doc_id, body); ids whose label is known become the known id. labels: (id, label) of known entities."""
     facts = triples.structured_to_triples(docs)
     new = facts.where("predicate = 'label'").select(F.col("subject").alias("id"), F.col("object").alias("label"))
-    told = entities.resolve_to_existing(facts, new, entities.existing_label_index(labels))
-    return triples.merge_edges(known.select(*KEYS), told.select(*KEYS), KEYS)
+    return entities.resolve_to_existing(facts, new, entities.existing_label_index(labels))
+
+
+def ingest_structured(docs: DataFrame, known: DataFrame, labels: DataFrame) -> DataFrame:
+    """The edge table ``known`` with the facts of JSON records (doc_id, body). No inverse edges are added."""
+    return triples.merge_edges(known.select(*KEYS), structured_facts(docs, labels).select(*KEYS), KEYS)
+
+
+def ingest_records(docs: DataFrame, known: DataFrame, labels: DataFrame) -> Structured:
+    """``ingest_structured`` with a chunk for each entity: its label, type and fields as a line, under the first document that tells of it.
+
+    A chunk's id is that document's, an underscore and the entity's place among the document's entities by name. Facts
+    carry the chunk of their subject.
+    """
+    facts = structured_facts(docs, labels)
+    own = F.struct(F.col("predicate").alias("key"), F.col("object").alias("value"))
+    is_field = ~F.col("predicate").isin("label", "_type")
+    told = facts.groupBy("subject").agg(
+        F.min("doc_id").alias("doc_id"), F.min(F.when(F.col("predicate") == "label", F.col("object"))).alias("label"), F.min(F.when(F.col("predicate") == "_type", F.col("object"))).alias("type"),
+        F.array_sort(F.collect_set(F.when(is_field, own))).alias("fields"),
+    )
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("subject")) - 1
+    line = X.verbalize_entity(F.coalesce("label", "subject"), F.coalesce("type", F.lit("Entity")), F.col("fields"))
+    chunks = told.withColumn("chunk_id", F.concat_ws("_", F.col("doc_id").cast("string"), place.cast("string"))).select("chunk_id", "doc_id", "subject", line.alias("content"))
+    mentions = chunks.select(F.col("subject").alias("entity"), "chunk_id")
+    linked = triples.link_entity_chunks(facts.withColumn("source_node_id", F.lit(None).cast("string")), mentions)
+    vectors = hashed_embedding(chunks, X.tokens(F.col("content")), "chunk_id")
+    return Structured(chunks, vectors, linked, triples.merge_edges(known.select(*KEYS), facts.select(*KEYS), KEYS))
 
 
 @dataclass(frozen=True)

@@ -81,6 +81,12 @@ def class_stats(types: DataFrame) -> DataFrame:
     return types.groupBy("type").agg(F.countDistinct("s").alias("n"), F.min("s").alias("first"))
 
 
+def class_instance_lists(types: DataFrame) -> DataFrame:
+    """(type, n, instances): every class's instances, sorted. One row holds a class as a whole; ``class_instances`` pages."""
+    lists = types.select("type", "s").distinct().groupBy("type").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("s")).alias("instances"))
+    return lists
+
+
 def remove_cycles(hierarchy: DataFrame) -> DataFrame:
     """(s, o) without self loops and without both directions of two-cycles."""
     own = hierarchy.where("s <> o")

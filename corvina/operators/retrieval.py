@@ -170,3 +170,23 @@ def _best_candidates(tokens: DataFrame, names: DataFrame, gram: int = 3) -> Data
     score = base + F.greatest(F.lit(0), 20 - (F.length("c") - F.length("t")))
     best = met.groupBy("token").agg(F.min(F.struct((-score).alias("s"), "name", "uri")).alias("b"))
     return best.select("token", "b.uri")
+
+
+# The heading of the triples, the text for a part that is missing, and the mark of a chunk.
+HEADING, MISSING, CHUNK = "### Graph Relationships (Derived from Knowledge Graph):", "?", "[Chunk "
+
+
+def answer_context(results: DataFrame, chunks: DataFrame, triples: DataFrame, most: int = 10) -> DataFrame:
+    """(query_id, context): the triples of a query (query_id, ord, subject, predicate, object) as lines, then its first chunks' contents.
+
+    results: (query_id, id, rank); chunks: (id, content). A query without triples has no heading; one without either is absent.
+    """
+    part = [F.coalesce(c, F.lit(MISSING)) for c in ("subject", "predicate", "object")]
+    lines = triples.select("query_id", "ord", F.concat(F.lit("- "), F.concat_ws(" ", *part)).alias("line"))
+    told = lines.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("ord", "line"))).alias("l"))
+    told = told.select("query_id", F.concat(F.lit(HEADING + "\n"), F.array_join("l.line", "\n"), F.lit("\n")).alias("text"), F.lit(0).alias("n"))
+    few = results.where(F.col("rank") <= most).join(chunks.select("id", "content"), "id")
+    place = F.row_number().over(search.Window.partitionBy("query_id").orderBy("rank"))
+    texts = few.withColumn("n", place).select("query_id", F.concat(F.lit(CHUNK), F.col("n").cast("string"), F.lit("] "), F.coalesce("content", F.lit(""))).alias("text"), "n")
+    parts = told.unionByName(texts).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("n", "text"))).alias("p"))  # no more than ``most`` and one
+    return parts.select("query_id", F.array_join("p.text", "\n\n").alias("context"))

@@ -341,3 +341,59 @@ def resolve_labels(spark, d):
     labels = labels.union(c.select(F.concat(F.lit("http://kg/inst/urn"), F.col("c_custkey").cast("string")), F.concat(F.lit("label of "), "c_mktsegment")))
     labels = labels.union(p.select(F.concat(F.lit("http://kg/inst/"), "p_brand"), "p_type")).distinct()
     return retrieval.resolve_labels(m, labels, labels.select("uri").distinct())
+
+
+@query("p18_answer_context", f"""with {EDGES}, {_KB}, near as (select *, row_number() over (partition by query_id order by round(score, 9) desc, id) as rank from sims),
+t as (select n_nationkey::bigint as query_id, string_agg('- ' || subject || ' ' || predicate || ' ' || object, chr(10) order by ord) as l from edges join nation on object = n_name group by 1),
+c as (select query_id, string_agg('[Chunk ' || rank || '] ' || coalesce(text, ''), chr(10) || chr(10) order by rank) as c from near join documents on doc_id = id where rank <= 10 group by 1)
+select query_id, md5(concat_ws(chr(10) || chr(10), '### Graph Relationships (Derived from Knowledge Graph):' || chr(10) || l || chr(10), c)) as context from t full join c using (query_id)""")
+def answer_context(spark, d):
+    chunks, queries = _kb(spark, d)
+    hits = search.knn_exact(chunks, queries, 12, id_col="id", vector_col="vector")
+    nation = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("query_id"), F.col("n_name").alias("object"))
+    told = edges(spark, d).join(nation, "object").select("query_id", "ord", "subject", "predicate", "object")
+    return retrieval.answer_context(hits, chunks, told).select("query_id", F.md5("context").alias("context"))
+
+
+@query("o07_class_instances", "select n_name as type, count(*) as n, md5(string_agg(c_name, '|' order by c_name)) as instances from customer join nation on c_nationkey = n_nationkey group by 1")
+def class_instances(spark, d):
+    c = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_name").alias("s"), F.col("n_name").alias("type"))
+    return ontology.class_instance_lists(c.union(c)).select("type", "n", F.md5(F.array_join("instances", "|")).alias("instances"))
+
+
+@query("j04_revert", f"with {EDGES} select subject as s, predicate as p, object as o from edges")
+def revert(spark, d):
+    e = edges(spark, d).select(F.col("subject").alias("s"), F.col("predicate").alias("p"), F.col("object").alias("o"))
+    declared = table(spark, d, "region").select(F.inline(F.array(*[F.struct(F.concat(F.lit("C_"), "r_name").alias("s"), F.lit(p).alias("p"), o.alias("o")) for p, o in (("type", F.lit("Class")), ("label", F.col("r_name")), ("subClassOf", F.lit("Place")))])))
+    return jobs.revert(e.unionByName(declared))
+
+
+@query("j02_record_chunks", "select (c_custkey // 2) || '_' || (c_custkey % 2) as chunk_id, c_custkey // 2 as doc_id, c_name || ' (Customer): balance=b' || c_nationkey || ', segment=' || c_mktsegment as content from customer")
+def record_chunks(spark, d):
+    return _records(spark, d).chunks.select("chunk_id", "doc_id", "content")
+
+
+@query("j02_linked_facts", """with c as (select 'c' || lpad(c_custkey::varchar, 9, '0') as s, (c_custkey // 2) || '_' || (c_custkey % 2) as k, * from customer)
+select s as subject, 'label' as predicate, c_name as object, k as source_node_id from c union all select s, 'segment', c_mktsegment, k from c union all select s, 'balance', 'b' || c_nationkey, k from c union all select s, '_type', 'Customer', k from c""")
+def linked_facts(spark, d):
+    return _records(spark, d).facts.select("subject", "predicate", "object", "source_node_id")
+
+
+def _records(spark, d):
+    """Two records of customers in each document."""
+    c = table(spark, d, "customer")
+    name = F.concat(F.lit("c"), F.lpad(F.col("c_custkey").cast("string"), 9, "0"))
+    body = F.to_json(F.struct(name.alias("id"), F.col("c_name").alias("name"), F.lit("customer").alias("type"), F.col("c_mktsegment").alias("segment"), F.concat(F.lit("b"), F.col("c_nationkey").cast("string")).alias("balance")))
+    none = spark.createDataFrame([], "id string, label string")
+    docs = c.select(F.expr("c_custkey div 2").alias("doc_id"), body.alias("body"))
+    return jobs.ingest_records(docs, spark.createDataFrame([], "subject string, predicate string, object string"), none)
+
+
+@query("s11_attempt_log", "select event_type as query, case when value < 20 then 'too small' end as error, event_id as result_count, round(value, 2) as elapsed_ms, value >= 20 as succeeded from events")
+def attempt_log(spark, d):
+    at = fresh_path(spark, "attempts")
+    e = table(spark, d, "events")
+    rows = e.select("event_id", F.col("event_type").alias("query"), F.when(F.col("value") < 20, "too small").alias("error"), F.col("event_id").alias("result_count"), F.round("value", 2).alias("elapsed_ms"), (F.col("value") >= 20).alias("succeeded"))
+    for rest in (0, 1):
+        tables.append_attempts(rows.where(F.col("event_id") % 2 == rest), at)
+    return spark.read.parquet(at)

@@ -233,12 +233,24 @@ _OE = _windows_sql(2_000, 500, f"case when {_OE_END} > 1000 then {_OE_END} + 1 e
 _SEGMENT_END = "case " + " ".join(f"when contains(right(seg, 500), {m}) then length(seg) - 500 + {_last(m, 'right(seg, 500)')} + length({m})" for m in ("chr(10) || chr(10)", "chr(10)", "'. '")) + " else length(seg) end"
 
 
+#: Sentences by their places; a chunk takes what fits, the next one begins with the last sentences that overlap.
+_RAG = """with recursive p as (select doc_id, text, string_split(regexp_replace(text, '([.!?다요]\\s+|\\n\\n+)', '\\1' || chr(1), 'g'), chr(1)) as l from documents where text <> ''),
+o as (select doc_id, text, unnest(range(len(l))) as i, unnest(l) as part, l from p), q as (select doc_id, any_value(text) as t, list({'s': s, 'e': e} order by i) as x from (select *, list_sum(list_transform(l[1 : i], lambda y: length(y)))::bigint as before from o),
+  lateral (select coalesce(before, 0) as s, coalesce(before, 0) + length(part) as e) where trim(part, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> '' group by doc_id),
+w as (
+  select doc_id, 0 as n, t, x, 1::bigint as f, greatest(1, len(list_filter(x, lambda y: y.e - x[1].s <= 500))) as e from q
+  union all
+  select doc_id, n + 1, t, x, g, greatest(e + 1, len(list_filter(x, lambda y: y.e - x[g].s <= 500))) from (
+    select *, least(e + 1, f + len(list_filter(x[f : e], lambda y: x[e].e - y.s > 100))) as g from w where e < len(x))
+) select doc_id, n::int as chunk_index, x[f].s::int as start_offset, x[e].e::int as end_offset, substr(t, x[f].s + 1, x[e].e - x[f].s) as content from w""".replace("\\\\", "\\")
+
+
 _chunker("c01_chunk_by_size", chunking.chunk_by_size)
 _chunker("c03_chunk_sections", chunking.chunk_sections)
 _chunker("c04_chunk_children", lambda docs: chunking.chunk_parent_child(docs)[1])
 _chunker("c05_chunk_fixed_tokens", chunking.chunk_fixed_tokens)
 _chunker("c09_chunk_oe", chunking.chunk_oe, _OE)
-_chunker("c10_chunk_rag", chunking.chunk_rag)
+_chunker("c10_chunk_rag", chunking.chunk_rag, _RAG)
 _chunker("c12_pre_segment", chunking.pre_segment, _windows_sql(8_000, 1_000, _SEGMENT_END))
 _chunker("c14_context_chunks", chunking.context_chunks)
 _chunker("c18_chunk_oe_rag", chunking.chunk_oe_rag)
