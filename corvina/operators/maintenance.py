@@ -49,14 +49,26 @@ def example_evict(examples: DataFrame, most: int = 200) -> DataFrame:
     return examples.withColumn("n", F.row_number().over(place)).where(F.col("n") <= most).drop("n")
 
 
+#: Examples of a (kb, backend) that one block compares with its queries.
+EXAMPLE_BLOCK = 10_000
+
+
 def example_search(examples: DataFrame, queries: DataFrame, k: int = 3, least: float = 0.7) -> DataFrame:
-    """(query_id, id, score, rank): examples of the same kb and backend with a cosine of at least ``least``."""
+    """(query_id, id, score, rank): examples of the same kb and backend with a cosine of at least ``least``.
+
+    Examples of a kb and backend are dealt to blocks of bounded size, each of which gets their queries and keeps its best k.
+    """
     from corvina.functions.vector import cosine
     from corvina.operators.search import ranked
 
-    pairs = queries.join(examples, ["kb", "backend"])
-    scored = pairs.select("query_id", "id", cosine(F.col("question_vector"), F.col("query_vec")).alias("score")).where(F.col("score") >= least)
-    return ranked(scored).where(F.col("rank") <= k)
+    blocks = examples.groupBy("kb", "backend").agg(F.ceil(F.count("*") / EXAMPLE_BLOCK).cast("int").alias("blocks"))
+    held = examples.join(blocks, ["kb", "backend"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    asked = queries.join(blocks, ["kb", "backend"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pairs = asked.drop("blocks").join(held.drop("blocks"), ["kb", "backend", "block"])
+    scored = pairs.select("query_id", "id", "block", cosine(F.col("question_vector"), F.col("query_vec")).alias("score")).where(F.col("score") >= least)
+    best = Window.partitionBy("block", "query_id").orderBy(F.desc(F.round("score", 9)), "id")
+    few = scored.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k).drop("n", "block")
+    return ranked(few).where(F.col("rank") <= k)
 
 
 def example_store(examples: DataFrame, new: DataFrame, least: float = 0.95) -> tuple[DataFrame, DataFrame]:

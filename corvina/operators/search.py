@@ -25,13 +25,17 @@ def ranked(df: DataFrame, score: str = "score", by: str = "query_id", tie: str =
     return df.withColumn(name, F.row_number().over(Window.partitionBy(by).orderBy(F.desc(F.round(score, 9)), tie)))
 
 
+#: Rows of a block of the exact search.
+KNN_BLOCK = 20_000
+
+
 def knn_exact(chunks: DataFrame, queries: DataFrame, k: int, metric: str = "COSINE", threshold: float | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, id, score, rank) for stated queries (query_id, query_vec) against all chunks, in blocks.
 
-    Chunks are dealt to blocks by a hash of their id and every block gets all queries; a block keeps its best k for each
-    query before the blocks' results meet.
+    Chunks are dealt to blocks of bounded size by a hash of their id and every block gets all queries; a block keeps its best
+    k for each query before the blocks' results meet. The exact form, for as many queries as a block can compare.
     """
-    blocks = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = max(int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-chunks.count() // KNN_BLOCK))
     value = {"COSINE": V.cosine, "IP": V.inner, "L2": V.l2}[metric](F.col("v"), F.col("query_vec"))
     held = chunks.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"), F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int").alias("block"))
     asked = queries.select("query_id", "query_vec", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
