@@ -64,6 +64,7 @@ def section_paths(lines: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 # ---- greedy chunkers: sequential inside one document, so they run in Arrow batches of documents ----
 
+# What texts are cut at, the coarsest first.
 SEPARATORS = ["\n\n", "\n", " ", ""]
 
 
