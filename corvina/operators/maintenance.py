@@ -49,25 +49,35 @@ def example_evict(examples: DataFrame, most: int = 200) -> DataFrame:
     return examples.withColumn("n", F.row_number().over(place)).where(F.col("n") <= most).drop("n")
 
 
-#: Examples of a (kb, backend) that one block compares with its queries.
-EXAMPLE_BLOCK = 10_000
+#: Examples and queries of a (kb, backend) that one cell compares.
+EXAMPLE_BLOCK, QUERY_BLOCK = 50_000, 10_000
 
 
 def example_search(examples: DataFrame, queries: DataFrame, k: int = 3, least: float = 0.7) -> DataFrame:
     """(query_id, id, score, rank): examples of the same kb and backend with a cosine of at least ``least``.
 
-    Examples of a kb and backend are dealt to blocks of bounded size, each of which gets their queries and keeps its best k.
+    Examples and queries of a kb and backend are dealt to blocks of bounded size and meet in cells, more of them where there
+    are more pairs. A cell keeps what can be among the best k of each query.
     """
-    from corvina.functions.vector import cosine
+    from corvina.operators.nearest import nearest_in_cells
     from corvina.operators.search import ranked
 
-    blocks = examples.groupBy("kb", "backend").agg(F.ceil(F.count("*") / EXAMPLE_BLOCK).cast("int").alias("blocks"))
-    held = examples.join(blocks, ["kb", "backend"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    asked = queries.join(blocks, ["kb", "backend"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pairs = asked.drop("blocks").join(held.drop("blocks"), ["kb", "backend", "block"])
-    scored = pairs.select("query_id", "id", "block", cosine(F.col("question_vector"), F.col("query_vec")).alias("score")).where(F.col("score") >= least)
-    best = Window.partitionBy("block", "query_id").orderBy(F.desc(F.round("score", 9)), "id")
-    few = scored.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k).drop("n", "block")
+    group = ["kb", "backend"]
+    wanted = 3 * examples.sparkSession.sparkContext.defaultParallelism
+    sizes = examples.groupBy(group).agg(F.count("*").alias("n")).join(queries.groupBy(group).agg(F.count("*").alias("m")), group)
+    pairs = sizes.agg(F.sum(F.col("n").cast("double") * F.col("m")).alias("pairs"))  # one row
+    blocks = F.ceil(F.col("n") / EXAMPLE_BLOCK).cast("int")
+    parts = F.greatest(F.ceil(F.col("m") / QUERY_BLOCK), F.ceil(wanted * F.col("n") * F.col("m") / F.col("pairs") / blocks)).cast("int")
+    sizes = sizes.join(F.broadcast(pairs)).select(*group, blocks.alias("blocks"), parts.alias("parts"))
+    total = sizes.agg(F.sum(F.col("blocks").cast("long") * F.col("parts"))).first()[0] or 1
+
+    def dealt(rows: DataFrame, own: str, own_n: str, other: str, other_n: str) -> DataFrame:
+        return rows.join(sizes, group).withColumn(own, F.pmod(F.xxhash64("__id"), F.col(own_n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other_n) - 1)))
+
+    cell = F.xxhash64(*group, "block", "part").alias("cell")
+    held = dealt(examples.withColumn("__id", F.col("id")), "block", "blocks", "part", "parts").select(cell, "id", F.col("question_vector").alias("v"))
+    asked = dealt(queries.withColumn("__id", F.col("query_id")), "part", "parts", "block", "blocks").select(cell, "query_id", F.col("query_vec").alias("v"))
+    few = nearest_in_cells(held, asked, min(total, 10 * wanted), k, "COSINE", False).where(F.col("score") >= least)
     return ranked(few).where(F.col("rank") <= k)
 
 

@@ -11,9 +11,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from corvina.functions import similarity, yaml_text
+from corvina.functions import similarity, vector, yaml_text
 from corvina.functions import text as X
-from corvina.operators import bm25, chunking, components, graph, injected, jobs, ontology, retrieval, search, similar, triples
+from corvina.operators import bm25, chunking, components, graph, injected, jobs, maintenance, ontology, retrieval, search, similar, triples
 from corvina.operators.components import connected_components
 from corvina.sources import tables
 from corvina.streaming import status
@@ -362,3 +362,41 @@ def test_strategies_are_their_compositions(spark):
     best = retrieval.retrieve("vector", t, asked, retrieval.Options(rerank=True, l2_distance=2.5)).collect()
     assert all(1 / 3.5 <= r.score <= 1 for r in best)
     assert retrieval.retrieve("mine", t, asked, strategies={"vector": retrieval.STRATEGIES["vector"], "mine": lambda t, q, o: near(1)}).count() == 4
+
+
+def _odd_vectors():
+    rng = random.Random(3)
+    rows = []
+    for i in range(240):
+        v = [rng.choice([-1.0, 0.0, 0.5, 1.0, 2.0]) for _ in range(6)]
+        odd = {17: None, 19: [1.0, None, 2.0, 0.0, 0.0, 1.0], 23: v[:4], 29: [0.0] * 6, 31: [math.nan, *v[1:]], 37: [math.inf, *v[1:]], 41: [], 5: [1.0, 0.5, 0.0, -1.0, 2.0, 1.0]}
+        rows.append((i, next((x for n, x in odd.items() if i % n == 0), v)))
+    return rows
+
+
+@pytest.mark.parametrize("metric", ["COSINE", "IP", "L2"])
+@pytest.mark.parametrize("threshold", [None, 0.2])
+def test_exact_search_in_many_cells(spark, monkeypatch, metric, threshold):
+    """Cells give what a join of all pairs gives, with copies, nulls, zeros, odd lengths and numbers that aren't finite."""
+    monkeypatch.setattr(search, "KNN_BLOCK", 50)
+    monkeypatch.setattr(search, "KNN_QUERIES", 20)
+    df = spark.createDataFrame(_odd_vectors(), "vec_id long, embedding array<double>")
+    asked = df.where("vec_id % 3 = 1").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    value = {"COSINE": vector.cosine, "IP": vector.inner, "L2": vector.l2}[metric](F.col("embedding"), F.col("query_vec"))
+    pairs = asked.crossJoin(df).select("query_id", F.col("vec_id").alias("id"), vector.score_from_metric(value, metric).alias("score"))
+    pairs = search.ranked(pairs.where(F.col("score") >= threshold) if threshold else pairs).where("rank <= 7").select("query_id", "id", "score", "rank")
+    got = search.knn_exact(df, asked, 7, metric, threshold).select("query_id", "id", "score", "rank")
+    assert "Join" not in got._jdf.queryExecution().toString()
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, pairs.collect()))
+
+
+def test_example_search_in_many_cells(spark, monkeypatch):
+    monkeypatch.setattr(maintenance, "EXAMPLE_BLOCK", 20)
+    monkeypatch.setattr(maintenance, "QUERY_BLOCK", 15)
+    df = spark.createDataFrame([(i, i % 7 % 3 or None, v) for i, v in _odd_vectors()], "id long, kb long, v array<double>").withColumn("backend", F.lit("x"))
+    held, asked = df.withColumnRenamed("v", "question_vector"), df.where("id % 2 = 1").withColumnsRenamed({"id": "query_id", "v": "query_vec"})
+    pairs = asked.join(held, ["kb", "backend"]).select("query_id", "id", vector.cosine(F.col("question_vector"), F.col("query_vec")).alias("score")).where("score >= 0.3")
+    want = search.ranked(pairs).where("rank <= 3").select("query_id", "id", "score", "rank")
+    got = maintenance.example_search(held, asked, 3, 0.3).select("query_id", "id", "score", "rank")
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    assert maintenance.example_search(held.where("false"), asked, 3, 0.3).count() == 0
