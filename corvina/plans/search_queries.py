@@ -189,7 +189,11 @@ def rerank(spark, d):
 @query("f07_parse_scores", r"select event_id, round(least(greatest(coalesce(try_cast(regexp_extract(x, '(\d+\.?\d*)', 1) as double), 0), 0), 1), 6) as score from (select event_id, case when event_id % 3 = 0 then 'score: ' || round(value / 300, 2) || ' of 1' when event_id % 3 = 1 then 'none' else '7 apples' end as x from events)")
 def parse_scores(spark, d):
     k = F.col("event_id") % 3
-    x = F.when(k == 0, F.concat(F.lit("score: "), F.round(F.col("value") / 300, 2).cast("string"), F.lit(" of 1"))).when(k == 1, "none").otherwise("7 apples")
+    # rounded as doubles, as SQL does: 0.285 is a little less than its decimal form says
+    hundreds = F.abs(F.col("value") / 300 * 100)
+    whole = F.floor(hundreds)
+    share = F.signum("value") * (whole + F.when(hundreds - whole >= 0.5, 1).otherwise(0)) / 100
+    x = F.when(k == 0, F.concat(F.lit("score: "), share.cast("string"), F.lit(" of 1"))).when(k == 1, "none").otherwise("7 apples")
     return table(spark, d, "events").select("event_id", F.round(X.first_number(x), 6).alias("score"))
 
 

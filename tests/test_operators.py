@@ -6,6 +6,7 @@ import json
 import math
 import random
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
@@ -15,9 +16,12 @@ from corvina.functions import similarity, vector, yaml_text
 from corvina.functions import text as X
 from corvina.operators import bm25, chunking, components, graph, injected, jobs, maintenance, ontology, retrieval, search, similar, triples
 from corvina.operators.components import connected_components
+from corvina.plans import catalog
 from corvina.sources import tables
 from corvina.streaming import status
 
+from .compare import rows_of, sql_rows
+
 TEXT = "First sentence here. Second one! Third?\n\nNew paragraph with more words. " * 30
 
 
@@ -400,3 +404,12 @@ def test_example_search_in_many_cells(spark, monkeypatch):
     got = maintenance.example_search(held, asked, 3, 0.3).select("query_id", "id", "score", "rank")
     assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
     assert maintenance.example_search(held.where("false"), asked, 3, 0.3).count() == 0
+
+
+def test_shares_are_rounded_as_in_sql(spark, tmp_path):
+    """85.5 / 300 is a little less than 0.285; the events of the test tables hold few such values."""
+    values = [85.5, 1.5, 4.5, 172.5, 0.0, 0.3, 299.0, 560.21, 43.5] + [n * 1.5 for n in range(400)]
+    spark.createDataFrame([(3 * i, v) for i, v in enumerate(values)], "event_id long, value double").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    assert rows_of(catalog.QUERIES["f07_parse_scores"](spark, str(tmp_path))) == sql_rows(con, catalog.ORACLES["f07_parse_scores"])
