@@ -413,3 +413,14 @@ def test_shares_are_rounded_as_in_sql(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
     assert rows_of(catalog.QUERIES["f07_parse_scores"](spark, str(tmp_path))) == sql_rows(con, catalog.ORACLES["f07_parse_scores"])
+
+
+def test_probed_cells_are_searched_in_blocks(spark):
+    """What IVF visits is compared by whole cells: no join of rows with queries is left."""
+    rng = np.random.default_rng(2)
+    df = spark.createDataFrame([(i, rng.normal(size=8).tolist()) for i in range(600)], "vec_id long, embedding array<double>")
+    asked = df.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    got = search.knn_ivf(df, asked, 10, 4, 4)
+    assert got._jdf.queryExecution().toString().count("MapInArrow run(cell") > 0
+    want = search.knn_exact(df, asked, 10)
+    assert [(r.query_id, r.id) for r in got.orderBy("query_id", "rank").collect()] == [(r.query_id, r.id) for r in want.orderBy("query_id", "rank").collect()]
