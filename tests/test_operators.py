@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from corvina.functions import similarity, vector, yaml_text
 from corvina.functions import text as X
-from corvina.operators import bm25, chunking, components, graph, injected, jobs, maintenance, ontology, retrieval, search, similar, triples
+from corvina.operators import bm25, chunking, components, containment, graph, injected, jobs, maintenance, ontology, retrieval, search, similar, triples
 from corvina.operators.components import connected_components
 from corvina.plans import catalog
 from corvina.sources import tables
@@ -424,3 +424,26 @@ def test_probed_cells_are_searched_in_blocks(spark):
     assert got._jdf.queryExecution().toString().count("MapInArrow run(cell") > 0
     want = search.knn_exact(df, asked, 10)
     assert [(r.query_id, r.id) for r in got.orderBy("query_id", "rank").collect()] == [(r.query_id, r.id) for r in want.orderBy("query_id", "rank").collect()]
+
+
+def test_evidence_is_found_in_cells(spark, monkeypatch):
+    """Triples meet the texts of their documents by automata in bounded cells, not pair by pair; nulls and empty names as in SQL."""
+    monkeypatch.setattr(containment, "BLOCK", 40)
+    monkeypatch.setattr(containment, "PART", 60)
+    rng = random.Random(3)
+    names = [None, "", "Ab", "abc", "B c", "ca", "Ü", *("".join(rng.choices("abC ", k=rng.randint(1, 4))) for _ in range(20))]
+    rows = [(n, f"d{n % 3}", rng.choice(names), rng.choice(names)) for n in range(150)]
+    texts = [(f"d{n % 4}", f"d{n % 4}_{n}", rng.choice([None, "", *("".join(rng.choices("ABc ü", k=rng.randint(1, 12))) for _ in range(6))])) for n in range(40)]
+    t = spark.createDataFrame(rows, "ord long, doc_id string, subject string, object string")
+    c = spark.createDataFrame(texts, "doc_id string, chunk_id string, content string")
+    made = triples.evidence_match(t, c)
+    assert "contains(" not in made._jdf.queryExecution().optimizedPlan().toString().lower()
+    con = duckdb.connect()
+    con.register("t", pd.DataFrame(rows, columns=["ord", "doc_id", "subject", "object"]))
+    con.register("c", pd.DataFrame(texts, columns=["doc_id", "chunk_id", "content"]))
+    want = con.execute(
+        "with p as (select ord, chunk_id, contains(lower(content), lower(subject)) or contains(lower(content), lower(object)) as named from t join c using (doc_id)), "
+        "q as (select *, max(named) over (partition by ord) as some_named from p) "
+        "select ord, chunk_id from (select *, row_number() over (partition by ord order by chunk_id) as n from q where named or not some_named) where n <= 3"
+    ).fetchall()
+    assert sorted((r.ord, r.chunk_id) for r in made.collect()) == sorted(want) and len(want) > 200
