@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from corvina.functions import text as X
 from corvina.functions import vector as V
 from corvina.operators import bm25, graph, search
+from corvina.operators.containment import containing
+from corvina.session import saved
 
 Strategy = Callable[["Tables", DataFrame, dict[str, Any]], DataFrame]
 Backend = Callable[[DataFrame, DataFrame, DataFrame, dict[str, Any]], DataFrame]
@@ -150,7 +152,7 @@ def resolve_labels(mentions: DataFrame, labels: DataFrame, nodes: DataFrame, ins
     if it is an instance.
     """
     tokens = mentions.select("token").where("token <> ''").distinct()
-    named = _best_candidates(tokens, labels.select("uri", F.col("label").alias("name")))
+    named = saved(_best_candidates(tokens, labels.select("uri", F.col("label").alias("name"))), "named")
     rest = tokens.join(named, "token", "left_anti")
     # characters before the local name hold no names
     local = nodes.where(F.col("uri").contains(instance)).select("uri", F.substring_index("uri", "/", -1).alias("name"))
@@ -159,17 +161,17 @@ def resolve_labels(mentions: DataFrame, labels: DataFrame, nodes: DataFrame, ins
     return mentions.join(found, "token").withColumn("n", place).where(F.col("n") <= most).select("query_id", "uri", "token")
 
 
-def _best_candidates(tokens: DataFrame, names: DataFrame, gram: int = 3) -> DataFrame:
-    """(token, uri) of the best name that contains each token; pairs meet by the token's first characters."""
+def _best_candidates(tokens: DataFrame, names: DataFrame) -> DataFrame:
+    """(token, uri) of the best name that contains each token."""
     t = tokens.select("token", F.lower("token").alias("t"))
-    n = names.select("uri", "name", F.lower("name").alias("c")).where("c <> ''").distinct()
-    spots = F.sequence(F.lit(1), F.length("c"))
-    heads = F.array_distinct(F.flatten(F.transform(spots, lambda i: F.transform(F.sequence(F.lit(1), F.lit(gram)), lambda m: F.substr(F.col("c"), i, m)))))
-    met = t.withColumn("k", F.substring("t", 1, gram)).join(n.withColumn("k", F.explode(heads)), "k").where(F.col("c").contains(F.col("t")))
+    # of names that differ in case only, the first and its first uri come before the others for every token
+    n = names.where("name <> ''").groupBy(F.lower("name").alias("c")).agg(F.min(F.struct("name", "uri")).alias("id"))
+    met = containing(t.select(F.lit(0).alias("scope"), F.col("t").alias("pattern")), n.select(F.lit(0).alias("scope"), "id", F.col("c").alias("text")))
+    met = met.select(F.col("pattern").alias("t"), F.lower("id.name").alias("c"), "id.name", "id.uri")
     base = F.when(F.col("t") == F.col("c"), 100).when(F.col("c").startswith(F.col("t")), 60).otherwise(30)
     score = base + F.greatest(F.lit(0), 20 - (F.length("c") - F.length("t")))
-    best = met.groupBy("token").agg(F.min(F.struct((-score).alias("s"), "name", "uri")).alias("b"))
-    return best.select("token", "b.uri")
+    best = met.groupBy("t").agg(F.min(F.struct((-score).alias("s"), "name", "uri")).alias("b"))
+    return t.join(best, "t").select("token", "b.uri")
 
 
 # The heading of the triples, the text for a part that is missing, and the mark of a chunk.

@@ -447,3 +447,22 @@ def test_evidence_is_found_in_cells(spark, monkeypatch):
         "select ord, chunk_id from (select *, row_number() over (partition by ord order by chunk_id) as n from q where named or not some_named) where n <= 3"
     ).fetchall()
     assert sorted((r.ord, r.chunk_id) for r in made.collect()) == sorted(want) and len(want) > 200
+
+
+def test_labels_meet_mentions_in_cells(spark, monkeypatch):
+    """Many mentions that begin alike are not joined with every label that holds their first characters."""
+    monkeypatch.setattr(containment, "BLOCK", 200)
+    monkeypatch.setattr(containment, "PART", 300)
+    labels = [(f"http://kg/{'inst' if i % 3 else 'class'}/urn{i % 40}", f"{'URN' if i % 2 else 'urn'}{i}") for i in range(120)] + [("http://kg/inst/x", None), ("http://kg/inst/y", "")]
+    tokens = ["", "urn", "Urn1", "urn7", "9", "inst", "zz", *(f"urn{i}" for i in range(60))]
+    m = spark.createDataFrame([(n, n, t) for n, t in enumerate(tokens)], "query_id long, pos long, token string")
+    named = spark.createDataFrame(labels, "uri string, label string")
+    made = retrieval._best_candidates(m.select("token").where("token <> ''"), named.select("uri", F.col("label").alias("name")))
+    assert "contains(" not in made._jdf.queryExecution().optimizedPlan().toString().lower()
+
+    def key(t, name, uri):
+        t, c = t.lower(), name.lower()
+        return -((100 if t == c else 60 if c.startswith(t) else 30) + max(0, 20 - len(c) + len(t))), name, uri
+
+    want = {t: min(key(t, n, u) for u, n in labels if n and t.lower() in n.lower())[2] for t in tokens if t and any(n and t.lower() in n.lower() for _, n in labels)}
+    assert {r.token: r.uri for r in made.collect()} == want and len(want) > 50
