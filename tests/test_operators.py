@@ -466,3 +466,16 @@ def test_labels_meet_mentions_in_cells(spark, monkeypatch):
 
     want = {t: min(key(t, n, u) for u, n in labels if n and t.lower() in n.lower())[2] for t in tokens if t and any(n and t.lower() in n.lower() for _, n in labels)}
     assert {r.token: r.uri for r in made.collect()} == want and len(want) > 50
+
+
+def test_clickable_names_meet_nodes_in_cells(spark, monkeypatch):
+    monkeypatch.setattr(containment, "BLOCK", 60)
+    monkeypatch.setattr(containment, "PART", 60)
+    rng = random.Random(5)
+    nodes = [None, "", "a", "A_b", *("".join(rng.choices("abC_ ", k=rng.randint(1, 5))) for _ in range(40))]
+    names = ["", "B", "zz", *("".join(rng.choices("aBc_ d", k=rng.randint(1, 6))) for _ in range(60))]
+    pairs = graph._contains_pairs(spark.createDataFrame([(n,) for n in names], "name string"), spark.createDataFrame([(n,) for n in nodes], "node string"))
+    assert "contains(" not in pairs._jdf.queryExecution().optimizedPlan().toString().lower()
+    want = {(a, b) for a in names for b in nodes if a and b and len(b) > 1 and (a.lower() in b.lower() or b.lower() in a.lower())}
+    got = [(r.name, r.node) for r in pairs.collect()]
+    assert set(got) == want and len(got) == len(want) > 100
