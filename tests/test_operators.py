@@ -9,6 +9,7 @@ import random
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -479,3 +480,17 @@ def test_clickable_names_meet_nodes_in_cells(spark, monkeypatch):
     want = {(a, b) for a in names for b in nodes if a and b and len(b) > 1 and (a.lower() in b.lower() or b.lower() in a.lower())}
     got = [(r.name, r.node) for r in pairs.collect()]
     assert set(got) == want and len(got) == len(want) > 100
+
+
+def test_chunks_leave_in_bounded_batches(spark, monkeypatch):
+    """A batch of many long texts isn't held as one table of all its chunks."""
+    caught, own = [], type(spark.range(1)).mapInArrow
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", lambda df, f, kind: caught.append(f) or own(df, f, kind))
+    monkeypatch.setattr(chunking, "HELD", 5_000)
+    docs = spark.createDataFrame([(n, TEXT if n % 5 else None) for n in range(20)], "doc_id long, text string")
+    want = [(n, TEXT[lo:hi]) for n in range(20) if n % 5 for lo, hi in chunking.split_recursively(TEXT, 300, 50)]
+    chunking.chunk_by_size(docs, 300, 50)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(20), pa.int64()), pa.array([TEXT if n % 5 else None for n in range(20)])], names=["id", "text"])
+    made = list(caught[0](iter([batch])))
+    assert len(made) > 5 and all(sum(map(len, b.column("content").to_pylist())) <= 5_300 for b in made)
+    assert [(i, c) for b in made for i, c in zip(b.column("id").to_pylist(), b.column("content").to_pylist(), strict=True)] == want
