@@ -494,3 +494,22 @@ def test_chunks_leave_in_bounded_batches(spark, monkeypatch):
     made = list(caught[0](iter([batch])))
     assert len(made) > 5 and all(sum(map(len, b.column("content").to_pylist())) <= 5_300 for b in made)
     assert [(i, c) for b in made for i, c in zip(b.column("id").to_pylist(), b.column("content").to_pylist(), strict=True)] == want
+
+
+def test_relations_with_most_triples_are_not_gathered(spark, sf_dir):
+    """Triples stay where they are when they meet a schema's properties or rules."""
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        t = spark.createDataFrame([("a", "p", "b")], "s string, p string, o string")
+        props = spark.createDataFrame([("p", [], "D", "R")], "name string, source_relations array<string>, domain string, range string")
+        made = ontology.type_instances(t, props)
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        assert sorted(map(tuple, made.collect())) == [("a", "D"), ("b", "R")]
+        e = spark.createDataFrame([("a", "p", "b", 1), ("b", "q", "c", 1), ("b", "q", "d", 2)], "subject string, predicate string, object string, doc_id int")
+        found = graph.infer_two_hop(e, spark.createDataFrame([("r", "p", "q", "i")], "rule string, p1 string, p2 string, inferred string"), "doc_id")
+        assert "BroadcastHashJoin" in found._jdf.queryExecution().executedPlan().toString()
+        assert [tuple(r) for r in found.collect()] == [("a", "i", "c", "r")]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
