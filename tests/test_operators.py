@@ -120,6 +120,28 @@ def test_similar_strings_in_many_cells(spark, monkeypatch):
     assert similar.similar_strings(df.where("false")).count() == 0
 
 
+def test_similar_pairs_count_in_one_cell_only():
+    import pyarrow as pa
+
+    def cell(key, earlier):
+        x = ["customer#12", "customer#13"]
+        cols = {"x": x, "l": x, "side": pa.array([3, 3], pa.int32()), "c": pa.nulls(2, pa.string()), "earlier": [earlier, ""], "offer": [True, False], "width": pa.array([2, 2], pa.int32()), "key": [key] * 2, "cell": [1, 1]}
+        return pa.RecordBatch.from_pydict(cols)
+
+    found = [r for b in similar._compare(0.85, True, False)(iter([cell("11:er", "r#"), cell("11:om", ""), cell("11:to", "12")])) for r in b.to_pylist()]
+    assert [(r["a"], r["b"]) for r in found] == [("customer#12", "customer#13")] * 2  # "r#" is held, so the pair counts where "r#" is offered
+
+
+def test_names_linked_beforehand_meet_in_no_cell(spark):
+    rows = [("k", "g", "x1", True), ("k", "g", "x2", False), ("m", "g", "x1", True), ("m", "h", "y", False), ("m", "g", "x2", False)]
+    got = similar._between_groups(spark.createDataFrame(rows, "key string, c string, x string, offer boolean")).select("key", "x").collect()
+    assert {(r.key, r.x) for r in got if r.key.startswith("a")} == {("a:m", "x1"), ("a:m", "y")}
+    names = [f"Customer#{k:05}" for k in range(60)]
+    e = spark.createDataFrame([(n, n.lower(), len(n)) for n in [*names, "CUSTOMER#00000", "abc", "abd"]], "x string, l string, n int")
+    parts = components.connected_components(similar._one_lost(e, 0.85), "a", "b").groupBy("component").count().collect()
+    assert [r["count"] for r in parts] == [61]
+
+
 def test_similar_between_two_tables(spark):
     names = odd_names(random.Random(5))
     left, right = names[::2] + names[:5], names[1::2] + names[:10]
