@@ -21,12 +21,21 @@ class Index:
 
 
 def build_inverted_index(chunks: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Index:
-    """Texts are tokenised once; postings and document frequencies are saved tables, which any number of searches read."""
-    t = chunks.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("t")).select("id", "t", F.size("t").alias("dl"))
-    every = saved(t, "tokens")
-    postings = saved(every.select("id", "dl", F.explode("t").alias("term")).groupBy("id", "dl", "term").agg(F.count("*").alias("tf")), "postings")
+    """Texts are tokenised once; postings and document frequencies are saved tables, which any number of searches read.
+
+    Texts are dealt by their ids before they fall into tokens, so that postings need no further shuffle and those of a
+    document lie together. A row without a term counts the texts of an id and length.
+    """
+    texts = chunks.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).repartition("id")
+    t = texts.select("id", tokens(F.col("text")).alias("t")).select("id", F.size("t").alias("dl"), "t")
+    none = F.array().cast("array<string>")
+    marked = t.select("id", "dl", F.explode(F.concat(F.array(F.lit(None).cast("string")), F.coalesce("t", none))).alias("term"))
+    every = saved(marked.groupBy("id", "dl", "term").agg(F.count("*").alias("tf")), "postings")
+    postings = every.where("term is not null").select("id", "dl", "term", "tf")
     terms = saved(postings.groupBy("term").agg(F.count("*").alias("df")), "terms")
-    return Index(postings, terms, every.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")))
+    known = F.when(F.col("dl").isNotNull(), F.col("tf"))
+    stats = every.where("term is null").agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("n"), (F.sum(F.col("dl") * F.col("tf")) / F.sum(known)).alias("avgdl"))
+    return Index(postings, terms, saved(stats, "stats"))
 
 
 def term_weights(index: Index) -> DataFrame:
@@ -39,7 +48,8 @@ def term_weights(index: Index) -> DataFrame:
 def bm25_search(index: Index, queries: DataFrame, k: int | None = 10, k1: float = 1.5, b: float = 0.75, query_id: str = "query_id", query_text: str = "query_text") -> DataFrame:
     """(query_id, id, score, rank): Okapi scores above 0, summed over query tokens with repetition; ties by id."""
     asked = queries.select(F.col(query_id).alias("query_id"), F.explode(tokens(F.col(query_text))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
-    weighed = asked.join(term_weights(index), "term")
+    # saved, so that its size is known: where it fits a broadcast, postings are not shuffled, and a document's hits add up where they lie
+    weighed = saved(asked.join(term_weights(index), "term"), "weighed")
     hits = index.postings.join(weighed, "term").join(F.broadcast(index.stats))
     part = F.col("qf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     scores = hits.groupBy("query_id", "id").agg(F.sum(part).alias("score")).where("score > 0")

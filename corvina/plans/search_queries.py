@@ -8,6 +8,7 @@ from corvina.functions import text as X
 from corvina.functions import vector as V
 from corvina.operators import bm25, search
 from corvina.plans.registry import query, table
+from corvina.session import saved
 
 _TOKENS = r"list_filter(string_split_regex(lower({0}), '\s+'), lambda x: x <> '')"
 _INDEX = f"""t as (select doc_id as id, {_TOKENS.format('text')} as t from documents), d as (select id, len(t) as dl from t), s as (select count(*) as n, avg(dl) as avgdl from d),
@@ -169,9 +170,9 @@ _OVERLAP = f"""ov as (select query_id, id, score, len(list_intersect(qt, dt)) /
 
 def _overlap(spark, d):
     q = _text_queries(spark, d)
-    hits = bm25.bm25_search(_index(spark, d), q, 20)
-    full = hits.join(q.select("query_id", X.tokens(F.col("query_text")).alias("qt")), "query_id").join(table(spark, d, "documents").select(F.col("doc_id").alias("id"), X.tokens(F.col("text")).alias("dt")), "id")
-    return full.select("query_id", "id", "score", search.token_overlap(F.col("qt"), F.col("dt")).alias("raw"))
+    hits = saved(bm25.bm25_search(_index(spark, d), q, 20), "hits")
+    full = hits.join(q, "query_id").join(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), "id")
+    return full.select("query_id", "id", "score", search.token_overlap(X.tokens(F.col("query_text")), X.tokens(F.col("text"))).alias("raw"))
 
 
 @query("f05_two_stage", f"with {_BM25}, {_OVERLAP} select query_id, id, round(score, 6) as score, rank from (select *, row_number() over (partition by query_id order by round(raw, 9) desc, id) as rank from ov where score >= 1) where rank <= 5")

@@ -142,6 +142,26 @@ def test_names_linked_beforehand_meet_in_no_cell(spark):
     assert [r["count"] for r in parts] == [61]
 
 
+def test_index_deals_texts_by_id_only(spark, monkeypatch):
+    plans = []
+    real = bm25.saved
+
+    def kept(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df, name)
+
+    monkeypatch.setattr(bm25, "saved", kept)
+    docs = spark.createDataFrame([(1, "a b a"), (2, None), (3, "  "), (4, "B c"), (4, "b c"), (None, "a")], "doc_id int, text string")
+    index = bm25.build_inverted_index(docs)
+    assert sum(p.count("hashpartitioning(id#") for p in plans) == 1 and not any("dl#" in x for p in plans for x in p.splitlines() if "hashpartitioning" in x)
+    got = {(r.id, r.term): (r.tf, r.dl) for r in index.postings.collect()}
+    assert got == {(1, "a"): (2, 3), (1, "b"): (1, 3), (4, "b"): (2, 2), (4, "c"): (2, 2), (None, "a"): (1, 1)}
+    (s,) = index.stats.collect()
+    lengths = docs.select(F.size(X.tokens(F.col("text"))).alias("n")).agg(F.avg("n")).first()[0]
+    assert s.n == 6 and abs(s.avgdl - lengths) < 1e-12
+    assert bm25.build_inverted_index(docs.where("false")).stats.collect()[0].n == 0
+
+
 def test_similar_between_two_tables(spark):
     names = odd_names(random.Random(5))
     left, right = names[::2] + names[:5], names[1::2] + names[:10]
