@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StringType, StructField, StructType, _parse_datatype_string
 
+from corvina.session import saved
+
 Injected = Callable[[dict[str, list]], list]
 
 #: Rows that reach a function at once.
@@ -66,11 +68,12 @@ def extract_triples(chunks: DataFrame, extractor: Callable[[list[str]], list[lis
     """(chunk_id, pos, subject, predicate, object, confidence) by an injected extractor of texts, and (chunk_id, error) of those it failed on.
 
     The extractor gives each text a list of dicts with these names; a confidence that is absent is 0.8, and triples that lack
-    an end or a predicate go.
+    an end or a predicate go. Its replies are saved, as both tables come of them: it sees each text once.
     """
     kind = "found array<struct<subject: string, predicate: string, object: string, confidence: double>>"
     rows = chunks.select(F.col(id_col).alias("chunk_id"), F.col(text_col).alias("content"))
-    done = apply_injected(rows, lambda b: extractor(b["content"]), ["content"], kind).drop("content")
+    done = apply_injected(rows, lambda b: extractor(b["content"]), ["content"], kind)
+    done = saved(done.drop("content"), "extracted")
     told = done.select("chunk_id", F.posexplode("found").alias("pos", "t")).select("chunk_id", "pos", "t.subject", "t.predicate", "t.object", F.coalesce("t.confidence", F.lit(0.8)).alias("confidence"))
     return told.where("subject is not null and predicate is not null and object is not null"), done.where("error is not null").select("chunk_id", "error")
 

@@ -162,6 +162,17 @@ def test_index_deals_texts_by_id_only(spark, monkeypatch):
     assert bm25.build_inverted_index(docs.where("false")).stats.collect()[0].n == 0
 
 
+def test_injected_extractor_sees_each_text_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def extract(texts):
+        seen.add(len(texts))
+        return [[{"subject": t, "predicate": "is", "object": "x"}] for t in texts]
+
+    found, failed = injected.extract_triples(spark.range(500).selectExpr("id as chunk_id", "concat('t', id) as content"), extract)
+    assert found.count() == 500 and failed.count() == 0 and seen.value == 500
+
+
 def test_similar_between_two_tables(spark):
     names = odd_names(random.Random(5))
     left, right = names[::2] + names[:5], names[1::2] + names[:10]
