@@ -23,15 +23,19 @@ from corvina.operators.similar import _cells
 AT_ONCE = 4_000_000
 
 
-def nearest_in_cells(held: DataFrame, asked: DataFrame, parts: int, k: int, metric: str, with_null: bool) -> DataFrame:
-    """(query_id, id, score) of what can be among the nearest k in each cell, of held (cell, id, v) and asked (cell, query_id, v)."""
+def nearest_in_cells(held: DataFrame, asked: DataFrame, parts: int, k: int, metric: str, with_null: bool, within: float | None = None) -> DataFrame:
+    """(query_id, id, score) of what can be among the nearest k in each cell, of held (cell, id, v) and asked (cell, query_id, v).
+
+    With ``within``, only rows at a smaller Euclidean distance from the query count; vectors are then finite and of one length,
+    and the metric is COSINE.
+    """
     ids, asks = held.schema["id"].dataType, asked.schema["query_id"].dataType
     kind = "array<float>" if {x.schema["v"].dataType.simpleString() for x in (held, asked)} == {"array<float>"} else "array<double>"
     one = held.select(F.col("cell").cast("long").alias("cell"), F.lit(False).alias("is_query"), F.lit(None).cast(asks).alias("query_id"), "id", F.col("v").cast(kind).alias("v"))
     two = asked.select(F.col("cell").cast("long").alias("cell"), F.lit(True).alias("is_query"), "query_id", F.lit(None).cast(ids).alias("id"), F.col("v").cast(kind).alias("v"))
     cells = one.unionByName(two).repartition(parts, "cell").sortWithinPartitions("cell")
     out = T.StructType([T.StructField("query_id", asks), T.StructField("id", ids), T.StructField("score", T.DoubleType())])
-    return cells.mapInArrow(_nearest(k, metric, with_null), out)
+    return cells.mapInArrow(_nearest(k, metric, with_null, within), out)
 
 
 class _Vectors:
@@ -64,7 +68,7 @@ def _norms(v: np.ndarray) -> np.ndarray:
 def _scores(q: np.ndarray, r: np.ndarray, nq: np.ndarray, nr: np.ndarray, i: np.ndarray, j: np.ndarray, metric: str) -> np.ndarray:
     """Scores of pairs (i, j); q and r hold a row for each dimension."""
     if metric == "L2":
-        return 1 / (1 + np.sqrt(_in_order(((a := q[d][i] - r[d][j]) * a for d in range(len(q))), len(i))))
+        return 1 / (1 + _distances(q, r, i, j))
     dot = _in_order((q[d][i] * r[d][j] for d in range(len(q))), len(i))
     if metric == "IP":
         return dot
@@ -72,6 +76,23 @@ def _scores(q: np.ndarray, r: np.ndarray, nq: np.ndarray, nr: np.ndarray, i: np.
     return np.where(n == 0, 0.0, dot / np.where(n == 0, 1.0, n))
 
 
+def _distances(q: np.ndarray, r: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    return np.sqrt(_in_order(((a := q[d][i] - r[d][j]) * a for d in range(len(q))), len(i)))
+
+
+def _close(q: np.ndarray, r: np.ndarray, nq: np.ndarray, nr: np.ndarray, k: int, within: float) -> np.ndarray:
+    """For each unit row of q, which unit rows of r can be among its nearest k by cosine of those at a distance below ``within``."""
+    near = q @ r.T
+    far = nq[:, None] ** 2 + nr**2
+    gap, slack = far - 2 * near * nq[:, None] * nr - within**2, 1e-12 * (far + within**2)
+    can = ~(gap > slack)  # also where it isn't a number
+    if len(r) > k:
+        sure = np.where(gap < -slack, near, -np.inf)
+        least = np.partition(sure, len(r) - k, axis=1)[:, len(r) - k]
+        can &= ~(near < least[:, None] - 3e-9)
+    return can
+
+
 def _candidates(q: np.ndarray, r: np.ndarray, nq: np.ndarray, nr: np.ndarray, k: int, metric: str) -> np.ndarray:
     """For each row of q, which rows of r can be among its nearest k; vectors that aren't finite always can."""
     if len(r) <= k:
@@ -103,7 +124,7 @@ def _few(i: np.ndarray, j: np.ndarray, score: np.ndarray, place: np.ndarray, k:
     return order[nth < k]
 
 
-def _nearest(k: int, metric: str, with_null: bool):
+def _nearest(k: int, metric: str, with_null: bool, within: float | None):
     """From batches (cell, is_query, query_id, id, v), sorted by cell, to (query_id, id, score) that hold each query's nearest k in the cell.
 
     Pairs with a null vector, a null component or different lengths have a null score and come after all others.
@@ -120,13 +141,13 @@ def _nearest(k: int, metric: str, with_null: bool):
             place = np.empty(len(ids), dtype=np.int64)
             place[pc.array_sort_indices(ids, null_placement="at_start").to_numpy()] = np.arange(len(ids))
             with np.errstate(all="ignore"):
-                for i, j, score in _cell(q, r, place, k, metric, with_null):
+                for i, j, score in _cell(q, r, place, k, metric, with_null, within):
                     yield pa.RecordBatch.from_arrays([query_ids.take(pa.array(i)), ids.take(pa.array(j)), score], names=["query_id", "id", "score"])
 
     return run
 
 
-def _cell(q: _Vectors, r: _Vectors, place: np.ndarray, k: int, metric: str, with_null: bool) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Array]]:
+def _cell(q: _Vectors, r: _Vectors, place: np.ndarray, k: int, metric: str, with_null: bool, within: float | None) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Array]]:
     by_size = {n: np.flatnonzero(r.size == n) for n in np.unique(r.size).tolist() if n >= 0}
     norms = np.full(len(place), np.nan)
     for size, rows in by_size.items():
@@ -145,8 +166,13 @@ def _cell(q: _Vectors, r: _Vectors, place: np.ndarray, k: int, metric: str, with
         for at in range(0, len(asked), step):
             some, n = asked[at : at + step], nq[at : at + step]
             w = q.of(some, size)
-            i, j = np.nonzero(_candidates(w / np.where(n == 0, 1.0, n)[:, None] if metric == "COSINE" else w, unit, n, nr, k, metric))
-            score = _scores(np.ascontiguousarray(w.T), by_row, n, nr, i, j, metric)
+            own = w / np.where(n == 0, 1.0, n)[:, None] if metric == "COSINE" else w
+            i, j = np.nonzero(_candidates(own, unit, n, nr, k, metric) if within is None else _close(own, unit, n, nr, k, within))
+            by_query = np.ascontiguousarray(w.T)
+            if within is not None:
+                inside = _distances(by_query, by_row, i, j) < within
+                i, j = i[inside], j[inside]
+            score = _scores(by_query, by_row, n, nr, i, j, metric)
             kept = _few(i, j, score, place[rows], k)
             yield some[i[kept]], rows[j[kept]], pa.array(score[kept])
 

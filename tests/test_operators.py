@@ -347,6 +347,43 @@ def test_injected_functions_keep_failing_rows(spark):
     assert injected.apply_injected(rows.where("false"), work, ["text"], "value long").count() == 0
 
 
+def test_lsh_pairs_stay_in_their_cells(spark, monkeypatch):
+    """The best k of each cell are all that leaves it; they are those of all pairs in a bucket below the distance, whatever the lengths of vectors."""
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.linalg import Vectors
+
+    r = np.random.default_rng(5)
+    made = r.normal(size=(400, 6)) * r.choice([0.3, 0.8, 1.5], size=(400, 1))
+    made[7], made[11] = 0.0, made[10]
+    rows = [(i, v.tolist()) for i, v in enumerate(made)]
+    odd = [(900, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (901, None), (902, [float("nan")] * 6), (903, [float("inf")] * 6)]
+    df = spark.createDataFrame(rows + odd + rows[:20], "vec_id long, embedding array<double>")
+    asked = spark.createDataFrame(rows[:40] + odd, "query_id long, query_vec array<double>")
+    model = BucketedRandomProjectionLSH(inputCol="f", outputCol="h", bucketLength=0.5, numHashTables=3, seed=1).fit(spark.createDataFrame([(Vectors.dense(v),) for _, v in rows], ["f"]))
+    hashes = model.transform(spark.createDataFrame([(i, Vectors.dense(v)) for i, v in rows], ["id", "f"])).select("id", "h").collect()
+    h = {x.id: [y[0] for y in x.h] for x in hashes}
+    want = set()
+    for q in range(40):
+        near = [i for i in range(400) if any(a == b for a, b in zip(h[q], h[i], strict=True)) and math.sqrt(sum((a - b) ** 2 for a, b in zip(rows[q][1], rows[i][1], strict=True))) < 1.6]
+        norms = np.linalg.norm(made[near], axis=1) * np.linalg.norm(made[q])
+        score = dict(zip(near, np.where(norms == 0, 0.0, made[near] @ made[q] / np.where(norms == 0, 1, norms)), strict=True))
+        want |= {(q, i, n) for n, i in enumerate(sorted(near, key=lambda i: (-round(score[i], 9), i))[:10], 1)}
+    counts, whole = [], search.nearest_in_cells
+
+    def counted(*args):
+        out = whole(*args)
+        counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(search, "nearest_in_cells", counted)
+    for block, queries in ((50_000, 10_000), (60, 15)):
+        monkeypatch.setattr(search, "KNN_BLOCK", block)
+        monkeypatch.setattr(search, "KNN_QUERIES", queries)
+        assert {(x.query_id, x.id, x["rank"]) for x in search.knn_lsh(df, asked, 10, 0.5, 3).collect()} == want
+    assert len(counts) == 2 and counts[0] <= 40 * 3 * 10
+    assert search.knn_lsh(df.where("false"), asked, 10).count() == 0
+
+
 def test_ivf_reaches_its_recall(spark, sf_dir):
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     asked = vectors.where("vec_id % 5 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
