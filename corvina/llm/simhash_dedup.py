@@ -9,9 +9,11 @@ candidate pairs, from the collisions of a bounded sample scaled to the number of
 sample only moves cost. A fingerprint is indexed under its value in each partition and probes all values within t_i.
 
 For a stated similarity of shingle sets fingerprints only find candidates, and loosely, so that hardly a pair is lost:
-several fingerprints, made from the same hashes, are probed in turn, and all of them together part what is far apart. The
-texts of candidate pairs then meet, and the exact similarity of their sets decides. A first round takes a spanning forest
-of closer candidates, so that dense groups become one before all pairs of what is left are looked at.
+several fingerprints, made from the same hashes, are probed, and all of them together part what is far apart. Few bits need
+to agree in one of many partitions for that, so probes are few. The exact similarity of shingle sets decides: a first round
+takes a spanning forest of closer candidates, so that dense groups become one; then the components of all candidates are cut
+into blocks, and each two blocks that may hold a link between different groups meet with their sets in one bounded group,
+where pairs are compared and a forest of the links is all that leaves.
 
 A value that gathers many fingerprints is cut into blocks, and every pair of blocks is a group of bounded size of its
 own. A group's task compares its fingerprints and returns a spanning forest of the links found, never all pairs.
@@ -143,12 +145,12 @@ def _pair_counts(bits: np.ndarray, part: list[int], most: int, scale: float) ->
     return out
 
 
-def plan(sample: np.ndarray, total: int, distance: int) -> list[tuple[list[int], int]]:
-    """Partitions (bit positions) with their thresholds, -1 for those left out, at the least estimated cost."""
+def plan(sample: np.ndarray, total: int, distance: int, fewest: int = 2) -> list[tuple[list[int], int]]:
+    """At least ``fewest`` partitions (bit positions) with their thresholds, -1 for those left out, at the least estimated cost."""
     bits = _bits(sample)
     scale = (total / max(1, len(sample))) ** 2
     best: tuple[float, list] = (np.inf, [])
-    for m in range(2, min(distance + 2, 10)):
+    for m in range(fewest, min(distance + 2, 10)):
         budget = distance - m + 1
         most = min(budget, 2)
         if m * most < budget:  # no thresholds of at most two sum to it
@@ -213,18 +215,16 @@ def _spanning(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(rows), np.concatenate(columns)) if rows else (np.zeros(0, int), np.zeros(0, int))
 
 
-def _verify(distance: int, limit: int, every: bool):
+def _verify(distance: int, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, "gid"):
             gid, probe, fp, node = (t.column(c).to_numpy() for c in ("gid", "probe", "fp", "node"))
             fp = fp.view(np.uint64)  # bits of signed numbers would be counted without their sign
             more = matrix(t.column("more")).view(np.uint64) if limit else None
-            part = t.column("part").to_numpy() if every else None
             a, b, pairs = [], [], 0
 
             def flush():
-                x, y = np.concatenate(a), np.concatenate(b)
-                x, y = (x, y) if every else forest(x, y)
+                x, y = forest(np.concatenate(a), np.concatenate(b))
                 return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
 
             for lo, hi in group_slices(gid):
@@ -248,10 +248,9 @@ def _verify(distance: int, limit: int, every: bool):
                             far += np.bitwise_count(more[i + at, k] ^ more[j + lo, k])
                         drop = far > limit
                         near[i[drop], j[drop]] = False
-                    i, j = np.nonzero(near) if every else _spanning(near)
+                    i, j = _spanning(near)
                     i, j = i + at, j + lo
-                    # each of two rows asks for the other
-                    keep = (node[i] < node[j]) & (part[i] != part[j]) if every else node[i] != node[j]
+                    keep = node[i] != node[j]
                     if not keep.any():
                         continue
                     a.append(node[i[keep]])
@@ -259,10 +258,6 @@ def _verify(distance: int, limit: int, every: bool):
                     pairs += int(keep.sum())
                     if pairs > 1_000_000:
                         out = flush()
-                        if every:
-                            yield out
-                            a, b, pairs = [], [], 0
-                            continue
                         a, b, pairs = [out.column(0).to_numpy()], [out.column(1).to_numpy()], out.num_rows
             if pairs:
                 yield flush()
@@ -270,12 +265,12 @@ def _verify(distance: int, limit: int, every: bool):
     return run
 
 
-def links(nodes: DataFrame, distance: int = 4, limit: int = 0, sample: int = SAMPLE, block: int = BLOCK, every: bool = False, turns: int = 1) -> DataFrame:
+def links(nodes: DataFrame, distance: int = 4, limit: int = 0, sample: int = SAMPLE, block: int = BLOCK, turns: int = 1, probed: int | None = None, fewest: int = 2) -> DataFrame:
     """Edges (a, b) whose components are those of all pairs of rows (node, fp, more) within ``distance`` bits of fp.
 
-    With ``limit``, fp and the fingerprints in more must also differ by no more bits than this in all. With ``every``, all
-    pairs of rows whose column part differs are returned, some of them repeatedly, and not only what connects them. With
-    ``turns``, each of fp and the fingerprints in more, as many in all, finds pairs within ``distance``, all in one job.
+    With ``limit``, fp and the fingerprints in more must also differ by no more bits than this in all. With ``turns``, each of
+    fp and the fingerprints in more, as many in all, finds pairs within ``distance``, all in one job. With ``probed``, only
+    pairs within that many bits are found for certain, those up to ``distance`` where they agree in a partition.
     """
     spark = nodes.sparkSession
     total = nodes.count()
@@ -283,15 +278,13 @@ def links(nodes: DataFrame, distance: int = 4, limit: int = 0, sample: int = SAM
         return spark.createDataFrame([], "a long, b long")
     with_more = ["more"] if limit else []
     seen = bounded_sample(nodes.select("fp", "node", *with_more), sample, "fp", "node")
-    payload = ["node", "fp", *with_more, *(["own"] if every else [])]
-    if every:
-        nodes = nodes.withColumnRenamed("part", "own")
+    payload = ["node", "fp", *with_more]
     all_fps, rows = [F.col("fp"), *[F.col("more")[i] for i in range(turns - 1)]], None
     for turn in range(turns):
         marks = np.array([r.more[turn - 1] if turn else r.fp for r in seen], dtype=np.int64)
         more = F.array(*all_fps[:turn], *all_fps[turn + 1 :])
         turned = nodes.withColumns({"fp": all_fps[turn], "more": more}) if turns > 1 else nodes
-        parts = plan(marks, total, distance)
+        parts = plan(marks, total, distance if probed is None else probed, fewest)
         entries = [_entries(bits, most, 64 * turn + part) for part, (bits, most) in enumerate(parts) if most >= 0]
         found = turned.select(*payload, F.inline(F.concat(*entries)))
         rows = found if rows is None else rows.unionByName(found)
@@ -312,9 +305,9 @@ def links(nodes: DataFrame, distance: int = 4, limit: int = 0, sample: int = SAM
     asks = F.transform(F.sequence(F.lit(0), F.col("gi") - 1), lambda i: F.struct(F.lit(1).alias("side"), F.xxhash64("part", "value", i, "bq").alias("gid")))
     one = F.array(F.struct(F.col("probe").alias("side"), F.xxhash64("part", "value").alias("gid")))
     spots = F.when(whole, one).when(F.col("probe") == 0, F.concat(held, asks)).otherwise(asks)
-    spread = dealt.select(*payload, F.inline(spots)).withColumnRenamed("side", "probe").withColumnRenamed("own", "part")
+    spread = dealt.select(*payload, F.inline(spots)).withColumnRenamed("side", "probe")
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    return spread.repartition(n, "gid").sortWithinPartitions("gid", "probe").mapInArrow(_verify(distance, limit, every), "a long, b long")
+    return spread.repartition(n, "gid").sortWithinPartitions("gid", "probe").mapInArrow(_verify(distance, limit), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, distance: int = 4, block: int = BLOCK) -> DataFrame:
@@ -338,9 +331,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 #: Sets of five-word shingles with a similarity of 0.8 differ by 39 of 256 bits on average (a share of two ninths of the
-#: shingles differs, an angle of 27 degrees), with a deviation of 6: 64 bits lose none in practice. Each of the four
-#: fingerprints has at most 12 of its 64 bits differ for five of six such pairs, so about one in 1,400 isn't offered.
-WORDS, LEAST, DISTANCE, EXTRA, CLOSE, LIMIT, WIDE_BLOCK = 5, 0.8, 12, 3, 52, 64, 8_000
+#: shingles differs, an angle of 27 degrees), with a deviation of 6: 64 bits lose none in practice. Partitions are planned so
+#: that each of the four fingerprints finds what differs by at most 8 of its 64 bits for certain, and with FEWEST partitions or
+#: more some partition agrees for other such pairs too: by the model one in 1,400 at most isn't offered.
+WORDS, LEAST, PROBED, FEWEST, DISTANCE, EXTRA, CLOSE, LIMIT, WIDE_BLOCK = 5, 0.8, 8, 4, 20, 3, 52, 64, 8_000
 #: Nodes, and bytes of their sets, whose pairs with those of another block meet in one group.
 MEET_NODES, MEET_BYTES = 500, 32 << 20
 
@@ -426,6 +420,88 @@ def similar_pairs(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, words: in
     return met.mapInArrow(_exact(least), "a long, b long")
 
 
+def _linked(limit: int, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, "gid"):
+            gid, node, part, side = (t.column(c).to_numpy() for c in ("gid", "node", "part", "side"))
+            fps = np.column_stack([t.column("fp").to_numpy(), matrix(t.column("more"))]).view(np.uint64)
+            texts, a, b = t.column("t"), [], []
+            for lo, hi in group_slices(gid):
+                one = lo + np.flatnonzero(side[lo:hi] == 0)
+                two = lo + np.flatnonzero(side[lo:hi] == 1)
+                within = not len(two)  # a block with itself
+                two = one if within else two
+                sets = {}
+                _, group = np.unique(part[lo:hi], return_inverse=True)  # what is known to be linked
+
+                def held(i):
+                    if i not in sets:
+                        sets[i] = np.frombuffer(texts[int(i)].as_py(), dtype="<u8")
+                    return sets[i]
+
+                for n, i in enumerate(one):
+                    others = two[n + 1 :] if within else two
+                    others = others[group[others - lo] != group[i - lo]]
+                    far = np.bitwise_count(fps[others] ^ fps[i]).sum(axis=1, dtype=np.int64)
+                    others = others[far <= limit]
+                    if not len(others):
+                        continue
+                    mine, rest = held(i), [held(j) for j in others]
+                    lengths = np.array([len(x) for x in rest])
+                    both = _shared(mine, rest, lengths)
+                    for j in others[both >= least * (len(mine) + lengths - both) - 1e-9]:
+                        if group[j - lo] != group[i - lo]:
+                            group[group == group[j - lo]] = group[i - lo]
+                            a.append(node[i])
+                            b.append(node[j])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def similar_between(offered: DataFrame, nodes: DataFrame, rows: DataFrame, words: int, least: float, limit: int) -> DataFrame:
+    """Edges (a, b) that connect what pairs of nodes of different parts with a Jaccard similarity of at least ``least`` connect.
+
+    Pairs are looked at where ``offered`` connects both and their fingerprints differ by no more than ``limit`` bits in all. A
+    node (node, least, key, fp, more, part) has the text of the row (id, key, t) with its id and key; nodes of a part are linked
+    already. Components of one part need no work. Of the others, a large part has blocks of its own, which needn't meet each
+    other, and small parts share blocks; each node's set goes to the groups of its block.
+    """
+    spark = nodes.sparkSession
+    placed = saved(nodes.join(connected_components(offered, "a", "b"), "node"), "placed")
+    kinds = placed.groupBy("component").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("n"))
+    limit_rows = frequent_limit(placed.count())
+    opened = join_counted(placed, kinds.select("component", "n", (F.col("p") < F.col("q")).alias("open")), "component", "n", limit_rows, "node").where("open").drop("open")
+    opened = saved(opened, "placed")
+    asked = opened.select("node", "least", F.col("key").alias("of"))
+    texts = rows.join(asked, (F.col("key") == F.col("of")) & F.col("id").eqNullSafe(F.col("least"))).select("node", "t")
+    texts = saved(texts.dropDuplicates(["node"]).mapInArrow(_sets(words), "node long, size long, t binary"), "shingles")
+    sized = opened.select("node", "component", "part").join(texts.select("node", "size"), "node")
+    blocks = F.ceil(F.greatest(F.sum("m") / MEET_NODES, F.sum("size") / MEET_BYTES)).cast("int")
+    parts = saved(sized.withColumn("m", F.lit(1)).groupBy("component", "part").agg(F.count("*").alias("m"), F.sum("size").alias("size")), "parts")
+    large = (F.col("m") > MEET_NODES) | (F.col("size") > MEET_BYTES)
+    own = parts.where(large).groupBy("part").agg(blocks.alias("g"), F.sum("m").alias("n"))
+    shared = parts.where(~large).groupBy("component").agg(blocks.alias("h"), F.sum("m").alias("n"))
+    limit_rows = frequent_limit(opened.count())
+    known = join_counted(opened.select("node", "component", "part"), own, "part", "n", limit_rows, "node")
+    known = join_counted(known, shared, "component", "n", limit_rows, "node")
+    # of a large part, the blocks are its own; of small ones, all nodes lie in one
+    owner = F.when(F.col("g").isNotNull(), F.col("part"))
+    block = F.coalesce(F.pmod(F.xxhash64("node"), F.col("g")), F.pmod(F.xxhash64("part"), F.col("h")))
+    spots = saved(known.select("node", "component", owner.alias("owner"), F.xxhash64("component", F.coalesce(owner, F.lit(-1)), block).alias("block")), "spots")
+    each = saved(spots.select("component", "block", "owner").distinct(), "blocks")
+    other = each.select("component", F.col("block").alias("with"), F.col("owner").alias("of"))
+    apart = F.coalesce(F.col("owner") != F.col("of"), F.lit(True))
+    met = each.join(other, "component").where((F.col("block") <= F.col("with")) & apart).select("block", "with", F.xxhash64("block", "with").alias("gid"))
+    met = saved(met, "met")
+    sides = met.select("block", "gid", F.lit(0).alias("side")).unionByName(met.where(F.col("block") != F.col("with")).select(F.col("with").alias("block"), "gid", F.lit(1).alias("side")))
+    dealt = spots.select("node", "block").join(sides, "block").drop("block")
+    held = opened.select("node", "part", "fp", "more").join(texts.select("node", "t"), "node")
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    groups = dealt.join(held, "node").repartition(n, "gid").sortWithinPartitions("gid", "node")
+    return groups.mapInArrow(_linked(limit, least), "a long, b long")
+
+
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without near-duplicates: of each component the row with the smallest id stays.
 
@@ -440,11 +516,12 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first")
     nodes = marked.groupBy("fp", "more", "mark").agg(first).select("fp", "more", F.col("first.id").alias("least"), F.col("first.key").alias("key"))
     nodes = saved(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    close = saved(similar_pairs(links(nodes, DISTANCE, CLOSE, block=WIDE_BLOCK), nodes, rows, WORDS, LEAST), "links")
+    close = links(nodes, DISTANCE, CLOSE, block=WIDE_BLOCK, probed=PROBED, fewest=FEWEST)
+    close = saved(similar_pairs(close, nodes, rows, WORDS, LEAST), "links")
     parts = connected_components(close, "a", "b")
     parted = saved(nodes.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component"), "nodes")
-    offered = links(parted.select("node", "part", "fp", "more"), DISTANCE, LIMIT, block=WIDE_BLOCK, every=True, turns=1 + EXTRA)
-    edges = close.unionByName(similar_pairs(offered, nodes, rows, WORDS, LEAST))
+    offered = links(parted, DISTANCE, LIMIT, block=WIDE_BLOCK, turns=1 + EXTRA, probed=PROBED, fewest=FEWEST)
+    edges = close.unionByName(similar_between(saved(offered, "offered"), parted, rows, WORDS, LEAST, LIMIT))
     best = F.min(F.struct(F.col("least").isNull().alias("none"), F.col("least").alias("id"), "key")).alias("best")
     whole = nodes.join(connected_components(edges, "a", "b"), "node", "left").groupBy(F.coalesce("component", "node")).agg(best)
     whole = whole.select(F.col("best.id").alias("__id"), F.col("best.key").alias("__key"))

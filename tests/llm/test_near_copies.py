@@ -37,3 +37,31 @@ def test_planted_near_copies_go_and_others_stay(spark):
     assert sum(d not in kept for d in planted) >= 0.9 * len(planted)
     alone = {r.doc_id for r in simhash_dedup.keep_one_of_each(df.where("doc_id < 1000000")).select("doc_id").collect()}
     assert {d for d in kept if d < 10**6} == alone
+
+
+def test_a_family_below_the_similarity_costs_a_forest(spark, monkeypatch):
+    """Texts that are alike but mostly below 0.8 are offered as a forest, not as all pairs; what stays is what all pairs say."""
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(3_000)}" for _ in range(300)]
+    family = [[w if rng.random() > 0.025 else f"x{rng.randrange(10**6)}" for w in base] for _ in range(110)]
+    family += [[*family[k][:-3], "an", "other", "end"] for k in range(0, 30, 3)]
+    root = list(range(len(family)))
+    for i in range(len(family)):
+        for j in range(i):
+            if root[i] != root[j] and similarity(family[i], family[j]) >= 0.8:
+                low, high = sorted((root[i], root[j]))
+                root = [low if x == high else x for x in root]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(family)], "doc_id long, text string").repartition(5)
+    offered, whole = [], simhash_dedup.similar_between
+
+    def counted(rows, *args):
+        offered.append(rows.count())
+        return whole(rows, *args)
+
+    monkeypatch.setattr(simhash_dedup, "similar_between", counted)
+    for most in (500, 15):  # one block, and many
+        monkeypatch.setattr(simhash_dedup, "MEET_NODES", most)
+        assert {r.doc_id for r in simhash_dedup.keep_one_of_each(df).collect()} == set(root)
+    assert len(set(root)) < len(family) - 9
+    # every group of fingerprints tells a forest: at most one edge for each member, of which each is in 9 for each fingerprint
+    assert max(offered) < 40 * len(family) and len(offered) == 2
