@@ -58,7 +58,8 @@ class Gru:
         """Gates z and r, candidate n, the state's part of n, and the next state; a column for each stream."""
         w = self.width
         gh = self.wh.T @ h
-        zr = gx[: 2 * w] + gh[: 2 * w]
+        zr = gh[: 2 * w]
+        zr += gx[: 2 * w]
         zr *= 0.5  # the logistic function by the hyperbolic tangent
         np.tanh(zr, out=zr)
         zr += 1
@@ -132,15 +133,18 @@ class Gru:
         for lo in range(0, most, window):
             k = int((size > lo).sum())  # streams that go on
             part = slice(lo, min(most, lo + window))
-            gx = np.ascontiguousarray(table[before[:k, part]].transpose(1, 2, 0))
+            seen = np.ascontiguousarray(before[:k, part].T)
             begun, h = fresh[:k, part].T, np.ascontiguousarray(h[:, :k])
-            states = np.empty((len(gx), *h.shape), dtype=np.float32)
-            for t, any_begins in enumerate(begun.any(axis=1).tolist()):
+            states = np.empty((len(seen), k, self.width), dtype=np.float32)
+            for t, any_begins in enumerate(begun.any(axis=1).tolist()):  # step by step, so that a step's numbers stay in the cache
                 if any_begins:
                     h[:, begun[t]] = 0
-                states[t] = h = self._step(gx[t], h)[4]
+                h = self._step(table[seen[t]].T, h)[4]
+                states[t] = h.T
             of = owner[:k, part].T.ravel()
-            rows = states.transpose(0, 2, 1).reshape(-1, self.width)[of >= 0]
+            rows = states.reshape(-1, self.width)
+            if not (of >= 0).all():
+                rows = rows[of >= 0]
             got = self.log_probs(rows, goal[:k, part].T.ravel()[of >= 0])
             out += np.bincount(of[of >= 0], weights=got, minlength=len(texts))
         return out
@@ -185,40 +189,53 @@ class Gru:
         streams, length = goal.shape
         prev = np.concatenate([np.full((streams, 1), start), goal[:, :-1]], axis=1)
         h, w = np.zeros((self.width, streams), dtype=np.float32), self.width
+        most = min(length, window)
+        kept = [np.empty((most, w, streams), dtype=np.float32) for _ in range(5)]
+        kept_rows, to_embed = (np.empty((most, streams, w), dtype=np.float32) for _ in range(2))
+        dgx, dgh = (np.empty((3 * w, streams), dtype=np.float32) for _ in range(2))
+        # all that can be is done step by step, so that a step's numbers stay in the cache
         for lo in range(0, length, window):
             xs, ys = (np.ascontiguousarray(a[:, lo : lo + window].T) for a in (prev, goal))
-            seen = self.embed[xs]
-            gx = np.ascontiguousarray((seen @ self.wx + self.bias).transpose(0, 2, 1))
-            before, z, r, n, own = (np.empty((len(gx), w, streams), dtype=np.float32) for _ in range(5))
-            for t in range(len(gx)):
+            seen, states = self.embed[xs], kept_rows[: len(xs)]
+            before, z, r, n, own = kept
+            for t in range(len(xs)):
+                gx = self.wx.T @ seen[t].T
+                gx += self.bias[:, None]
                 before[t] = h
-                z[t], r[t], n[t], own[t], h = self._step(gx[t], h)
-            states = np.concatenate([before[1:], h[None]]).transpose(0, 2, 1).reshape(-1, w)
+                z[t], r[t], n[t], own[t], h = self._step(gx, h)
+                states[t] = h.T
             grads = {name: np.zeros_like(x) for name, x in zip(self.NAMES, self.weights(), strict=True)}
-            dhs = self._loss_grads(states, ys.reshape(-1), grads).reshape(len(gx), streams, w)
-            dhs = np.ascontiguousarray(dhs.transpose(0, 2, 1))
-            # what a state's gradient is multiplied with on its way to the gates and to the candidate
-            to_n, to_z, to_r = (1 - z) * (1 - n * n), (before - n) * z * (1 - z), own * r * (1 - r)
+            dhs = self._loss_grads(states.reshape(-1, w), ys.reshape(-1), grads).reshape(len(xs), streams, w)
             carry = np.zeros_like(h)
-            dgx, dgh = (np.empty((len(gx), 3 * w, streams), dtype=np.float32) for _ in range(2))
-            for t in range(len(gx) - 1, -1, -1):
-                d = dhs[t]
-                d += carry
-                dn = np.multiply(d, to_n[t], out=dgx[t, 2 * w :])
-                np.multiply(d, to_z[t], out=dgx[t, :w])
-                np.multiply(dn, to_r[t], out=dgx[t, w : 2 * w])
-                dgh[t, : 2 * w] = dgx[t, : 2 * w]
-                np.multiply(dn, r[t], out=dgh[t, 2 * w :])
-                carry = self.wh @ dgh[t]
-                d *= z[t]
+            for t in range(len(xs) - 1, -1, -1):
+                carry += dhs[t].T
+                d, dn, zs, rs, ns = carry, dgx[2 * w :], z[t], r[t], n[t]
+                rest = 1 - zs
+                np.multiply(ns, ns, out=dn)
+                np.subtract(1, dn, out=dn)
+                dn *= rest
+                dn *= d
+                dz = np.subtract(before[t], ns, out=dgx[:w])
+                dz *= zs
+                dz *= rest
+                dz *= d
+                dr = np.subtract(1, rs, out=dgx[w : 2 * w])
+                dr *= rs
+                dr *= own[t]
+                dr *= dn
+                dgh[: 2 * w] = dgx[: 2 * w]
+                np.multiply(dn, rs, out=dgh[2 * w :])
+                grads["wh"] += before[t] @ dgh.T
+                grads["wx"] += seen[t].T @ dgx.T
+                grads["bias"] += dgx.sum(axis=1)
+                np.matmul(dgx.T, self.wx.T, out=to_embed[t])
+                carry = self.wh @ dgh
+                d *= zs
                 carry += d
-            grads["wh"] += np.matmul(before, dgh.transpose(0, 2, 1)).sum(axis=0)
-            flat, x = dgx.transpose(0, 2, 1).reshape(-1, 3 * w), xs.reshape(-1)
-            grads["wx"] += seen.reshape(-1, w).T @ flat
-            grads["bias"] += np.ones(len(flat), dtype=np.float32) @ flat
+            x = xs.reshape(-1)
             order = np.argsort(x, kind="stable")
             cut = np.flatnonzero(np.concatenate([[True], x[order][1:] != x[order][:-1]]))
-            grads["embed"][x[order][cut]] = np.add.reduceat((flat @ self.wx.T)[order], cut)
+            grads["embed"][x[order][cut]] = np.add.reduceat(to_embed[: len(xs)].reshape(-1, w)[order], cut)
             self._adam(grads, rate, x.size)
 
     def _adam(self, grads: dict[str, np.ndarray], rate: float, size: int) -> None:
