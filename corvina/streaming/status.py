@@ -94,6 +94,10 @@ def stale_stream(events: DataFrame, delay: str = "5 minutes", limits: dict[str,
     return out.select("doc_id", "status", F.timestamp_micros("us").cast(kinds["ts"]).alias("ts"))
 
 
+#: Chunks whose tokens a task counts.
+CHUNKS_AT_ONCE = 20_000
+
+
 def ingest_stream(source: DataFrame, target: str, checkpoint: str, id_col: str = "doc_id", text_col: str = "text", size: int = 1_000, overlap: int = 200, event_time: str | None = None, keep: str = "7 days"):
     """Documents of a stream, cleaned and cut to chunks, each once: chunks and their index entries go to ``target``.
 
@@ -110,10 +114,15 @@ def ingest_stream(source: DataFrame, target: str, checkpoint: str, id_col: str =
         chunks = chunks.withColumn("chunk_id", F.concat_ws("_", F.col(id_col).cast("string"), F.col("chunk_index").cast("string")))
         place = f"{target}/chunks/batch={number}"
         chunks.write.mode("overwrite").parquet(place)
-        words = batch.sparkSession.read.schema(chunks.schema).parquet(place).select(F.col("chunk_id").alias("id"), X.tokens(F.col("content")).alias("t"))
-        words = words.select("id", "t", F.size("t").cast("long").alias("dl"))
-        words.select("id", "dl").write.mode("overwrite").parquet(f"{target}/lengths/batch={number}")
-        terms = words.select("id", "dl", F.explode("t").alias("term")).groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
+        written = batch.sparkSession.read.schema(chunks.schema).parquet(place).select(F.col("chunk_id").alias("id"), "content")
+
+        def words(rows: DataFrame) -> DataFrame:
+            return rows.select("id", X.tokens(F.col("content")).alias("t")).select("id", "t", F.size("t").cast("long").alias("dl"))
+
+        words(written).select("id", "dl").write.mode("overwrite").parquet(f"{target}/lengths/batch={number}")
+        # dealt by id before they fall into tokens, so that postings need no further shuffle; as many parts as keep a task's tokens few
+        parts = max(int(batch.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-written.count() // CHUNKS_AT_ONCE))
+        terms = words(written.repartition(parts, "id")).select("id", "dl", F.explode("t").alias("term")).groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
         terms.write.mode("overwrite").parquet(f"{target}/postings/batch={number}")
 
     return once.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -603,3 +603,18 @@ def test_relations_with_most_triples_are_not_gathered(spark, sf_dir):
         assert [tuple(r) for r in found.collect()] == [("a", "i", "c", "r")]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
+def test_postings_of_a_batch_are_counted_where_chunks_lie(spark, tmp_path, monkeypatch):
+    """Chunks are dealt by their ids in parts of bounded size before they fall into tokens; tokens are not shuffled."""
+    monkeypatch.setattr(status, "CHUNKS_AT_ONCE", 5, raising=False)
+    texts = [(i, " ".join(f"w{(i * k) % 13}" for k in range(40 + i))) for i in range(60)]
+    spark.createDataFrame([*texts, texts[3]], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/in")
+    source = spark.readStream.schema("doc_id long, text string").parquet(f"{tmp_path}/in")
+    status.ingest_stream(source, f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
+    files = list((tmp_path / "out" / "postings" / "batch=0").glob("*.parquet"))
+    lots = [{r.id for r in spark.read.parquet(str(f)).collect()} for f in files]
+    assert len(lots) > 8 and sum(map(len, lots)) == len(set().union(*lots)) == 60 and max(map(len, lots)) < 30
+    got = {(r.id, r.term): (r.tf, r.dl) for r in status.ingested_index(spark, f"{tmp_path}/out").postings.collect()}
+    want = {(f"{i}_0", w): (t.split().count(w), len(t.split())) for i, t in texts for w in set(t.split())}
+    assert got == want
