@@ -618,3 +618,23 @@ def test_postings_of_a_batch_are_counted_where_chunks_lie(spark, tmp_path, monke
     got = {(r.id, r.term): (r.tf, r.dl) for r in status.ingested_index(spark, f"{tmp_path}/out").postings.collect()}
     want = {(f"{i}_0", w): (t.split().count(w), len(t.split())) for i, t in texts for w in set(t.split())}
     assert got == want
+
+
+def test_components_without_their_leaves(spark, monkeypatch):
+    """Ends with a single edge take no part in the rounds; trees, stars, pairs and rings come out as one task makes them."""
+    rng = random.Random(6)
+    pairs = [(f"o{i}", f"c{rng.randrange(40)}") for i in range(400)] + [(f"c{i}", f"n{i % 4}") for i in range(30)]
+    pairs += [("x1", "x2"), ("z", "a"), ("self", "self"), *[(f"r{i}", f"r{(i + 1) % 7}") for i in range(7)], *[(f"p{i:02}", f"p{i + 1:02}") for i in range(20)]]
+    df = spark.createDataFrame([*pairs, (None, "q")], "a string, b string")
+    want = {(r.node, r.component) for r in connected_components(df, "a", "b").collect()}
+    rounds, whole = [], components._large_star
+
+    def counted(edges, limit):
+        rounds.append(edges.count())
+        return whole(edges, limit)
+
+    monkeypatch.setattr(components, "ONE_TASK", 3)
+    monkeypatch.setattr(components, "_large_star", counted)
+    got = connected_components(df, "a", "b").collect()
+    assert len(got) == len(want) and {(r.node, r.component) for r in got} == want
+    assert max(rounds, default=0) < 100
