@@ -132,6 +132,49 @@ def test_similar_pairs_count_in_one_cell_only():
     assert [(r["a"], r["b"]) for r in found] == [("customer#12", "customer#13")] * 2  # "r#" is held, so the pair counts where "r#" is offered
 
 
+def test_numbered_names_meet_in_blocks(spark, monkeypatch, least=0.8):
+    """Names of crowded shapes, others near them, and long ones: no pair is lost or counted twice, and the groups are the same."""
+    monkeypatch.setattr(similar, "CROWD", 6)
+    monkeypatch.setattr(similar, "BLOCK", 7)
+    monkeypatch.setattr(similar, "PAIRS", 90)
+    rng = random.Random(4)
+    numbered = [f"{w}#{rng.randrange(10**5):05}" for w in ("Customer", "customer", "costumer", "Maker") for _ in range(18)] + [f"{'long ' * 15}{k}" for k in range(40, 50)]
+    names = sorted({*numbered, *(x.upper() for x in numbered[:9]), *odd_names(rng)[:60], "Customer#1234", "ustomer#x1234", "\u0130x#12345", "5", "7", "12"})
+    df = spark.createDataFrame([(n,) for n in [*names, *names[:9], "", None]], "entity string")
+    want = {(a, b): plain_ratio(a, b) for a in names for b in names if a < b and plain_ratio(a, b) >= least}
+    blocks = []
+    real = similar._in_blocks
+    monkeypatch.setattr(similar, "_in_blocks", lambda *args: blocks.append(real(*args)) or blocks[-1])
+    got = [((r.a, r.b), r.ratio) for r in similar.similar_strings(df, least).collect()]
+    assert dict(got) == want and len(got) == len(want) > 0
+    assert forest_of([(r.a, r.b) for r in similar.similar_links(df, least).collect()]) == forest_of(want)
+    left, right = names[::2] + names[:5], names[1::2] + names[:10]
+    found = similar.similar_between(spark.createDataFrame([(n,) for n in left], "name string"), spark.createDataFrame([(n,) for n in right], "name string"), least)
+    assert sorted((r.a, r.b) for r in found.collect()) == sorted({(a, b) for a in left for b in right if plain_ratio(a, b) >= least})
+    assert len(blocks) == 3
+
+
+def test_rows_of_numbered_names_grow_with_blocks_only(spark):
+    """Numbered names share most grams; dealt by grams, a name would come to dozens of cells for each block of two thousand."""
+    names = spark.range(6_000).select(F.format_string("Customer#%09d", "id").alias("entity"))
+    rows = spark.sparkContext.accumulator(0)
+
+    def meet(*args):
+        def run(batches):
+            for b in batches:
+                rows.add(b.num_rows)
+            yield from ()
+
+        return run
+
+    was, similar._meet = similar._meet, meet
+    try:
+        similar.similar_strings(names).count()
+    finally:
+        similar._meet = was
+    assert 6_000 <= rows.value <= 6_000 * 8
+
+
 def test_names_linked_beforehand_meet_in_no_cell(spark):
     rows = [("k", "g", "x1", True), ("k", "g", "x2", False), ("m", "g", "x1", True), ("m", "h", "y", False), ("m", "g", "x2", False)]
     got = similar._between_groups(spark.createDataFrame(rows, "key string, c string, x string, offer boolean")).select("key", "x").collect()
