@@ -175,6 +175,34 @@ def test_rows_of_numbered_names_grow_with_blocks_only(spark):
     assert 6_000 <= rows.value <= 6_000 * 8
 
 
+def test_groups_that_are_linked_are_not_compared_again(monkeypatch):
+    low = [f"maker customer#{k:06}" for k in range(0, 3_000, 2)]
+    groups = [f"g{k % 3}" for k in range(len(low) - 1)] + ["far"]
+    low[-1] = "zzzzz customer#987654"
+    done, real = [], similar.Columns.alike
+    monkeypatch.setattr(similar.Columns, "alike", lambda self, lo, hi: done.append((hi - lo) * len(self.strings)) or real(self, lo, hi))
+    every = np.arange(len(low))
+    (links,) = similar._merged(low, groups, every, every, 0.85)
+    assert forest_of([(r["a"], r["b"]) for r in links.to_pylist()]) == {frozenset(["g0", "g1", "g2"])}
+    assert sum(done) < 0.02 * len(low) ** 2
+
+
+def test_replies_of_a_small_file_are_parsed_by_many_tasks(spark, monkeypatch):
+    class Parsed(Exception):
+        pass
+
+    def parse(replies):
+        raise Parsed(replies.rdd.getNumPartitions())
+
+    monkeypatch.setattr(triples, "parse_triples", parse)
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    replies = spark.range(50).coalesce(1).selectExpr("id as ord", "id as doc_id", "'a|b|c' as reply")
+    known = spark.createDataFrame([("a", "b", "c", "d")], "subject string, predicate string, object string, doc_id string")
+    with pytest.raises(Parsed) as told:
+        jobs.ingest_text(docs, replies, known)
+    assert told.value.args[0] >= 3
+
+
 def test_names_linked_beforehand_meet_in_no_cell(spark):
     rows = [("k", "g", "x1", True), ("k", "g", "x2", False), ("m", "g", "x1", True), ("m", "h", "y", False), ("m", "g", "x2", False)]
     got = similar._between_groups(spark.createDataFrame(rows, "key string, c string, x string, offer boolean")).select("key", "x").collect()
