@@ -630,6 +630,24 @@ def test_labels_meet_mentions_in_cells(spark, monkeypatch):
     assert {r.token: r.uri for r in made.collect()} == want and len(want) > 50
 
 
+def test_numbered_names_are_found_by_their_shapes(spark, monkeypatch):
+    """Texts and patterns of few shapes aren't dealt to cells block by block; pieces at several places, overlaps and repeats count as in SQL."""
+    rng = random.Random(6)
+    patterns = [(n % 2, x) for n in range(2) for x in (None, "", "a", "b-", "Ü7", *(f"a{k}" for k in range(40)), *(str(k) for k in range(60)), *(f"{k:03}-b" for k in range(0, 999, 7)))] + [(None, "a1"), (2, "a1")]
+    texts = [(n % 3 if n % 17 else None, n // 2, rng.choice([None, "", "no", "Ü7a", *(f"a{rng.randrange(10**6):06}-b" for _ in range(9)), f"{rng.randrange(999):03}-b{rng.randrange(99):02}a9"])) for n in range(900)]
+    p, t = spark.createDataFrame(patterns, "scope int, pattern string"), spark.createDataFrame(texts, "scope int, id long, text string")
+    want = sorted((s, x, i) for s, i, text in texts if s is not None and text for x in {x for z, x in patterns if z == s and x and x in text})
+    rows = []
+    real = containment._in_cells
+    monkeypatch.setattr(containment, "_in_cells", lambda a, b, sizes: rows.append(a.count() + b.count()) or real(a, b, sizes))
+    assert sorted(map(tuple, containment.containing(p, t).collect())) == want and len(want) > 1_000
+    monkeypatch.setattr(containment, "MANY", 0)
+    monkeypatch.setattr(containment, "BLOCK", 60)
+    monkeypatch.setattr(containment, "PART", 600)
+    assert sorted(map(tuple, containment.containing(p, t).collect())) == want
+    assert rows[1] < rows[0] / 10
+
+
 def test_clickable_names_meet_nodes_in_cells(spark, monkeypatch):
     monkeypatch.setattr(containment, "BLOCK", 60)
     monkeypatch.setattr(containment, "PART", 60)
