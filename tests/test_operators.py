@@ -203,6 +203,19 @@ def test_replies_of_a_small_file_are_parsed_by_many_tasks(spark, monkeypatch):
     assert told.value.args[0] >= 3
 
 
+def test_triples_are_made_once_for_search_and_edges(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = spark.range(30).selectExpr("id as ord", "concat('customer name ', id % 10) as subject", "'is' as predicate", "'thing' as object")
+    told, suggestions = jobs.normalized(rows.mapInArrow(count, rows.schema))
+    assert told.count() == 1 and suggestions.collect()[0].n_triples == 30 and seen.value == 30
+
+
 def test_names_linked_beforehand_meet_in_no_cell(spark):
     rows = [("k", "g", "x1", True), ("k", "g", "x2", False), ("m", "g", "x1", True), ("m", "h", "y", False), ("m", "g", "x2", False)]
     got = similar._between_groups(spark.createDataFrame(rows, "key string, c string, x string, offer boolean")).select("key", "x").collect()
